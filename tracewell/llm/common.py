@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A word is a maximal run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +51,29 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def map_texts(docs: DataFrame, keep: Sequence[str] | None, fields: str, maker: Callable[[], Callable[[list[str]], dict[str, Sequence]]], text: str = "text") -> DataFrame:
+    """The columns `keep` of docs (all by default) and new ones, `fields` (DDL), made from whole texts batch by batch.
+
+    maker is called once in each task; what it returns turns texts (null: empty) into the new columns. Kept
+    columns pass through as Arrow arrays, so nulls and large whole numbers stay as they are. A kept column
+    with the name of a new one is dropped.
+    """
+    new = T.StructType.fromDDL(fields)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
+    docs = docs.select(*dict.fromkeys([*keep, text]))
+    schema = T.StructType([*(docs.schema[c] for c in keep), *new.fields])
+    types = [to_arrow_type(f.dataType) for f in new.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = maker()
+        for batch in batches:
+            made = work([t if t is not None else "" for t in batch.column(text).to_pylist()])
+            arrays = [*(batch.column(c) for c in keep), *(pa.array(made[n], t, from_pandas=False) for n, t in zip(new.names, types, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, *new.names])
+
+    return docs.mapInArrow(run, schema)
+
+
 def slices(sizes: Sequence[int], most: int) -> Iterator[slice]:
     """Consecutive slices of the rows, each of at most `most` bytes in all, or of one row."""
     start, total = 0, 0

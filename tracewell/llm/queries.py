@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat, mixing, url_filter
+from tracewell.llm import chat, langid, mixing, toxicity, url_filter
 from tracewell.llm.common import table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), F.coalesce(remainder(5) == 0, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), F.coalesce(remainder(4) == 2, F.lit(False))
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -109,6 +126,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op10_language_id": op10_language_id,
     "op4_mixing": op4_mixing,
     "op6_chat": op6_chat,
     "op9_url_filters": op9_url_filters,
