@@ -68,7 +68,7 @@ def map_texts(docs: DataFrame, keep: Sequence[str] | None, fields: str, maker: C
         work = maker()
         for batch in batches:
             made = work([t if t is not None else "" for t in batch.column(text).to_pylist()])
-            arrays = [*(batch.column(c) for c in keep), *(pa.array(made[n], t, from_pandas=False) for n, t in zip(new.names, types, strict=True))]
+            arrays = [*(batch.column(c) for c in keep), *(made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], t) for n, t in zip(new.names, types, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, *new.names])
 
     return docs.mapInArrow(run, schema)

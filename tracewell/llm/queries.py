@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat, fingerprints, langid, mixing, simhash, toxicity, url_filter
+from tracewell.llm import ann, chat, fingerprints, langid, mixing, sentencepiece_scan, simhash, toxicity, url_filter
 from tracewell.llm.common import table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -84,6 +84,16 @@ FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source LEFT JOIN k ON k.source
 """
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole text encoded and decoded: n_pieces, a hash of the ids, and whether the decoded text is the text."""
+    model = sentencepiece_scan.read_model()
+    encoded = sentencepiece_scan.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    decoded = sentencepiece_scan.decode(encoded, model)
+    return decoded.select(
+        "doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.octet_length("decoded").alias("decoded_bytes"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
+    )
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of `conversations` is an event; what is returned is read back from the formatted text."""
     planted = spark.range(2).select(
@@ -125,6 +135,11 @@ FROM g
 """
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -139,7 +154,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op10_language_id": op10_language_id,
     "op4_mixing": op4_mixing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_chat": op6_chat,
+    "op7_ann": op7_ann,
     "op8_fingerprints": op8_fingerprints,
     "op9_url_filters": op9_url_filters,
 }
