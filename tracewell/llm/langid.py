@@ -15,6 +15,8 @@ from tracewell.llm.common import map_texts, slices
 #: n-grams of three bytes go to this many hash slots: the width of a vector.
 SLOTS = 1 << 13
 UNKNOWN = "und"
+#: A text with fewer distinct n-grams cannot come as near to a centroid; what is asked of it falls with their square root.
+FULL = 120
 SLICE_BYTES = 1 << 25
 
 
@@ -24,7 +26,7 @@ class Params:
     fit_rows: int = 1500  # rows of each language, at most, that centroids are clustered from
     fit_chars: int = 20_000  # longest text that is clustered from
     rounds: int = 12  # of clustering
-    margin: float = 0.5  # a text is rejected below this part of what its language's fit rows reach (see fit())
+    margin: float = 0.35  # a text is rejected below this part of what its language's fit rows reach (see fit())
 
 
 @dataclass(frozen=True)
@@ -137,13 +139,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
         def judge(texts: list[str]) -> dict:
             score, pred = np.zeros(len(texts)), np.full(len(texts), -1)
             raw = _bytes(texts)
+            shown = np.ones(len(texts))
             for part in slices([len(t) + 4 * SLOTS for t in raw], SLICE_BYTES) if model.languages else ():
-                cosine = vectors(raw[part], model.idf) @ model.centroids.T
+                x = vectors(raw[part], model.idf)
+                shown[part] = np.minimum(1, np.sqrt(np.count_nonzero(x, axis=1) / FULL))
+                cosine = x @ model.centroids.T
                 best = cosine.argmax(axis=1)
                 score[part], pred[part] = np.clip(cosine[np.arange(len(best)), best], 0, 1), model.of[best]
             known = np.array([any(map(str.isalpha, t)) for t in texts], bool)
             score[~known], pred[~known] = 0, -1
-            return {"lang_pred": names[pred], "score": score, "rejected": score < least[pred]}
+            return {"lang_pred": names[pred], "score": score, "rejected": score < least[pred] * shown}
 
         return judge
 

@@ -80,3 +80,13 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: Sequence[int] = WEIGHTS,
     copies = F.col("whole") + F.when(extra & (F.col("more") > 0), 1).otherwise(0)
     joined = join_same(slim, cut, ["source"], "left").select(key, "source", "size", "source_size", "target", copies.alias("copies"))
     return joined.withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix-1") -> DataFrame:
+    """The rows of `docs`, each as often as mix() takes it: none, one or several times. Columns are those of docs.
+
+    Texts without words, which take nothing of the mix, follow their source's copies as well.
+    """
+    copies = mix(docs, key, weights, max_epochs, seed).select(key, "source", "copies").distinct()
+    taken = join_same(docs, copies.where("copies > 0"), [key, "source"])
+    return taken.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,21 +24,30 @@ MOST = 2
 CELL = 48
 
 
-def fingerprint(words: list[bytes], shingle: int) -> int:
-    """SimHash of a text's words: a bit is 1 if it is set in over half of the hashes of its shingles, repeats included."""
+def words_of(text: str) -> list[bytes]:
+    """Words with A-Z lower-cased. Bytes are lower-cased and split as ASCII."""
+    return text.encode("utf-8", "replace").lower().split()
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a text's words, repeats included; of the whole sequence where there are fewer words."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
     count = np.zeros(BITS, np.int64)
-    for part in range(0, n, 1 << 15):
-        count += np.unpackbits(hashes[part : part + (1 << 15)].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
+    for at in range(0, len(hashes), 255):  # so many fit into a byte
+        count += np.unpackbits(hashes[at : at + 255].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * count > len(hashes)).view(">u8")[0]
 
 
 def with_fingerprint(docs: DataFrame, shingle: int, keep: list[str] | None = None) -> DataFrame:
@@ -44,8 +55,7 @@ def with_fingerprint(docs: DataFrame, shingle: int, keep: list[str] | None = Non
 
     def maker() -> Callable[[list[str]], dict]:
         def work(texts: list[str]) -> dict:
-            found = [fingerprint(t.encode("utf-8", "replace").lower().split(), shingle) for t in texts]  # bytes: ASCII only
-            return {"fp": np.array(found, np.uint64).view(np.int64)}
+            return {"fp": np.array([majority(shingle_hashes(words_of(t), shingle)) for t in texts], np.uint64).view(np.int64)}
 
         return work
 
@@ -121,11 +131,163 @@ def components(docs: DataFrame, key: str = "doc_id", shingle: int = 3) -> DataFr
     return prints.join(classes, "fp")
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id", shingle: int = 5) -> DataFrame:
-    """The rows of `docs`, one for each component: the row with the smallest key.
+#: Long fingerprints, for links between less similar texts: this many words of 64 bits, from one hash of each shingle.
+LONG = 4
+WORDS = [f"f{k}" for k in range(LONG)]
+#: Pairs at the least similarity that may meet in no cell.
+MISSED = 0.04
+#: Members of a cell that are compared in one task; cells of up to SMALL go pair by pair, for many cells at once.
+CHUNK, SMALL = 1024, 12
+
+
+def with_long_fingerprint(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
+    """docs with f0, f1, ..: the majority bits of LONG mixes of the shingle hashes."""
+
+    def maker() -> Callable[[list[str]], dict]:
+        def mixes(h: np.ndarray) -> list[np.uint64]:
+            found = []
+            for k in range(LONG):
+                x = (h ^ np.uint64(xxhash.xxh64_intdigest(f"mix {k}"))) * np.uint64(0xBF58476D1CE4E5B9)
+                found.append(majority((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)))
+            return found
+
+        def work(texts: list[str]) -> dict:
+            found = np.array([mixes(shingle_hashes(words_of(t), shingle)) for t in texts], np.uint64).reshape(-1, LONG).view(np.int64)
+            return {name: found[:, k] for k, name in enumerate(WORDS)}
+
+        return work
+
+    return map_texts(docs, keep, ", ".join(f"{w} long" for w in WORDS), maker)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
+def cell_links(members: DataFrame, most: int) -> DataFrame:
+    """(a, b, cell, f0, ..): links of members (cell, chunk, chunked, id, f0, ..) at `most` bits or fewer, as ids.
+
+    In each chunk of a cell, the links join what all near pairs of the chunk would join. A pair is discarded if its distances to some
+    pivot differ by more than `most`; survivors are verified by their own distance. Of a chunked cell, the first member of
+    each component comes too, as a row without link.
+    """
+    pivots = np.random.default_rng(5).integers(0, 1 << 63, (8, LONG), dtype=np.uint64) << np.uint64(1)
+
+    def near(fp: np.ndarray, far: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        """Of the members j, those near to i, which is one member or one for each."""
+        kept = np.flatnonzero(np.abs(far[i] - far[j]).max(axis=-1) <= most)
+        return kept[apart(fp[i] if np.isscalar(i) else fp[i[kept]], fp[j[kept]]) <= most]
+
+    def links(group: np.ndarray, fp: np.ndarray, chunked: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        far = np.stack([apart(fp, p) for p in pivots], axis=1)
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        sizes = np.diff(np.append(starts, len(group)))
+        small = np.repeat((sizes <= SMALL) & ~chunked[starts], sizes)
+        at, a, b, roots = np.flatnonzero(small), [], [], []
+        for step in range(1, SMALL):
+            at = at[at + step < len(group)]
+            at = at[group[at] == group[at + step]]  # members are sorted: those without a step-th next one drop out
+            kept = at[near(fp, far, at, at + step)]
+            a.append(kept)
+            b.append(kept + step)
+        for start, size in zip(starts[~small[starts]].tolist(), sizes[~small[starts]].tolist(), strict=True):
+            left = np.arange(start, start + size)  # not reached yet
+            while len(left):
+                todo, left = [int(left[0])], left[1:]
+                if chunked[start]:
+                    roots.append(todo[0])
+                while todo and len(left):
+                    i = todo.pop()
+                    met = near(fp, far, i, left)
+                    found = left[met]
+                    left = np.delete(left, met)
+                    todo += found.tolist()
+                    a.append(np.full(len(found), i))
+                    b.append(found)
+        return np.concatenate([np.zeros(0, int), *a]), np.concatenate([np.zeros(0, int), *b]), roots
+
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "cell", *WORDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        names = ["group", "id", "cell", "chunked", *WORDS]
+        for batch in batches_and_end(batches):
+            if batch is not None:
+                new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if held is None or not len(held[0]):
+                continue
+            end = int(np.searchsorted(held[0], held[0][-1])) if batch is not None else len(held[0])  # the last group may go on
+            if not end:
+                continue
+            group, ids, cell, chunked, *words = (x[:end] for x in held)
+            a, b, roots = links(group, np.stack(words, axis=1).view(np.uint64), chunked)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), *[pa.nulls(len(a), pa.int64())] * (1 + LONG)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(roots), pa.int64()), pa.array(ids[roots]), pa.array(cell[roots]), *(pa.array(w[roots]) for w in words)], schema=schema)
+            held = [x[end:] for x in held]
+
+    group = F.xxhash64("cell", "chunk").alias("group")
+    dealt = members.select(group, "id", "cell", "chunked", *WORDS).repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(run, "a long, b long, cell long, " + ", ".join(f"{w} long" for w in WORDS))
+
+
+def batches_and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def agreement(similarity: float) -> float:
+    """The part of their bits in which SimHash fingerprints of two equally large shingle sets of a Jaccard similarity agree, as expected."""
+    return 1 - float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, component_id) for each row of `docs` (key, text): components of links between texts of a shingle similarity.
+
+    Two texts link if their long fingerprints differ in as many bits as those of texts of that Jaccard similarity do, or fewer,
+    with two standard deviations to spare. Rows with equal fingerprints are copies, and one stands for them. The others meet in cells:
+    members that agree in a sample of as many bits as there are binary digits in their number. There are as many samples as
+    bring together all pairs at the least similarity but MISSED. A cell of over CHUNK members is dealt to chunks by hash; one
+    member of each component of a chunk goes on to the next round, until the cell is one chunk.
+
+    Null and empty texts have equal fingerprints. component_id is the smallest key, null keys passed over.
+    """
+    prints = saved(with_long_fingerprint(docs.select(key, "text"), shingle, [key]).withColumn("id", F.xxhash64(*WORDS)), "prints")
+    distinct = prints.groupBy("id", *WORDS).agg(F.min(key).alias("least"))
+    distinct = saved(distinct, "distinct")
+    p, bits, width = agreement(similarity), 64 * LONG, max(8, distinct.count().bit_length())
+    bands = int(np.ceil(np.log(MISSED) / np.log1p(-(p**width))))
+    most = int(bits * (1 - p) + 2 * np.sqrt(bits * p * (1 - p)))
+    rng, masks = np.random.default_rng(3), []
+    for n in range(bands):
+        chosen = rng.choice(bits, width, replace=False).tolist()
+        masks.append([n, *(_signed(sum(1 << (b % 64) for b in chosen if b // 64 == k)) for k in range(LONG))])
+    sample = F.explode(F.array(*(F.array(*(F.lit(x).cast("long") for x in m)) for m in masks))).alias("m")
+    cell = F.xxhash64(F.col("m")[0], *(F.col(w).bitwiseAND(F.col("m")[k + 1]) for k, w in enumerate(WORDS)))
+    members, found, before = distinct.select("id", *WORDS, sample).select(cell.alias("cell"), "id", *WORDS), [], None
+    while True:
+        large = saved(members.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK), "large-cells")
+        now = large.agg(F.count("*"), F.sum("n")).first()
+        again = bool(now[0]) and (before is None or now[1] <= before / 2)  # else the rest are far apart
+        chunk = F.pmod(F.xxhash64("id", F.lit(len(found))), F.ceil(F.col("n") / CHUNK))
+        dealt = members.join(large, "cell", "left").select("cell", "id", *WORDS, F.coalesce(chunk, F.lit(0)).alias("chunk"), (F.col("n").isNotNull() & F.lit(again)).alias("chunked"))
+        out = saved(cell_links(dealt, most), "cell-links")
+        found.append(out.where("a is not null").select("a", "b"))
+        if not again:
+            break
+        members, before = out.where("a is null").select("cell", F.col("b").alias("id"), *WORDS), now[1]
+    links_ = reduce(DataFrame.unionByName, found)
+    reached = connected_components(links_).withColumnsRenamed({"node": "id", "component": "root"})
+    grouped = distinct.select("id", "least").join(reached, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select(key, "id").join(grouped.select("id", "root").join(smallest, "root").select("id", "component_id"), "id").select(key, "component_id")
+
+
+def near_dedup(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs`, one for each component of similar(): the row with the smallest key.
 
     A key stays if it is the smallest of its component. Of rows with the same key and text one stays; with
     the same key and other texts, all stay if one does. Rows with a null key stay, one for each text. Columns are those of docs.
     """
-    gone = components(docs, key, shingle).groupBy(key).agg(F.bool_or(F.col(key) == F.col("component_id")).alias("stays")).where(~F.col("stays"))
+    gone = similar(docs, key, shingle, similarity).groupBy(key).agg(F.bool_or(F.col(key) == F.col("component_id")).alias("stays")).where(~F.col("stays"))
     return docs.join(gone.select(key), key, "left_anti").dropDuplicates([key, "text"])

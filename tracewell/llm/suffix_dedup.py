@@ -309,3 +309,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[s
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], [*keep, "n_bytes", "n_removed", "spans", "kept"])
 
     return joined.mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with each text as dedup() leaves it, without the parts of characters that a cut leaves. Columns are those of docs; null texts become empty."""
+    others = [c for c in docs.columns if c != text]
+    found = dedup(docs, key, text, others)
+    return found.withColumn(text, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))).select(docs.columns)
