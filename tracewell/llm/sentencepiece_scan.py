@@ -14,6 +14,7 @@ make that a path problem, so that chunks of a text can be worked on apart:
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,13 +24,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_texts, saved
+from tracewell.llm.common import map_texts, saved, slices
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Longer texts are cut into chunks of this many characters, at the start of a unit where there is one.
 CHUNK = 1 << 16
 CACHED_UNITS = 400_000
+SLICE_CHARS = 1 << 19
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -52,17 +54,19 @@ class Encoder:
         """What has the encoding of a unit: the encoder puts the first space mark there itself."""
         return unit[1:].replace(SPACE, " ")
 
-    def ids(self, units: list[str]) -> bytes:
-        """Ids of units in a row, as little-endian 32-bit numbers."""
+    def ids(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of each text, given as its units in a row, as little-endian 32-bit numbers.
+
+        Units are kept until CACHED_UNITS are known; frequent ones come early, and later ones are encoded when they come up.
+        """
         known = self.units
-        new = list({u for u in units if u not in known})
-        if new:
-            if len(known) + len(new) > CACHED_UNITS:
-                known.clear()
-                new = list(set(units))
-            for u, found in zip(new, self.processor.encode([self.text(u) for u in new], num_threads=1), strict=True):
-                known[u] = np.array(found, "<i4").tobytes() if u != SPACE else self.alone
-        return b"".join(map(known.__getitem__, units))
+        new = list({u for units in texts for u in units if u not in known})
+        found = self.processor.encode([self.text(u) for u in new], num_threads=1) if new else []
+        made = {u: array("i", f).tobytes() if u != SPACE else self.alone for u, f in zip(new, found, strict=True)}
+        if len(known) + len(made) <= CACHED_UNITS:
+            known.update(made)
+            return [b"".join(map(known.__getitem__, units)) for units in texts]
+        return [b"".join([known[u] if u in known else made[u] for u in units]) for units in texts]
 
     def agree(self, a: str, b: str) -> bool:
         """Whether a and b (or a alone, if b is empty) encode to themselves, inside a word."""
@@ -185,7 +189,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", chunk: int = CHUNK
         encoder = Encoder(model)
 
         def work(texts: list[str]) -> dict:
-            found = [encoder.ids(UNIT.findall(marked(t))) for t in texts]
+            found = [f for part in slices([len(t) for t in texts], SLICE_CHARS) for f in encoder.ids([UNIT.findall(marked(t)) for t in texts[part]])]
             offsets = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
             return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4").astype(np.int32)))}
 
@@ -251,7 +255,7 @@ def within(r: object) -> tuple[str, int, int]:
 def whole_units(model: bytes) -> Callable[[], Callable[[list[str]], dict]]:
     def maker() -> Callable[[list[str]], dict]:
         encoder = Encoder(model)
-        return lambda texts: {"ids": [np.frombuffer(encoder.ids(UNIT.findall(t)), "<i4") for t in texts]}
+        return lambda texts: {"ids": [np.frombuffer(encoder.ids([UNIT.findall(t)])[0], "<i4") for t in texts]}
 
     return maker
 
@@ -270,10 +274,10 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids", to: str = "decode
         table = [text(i) for i in range(len(p))]
         for batch in batches:
             column = batch.column(ids)
-            offsets, values = column.offsets.to_pylist(), column.values.to_pylist()
+            offsets, values = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False)
             out = []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                t = b"".join([table[i] for i in values[a:b]]).decode("utf-8", "replace")
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):  # a text at a time: as objects, ids take ten times the room
+                t = b"".join([table[i] for i in values[a:b].tolist()]).decode("utf-8", "replace")
                 out.append(t[1:] if t.startswith(" ") else t)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, to])
 
