@@ -14,6 +14,7 @@ of one text with the same anchor form a run, and the bytes under a run are its c
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cmp_to_key
 from itertools import accumulate, groupby
@@ -217,18 +218,40 @@ def ranges(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def window_matches(classes: DataFrame) -> DataFrame:
-    """As sorted_matches(), for prefixes of any number of classes, by 128-bit hashes of all windows."""
+    """As sorted_matches(), for prefixes of any number of classes, by 128-bit hashes of all windows.
+
+    Windows are counted inside each batch first: those that occur there again are settled, in runs, and one row stands for
+    them. So what is dealt by hash and joined is what a batch could not settle, however often a window occurs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, row, at, contexts = (batch.column(c).to_pylist() for c in ("n", "row", "at", "bytes"))
-            made = [(k, r, a + i, xxhash.xxh3_128_digest(c[i : i + LENGTH])) for k, r, a, c in zip(n, row, at, contexts, strict=True) for i in range(len(c) - LENGTH + 1)]
-            columns = list(zip(*made, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["n", "row", "start", "window"])
-
-    windows = saved(classes.select("n", "row", "at", "bytes").mapInArrow(run, "n long, row long, start int, window binary"), "windows")
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("n", "row", "at", "bytes")), strict=True))
+            hashes = [[xxhash.xxh3_128_digest(c[i : i + LENGTH]) for i in range(len(c) - LENGTH + 1)] for _, _, _, c in rows]
+            times: Counter = Counter()
+            for (n, _, _, _), own in zip(rows, hashes, strict=True):
+                for h in own:
+                    times[h] += n
+            out = [(2, 0, 0, 0, h) for h, n in times.items() if n > 1]
+            for (n, row, at, _), own in zip(rows, hashes, strict=True):
+                settled = None
+                for i, h in enumerate(own if n == 1 else ()):
+                    if times[h] == 1:
+                        out.append((1, row, at + i, LENGTH, h))
+                    elif settled and settled[1] == i - 1:
+                        settled[1] = i
+                    else:
+                        out += [(1, row, at + settled[0], settled[1] - settled[0] + LENGTH, None)] if settled else []
+                        settled = [i, i]
+                out += [(1, row, at + settled[0], settled[1] - settled[0] + LENGTH, None)] if settled else []
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["n", "row", "start", "length", "window"])
+
+    found = saved(classes.select("n", "row", "at", "bytes").mapInArrow(run, "n long, row long, start int, length int, window binary"), "windows")
+    windows = found.where("window is not null")
     again = windows.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
-    return windows.where("n = 1").join(again, "window").select("row", "start", F.lit(LENGTH).alias("length"))
+    joined = windows.where("n = 1").join(again, "window").select("row", "start", "length")
+    return found.where("window is null").select("row", "start", "length").unionByName(joined)
 
 
 def repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
