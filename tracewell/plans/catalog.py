@@ -197,3 +197,24 @@ entry("r28_waiting", lambda S: R.waiting(S.hook_events, S.requests), """WITH n A
  w AS (SELECT session_id, kind, ts, (SELECT min(ts) FROM {hook_events} u WHERE u.event = 'UserPromptSubmit' AND u.session_id = n.session_id AND u.ts > n.ts) AS p, (SELECT min(ts) FROM {requests} r WHERE r.source IS DISTINCT FROM 'ledger' AND r.session_id = n.session_id AND r.ts > n.ts) AS q FROM n WHERE kind IN ('idle_prompt', 'permission_prompt')),
  k AS (SELECT session_id, kind, CASE WHEN kind = 'permission_prompt' THEN least(p, q) ELSE p END AS fin, min(ts) AS start FROM w GROUP BY 1, 2, 3)
  SELECT session_id, kind, count(*) AS waits, count(*) FILTER (fin IS NULL) AS open, isum(fin - start) AS total_ms, median(fin - start) AS median_ms, max(fin - start) AS max_ms FROM k GROUP BY 1, 2""")
+
+# Recipes
+from tracewell.plans import recipes as Q  # noqa: E402
+
+SID, AID = "s8", "a8-0"
+MAIN = "coalesce(r.agent_id, '(main)') AS agent"
+entry("q01_spend_per_agent", lambda S: Q.spend_per_agent(S.requests, S.agents, SID), f"SELECT {MAIN}, max(a.agent_type) AS agent_type, count(*) AS requests, max(context_tokens) AS peak_context, isum(output_tokens) AS output, isum(thinking_tokens) AS thinking, isum(cache_read_tokens) AS cache_read, isum(cache_creation_tokens) AS cache_write FROM {{requests}} r LEFT JOIN {{agents}} a ON a.agent_id = r.agent_id WHERE r.session_id = '{SID}' AND pending = 0 AND r.source IS DISTINCT FROM 'ledger' GROUP BY r.agent_id")
+entry("q02_money_per_party", lambda S: Q.money_per_party(S.requests, S.agents, SID), f"SELECT {MAIN}, max(a.agent_type) AS agent_type, count(*) AS requests, count(*) FILTER (r.source = 'ledger') AS side_calls, round(coalesce(sum(cost_usd_micros), 0) / 1e6, 4) AS usd, count(*) FILTER (cost_usd_micros IS NULL) AS unpriced, coalesce(string_agg(DISTINCT cost_source, ',' ORDER BY cost_source), '') AS price_from FROM {{requests}} r LEFT JOIN {{agents}} a ON a.agent_id = r.agent_id WHERE r.session_id = '{SID}' AND pending = 0 GROUP BY r.agent_id")
+entry("q03_agent_calls", lambda S: Q.agent_calls(S.calls, S.agents, SID), f"SELECT c.tool_use_id, coalesce(c.agent_id, '(main)') AS spawned_by, json_extract_string(input, '$.subagent_type') AS type, coalesce(a.model, json_extract_string(input, '$.model')) AS model, a.agent_id AS started_agent, started, round((stopped - started) / 60000.0, 1) AS wall_min, total_tokens, tool_uses, ts FROM {{calls}} c LEFT JOIN {{agents}} a ON a.parent_tool_use_id = c.tool_use_id WHERE c.session_id = '{SID}' AND tool IN ('Agent', 'Task') ORDER BY ts NULLS FIRST, c.tool_use_id, a.agent_id LIMIT 50")
+entry("q04_family", lambda S: Q.family(S.requests, S.calls, S.agents, AID), f"WITH RECURSIVE tree(agent_id, depth) AS (SELECT '{AID}', 0 UNION SELECT a.agent_id, t.depth + 1 FROM tree t JOIN {{calls}} c ON c.agent_id = t.agent_id JOIN {{agents}} a ON a.parent_tool_use_id = c.tool_use_id) SELECT count(DISTINCT t.agent_id) AS agents, max(t.depth) AS depth, count(r.request_id) AS requests, isum(output_tokens) AS output, max(context_tokens) AS peak_context FROM tree t LEFT JOIN {{requests}} r ON r.agent_id = t.agent_id AND pending = 0 AND r.source IS DISTINCT FROM 'ledger'")
+entry("q05_tool_mix", lambda S: Q.tool_mix(S.calls, AID), f"SELECT tool, count(*) AS calls, isum(failed) AS failed, round(sum(duration_ms) / 60000.0, 1) AS tool_min, isum(bytes_delivered) AS bytes_into_context FROM {{calls}} WHERE agent_id = '{AID}' GROUP BY tool")
+entry("q05_slowest_calls", lambda S: Q.slowest_calls(S.calls, AID), f"SELECT tool_use_id, round(duration_ms / 1000.0, 1) AS secs, tool, left(replace(coalesce(json_extract_string(input, '$.command'), file_path, ''), chr(10), ' '), 120) AS what, duration_ms FROM {{calls}} WHERE agent_id = '{AID}' ORDER BY duration_ms DESC NULLS LAST, tool_use_id LIMIT 10")
+entry("q06_bytes_by_tool", lambda S: Q.bytes_by_tool(S.calls, SINCE), f"SELECT tool, count(*) AS calls, isum(bytes_delivered) AS bytes, max(bytes_delivered) AS largest, count(persisted_path) AS spilled_to_file FROM {{calls}} WHERE ts >= {SINCE} GROUP BY tool")
+entry("q07_compactions", lambda S: Q.latest_compactions(S.compactions), f"SELECT entry_id, ts, session_id, {MAIN}, trigger, pre_tokens, post_tokens, pre_tokens - post_tokens AS freed, round(duration_ms / 1000.0, 1) AS secs FROM {{compactions}} r ORDER BY ts DESC NULLS LAST, entry_id LIMIT 20")
+entry("q08_cache_outcomes", lambda S: Q.cache_outcomes(derive.request_cache(S.requests, S.compactions), S.requests, SINCE), f"WITH {CACHE_SQL} SELECT CASE WHEN agent_id IS NULL THEN '(main)' ELSE 'sub-agent' END AS party, entry_ttl, outcome, cause, count(*) AS requests FROM rc WHERE ts >= {SINCE} GROUP BY ALL")
+entry("q09_cost_by_model", lambda S: Q.cost_by_model(S.session_costs.withColumn("model_costs", F.when(F.col("api_ms") % 3 > 0, F.create_map("model_a", "usd_a", F.lit("m9"), F.col("cost_usd") / 4))), None),
+      "WITH u AS (SELECT *, unnest(CASE WHEN api_ms % 3 > 0 THEN [{'m': model_a, 'v': usd_a}, {'m': 'm9', 'v': cost_usd / 4}] ELSE [NULL] END) AS x FROM {session_costs}) SELECT session_id, round(cost_usd, 2) AS usd, round(wall_ms / 3600000.0, 2) AS wall_h, round(api_ms / 3600000.0, 2) AS api_h, x.m AS model, round(x.v, 2) AS model_usd FROM u")
+entry("q10_without_stop", lambda S: Q.without_stop(S.agents, S.calls, "s10", 1_750_000_000_000), "SELECT a.agent_id, max(a.agent_type) AS agent_type, max(started) AS started, round((1750000000000 - max(c.ts)) / 60000.0) AS min_since_last_call FROM {agents} a LEFT JOIN {calls} c ON c.session_id = a.session_id AND c.agent_id = a.agent_id WHERE a.session_id = 's10' AND stopped IS NULL GROUP BY a.agent_id")
+entry("q10_agent_counts", lambda S: Q.agent_counts(S.agents, SID), f"SELECT count(*) AS agents_in_session, count(*) FILTER (stopped IS NULL) AS without_stop, max(started) AS latest_start FROM {{agents}} WHERE session_id = '{SID}'")
+entry("q11_turns", lambda S: Q.turns_of_session(S.hook_events, S.turn_durations, SID, 20), f"SELECT prompt_id, min(ts) AS first, count(*) AS submits, isum(prompt_bytes) AS prompt_bytes, (SELECT round(sum(d.duration_ms) / 1000.0, 1) FROM {{turn_durations}} d WHERE d.session_id = '{SID}' AND d.prompt_id = e.prompt_id) AS wall_s FROM {{hook_events}} e WHERE session_id = '{SID}' AND event = 'UserPromptSubmit' GROUP BY prompt_id")
+entry("q12_peak_percentiles", lambda S: Q.peak_percentiles(S.requests, S.agents, SINCE), f"WITH p AS (SELECT a.agent_id, max(a.agent_type) AS t, max(context_tokens) AS peak FROM {{requests}} r JOIN {{agents}} a ON a.agent_id = r.agent_id WHERE pending = 0 AND r.source IS DISTINCT FROM 'ledger' AND ts >= {SINCE} GROUP BY 1) SELECT coalesce(t, '?') AS agent_type, count(*) AS n, round(quantile_cont(peak, 0.5), 4) AS p50, round(quantile_cont(peak, 0.9), 4) AS p90, max(peak) AS max FROM p GROUP BY 1")
