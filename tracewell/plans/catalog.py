@@ -218,3 +218,160 @@ entry("q10_without_stop", lambda S: Q.without_stop(S.agents, S.calls, "s10", 1_7
 entry("q10_agent_counts", lambda S: Q.agent_counts(S.agents, SID), f"SELECT count(*) AS agents_in_session, count(*) FILTER (stopped IS NULL) AS without_stop, max(started) AS latest_start FROM {{agents}} WHERE session_id = '{SID}'")
 entry("q11_turns", lambda S: Q.turns_of_session(S.hook_events, S.turn_durations, SID, 20), f"SELECT prompt_id, min(ts) AS first, count(*) AS submits, isum(prompt_bytes) AS prompt_bytes, (SELECT round(sum(d.duration_ms) / 1000.0, 1) FROM {{turn_durations}} d WHERE d.session_id = '{SID}' AND d.prompt_id = e.prompt_id) AS wall_s FROM {{hook_events}} e WHERE session_id = '{SID}' AND event = 'UserPromptSubmit' GROUP BY prompt_id")
 entry("q12_peak_percentiles", lambda S: Q.peak_percentiles(S.requests, S.agents, SINCE), f"WITH p AS (SELECT a.agent_id, max(a.agent_type) AS t, max(context_tokens) AS peak FROM {{requests}} r JOIN {{agents}} a ON a.agent_id = r.agent_id WHERE pending = 0 AND r.source IS DISTINCT FROM 'ledger' AND ts >= {SINCE} GROUP BY 1) SELECT coalesce(t, '?') AS agent_type, count(*) AS n, round(quantile_cont(peak, 0.5), 4) AS p50, round(quantile_cont(peak, 0.9), 4) AS p90, max(peak) AS max FROM p GROUP BY 1")
+
+# Raw records
+from tracewell.functions import commands as C  # noqa: E402
+from tracewell.functions import privacy as P  # noqa: E402
+from tracewell.operators import classify as K  # noqa: E402
+from tracewell.operators import extract as E  # noqa: E402
+from tracewell.operators import merge as M  # noqa: E402
+from tracewell.operators import reconcile as RC  # noqa: E402
+from tracewell.plans import rawstandins as X  # noqa: E402
+from tracewell.sources import raw as SRC  # noqa: E402
+from tracewell.sources import sinks  # noqa: E402
+
+
+def P_(S: StandIns) -> DataFrame:
+    return E.parsed(X.transcripts(S))
+
+
+CONV = """
+ cv AS (SELECT *, length(text) AS n, 's' || conv_id AS session_id, conv_id || '-' || turn AS tag, 1704067200000 + (conv_id % 100000) * 3600000 + turn * 60000 AS ms,
+        last_value(CASE WHEN role NOT IN ('assistant', 'system') AND turn % 3 <> 0 THEN 'p' || conv_id || '-' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS prompt_id FROM {conversations})"""
+entry("s01_read_transcripts", lambda S: SRC.lines_of(X.transcripts(S).groupBy("path").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda l: l["raw"]), "\n"), F.lit('\n{"torn"\n{"cut')).alias("content")))[0].groupBy("path").agg(F.count("*").alias("lines")),
+      f"WITH {CONV} SELECT '/h/projects/proj/' || session_id || '.jsonl' AS path, isum(CASE role WHEN 'assistant' THEN 6 ELSE 1 END + CASE WHEN turn = 0 THEN 1 ELSE 0 END) AS lines FROM cv GROUP BY session_id")
+entry("s02_payloads", lambda S: SRC.payloads(X.payload_rows(S))[0].groupBy("event").agg(F.count("*").alias("n"), F.count_distinct("hash").alias("payloads")), "SELECT event, isum(CASE WHEN ts % 3 = 0 THEN 3 ELSE 1 END) AS n, count(*) AS payloads FROM {hook_events} GROUP BY event")
+LEDGER = """
+ lk AS (SELECT *, CAST(regexp_extract(request_id, '(\\d+)', 1) AS BIGINT) AS k FROM {requests}),
+ ld AS (SELECT session_id, api_request_id AS api, k, k % 900 AS cost, 2 AS rank, FALSE AS partial, 0 AS n FROM lk WHERE k % 4 <> 0 UNION ALL SELECT session_id, api_request_id, k, k % 700, 3, FALSE, 1 FROM lk WHERE k % 8 = 1
+   UNION ALL SELECT session_id, api_request_id, k, NULL, 3, TRUE, 2 FROM lk WHERE k % 16 = 1 UNION ALL SELECT session_id, 'side_' || request_id, k, k % 50, 1, FALSE, 3 FROM lk WHERE k % 10 = 0),
+ lb AS (SELECT *, row_number() OVER (PARTITION BY api ORDER BY rank DESC, partial, n DESC) AS best FROM ld)"""
+entry("s03_ledger", lambda S: SRC.ledger(X.ledger_lines(S))[0].groupBy("session_id", "rank", "partial").agg(F.count("*").alias("n"), F.sum("cost").alias("micros")), f"WITH {LEDGER} SELECT session_id, rank, partial, count(*) AS n, isum(cost) AS micros FROM ld GROUP BY ALL")
+entry("s04_lost_log", lambda S: SRC.lost_log(S.hook_events.select(F.when(F.col("ts") % 5 == 0, F.concat(F.lit("noise "), "event_id")).otherwise(F.concat_ws("\t", F.floor(F.col("ts") / 1000).cast("string"), "event", F.when(F.col("ts") % 2 == 0, "terminated by signal").otherwise("binary missing"), "session_id")).alias("raw"), F.col("ts").alias("modified_ms"))),
+      "SELECT CASE WHEN ts % 5 = 0 THEN ts ELSE (ts // 1000) * 1000 END AS ts, CASE WHEN ts % 5 <> 0 AND ts % 2 = 0 THEN 'terminated' ELSE 'binary' END AS stage, CASE WHEN ts % 5 <> 0 THEN session_id END AS session_id, CASE WHEN ts % 5 = 0 THEN 'noise ' || event_id ELSE event || ': ' || CASE WHEN ts % 2 = 0 THEN 'terminated by signal' ELSE 'binary missing' END END AS error FROM {hook_events}")
+entry("s05_agent_meta", lambda S: SRC.agent_meta(S.agents.select(F.concat(F.lit("/h/agent-"), "agent_id", F.lit(".meta.json")).alias("path"), F.to_json(F.struct(F.col("agent_type").alias("agentType"), F.col("parent_tool_use_id").alias("toolUseId"))).alias("content"))), "SELECT agent_id, agent_type, parent_tool_use_id FROM {agents}")
+entry("s06_list_transcripts", lambda S: SRC.transcripts_of(S.sessions.select(F.concat(F.lit("/h/projects/p"), F.length("session_id").cast("string"), F.when(F.col("first_ts") % 4 == 0, "/x/subagents/agent-").otherwise("/"), "session_id", F.lit(".jsonl")).alias("path"), F.col("last_ts").alias("modified"), F.lit(9).alias("bytes"))), "SELECT '/h' AS root, 'p' || length(session_id) AS project, session_id, last_ts AS modified, 9 AS bytes FROM {sessions} WHERE first_ts % 4 <> 0")
+entry("s07_call_lines", lambda S: SRC.call_lines(S.calls.select(F.xxhash64("tool_use_id").alias("line_no"), F.when(F.coalesce(F.col("duration_ms"), F.lit(0)) % 9 == 1, "[]").otherwise(F.to_json(F.struct(F.col("tool_use_id").alias("id"), "tool", "cwd"))).alias("raw"))).groupBy(F.when(F.col("status") == "ok", "ok").otherwise("unreadable").alias("status"), "tool").agg(F.count("*").alias("n")),
+      "SELECT CASE WHEN coalesce(duration_ms, 0) % 9 = 1 THEN 'unreadable' ELSE 'ok' END AS status, CASE WHEN coalesce(duration_ms, 0) % 9 <> 1 THEN tool END AS tool, count(*) AS n FROM {calls} GROUP BY 1, 2")
+entry("s10_report_json", lambda S: sinks.report_json(R.hooks(S.stop_hooks, S.stop_hook_runs).orderBy("name"), R.turn_notes(S.turn_durations), "hooks", "standin", "hooks").select(F.get_json_object("value", "$.topic").alias("topic"), F.size(F.from_json(F.get_json_object("value", "$.rows"), "array<array<string>>")).alias("n"), F.get_json_object("value", "$.rows[0][0]").alias("first")),
+      "SELECT 'hooks' AS topic, count(*) AS n, (SELECT coalesce(name, '-') FROM {stop_hook_runs} ORDER BY name NULLS FIRST LIMIT 1) AS first FROM (SELECT DISTINCT name FROM {stop_hook_runs})")
+entry("s11_archived", lambda S: sinks.archived(S.faults, "faults"), "SELECT fault_id, ts, session_id, tool_use_id, stage FROM {faults}")
+
+ASSISTANT = "FROM cv WHERE role = 'assistant'"
+entry("e01_requests", lambda S: E.requests_from_transcript(P_(S)).select("request_id", "session_id", "prompt_id", "ts", "model", "stop_reason", "api_request_id", "input_tokens", "cache_read_tokens", "cache_creation_tokens", "output_tokens"),
+      f"WITH {CONV} SELECT 'm' || tag AS request_id, session_id, prompt_id, ms AS ts, 'model-' || (conv_id % 3) AS model, CASE WHEN n % 4 = 0 THEN 'end_turn' ELSE 'tool_use' END AS stop_reason, 'req' || tag AS api_request_id, n % 1000 AS input_tokens, turn * 1000 AS cache_read_tokens, n * 3 % 700 AS cache_creation_tokens, n AS output_tokens {ASSISTANT}")
+entry("e02_context_tokens", lambda S: E.requests_from_transcript(P_(S)).select("request_id", "context_tokens"), f"WITH {CONV} SELECT 'm' || tag AS request_id, n % 1000 + turn * 1000 + n * 3 % 700 AS context_tokens {ASSISTANT}")
+entry("e03_tool_uses", lambda S: E.tool_uses(P_(S)).select("request_id", "tool_use_id", "tool", "ts", "cwd", F.get_json_object("input", "$.command").alias("command")), f"WITH {CONV} SELECT 'm' || tag AS request_id, 't' || tag AS tool_use_id, 'Bash' AS tool, ms + 1000 AS ts, '/w' AS cwd, CASE WHEN n % 2 = 0 THEN 'git commit -m ''x''' ELSE 'pytest -q | tail -3' END AS command {ASSISTANT}")
+entry("e04_prompt_of", lambda S: E.prompt_of(P_(S)).where("type = 'assistant'").select("path", "line_no", "prompt_id"), f"WITH {CONV} SELECT '/h/projects/proj/' || session_id || '.jsonl' AS path, turn * 10 + k AS line_no, prompt_id FROM cv CROSS JOIN (SELECT unnest([0, 1]) AS k) WHERE role = 'assistant'")
+entry("e05_iterations", lambda S: E.iterations(P_(S)).select("request_id", "seq", "type", "output_tokens"), f"WITH {CONV} SELECT 'm' || tag AS request_id, 1 AS seq, 'fallback_message' AS type, n % 77 AS output_tokens {ASSISTANT}")
+entry("e06_compactions", lambda S: E.compactions(P_(S)).select("entry_id", "session_id", "ts", "trigger", "pre_tokens", "post_tokens"), f"WITH {CONV} SELECT 'u' || tag AS entry_id, session_id, ms AS ts, CASE WHEN n % 2 = 0 THEN 'auto' END AS trigger, n AS pre_tokens, n // 4 AS post_tokens FROM cv WHERE role = 'system'")
+entry("e07_stop_hooks", lambda S: E.stop_hooks(P_(S))[0].select("entry_id", "session_id", "prompt_id", "hook_count"), f"WITH {CONV} SELECT 'h' || tag AS entry_id, session_id, prompt_id, 2 AS hook_count {ASSISTANT}")
+entry("e07_stop_hook_runs", lambda S: E.stop_hooks(P_(S))[1].select("entry_id", "seq", "duration_ms"), f"WITH {CONV} SELECT 'h' || tag AS entry_id, seq, CASE WHEN seq = 0 THEN n END AS duration_ms FROM cv CROSS JOIN (SELECT unnest([0, 1]) AS seq) WHERE role = 'assistant'")
+entry("e08_turn_durations", lambda S: E.turn_durations(P_(S)).select("session_id", "prompt_id", "ts", "duration_ms", "message_count"), f"WITH {CONV} SELECT session_id, prompt_id, ms + 3000 AS ts, CAST(floor(n * 7.5) AS BIGINT) AS duration_ms, turn AS message_count {ASSISTANT}")
+entry("e09_mark_key", lambda S: E.marks(P_(S), "turn_duration").groupBy("session_id").agg(F.count_distinct("entry_id").alias("marks"), F.min(F.length("entry_id")).alias("width")), f"WITH {CONV} SELECT session_id, count(*) AS marks, 21 AS width {ASSISTANT} GROUP BY 1")
+entry("e10_session_costs", lambda S: E.session_costs(P_(S)).select("session_id", "cost_usd", "wall_ms", F.map_values("model_costs")[0].alias("model_usd")), f"WITH {CONV}, l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r {ASSISTANT}) SELECT session_id, n / 64.0 AS cost_usd, n * 10 AS wall_ms, n / 128.0 AS model_usd FROM l WHERE r = 1")
+RESULT = "CASE WHEN n % 5 = 3 AND n % 2 = 0 THEN 'Permission to use Bash ' || text ELSE text END"
+entry("e11_e14_tool_results", lambda S: E.tool_results(P_(S)), f"WITH {CONV} SELECT 't' || tag AS tool_use_id, strlen({RESULT}) AS bytes, CASE WHEN n % 5 = 3 THEN 1 ELSE 0 END AS failed, CASE WHEN n % 5 = 3 AND n % 2 = 0 THEN 'denied by permission' END AS outcome, CASE WHEN n % 5 = 3 THEN strlen({RESULT}) ELSE strlen(text) + 1 END AS real {ASSISTANT}")
+CALLP = "SELECT * FROM {calls} WHERE ts IS NOT NULL AND failed IS NOT NULL"
+entry("e15_e17_call_rows", lambda S: E.call_rows(SRC.payloads(X.call_payloads(S))[0]).select("tool_use_id", "ts", "duration_ms", "failed", "file_path", "read_start", "read_lines", "file_bytes_before", "lines_added", "lines_removed"),
+      f"""SELECT tool_use_id, ts, duration_ms, failed, file_path, CASE WHEN tool = 'Read' THEN greatest(read_start - 5, 1) END AS read_start, read_lines, CASE WHEN tool = 'Write' THEN 0 WHEN tool = 'Edit' THEN duration_ms % 50 END AS file_bytes_before,
+      CASE WHEN tool = 'Write' THEN 2 WHEN tool = 'Edit' THEN 2 END AS lines_added, CASE WHEN tool = 'Write' THEN 0 WHEN tool = 'Edit' THEN 1 END AS lines_removed FROM ({CALLP})""")
+entry("e18_commits", lambda S: E.call_rows(SRC.payloads(X.call_payloads(S))[0]).where("commit_sha is not null").select("tool_use_id", "commit_sha", "commit_branch"), f"SELECT tool_use_id, left(sha256(tool_use_id), 8) AS commit_sha, 'main' AS commit_branch FROM ({CALLP}) WHERE tool = 'Bash'")
+entry("e19_test_runner", lambda S: C.command_facts(E.tool_uses(P_(S)).select(F.get_json_object("input", "$.command").alias("command"))).select("command", "test_runner"), f"WITH {CONV} SELECT DISTINCT CASE WHEN n % 2 = 0 THEN 'git commit -m ''x''' ELSE 'pytest -q | tail -3' END AS command, CASE WHEN n % 2 = 1 THEN 'pytest' END AS test_runner {ASSISTANT}")
+entry("e20_agent_totals", lambda S: E.agent_totals(P_(S).withColumn("path", F.regexp_replace("path", "/s([0-9]+).jsonl", "/subagents/agent-a$1.jsonl"))), f"WITH {CONV}, l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ms DESC) AS r {ASSISTANT}) SELECT 'a' || conv_id AS agent_id, isum(n % 1000 + turn * 1000 + n * 3 % 700 + n) AS total_tokens, count(*) AS tool_uses, max(CASE WHEN r = 1 THEN 'model-' || (conv_id % 3) END) AS model FROM l GROUP BY conv_id")
+entry("e21_turn_end", lambda S: E.turn_end(P_(S).where("not (type = 'user' and message.content like '%tool_result%')")).select("session_id", "event", "ts"), f"WITH {CONV}, l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM cv WHERE role <> 'system') SELECT session_id, 'Stop' AS event, ms + 1000 AS ts FROM l WHERE r = 1 AND role = 'assistant' AND n % 4 = 0")
+entry("e22_command_segments", lambda S: C.command_segments(E.tool_uses(P_(S)).select("tool_use_id", F.get_json_object("input", "$.command").alias("command"))).select("tool_use_id", "seq", "program", "args", "parse_status"),
+      f"WITH {CONV} SELECT 't' || tag AS tool_use_id, k AS seq, CASE WHEN n % 2 = 0 THEN 'git' WHEN k = 0 THEN 'pytest' ELSE 'tail' END AS program, CASE WHEN n % 2 = 0 THEN '[\"commit\", \"-m\", \"x\"]' WHEN k = 0 THEN '[\"-q\"]' ELSE '[\"-3\"]' END AS args, 'ok' AS parse_status FROM cv CROSS JOIN (SELECT unnest([0, 1]) AS k) WHERE role = 'assistant' AND (k = 0 OR n % 2 = 1)")
+entry("e24_parts_to_refresh", lambda S: C.parts_to_refresh(S.calls, S.command_parts, 3).select("tool_use_id"), "SELECT tool_use_id FROM {calls} WHERE tool = 'Bash' AND (tool_use_id NOT IN (SELECT tool_use_id FROM {command_parts}) OR tool_use_id IN (SELECT tool_use_id FROM {command_parts} WHERE parse_status = 'unparsed'))")
+entry("e25_chat_titles", lambda S: E.chat_titles(P_(S)), f"WITH {CONV} SELECT session_id, trim(regexp_replace(left(text, 20) || chr(10) || ' x', '\\s+', ' ', 'g')) AS title FROM cv WHERE turn = 0")
+entry("e26_task_notices", lambda S: E.task_notices(P_(S).withColumn("message", F.col("message").withField("content", F.concat(F.lit("<task-id>a"), F.col("line_no").cast("string"), F.lit("</task-id><status>"), F.when(F.col("line_no") % 20 == 0, "done").otherwise(""), F.lit("</status>")))).where("promptId is not null")).groupBy("agent_id").agg(F.count("*").alias("n")), f"WITH {CONV} SELECT 'a' || (turn * 10) AS agent_id, count(*) AS n FROM cv WHERE role NOT IN ('assistant', 'system') AND turn % 3 <> 0 AND turn % 2 = 0 GROUP BY turn")
+entry("e27_stop_hook_name", lambda S: E.stop_hooks(P_(S))[1].groupBy("name").agg(F.count("*").alias("n")), f"WITH {CONV} SELECT name, count(*) AS n FROM cv CROSS JOIN (SELECT unnest(['lint.sh', '#' || left(sha256('$X && y'), 8)]) AS name) WHERE role = 'assistant' GROUP BY 1")
+entry("e28_event_rows", lambda S: E.event_rows(SRC.payloads(X.payload_rows(S))[0]).groupBy("event", "source", "reason", "trigger", "error_type", "permission_mode").agg(F.count("*").alias("n"), F.sum("prompt_bytes").alias("prompt_bytes")), "SELECT event, source, reason, trigger, error_type, permission_mode, isum(k) AS n, isum(k * prompt_bytes) AS prompt_bytes FROM (SELECT *, CASE WHEN ts % 3 = 0 THEN 3 ELSE 1 END AS k FROM {hook_events}) GROUP BY ALL")
+BATCH = lambda S: S.calls.where("request_id is not null").groupBy("session_id", "request_id").agg(F.array_sort(F.collect_list(F.struct("tool_use_id", F.col("tool").alias("tool_name"), F.repeat(F.lit("y"), (F.coalesce("bytes_delivered", F.lit(7)) % 90).cast("int")).alias("tool_response")))).alias("tool_calls")).select(F.lit(5).cast("bigint").alias("received_ms"), F.to_json(F.struct(F.lit("PostToolBatch").alias("hook_event_name"), "session_id", "tool_calls")).alias("payload"))
+entry("e30_call_starts", lambda S: E.call_start_rows(SRC.payloads(X.call_payloads(S).withColumn("payload", F.regexp_replace("payload", "PostToolUse(Failure)?", "PreToolUse")))[0]).groupBy("tool").agg(F.count("*").alias("n"), F.count_distinct("cwd").alias("cwds")), f"SELECT tool, count(*) AS n, count(DISTINCT cwd) AS cwds FROM ({CALLP}) GROUP BY tool")
+entry("e31_batch_rows", lambda S: E.batch_rows(SRC.payloads(BATCH(S))[0], S.calls.where("tool = 'Read'").select("tool_use_id", "request_id")).select("tool_use_id", "bytes_delivered", "request_id"), "SELECT tool_use_id, coalesce(bytes_delivered, 7) % 90 AS bytes_delivered, CASE WHEN tool = 'Read' THEN request_id ELSE 'pending:' || min(tool_use_id) OVER (PARTITION BY request_id) END AS request_id FROM {calls}")
+entry("e32_agent_rows", lambda S: E.agent_rows(SRC.payloads(X.payload_rows(S))[0]).groupBy("agent_id").agg(F.min("started").alias("started"), F.max("stopped").alias("stopped")), "SELECT agent_id, min(CASE WHEN event = 'SubagentStart' THEN ts END) AS started, max(CASE WHEN event = 'SubagentStop' THEN ts + CASE WHEN ts % 3 = 0 THEN 1400 ELSE 0 END END) AS stopped FROM {hook_events} WHERE event LIKE 'Subagent%' GROUP BY 1")
+
+# Privacy
+entry("p01_sanitize_input", lambda S: S.calls.select("tool_use_id", P.sanitize_input(F.col("tool"), F.col("input")).alias("input")), """SELECT tool_use_id, CASE WHEN tool = 'Agent' THEN '{"model":"m1","subagent_type":"' || json_extract_string(input, '$.subagent_type') || '"}' WHEN tool = 'Bash' THEN '{"command_bytes":' || length(json_extract_string(input, '$.command')) || '}' ELSE '{}' END AS input FROM {calls}""")
+entry("p02_cut_url", lambda S: S.table("pages").select("page_id", P.cut_url(F.col("url")).alias("url")), "SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', '', 's'), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@', '\\1') AS url FROM {pages}")
+entry("p03_sanitize_error", lambda S: S.calls.select("tool_use_id", P.sanitize_error(F.concat("error", F.lit(": secret")), F.when(F.col("error") == "denied by permission", F.col("error"))).alias("error")), "SELECT tool_use_id, CASE WHEN error IS NULL THEN NULL WHEN error = 'denied by permission' THEN error ELSE error END AS error FROM {calls}")
+entry("p04_sanitize_fault", lambda S: S.faults.select("fault_id", P.sanitize_fault(F.col("stage"), F.concat(F.lit("torn line: "), "error")).alias("error")), "SELECT fault_id, CASE WHEN stage = 'parse' THEN 'torn line (' || (length(error) + 11) || ' bytes)' ELSE 'torn line: ' || error END AS error FROM {faults}")
+entry("p05_sanitize_detail", lambda S: S.table("documents").select("doc_id", P.sanitize_detail(F.to_json(F.struct(F.lit("kept").alias("reason"), F.col("text").alias("secret"), F.struct(F.col("n_chars").alias("size"), F.col("text").alias("deep")).alias("in")))).alias("detail")), """SELECT doc_id, '{"reason":"kept","secret_bytes":' || strlen(text) || ',"in":{"size":' || n_chars || ',"deep_bytes":' || strlen(text) || '}}' AS detail FROM {documents}""")
+entry("p06_cut_content", lambda S: C.command_facts(S.table("documents").select(F.concat(F.lit("git commit -m 'x"), F.translate("text", "'\"\\", ""), F.lit("' && echo done")).alias("command"))).select("cut", "cut_bytes").distinct(), """SELECT DISTINCT 'git commit -m ''[cut]'' && echo done' AS cut, strlen(translate(text, '''"\\', '')) + 3 AS cut_bytes FROM {documents}""")
+entry("p07_redact", lambda S: P.redact(S.calls, S.faults, S.command_parts)[3], """SELECT 'calls.input' AS column, count(*) FILTER (tool IN ('Bash', 'Agent')) AS changed FROM {calls} UNION ALL SELECT 'calls.error', 0 UNION ALL SELECT 'faults.error', count(*) FROM {faults} WHERE stage = 'parse'""")
+entry("p08_count_unredacted", lambda S: P.count_unredacted(P.redact(S.calls, S.faults, S.command_parts)[0].unionByName(S.calls.where("tool = 'Bash'"))), "SELECT count(*) AS n FROM {calls} WHERE tool = 'Bash'")
+
+# Merges
+SEEN = lambda S: S.hook_events.select("session_id", "ts", F.when(F.col("ts") % 3 == 0, F.concat(F.lit("/d"), (F.col("ts") % 7).cast("string"))).alias("cwd"), F.when(F.col("ts") % 4 == 0, F.concat(F.lit("/t"), (F.col("ts") % 5).cast("string"))).alias("transcript_path"))
+entry("m01_merge", lambda S: M.merge(S.requests.where("request_id like '%1' or request_id like '%2'").select("request_id", "ts", "model", "output_tokens", "context_tokens"), S.requests.where("request_id like '%2' or request_id like '%3'").select("request_id", (F.col("ts") + 5).alias("ts"), F.concat("model", F.lit("!")).alias("model"), (F.col("output_tokens") + 1).alias("output_tokens"), (F.col("context_tokens") - 1).alias("context_tokens")), ["request_id"], {"ts": "min", "model": "fill", "output_tokens": "overwrite", "context_tokens": "max"}),
+      "SELECT request_id, CASE WHEN request_id LIKE '%3' THEN ts + 5 ELSE ts END AS ts, CASE WHEN request_id LIKE '%3' THEN model || '!' ELSE model END AS model, CASE WHEN request_id LIKE '%1' THEN output_tokens ELSE output_tokens + 1 END AS output_tokens, CASE WHEN request_id LIKE '%3' THEN context_tokens - 1 ELSE context_tokens END AS context_tokens FROM {requests} WHERE request_id LIKE '%1' OR request_id LIKE '%2' OR request_id LIKE '%3'")
+entry("m02_claim_occurrences", lambda S: M.claim_occurrences(SRC.payloads(X.payload_rows(S))[0]).groupBy("event").agg(F.count("*").alias("deliveries"), F.count_distinct("event_id").alias("occurrences")), "SELECT event, isum(CASE WHEN ts % 3 = 0 THEN 3 ELSE 1 END) AS deliveries, isum(CASE WHEN ts % 3 = 0 THEN 2 ELSE 1 END) AS occurrences FROM {hook_events} GROUP BY event")
+entry("m03_touch_sessions", lambda S: M.touch_sessions(SEEN(S)), """WITH e AS (SELECT session_id, ts, CASE WHEN ts % 3 = 0 THEN '/d' || (ts % 7) END AS cwd, CASE WHEN ts % 4 = 0 THEN '/t' || (ts % 5) END AS tp FROM {hook_events})
+ SELECT session_id, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(cwd, (ts, cwd)) FILTER (cwd IS NOT NULL) AS cwd, min(ts) FILTER (cwd IS NOT NULL) AS cwd_ts, arg_max(tp, (ts, tp)) FILTER (tp IS NOT NULL) AS transcript_path, max(ts) FILTER (tp IS NOT NULL) AS transcript_path_ts FROM e GROUP BY session_id""")
+entry("m04_refresh_sessions", lambda S: M.refresh_sessions(S.sessions.select("session_id"), S.hook_events.withColumn("model", F.lit("started")), S.requests), """SELECT s.session_id, (SELECT source FROM {hook_events} e WHERE e.session_id = s.session_id AND event = 'SessionStart' ORDER BY ts, event_id LIMIT 1) AS start_source, (SELECT reason FROM {hook_events} e WHERE e.session_id = s.session_id AND event = 'SessionEnd' ORDER BY ts DESC, event_id DESC LIMIT 1) AS end_reason,
+ coalesce((SELECT model FROM {requests} r WHERE r.session_id = s.session_id AND agent_id IS NULL AND source IS DISTINCT FROM 'ledger' ORDER BY ts DESC, request_id DESC LIMIT 1), CASE WHEN EXISTS (SELECT 1 FROM {hook_events} e WHERE e.session_id = s.session_id AND event = 'SessionStart') THEN 'started' END) AS model FROM {sessions} s""")
+entry("m05_agent_turns", lambda S: M.agent_turns(S.hook_events).select("agent_id", "seq", "started", "stopped", "start_event_id", "stop_event_id"), """WITH e AS (SELECT agent_id, event, event_id, ts, lag(event) OVER w AS b, lead(event) OVER w AS ne, lead(event_id) OVER w AS ni, lead(ts) OVER w AS nt FROM {hook_events} WHERE event IN ('SubagentStart', 'SubagentStop') WINDOW w AS (PARTITION BY agent_id ORDER BY ts, event_id))
+ SELECT agent_id, row_number() OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS seq, CASE WHEN event = 'SubagentStart' THEN ts END AS started, CASE WHEN event = 'SubagentStop' THEN ts WHEN ne = 'SubagentStop' THEN nt END AS stopped, CASE WHEN event = 'SubagentStart' THEN event_id END AS start_event_id, CASE WHEN event = 'SubagentStop' THEN event_id WHEN ne = 'SubagentStop' THEN ni END AS stop_event_id FROM e WHERE event = 'SubagentStart' OR b IS DISTINCT FROM 'SubagentStart'""")
+PENDING = lambda S: (S.requests.select(F.when(F.col("pending") == 1, F.concat(F.lit("pending:"), "request_id")).otherwise(F.col("request_id")).alias("request_id"), "session_id", "ts", "model", "pending"), S.calls.join(S.requests.select("request_id", "pending"), "request_id").select("tool_use_id", F.when(F.col("pending") == 1, F.concat(F.lit("pending:"), "request_id")).otherwise(F.col("request_id")).alias("request_id")), S.calls.where("tool <> 'Grep'").select("tool_use_id", "request_id"))
+entry("m06_resolve_pending", lambda S: M.resolve_pending(*PENDING(S))[0].select("request_id", "ts", "model", "pending"), "WITH f AS (SELECT DISTINCT request_id FROM {calls} WHERE tool <> 'Grep') SELECT CASE WHEN pending = 1 AND f.request_id IS NULL THEN 'pending:' || r.request_id ELSE r.request_id END AS request_id, ts, model, CASE WHEN pending = 1 AND f.request_id IS NULL THEN 1 ELSE 0 END AS pending FROM {requests} r LEFT JOIN f ON f.request_id = r.request_id")
+entry("m06_repointed_calls", lambda S: M.resolve_pending(*PENDING(S))[1], "WITH f AS (SELECT DISTINCT request_id FROM {calls} WHERE tool <> 'Grep') SELECT c.tool_use_id, CASE WHEN r.pending = 1 AND f.request_id IS NULL THEN 'pending:' || r.request_id ELSE r.request_id END AS request_id FROM {calls} c JOIN {requests} r ON r.request_id = c.request_id LEFT JOIN f ON f.request_id = r.request_id")
+entry("m07_settle", lambda S: M.settle(S.requests.where("pending = 1 or source = 'hook'"), S.requests.where("session_id like '%3'").select("request_id", "session_id", "agent_id", F.col("ts"), (F.col("output_tokens") + 1).alias("output_tokens"), F.lit("transcript").alias("source")), S.sessions.select("session_id", (F.col("first_ts") + 1000).alias("first_ts"))).select("request_id", "output_tokens", "pending", "source"),
+      """WITH o AS (SELECT * FROM {requests} WHERE pending = 1 OR source = 'hook'), n AS (SELECT r.request_id, r.output_tokens + 1 AS output_tokens, r.ts, s.first_ts + 1000 AS f FROM {requests} r JOIN {sessions} s USING (session_id) WHERE session_id LIKE '%3')
+      SELECT coalesce(o.request_id, n.request_id) AS request_id, coalesce(n.output_tokens, o.output_tokens) AS output_tokens, CASE WHEN n.request_id IS NOT NULL THEN 0 ELSE o.pending END AS pending, coalesce(o.source, CASE WHEN n.request_id IS NOT NULL THEN 'transcript' END) AS source FROM o FULL JOIN n ON o.request_id = n.request_id WHERE o.request_id IS NOT NULL OR n.ts >= n.f""")
+entry("m08_recount", lambda S: M.recount(S.requests, S.calls).select("request_id", "calls"), "SELECT r.request_id, count(c.tool_use_id) AS calls FROM {requests} r LEFT JOIN {calls} c ON c.request_id = r.request_id GROUP BY 1")
+entry("m09_merge_session_costs", lambda S: M.merge_session_costs(S.session_costs.drop("model_a", "usd_a"), S.session_costs.select("session_id", (F.col("ts") - 7).alias("ts"), "started", (F.col("cost_usd") * 2).alias("cost_usd"), "api_ms", "api_no_retry_ms", "tool_ms", F.when(F.col("api_ms") % 2 == 0, F.col("wall_ms") + 1).otherwise(F.col("wall_ms") - 1).alias("wall_ms"))).select("session_id", "ts", "cost_usd", "wall_ms"),
+      "SELECT session_id, ts, CASE WHEN wall_ms IS NOT NULL AND api_ms % 2 = 0 THEN cost_usd * 2 ELSE cost_usd END AS cost_usd, CASE WHEN wall_ms IS NOT NULL AND api_ms % 2 = 0 THEN wall_ms + 1 ELSE wall_ms END AS wall_ms FROM {session_costs}")
+entry("m10_best_ledger", lambda S: M.best_ledger(SRC.ledger(X.ledger_lines(S))[0]).select("request_id", "cost", "rank", "partial"), f"WITH {LEDGER} SELECT api AS request_id, cost, rank, partial FROM lb WHERE best = 1")
+HELD = lambda S: S.requests.where("stop_reason = 'end_turn'").select("request_id", "api_request_id")
+entry("m11_join_ledger", lambda S: M.join_ledger(S.requests.where("source <> 'ledger' or source is null").withColumn("api_request_id", F.when(F.col("cache_read_tokens") % 2 == 0, F.col("api_request_id"))), SRC.ledger(X.ledger_lines(S))[0], HELD(S))[0].select("request_id", "cost_usd_micros", "cost_source", "source"),
+      f"""WITH {LEDGER}, b AS (SELECT * FROM lb WHERE best = 1), o AS (SELECT *, CASE WHEN cache_read_tokens % 2 = 0 OR stop_reason = 'end_turn' THEN api_request_id END AS api FROM {{requests}} WHERE source IS DISTINCT FROM 'ledger')
+      SELECT request_id, coalesce(b.cost, cost_usd_micros) AS cost_usd_micros, CASE WHEN b.cost IS NOT NULL THEN 'ledger' ELSE cost_source END AS cost_source, source FROM o LEFT JOIN b ON b.api = o.api
+      UNION ALL SELECT b.api, b.cost, CASE WHEN b.cost IS NOT NULL THEN 'ledger' END, 'ledger' FROM b WHERE b.api NOT IN (SELECT api FROM o WHERE api IS NOT NULL) AND b.api NOT IN (SELECT api_request_id FROM {{requests}} WHERE stop_reason = 'end_turn')""")
+entry("r24_ledger_notes", lambda S: M.join_ledger(S.requests.where("source <> 'ledger' or source is null"), SRC.ledger(X.ledger_lines(S))[0], HELD(S))[1], f"""WITH {LEDGER}, b AS (SELECT * FROM lb WHERE best = 1), o AS (SELECT api_request_id AS api FROM {{requests}} WHERE source IS DISTINCT FROM 'ledger'), h AS (SELECT api_request_id AS api FROM {{requests}} WHERE stop_reason = 'end_turn')
+ SELECT 'side calls' AS kind, count(*) AS count FROM b WHERE api NOT IN (SELECT api FROM o) AND api NOT IN (SELECT api FROM h) UNION ALL SELECT 'held but unrecorded', count(*) FROM b WHERE api NOT IN (SELECT api FROM o) AND api IN (SELECT api FROM h) UNION ALL SELECT 'priced', count(*) FROM b JOIN o USING (api) WHERE cost IS NOT NULL""")
+TURNS5 = lambda S: M.agent_turns(S.hook_events)
+CUT = 1_705_500_000_000
+entry("m18_recoverable_sessions", lambda S: M.recoverable_sessions(S.sessions, S.calls, S.requests, TURNS5(S), S.hook_events, CUT), f"""WITH q AS (SELECT * FROM {{sessions}} WHERE last_ts < {CUT}), p AS (SELECT session_id, max(ts) FILTER (event = 'UserPromptSubmit') AS p, max(ts) FILTER (event IN ('Stop', 'StopFailure')) AS e FROM {{hook_events}} GROUP BY 1),
+ a AS (SELECT session_id, event, lag(event) OVER w AS b, lead(event) OVER w AS n FROM {{hook_events}} WHERE event LIKE 'Subagent%' WINDOW w AS (PARTITION BY agent_id ORDER BY ts, event_id))
+ SELECT session_id, 'open call' AS reason FROM q WHERE session_id IN (SELECT session_id FROM {{calls}} WHERE failed IS NULL OR bytes_delivered IS NULL) UNION ALL SELECT session_id, 'pending request' FROM q WHERE session_id IN (SELECT session_id FROM {{requests}} WHERE pending = 1)
+ UNION ALL SELECT session_id, 'open agent turn' FROM q WHERE session_id IN (SELECT session_id FROM a WHERE (event = 'SubagentStart' AND n IS DISTINCT FROM 'SubagentStop') OR (event = 'SubagentStop' AND b IS DISTINCT FROM 'SubagentStart')) UNION ALL SELECT session_id, 'missing turn end' FROM q WHERE session_id IN (SELECT session_id FROM p WHERE p IS NOT NULL AND (e IS NULL OR e < p))
+ UNION ALL SELECT session_id, 'missing or lost session end' FROM q WHERE end_reason IS NULL OR end_reason IN ('never', 'lost')""")
+entry("m19_rebuild_calls", lambda S: M.rebuild_calls(E.tool_uses(P_(S)), E.tool_results(P_(S)), E.tool_uses(P_(S)).where("tool_use_id like '%1'")).select("tool_use_id", "failed", "bytes_delivered", "source"), f"WITH {CONV} SELECT 't' || tag AS tool_use_id, CASE WHEN n % 5 = 3 THEN 1 ELSE 0 END AS failed, strlen({RESULT}) AS bytes_delivered, 'transcript' AS source {ASSISTANT} AND 't' || tag NOT LIKE '%1'")
+ENDS = lambda S: S.sessions.select("session_id", F.lit("Stop").alias("event"), F.lit(None).cast("string").alias("error_type"), F.lit(1_704_900_000_000).alias("ts"))
+entry("m20_rebuild_turn_ends", lambda S: M.rebuild_turn_ends(S.hook_events, ENDS(S)).select("event_id", "session_id", "ts"), "WITH p AS (SELECT session_id, arg_max(event_id, (ts, event_id)) AS id, max(ts) AS p FROM {hook_events} WHERE event = 'UserPromptSubmit' GROUP BY 1), e AS (SELECT session_id, max(ts) AS e FROM {hook_events} WHERE event IN ('Stop', 'StopFailure') GROUP BY 1) SELECT 'rebuilt:' || id AS event_id, session_id, greatest(p, 1704900000000) AS ts FROM p LEFT JOIN e USING (session_id) WHERE e IS NULL OR e < p")
+entry("m21_rebuild_agent_stops", lambda S: M.rebuild_agent_stops(TURNS5(S), S.hook_events.where("event = 'SubagentStart' and agent_id like '%-0'").select("agent_id", (F.col("ts") + 9).alias("ts")), S.hook_events.where("event = 'SubagentStart'").select("agent_id", (F.col("ts") + 4).alias("ts"))), """WITH e AS (SELECT agent_id, event, ts, event_id, lag(event) OVER w AS b, lead(event) OVER w AS n FROM {hook_events} WHERE event LIKE 'Subagent%' WINDOW w AS (PARTITION BY agent_id ORDER BY ts, event_id)), t AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS seq FROM e WHERE event = 'SubagentStart' OR b IS DISTINCT FROM 'SubagentStart'),
+ l AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY seq DESC) AS r FROM t) SELECT agent_id, seq, ts + CASE WHEN agent_id LIKE '%-0' THEN 9 ELSE 4 END AS stopped FROM l WHERE r = 1 AND event = 'SubagentStart' AND n IS DISTINCT FROM 'SubagentStop'""")
+entry("m22_end_reasons", lambda S: M.end_reasons(S.sessions, S.hook_events, S.faults), """WITH e AS (SELECT session_id, max(ts) FILTER (event = 'SessionStart') AS st, max(ts) FILTER (event = 'SessionEnd') AS en, arg_max(reason, ts) FILTER (event = 'SessionEnd') AS reason FROM {hook_events} GROUP BY 1), f AS (SELECT session_id, max(ts) AS lost FROM {faults} WHERE error LIKE '%SessionEnd%' GROUP BY 1)
+ SELECT s.session_id, CASE WHEN en >= coalesce(st, 0) THEN reason WHEN lost // 1000 >= coalesce(st, 0) // 1000 THEN 'lost' WHEN st IS NOT NULL THEN 'never' END AS end_reason FROM {sessions} s LEFT JOIN e USING (session_id) LEFT JOIN f USING (session_id)""")
+entry("m23_mark_unfillable", lambda S: M.mark_unfillable(S.requests.where("pending = 1").select("session_id", F.lit("pending request").alias("reason")).distinct(), S.sessions.select(F.concat(F.lit("unfillable:"), "session_id", F.lit(":pending request")).alias("fault_id"), (F.col("last_ts") + F.when(F.col("last_ts") % 2 == 0, 1).otherwise(-1)).alias("ts")), S.sessions, 9).select("fault_id", "ts"), "SELECT 'unfillable:' || session_id || ':pending request' AS fault_id, 9 AS ts FROM {sessions} WHERE last_ts % 2 = 1 AND session_id IN (SELECT session_id FROM {requests} WHERE pending = 1)")
+entry("m24_insert_lost_faults", lambda S: M.insert_lost_faults(S.faults.select(F.lit(1).alias("ts"), "stage", F.lit("s").alias("session_id"), "error").where("stage <> 'binary'"), S.faults.select(F.lit(1).alias("ts"), "stage", F.lit("s").alias("session_id"), "error").unionByName(S.faults.where("stage = 'store'").select(F.lit(1).alias("ts"), "stage", F.lit("s").alias("session_id"), "error"))), "SELECT 1 AS ts, stage, 's' AS session_id, error FROM {faults} WHERE stage IN ('binary', 'store')")
+entry("m25_retention", lambda S: M.retention(S.calls, SINCE)[1].groupBy("tool").agg(F.count("*").alias("n")).unionByName(M.retention_of_parts(S.command_parts, M.retention(S.calls, SINCE)[1], "tool_use_id")[1].groupBy(F.lit("parts").alias("tool")).agg(F.count("*").alias("n"))), f"SELECT tool, count(*) AS n FROM {{calls}} WHERE ts < {SINCE} GROUP BY 1 UNION ALL SELECT 'parts', count(*) FROM {{command_parts}} WHERE tool_use_id IN (SELECT tool_use_id FROM {{calls}} WHERE ts < {SINCE})")
+entry("m26_union_archive", lambda S: M.union_archive(S.requests.where("pending = 0").select("request_id", "model"), S.requests.select("request_id", F.lit("old").alias("model")), ["request_id"]), "SELECT request_id, CASE WHEN pending = 0 THEN model ELSE 'old' END AS model FROM {requests}")
+entry("m27_settle_calls", lambda S: M.settle_calls(S.calls.select("tool_use_id", "failed", "bytes_delivered", F.lit(None).cast("string").alias("outcome"), "bytes_real"), S.calls.where("tool = 'Bash'").select("tool_use_id", F.lit(11).cast("bigint").alias("bytes"), F.lit(0).alias("failed"), F.lit(None).cast("string").alias("outcome"), F.lit(12).cast("bigint").alias("real"))).select("tool_use_id", "failed", "bytes_delivered", "bytes_real"),
+      "SELECT tool_use_id, CASE WHEN tool = 'Bash' AND (failed IS NULL OR bytes_delivered IS NULL) THEN coalesce(failed, 0) ELSE failed END AS failed, CASE WHEN tool = 'Bash' AND (failed IS NULL OR bytes_delivered IS NULL) THEN coalesce(bytes_delivered, 11) ELSE bytes_delivered END AS bytes_delivered, CASE WHEN tool = 'Bash' AND (failed IS NULL OR bytes_delivered IS NULL) THEN coalesce(bytes_real, 12) ELSE bytes_real END AS bytes_real FROM {calls}")
+entry("m28_insert_earliest", lambda S: M.insert_earliest(S.hook_events.select(F.concat("session_id", F.lit("/"), "event").alias("event_id"), "ts", F.col("event_id").alias("v"))), "SELECT session_id || '/' || event AS event_id, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS v FROM {hook_events} GROUP BY 1")
+
+# Classification
+COMMANDS = lambda S: S.calls.select(F.col("tool_use_id").alias("id"), "tool", F.when(F.col("tool") == "Bash", F.element_at(F.array(*map(F.lit, ("git status && sed -i s/a/b/ x.py", "cat f.py | head -3", "docker exec c bash -c 'pytest -q'", "echo hi > out.txt", "sleep 5; ls", "odd 'quote"))), F.coalesce(F.col("duration_ms") % 6, F.lit(0)).cast("int") + 1)).alias("command"))
+CLASS_SQL = "CASE coalesce(duration_ms % 6, 0) WHEN 0 THEN 'edit' WHEN 1 THEN 'read' WHEN 2 THEN 'test' WHEN 3 THEN 'edit' WHEN 4 THEN 'search' ELSE 'other' END"
+entry("k01_classify", lambda S: K.classify(COMMANDS(S)).groupBy("class", "status").agg(F.count("*").alias("n")), f"SELECT CASE tool WHEN 'Bash' THEN {CLASS_SQL} WHEN 'Grep' THEN 'search' WHEN 'Read' THEN 'read' WHEN 'Agent' THEN 'spawn' ELSE 'edit' END AS class, CASE WHEN tool = 'Bash' AND coalesce(duration_ms % 6, 0) = 5 THEN 'error' ELSE 'ok' END AS status, count(*) AS n FROM {{calls}} GROUP BY 1, 2")
+entry("k02_part_classes", lambda S: K.part_classes(S.command_parts.withColumnRenamed("tool_use_id", "id"), S.spark.createDataFrame([("test", "git", "status", None)], K.RULES_DDL)).select("id", "seq", F.array_join("classes", ",").alias("classes")), """SELECT tool_use_id AS id, seq, CASE program WHEN 'cd' THEN 'housekeeping' WHEN 'git' THEN 'git,test' WHEN '/usr/bin/cat' THEN '' WHEN 'sed' THEN 'capture' WHEN 'pytest' THEN 'test' WHEN 'echo' THEN '' ELSE 'search' END AS classes FROM {command_parts}""")
+entry("k03_expand_wrapped", lambda S: K.expand_wrapped(C.command_segments(COMMANDS(S).where("tool = 'Bash'").withColumnRenamed("id", "tool_use_id")).withColumnRenamed("tool_use_id", "id")).groupBy("program").agg(F.count("*").alias("n")), "SELECT p AS program, count(*) AS n FROM {calls}, UNNEST(CASE coalesce(duration_ms % 6, 0) WHEN 0 THEN ['git', 'sed'] WHEN 1 THEN ['cat', 'head'] WHEN 2 THEN ['docker', 'pytest'] WHEN 3 THEN ['echo'] WHEN 4 THEN ['sleep', 'ls'] ELSE [NULL] END) AS u(p) WHERE tool = 'Bash' GROUP BY 1")
+entry("k04_parse_status", lambda S: K.parse_status(S.command_parts.withColumnRenamed("tool_use_id", "id")), "SELECT tool_use_id AS id, coalesce(arg_min(parse_status, seq) FILTER (parse_status <> 'ok'), 'ok') AS status FROM {command_parts} GROUP BY 1")
+
+# Reconciliation
+entry("c01_sessions", lambda S: RC.compare_sessions(S.sessions.where("session_id not like '%9'"), S.requests.where("session_id not like '%8'").groupBy("session_id").agg((F.min("ts") - 5).alias("ts"), F.max("model").alias("model"), F.count_if(F.col("pending") == 1).alias("prompts"))).select("class", "session_id"), """WITH s AS (SELECT * FROM {sessions} WHERE session_id NOT LIKE '%9'), t AS (SELECT session_id, min(ts) - 5 AS ts, max(model) AS model, count(*) FILTER (pending = 1) AS prompts FROM {requests} WHERE session_id NOT LIKE '%8' GROUP BY 1)
+ SELECT 'session without transcript' AS class, session_id FROM s WHERE session_id NOT IN (SELECT session_id FROM t) UNION ALL SELECT 'session not stored', session_id FROM t WHERE session_id NOT IN (SELECT session_id FROM s) UNION ALL SELECT 'session before first row', session_id FROM s JOIN t USING (session_id) WHERE t.ts < first_ts
+ UNION ALL SELECT 'session without model', session_id FROM s JOIN t USING (session_id) WHERE s.model IS NULL AND t.model IS NOT NULL UNION ALL SELECT 'session without prompt', session_id FROM s JOIN t USING (session_id) WHERE prompts = 0""")
+READ_CALLS = lambda S: S.calls.where("tool <> 'Grep'").select("tool_use_id", "session_id", "agent_id", F.when(F.col("file_bytes") % 9 == 0, "x").otherwise(F.col("tool")).alias("tool"), "request_id", F.coalesce("bytes_delivered", F.lit(1)).alias("bytes_delivered"), "failed", F.col("ts"))
+entry("c02_calls", lambda S: RC.compare_calls(S.calls, READ_CALLS(S)).groupBy("class").agg(F.count("*").alias("n")), "SELECT 'call extra' AS class, count(*) AS n FROM {calls} WHERE tool = 'Grep' UNION ALL SELECT 'call tool', count(*) FROM {calls} WHERE tool <> 'Grep' AND file_bytes % 9 = 0 UNION ALL SELECT 'call without size', count(*) FROM {calls} WHERE tool <> 'Grep' AND bytes_delivered IS NULL")
+entry("c03_requests", lambda S: RC.compare_requests(M.recount(S.requests, S.calls), M.recount(S.requests.where("source <> 'ledger' or source is null"), S.calls).withColumn("output_tokens", F.when(F.col("output_tokens") % 7 == 0, 1).otherwise(F.col("output_tokens")))).groupBy("class").agg(F.count("*").alias("n")), "SELECT 'request pending' AS class, count(*) AS n FROM {requests} WHERE source IS DISTINCT FROM 'ledger' AND pending = 1 UNION ALL SELECT 'request tokens', count(*) FROM {requests} WHERE source IS DISTINCT FROM 'ledger' AND output_tokens % 7 = 0 AND output_tokens <> 1")
+entry("c03_token_sums", lambda S: RC.token_sums(S.requests, S.requests), f"SELECT isum(CASE WHEN {SETTLED} THEN context_tokens END) AS context, isum(CASE WHEN {SETTLED} THEN output_tokens END) AS output, isum(context_tokens) AS read_context, isum(output_tokens) AS read_output FROM {{requests}}")
+entry("c04_agents", lambda S: RC.compare_agents(S.agents, S.agents.where("tool_uses % 4 <> 0").withColumns({"stopped": F.coalesce("stopped", F.lit(5)), "tool_uses": F.when(F.col("tool_uses") % 3 == 0, 0).otherwise(F.col("tool_uses"))})).groupBy("class").agg(F.count("*").alias("n")), "SELECT 'agent extra' AS class, count(*) AS n FROM {agents} WHERE tool_uses % 4 = 0 UNION ALL SELECT 'agent tool uses', count(*) FROM {agents} WHERE tool_uses % 4 <> 0 AND tool_uses % 3 = 0 UNION ALL SELECT 'agent open turn', count(*) FROM {agents} WHERE tool_uses % 4 <> 0 AND stopped IS NULL")
+entry("c05_parts", lambda S: RC.compare_parts(S.calls, S.command_parts, 3).groupBy("class").agg(F.count("*").alias("n")), "WITH p AS (SELECT c.tool_use_id, max(p.parser) AS v, arg_min(parse_status, seq) FILTER (parse_status <> 'ok') AS st FROM {calls} c LEFT JOIN {command_parts} p ON p.tool_use_id = c.tool_use_id WHERE tool = 'Bash' GROUP BY 1) SELECT 'parts missing' AS class, count(*) AS n FROM p WHERE v IS NULL UNION ALL SELECT 'parts ' || st, count(*) FROM p WHERE st IS NOT NULL GROUP BY st")
+entry("c06_events", lambda S: RC.compare_events(S.hook_events, S.hook_events.where("ts % 5 <> 0").select("event_id", "session_id", "event", (F.col("ts") + F.when(F.col("ts") % 3 == 0, 900_000).otherwise(1500)).alias("ts"))).groupBy("class").agg(F.count("*").alias("n")), """WITH b AS (SELECT event_id AS rid, session_id, event, ts + CASE WHEN ts % 3 = 0 THEN 900000 ELSE 1500 END AS rts FROM {hook_events} WHERE ts % 5 <> 0), n AS (SELECT rid, event_id, a.event FROM {hook_events} a JOIN b ON a.session_id = b.session_id AND a.event = b.event AND abs(a.ts - b.rts) <= 2000)
+ SELECT event || ' missing' AS class, count(*) AS n FROM b WHERE rid NOT IN (SELECT rid FROM n) GROUP BY event UNION ALL SELECT event || ' extra', count(*) FROM {hook_events} WHERE event_id NOT IN (SELECT event_id FROM n) GROUP BY event UNION ALL SELECT event || ' repeated', count(*) FROM (SELECT rid, event FROM n GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY event""")
+entry("c07_pair_faults", lambda S: RC.pair_faults(S.faults, S.hook_events.where("event = 'StopFailure'").select(F.col("event_id").alias("row_id"), "session_id", F.col("ts") + 100)  .toDF("row_id", "session_id", "ts")).agg(F.count("*").alias("pairs"), F.count_distinct("fault_id").alias("faults"), F.count_distinct("row_id").alias("rows")), "SELECT count(*) AS pairs, count(*) AS faults, count(*) AS rows FROM {faults}")
+ALLOWED = [("Stop extra", "e1", None, "clock"), ("Stop extra", None, 1_704_500_000_000, "old"), ("never", None, None, "unused")]
+entry("c08_allowlist", lambda S: RC.apply_allowlist(S.hook_events.where("event = 'Stop'").select(F.lit("Stop extra").alias("class"), "session_id", "ts", F.col("event_id").alias("id")), S.spark.createDataFrame(ALLOWED, "class string, id_prefix string, before_ts bigint, reason string"))[0].groupBy("verdict", "reason").agg(F.count("*").alias("n")), "SELECT CASE WHEN event_id LIKE 'e1%' OR ts < 1704500000000 THEN 'expected' ELSE 'unexplained' END AS verdict, CASE WHEN event_id LIKE 'e1%' THEN 'clock' WHEN ts < 1704500000000 THEN 'old' END AS reason, count(*) AS n FROM {hook_events} WHERE event = 'Stop' GROUP BY 1, 2")
