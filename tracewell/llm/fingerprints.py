@@ -88,7 +88,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: Sequence[str] |
 def containment(a: Column, b: Column) -> Column:
     """contained() of two fingerprint columns, by DataFrame functions."""
     width = DIGEST_DIGITS + LENGTH_DIGITS
-    cut = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.length(x) / width - 1), lambda i: F.substring(x, (i * width + 1).cast("int"), F.lit(width))))
+    cut = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), (F.length(x) / width).cast("int") - 1), lambda i: F.substring(x, (i * width + 1).cast("int"), F.lit(width))))
     weight = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, c: n + F.conv(F.right(c, F.lit(LENGTH_DIGITS)), 16, 10).cast("long"))
     return F.when(a == "", (b == "").cast("double")).otherwise(weight(F.array_intersect(cut(a), cut(b))) / weight(cut(a)))
 

@@ -30,8 +30,8 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Longer texts are cut into chunks of this many characters, at the start of a unit where there is one.
 CHUNK = 1 << 16
-CACHED_UNITS = 400_000
-SLICE_CHARS = 1 << 19
+CACHED_UNITS = 150_000
+SLICE_CHARS = 1 << 18
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -189,9 +189,12 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", chunk: int = CHUNK
         encoder = Encoder(model)
 
         def work(texts: list[str]) -> dict:
-            found = [f for part in slices([len(t) for t in texts], SLICE_CHARS) for f in encoder.ids([UNIT.findall(marked(t)) for t in texts[part]])]
-            offsets = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
-            return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4").astype(np.int32)))}
+            sizes, parts = [0], []
+            for part in slices([len(t) for t in texts], SLICE_CHARS):
+                found = encoder.ids([UNIT.findall(marked(t)) for t in texts[part]])
+                sizes += [len(f) // 4 for f in found]
+                parts.append(b"".join(found))
+            return {"ids": pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.int32)))}
 
         return work
 
