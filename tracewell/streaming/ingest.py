@@ -81,6 +81,7 @@ def ledger_stream(spark: SparkSession, source: str, store: Store, checkpoint: st
         upsert(store, "ledger", number, rows, merge.best_ledger)
         upsert(store, "ledger_faults", number, faults, lambda x: x.dropDuplicates(["fault_id"]))
 
-    lines = spark.readStream.text(source).select("value", F.col("_metadata.file_path").alias("path"), (F.unix_millis("_metadata.file_modification_time") * 1_000_000).alias("base"))
-    stream = lines.withColumn("at", F.col("base") + F.pmod(F.monotonically_increasing_id(), F.lit(1_000_000)))
+    files = spark.readStream.text(source, wholetext=True).select(F.col("_metadata.file_path").alias("path"), (F.unix_millis("_metadata.file_modification_time") * 1_000_000).alias("base"), "value")
+    lines = files.select("path", "base", F.posexplode(F.split("value", "\n")).alias("pos", "value")).where(F.trim("value") != "")
+    stream = lines.select("path", (F.col("base") + F.col("pos")).alias("at"), "value")
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
