@@ -154,6 +154,40 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+OP9_SQL = r"""
+WITH RECURSIVE rules(rule_host, rule_path, action) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+tags AS (
+  SELECT url, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS origin,
+         regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS link,
+         regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS refresh
+  FROM pages WHERE contains(url, '://') AND (html ILIKE '%canonical%' OR html ILIKE '%http-equiv%')
+), found AS (  -- absolute, scheme-relative and rooted targets
+  SELECT url, origin, trim(replace(regexp_extract(link, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&')) AS target FROM tags
+  UNION ALL SELECT url, origin, trim(replace(regexp_extract(refresh, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&')) FROM tags
+), edges AS (
+  SELECT url AS a, CASE WHEN target LIKE '//%' THEN 'http:' || target WHEN target LIKE '/%' THEN origin || target ELSE target END AS b
+  FROM found WHERE target LIKE '/%' OR regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://')
+), urls AS (SELECT url FROM pages UNION SELECT a FROM edges UNION SELECT b FROM edges),
+site AS (
+  SELECT url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1), '') AS query
+  FROM urls
+), ruled AS (
+  SELECT s.url, arg_max(rule_host || rule_path, (length(rule_host), length(rule_path))) AS rule, arg_max(action, (length(rule_host), length(rule_path))) AS action
+  FROM site s JOIN rules ON (s.host = rule_host OR ends_with(s.host, '.' || rule_host)) AND starts_with(s.path, rule_path) GROUP BY s.url
+), pair AS (
+  SELECT x.host || x.path || x.query AS u, y.host || y.path || y.query AS v FROM edges e JOIN site x ON x.url = e.a JOIN site y ON y.url = e.b
+), both_ways AS (SELECT u, v FROM pair UNION SELECT v, u FROM pair),
+reach(u, v) AS (SELECT u, u FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON b.u = r.v),
+of_aliases AS (
+  SELECT r.u AS node, CASE WHEN bool_or(d.action = 'allow') THEN 'allow' ELSE 'block' END AS action
+  FROM reach r JOIN site s ON s.host || s.path || s.query = r.v JOIN ruled d ON d.url = s.url GROUP BY r.u
+)
+SELECT p.page_id, s.host, s.path, d.rule, coalesce(d.action, o.action, 'allow') AS verdict
+FROM pages p JOIN site s ON s.url IS NOT DISTINCT FROM p.url LEFT JOIN ruled d ON d.url = p.url
+LEFT JOIN of_aliases o ON o.node = s.host || s.path || s.query
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -167,4 +201,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": op9_url_filters,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_chat": OP6_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_chat": OP6_SQL, "op9_url_filters": OP9_SQL}
