@@ -22,7 +22,8 @@ STRICT_BITS, LOOSE_BITS = 7, 5
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 DIGEST_DIGITS, LENGTH_DIGITS = 10, 3
 SLICE_BYTES = 1 << 21
-ROWS_PER_BUCKET = 512
+#: Rows of a bucket, and buckets at most: beyond that, buckets grow. They are sorted and read as streams, so their size is of no account to memory.
+ROWS_PER_BUCKET, MOST_BUCKETS = 512, 100_000
 
 
 def gear_hash(raw: np.ndarray) -> np.ndarray:
@@ -96,13 +97,13 @@ def containment(a: Column, b: Column) -> Column:
 def in_order(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
     """docs (key, text) dealt to buckets of neighbouring keys, sorted, each followed by the first row of the next one.
 
-    Adds `own`, false for that copy of a row. Bucket boundaries are keys of a sample, which bears on the balance of buckets
-    only. The last bucket is followed by the very first row. Rows are in the order of key, nulls first, then text.
+    Adds `own`, false for that copy of a row. Bucket boundaries are keys of a sample (some 20 for each of MOST_BUCKETS buckets at most), which bears on the
+    balance of buckets only. The last bucket is followed by the very first row. Rows are in the order of key, nulls first, then text.
     """
     order = F.coalesce(F.col(key), F.lit(-(1 << 63)))
     n, first = docs.agg(F.count("*"), F.min(order)).first()
-    buckets = max(1, n // ROWS_PER_BUCKET)
-    sample = docs.select(order.alias("k")).sample(min(1.0, 40 * buckets / max(1, n)), seed=1).toPandas()["k"].to_numpy(np.int64)
+    buckets = max(1, min(n // ROWS_PER_BUCKET, MOST_BUCKETS))
+    sample = docs.select(order.alias("k")).sample(min(1.0, 20 * buckets / max(1, n)), seed=1).toPandas()["k"].to_numpy(np.int64)
     sample = np.sort(sample)
     bounds = np.unique(sample[np.linspace(0, len(sample), buckets, endpoint=False).astype(int)[1:]]) if len(sample) else sample
     bounds = bounds[bounds > first] if n else bounds
