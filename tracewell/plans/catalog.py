@@ -146,7 +146,15 @@ entry("r05_context", lambda S: R.context(S.requests, S.calls, S.command_parts, N
  d AS (SELECT q.*, context_tokens - before AS delta, row_number() OVER (PARTITION BY session_id, agent_id ORDER BY context_tokens - before DESC, pos) AS n FROM q WHERE context_tokens > before),
  t AS (SELECT session_id, agent_id, n, delta || ' ' || coalesce(label, '-') AS what FROM d LEFT JOIN lb ON lb.request_id = d.prev WHERE n <= 3)
  SELECT g.*, max(what) FILTER (n = 1) AS growth_1, max(what) FILTER (n = 2) AS growth_2, max(what) FILTER (n = 3) AS growth_3 FROM g LEFT JOIN t ON t.session_id = g.session_id AND t.agent_id IS NOT DISTINCT FROM g.agent_id GROUP BY ALL""")
-entry("r06_sequences", lambda S: R.sequences(S.calls, S.command_parts, None))
+KEY_OF = "array_to_string(list_transform({0}, lambda x, k: x.s || CASE WHEN x.f IS NULL THEN '' WHEN list_contains(list_transform({0}[1:k - 1], lambda y: y.f), x.f) THEN ' same' ELSE ' new' END), ' > ')"
+entry("r06_sequences", lambda S: R.sequences(S.calls, S.command_parts, None), f"""WITH fp AS (SELECT tool_use_id, arg_min(regexp_extract(program, '[^/]*$'), seq) AS program FROM {{command_parts}} GROUP BY 1),
+ c AS (SELECT session_id, agent_id, ts, k.tool_use_id, CASE WHEN tool = 'Bash' THEN 'Bash ' || coalesce(program, '?') ELSE tool END AS step, file_path AS f, bytes_delivered AS b, row_number() OVER (PARTITION BY session_id, agent_id ORDER BY ts, k.tool_use_id) AS i FROM {{calls}} k LEFT JOIN fp ON fp.tool_use_id = k.tool_use_id WHERE ts IS NOT NULL),
+ r AS (SELECT a.session_id, a.agent_id, a.ts, a.tool_use_id, n.n, list({{'s': x.step, 'f': x.f, 'b': x.b}} ORDER BY x.i) AS run FROM c a CROSS JOIN (VALUES (2), (3), (4), (5)) n(n) JOIN c x ON x.session_id = a.session_id AND x.agent_id IS NOT DISTINCT FROM a.agent_id AND x.i BETWEEN a.i AND a.i + n.n - 1 GROUP BY ALL HAVING count(*) = n.n),
+ q AS (SELECT *, {KEY_OF.format("run")} AS run_key, CASE WHEN NOT list_contains(list_transform(run, lambda z: z.b IS NULL), TRUE) THEN list_sum(list_transform(run, lambda z: z.b)) END AS size FROM r),
+ g AS (SELECT run_key, n, count(*) AS occurrences, count(DISTINCT session_id || '/' || coalesce(agent_id, '')) AS agents, coalesce(isum(size), 0) AS bytes, count(size) AS sized, arg_min(run, (session_id, coalesce(agent_id, ''), ts, tool_use_id)) AS first FROM q GROUP BY 1, 2 HAVING count(DISTINCT session_id || '/' || coalesce(agent_id, '')) >= 2),
+ u AS (SELECT occurrences, first[w.p:w.p + w.m - 1] AS sub FROM g JOIN (SELECT m, p FROM (VALUES (2), (3), (4)) m(m) CROSS JOIN (VALUES (1), (2), (3), (4)) a(p)) w ON w.m < g.n AND w.p <= g.n - w.m + 1),
+ i AS (SELECT DISTINCT occurrences, {KEY_OF.format("sub")} AS run_key FROM u)
+ SELECT run_key, n, occurrences, agents, bytes, CASE WHEN sized > 0 THEN bytes // sized END AS mean_bytes FROM g WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.run_key = g.run_key AND i.occurrences = g.occurrences)""")
 entry("r07_faults", lambda S: R.faults(S.faults, S.command_parts, R.refusals(S.hook_events), 25), """WITH st(s) AS (VALUES ('payload'), ('store'), ('transcript'), ('parse'), ('binary'), ('terminated')),
  f AS (SELECT * FROM {faults} ORDER BY ts DESC, fault_id LIMIT 25), r AS (SELECT ts, session_id, coalesce(error_type, 'unknown') AS what FROM {hook_events} WHERE event = 'StopFailure' ORDER BY ts DESC, session_id LIMIT 25)
  SELECT 'stage' AS kind, s AS label, (SELECT count(*) FROM {faults} x WHERE x.stage = s) AS count, NULL::BIGINT AS ts, NULL::VARCHAR AS session_id, NULL::VARCHAR AS call, NULL::VARCHAR AS error FROM st
