@@ -84,6 +84,44 @@ def test_near_dedup_keeps_one_of_each_group_and_clean_texts(spark, monkeypatch):
         assert {i for i in range(40)} - {4} <= ids and len([i for i in ids if i is not None and 40 <= i < 100]) == 1 and 100 not in ids and None in ids
 
 
+def jaccard_components(texts, shingle=5, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        x, y = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+        if not y or 10 * x >= int(similarity * 10) * y:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def found_components(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(simhash.similar(df).collect())
+    return [got[i] for i in range(len(texts))]
+
+
+def test_similar_keeps_documents_below_the_similarity(spark):
+    rng = random.Random(8)
+    texts = []
+    for k in range(60):  # pairs of Jaccard similarity 0.70 to 0.79
+        a = words(rng, 304, 100_000).split()
+        texts += [" ".join(a), " ".join([*a[: 300 - 33 - k % 15], *words(rng, 37 + k % 15, 100_000).split()])]
+    passage = words(rng, 260, 100_000)
+    texts += [f"{passage} {words(rng, 80, 100_000)}" for _ in range(60)]  # pairwise about 0.6
+    assert jaccard_components(texts) == list(range(len(texts)))
+    assert found_components(spark, texts) == list(range(len(texts)))
+
+
 @pytest.mark.parametrize("group", [64, 3])
 def test_suffix_dedup_equals_all_windows(spark, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm.common import map_texts, saved
 from tracewell.llm.components import connected_components
@@ -131,104 +133,116 @@ def components(docs: DataFrame, key: str = "doc_id", shingle: int = 3) -> DataFr
     return prints.join(classes, "fp")
 
 
-#: Long fingerprints, for links between less similar texts: this many words of 64 bits, from one hash of each shingle.
-LONG = 4
-WORDS = [f"f{k}" for k in range(LONG)]
-#: Pairs at the least similarity that may meet in no cell.
-MISSED = 0.04
-#: Members of a cell that are compared in one task; cells of up to SMALL go pair by pair, for many cells at once.
-CHUNK, SMALL = 1024, 12
+#: Cells of over CHUNK members meet one of their members first, and go pair by pair where components still differ.
+CHUNK = 32
+#: Rounds of one member each, at most, before what is left in such cells goes pair by pair.
+STARS = 4
+#: Documents that hold a shingle are counted in so many slots, sent in parts.
+SLOTS, PART = 1 << 22, 1 << 16
 
 
-def with_long_fingerprint(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
-    """docs with f0, f1, ..: the majority bits of LONG mixes of the shingle hashes."""
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a whole text, in order."""
+    return np.unique(shingle_hashes(words_of(text), shingle))
 
-    def maker() -> Callable[[list[str]], dict]:
-        def mixes(h: np.ndarray) -> list[np.uint64]:
-            found = []
-            for k in range(LONG):
-                x = (h ^ np.uint64(xxhash.xxh64_intdigest(f"mix {k}"))) * np.uint64(0xBF58476D1CE4E5B9)
-                found.append(majority((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)))
-            return found
 
-        def work(texts: list[str]) -> dict:
-            found = np.array([mixes(shingle_hashes(words_of(t), shingle)) for t in texts], np.uint64).reshape(-1, LONG).view(np.int64)
-            return {name: found[:, k] for k, name in enumerate(WORDS)}
+def set_id(found: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+
+
+def slot_of(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
-        return work
 
-    return map_texts(docs, keep, ", ".join(f"{w} long" for w in WORDS), maker)
+def with_set_ids(docs: DataFrame, key: str, shingle: int) -> DataFrame:
+    """(key, read, id, part, counts): for each row of docs a hash of its text and of its shingle set; then, with a part, counts by slot of the sets of a task."""
+    rows = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).withColumn("read", F.xxhash64("text"))
+    fields = T.StructType([docs.schema[key], *T.StructType.fromDDL("read long, id long, part int, counts binary").fields])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(SLOTS, np.uint32), set()
+        for batch in batches:
+            ids = []
+            for text in batch.column("text").to_pylist():
+                found = shingle_set(text, shingle)
+                ids.append(set_id(found))
+                if ids[-1] not in seen:
+                    seen.add(ids[-1])
+                    np.add.at(total, slot_of(found), 1)
+            n, none = len(ids), batch.slice(0, 0).column(key).type
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("read"), pa.array(ids, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], fields.names)
+        if seen:
+            blobs = [zlib.compress(total[at : at + PART].tobytes(), 1) for at in range(0, SLOTS, PART)]
+            n = len(blobs)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, none), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(blobs, pa.binary())], fields.names)
+
+    return rows.mapInArrow(run, fields)
+
+
+def rarity(counted: DataFrame) -> np.ndarray:
+    """By slot, a level that grows with the number of sets that hold its shingles. It orders shingles; which order it is has no bearing on results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {}
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                new = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.uint64)
+                totals[part] = totals[part] + new if part in totals else new
+        levels = [np.rint(4 * np.log2(t + 1.0)).astype(np.uint8).tobytes() for t in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(levels, pa.binary())], ["part", "level"])
 
-def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+    level = np.zeros(SLOTS, np.uint8)
+    for r in counted.select("part", "counts").repartition("part").mapInArrow(run, "part int, level binary").toLocalIterator():
+        level[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.level, np.uint8)
+    return level
 
 
-def cell_links(members: DataFrame, most: int) -> DataFrame:
-    """(a, b, cell, f0, ..): links of members (cell, chunk, chunked, id, f0, ..) at `most` bits or fewer, as ids.
+def prefixes(docs: DataFrame, shingle: int, similarity: float, level: np.ndarray) -> DataFrame:
+    """(cell, id, n, at): the rarest shingles of each set, so many that two sets of the similarity share one of them; n: size of the set, at: its place.
 
-    In each chunk of a cell, the links join what all near pairs of the chunk would join. A pair is discarded if its distances to some
-    pivot differ by more than `most`; survivors are verified by their own distance. Of a chunked cell, the first member of
-    each component comes too, as a row without link.
+    Only cells with several sets are given.
     """
-    pivots = np.random.default_rng(5).integers(0, 1 << 63, (8, LONG), dtype=np.uint64) << np.uint64(1)
-
-    def near(fp: np.ndarray, far: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
-        """Of the members j, those near to i, which is one member or one for each."""
-        kept = np.flatnonzero(np.abs(far[i] - far[j]).max(axis=-1) <= most)
-        return kept[apart(fp[i] if np.isscalar(i) else fp[i[kept]], fp[j[kept]]) <= most]
-
-    def links(group: np.ndarray, fp: np.ndarray, chunked: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        far = np.stack([apart(fp, p) for p in pivots], axis=1)
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        sizes = np.diff(np.append(starts, len(group)))
-        small = np.repeat((sizes <= SMALL) & ~chunked[starts], sizes)
-        at, a, b, roots = np.flatnonzero(small), [], [], []
-        for step in range(1, SMALL):
-            at = at[at + step < len(group)]
-            at = at[group[at] == group[at + step]]  # members are sorted: those without a step-th next one drop out
-            kept = at[near(fp, far, at, at + step)]
-            a.append(kept)
-            b.append(kept + step)
-        for start, size in zip(starts[~small[starts]].tolist(), sizes[~small[starts]].tolist(), strict=True):
-            left = np.arange(start, start + size)  # not reached yet
-            while len(left):
-                todo, left = [int(left[0])], left[1:]
-                if chunked[start]:
-                    roots.append(todo[0])
-                while todo and len(left):
-                    i = todo.pop()
-                    met = near(fp, far, i, left)
-                    found = left[met]
-                    left = np.delete(left, met)
-                    todo += found.tolist()
-                    a.append(np.full(len(found), i))
-                    b.append(found)
-        return np.concatenate([np.zeros(0, int), *a]), np.concatenate([np.zeros(0, int), *b]), roots
-
-    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "cell", *WORDS)])
+    shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            cells, ids, sizes, places = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                found = shingle_set(text or "", shingle)
+                id_, n = set_id(found), len(found)
+                if not n or id_ in seen:
+                    continue
+                seen.add(id_)
+                most = n - int(np.ceil(similarity * n - 1e-9)) + 1
+                cells.append(found[np.lexsort((found, shared.value[slot_of(found)]))[:most]].view(np.int64))
+                ids.append(np.full(most, id_, np.int64))
+                sizes.append(np.full(most, n, np.int32))
+                places.append(np.arange(most, dtype=np.int32))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cells, ids, sizes, places)], ["cell", "id", "n", "at"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in order of cell and id, each once, those whose cell has another id."""
         held = None
-        names = ["group", "id", "cell", "chunked", *WORDS]
         for batch in batches_and_end(batches):
             if batch is not None:
-                new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+                new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "id", "n", "at")]
                 held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if held is None or not len(held[0]):
                 continue
-            end = int(np.searchsorted(held[0], held[0][-1])) if batch is not None else len(held[0])  # the last group may go on
-            if not end:
-                continue
-            group, ids, cell, chunked, *words = (x[:end] for x in held)
-            a, b, roots = links(group, np.stack(words, axis=1).view(np.uint64), chunked)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), *[pa.nulls(len(a), pa.int64())] * (1 + LONG)], schema=schema)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(roots), pa.int64()), pa.array(ids[roots]), pa.array(cell[roots]), *(pa.array(w[roots]) for w in words)], schema=schema)
+            cell, id_ = held[0], held[1]
+            first = np.concatenate([[True], (cell[1:] != cell[:-1]) | (id_[1:] != id_[:-1])])
+            held = [x[first] for x in held]
+            cell = held[0]
+            end = int(np.searchsorted(cell, cell[-1])) if batch is not None else len(cell)  # the last cell may go on
+            same = cell[1:end] == cell[: max(end - 1, 0)]
+            kept = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]])) if end else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:end][kept]) for x in held], ["cell", "id", "n", "at"])
             held = [x[end:] for x in held]
 
-    group = F.xxhash64("cell", "chunk").alias("group")
-    dealt = members.select(group, "id", "cell", "chunked", *WORDS).repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(run, "a long, b long, cell long, " + ", ".join(f"{w} long" for w in WORDS))
+    schema = "cell long, id long, n int, at int"
+    return docs.select("text").mapInArrow(run, schema).repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(several, schema)
 
 
 def batches_and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -236,49 +250,83 @@ def batches_and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield None
 
 
-def agreement(similarity: float) -> float:
-    """The part of their bits in which SimHash fingerprints of two equally large shingle sets of a Jaccard similarity agree, as expected."""
-    return 1 - float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def may_link(similarity: float) -> Column:
+    """Whether sets a.* and b.* that meet in a cell can have the similarity, by their sizes and by what is left of both after the places where they meet.
+
+    At their first common shingle all that they share is left, so each pair of the similarity passes in the cell of that one.
+    """
+    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    return (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-6) & (left >= similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6)
+
+
+def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of set ids, those whose shingle sets have the Jaccard similarity."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = prints.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("read").alias("read")).select("read").distinct()
+    of = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("read", F.xxhash64("text")).join(texts, "read", "left_semi").dropDuplicates(["read"])
+
+    def maker() -> Callable[[list[str]], dict]:
+        def work(texts: list[str]) -> dict:
+            found = [shingle_set(t, shingle) for t in texts]
+            return {"id": [set_id(x) for x in found], "shingles": [x.view(np.int64) for x in found]}
+
+        return work
+
+    sets = saved(map_texts(of, [], "id long, shingles array<long>", maker), "sets").dropDuplicates(["id"])
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-6).select("a", "b")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, component_id) for each row of `docs` (key, text): components of links between texts of a shingle similarity.
 
-    Two texts link if their long fingerprints differ in as many bits as those of texts of that Jaccard similarity do, or fewer,
-    with two standard deviations to spare. Rows with equal fingerprints are copies, and one stands for them. The others meet in cells:
-    members that agree in a sample of as many bits as there are binary digits in their number. There are as many samples as
-    bring together all pairs at the least similarity but MISSED. A cell of over CHUNK members is dealt to chunks by hash; one
-    member of each component of a chunk goes on to the next round, until the cell is one chunk.
+    Two texts link if the Jaccard similarity of their sets of shingles is that or more: no more and no fewer links than all pairs would
+    give, up to collisions of 64-bit hashes. Rows with equal sets are copies, and one stands for them. Sets that can be so similar share
+    one of their rarest shingles (prefix filtering), whose cells bring them together; sizes and places discard, and the whole sets verify.
+    In a cell of over CHUNK members each goes with one member first; members that are in one component by then need not be
+    compared, and all other pairs of the cell are, after at most STARS such rounds.
 
-    Null and empty texts have equal fingerprints. component_id is the smallest key, null keys passed over.
+    Null and empty texts have the empty set. component_id is the smallest key, null keys passed over.
     """
-    prints = saved(with_long_fingerprint(docs.select(key, "text"), shingle, [key]).withColumn("id", F.xxhash64(*WORDS)), "prints")
-    distinct = prints.groupBy("id", *WORDS).agg(F.min(key).alias("least"))
-    distinct = saved(distinct, "distinct")
-    p, bits, width = agreement(similarity), 64 * LONG, max(8, distinct.count().bit_length())
-    bands = int(np.ceil(np.log(MISSED) / np.log1p(-(p**width))))
-    most = int(bits * (1 - p) + 2 * np.sqrt(bits * p * (1 - p)))
-    rng, masks = np.random.default_rng(3), []
-    for n in range(bands):
-        chosen = rng.choice(bits, width, replace=False).tolist()
-        masks.append([n, *(_signed(sum(1 << (b % 64) for b in chosen if b // 64 == k)) for k in range(LONG))])
-    sample = F.explode(F.array(*(F.array(*(F.lit(x).cast("long") for x in m)) for m in masks))).alias("m")
-    cell = F.xxhash64(F.col("m")[0], *(F.col(w).bitwiseAND(F.col("m")[k + 1]) for k, w in enumerate(WORDS)))
-    members, found, before = distinct.select("id", *WORDS, sample).select(cell.alias("cell"), "id", *WORDS), [], None
+    whole = saved(with_set_ids(docs, key, shingle), "set-ids")
+    prints = whole.where("part is null").select(key, "read", "id")
+    members = saved(prefixes(docs, shingle, similarity, rarity(whole.where("part is not null"))), "prefixes")
+    large = saved(members.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > CHUNK).select("cell"), "large-cells")
+
+    def all_pairs(rows: DataFrame, *also: Column) -> DataFrame:
+        ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
+        on = reduce(lambda x, y: x & y, [F.col("a.cell") == F.col("b.cell"), ordered, may_link(similarity), *also])
+        return rows.alias("a").join(rows.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+    def star(rows: DataFrame, salt: int) -> DataFrame:
+        hub = rows.groupBy("cell").agg(F.min_by(F.struct("id", "n", "at"), F.xxhash64("id", F.lit(salt))).alias("hub")).select("cell", "hub.*")
+        met = rows.alias("a").join(hub.alias("b"), "cell").where(F.col("a.id") != F.col("b.id")).where(may_link(similarity))
+        return met.select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b")).distinct()
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return saved(verified(docs, prints, saved(pairs, "pairs"), shingle, similarity), "near")
+
+    crowded = members.join(large, "cell", "left_semi")
+    found = linked(all_pairs(members.join(large, "cell", "left_anti")).unionByName(star(crowded, 0)).distinct())
+    salt, before = 0, None
     while True:
-        large = saved(members.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK), "large-cells")
-        now = large.agg(F.count("*"), F.sum("n")).first()
-        again = bool(now[0]) and (before is None or now[1] <= before / 2)  # else the rest are far apart
-        chunk = F.pmod(F.xxhash64("id", F.lit(len(found))), F.ceil(F.col("n") / CHUNK))
-        dealt = members.join(large, "cell", "left").select("cell", "id", *WORDS, F.coalesce(chunk, F.lit(0)).alias("chunk"), (F.col("n").isNotNull() & F.lit(again)).alias("chunked"))
-        out = saved(cell_links(dealt, most), "cell-links")
-        found.append(out.where("a is not null").select("a", "b"))
-        if not again:
+        reached = saved(connected_components(found).withColumnsRenamed({"node": "id", "component": "root"}), "reached")
+        if before == 0:
+            break
+        known = crowded.join(reached, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        per = known.groupBy("cell", "root").agg(F.count("*").alias("k")).groupBy("cell").agg(F.count("*").alias("roots"), F.sum("k").alias("k"), F.sum(F.col("k").cast("double") ** 2).alias("same")).where("roots > 1")
+        per = saved(per, "open-cells")
+        rows, open_ = per.agg(F.sum("k"), F.sum((F.col("k").cast("double") ** 2 - F.col("same")) / 2)).first()
+        if not rows:
             break
-        members, before = out.where("a is null").select("cell", F.col("b").alias("id"), *WORDS), now[1]
-    links_ = reduce(DataFrame.unionByName, found)
-    reached = connected_components(links_).withColumnsRenamed({"node": "id", "component": "root"})
-    grouped = distinct.select("id", "least").join(reached, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        crowded = saved(known.join(per.select("cell"), "cell", "left_semi").select("cell", "id", "n", "at", "root"), "open-members")
+        salt += 1
+        last = salt >= STARS or open_ <= CHUNK * rows or (before is not None and open_ > before / 2)
+        met = linked(all_pairs(crowded, F.col("a.root") != F.col("b.root")) if last else star(crowded, salt))
+        found, before, crowded = saved(found.unionByName(met), "near"), 0 if last else open_, crowded.drop("root")
+    distinct = prints.groupBy("id").agg(F.min(key).alias("least"))
+    grouped = distinct.join(reached, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.select(key, "id").join(grouped.select("id", "root").join(smallest, "root").select("id", "component_id"), "id").select(key, "component_id")
 
