@@ -122,6 +122,22 @@ def test_similar_keeps_documents_below_the_similarity(spark):
     assert found_components(spark, texts) == list(range(len(texts)))
 
 
+@pytest.mark.parametrize("chunk", [32, 4])
+def test_similar_compares_all_pairs_of_hot_cells(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = random.Random(9)
+    passages = [words(rng, 30, 100_000) for _ in range(24)]
+    texts = [" ".join(passages[i] for i in sorted(rng.sample(range(24), 16))) for _ in range(150)]  # no rare shingles at all
+    base = words(rng, 300, 100_000).split()
+    for _ in range(80):  # a chain: each is near to its neighbours only
+        at = rng.randrange(0, 290)
+        base = [*base[:at], *words(rng, 8, 100_000).split(), *base[at + 8 :]]
+        texts.append(" ".join(base))
+    expected = jaccard_components(texts)
+    assert 1 < len(set(expected)) < len(texts) - 80
+    assert found_components(spark, texts) == expected
+
+
 @pytest.mark.parametrize("group", [64, 3])
 def test_suffix_dedup_equals_all_windows(spark, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
