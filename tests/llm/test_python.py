@@ -138,6 +138,20 @@ def test_similar_compares_all_pairs_of_hot_cells(spark, monkeypatch, chunk):
     assert found_components(spark, texts) == expected
 
 
+def test_similar_equals_jaccard_of_all_pairs(spark):
+    rng = random.Random(10)
+    texts = [None, "", "one", "One", "a b c d", "a b c d e", "a b c d e f", " \t"]
+    for n in (6, 9, 14, 25, 60, 150, 400, 900):
+        for k in range(24):
+            a = words(rng, n, 100_000).split()
+            cut = max(1, round((n - 4) * (0.07 + 0.008 * k)))  # about 0.60 to 0.87
+            texts += [" ".join(a), " ".join([*a[:-cut], *words(rng, cut, 100_000).split()]), " ".join(a[: n - cut])]
+    line = words(rng, 40, 100_000)
+    rest = words(rng, 300, 100_000)
+    texts += [f"{line} {line} {rest}", " ".join([line] * 60) + f" {rest}", rest]  # the same shingles, one line repeated more often
+    assert found_components(spark, texts) == jaccard_components(texts)
+
+
 @pytest.mark.parametrize("group", [64, 3])
 def test_suffix_dedup_equals_all_windows(spark, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
