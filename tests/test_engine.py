@@ -168,3 +168,10 @@ def test_ledger_stream_keeps_the_best_line(spark, tmp_path):
     ingest.ledger_stream(spark, str(source), store, f"file://{tmp_path}/cp").awaitTermination()
     assert {r.request_id: r.cost for r in store.read("ledger").collect()} == {"a": 5, "b": 2}
     assert store.read("ledger_faults").count() == 1
+
+
+def test_unequal_fault_rows_do_not_shift_later_pairs(spark):
+    faults = spark.createDataFrame([("f1", "s", 100_000), ("f2", "s", 150_000), ("f3", "s", 400_000), ("f4", "t", 0), ("f5", None, 0)], "fault_id string, session_id string, ts long")
+    read = spark.createDataFrame([(f"r{t}", "s", t * 1000) for t in (0, 50, 100, 150, 460)] + [("u", "t", 60_001)], "row_id string, session_id string, ts long")
+    got = {(r.fault_id, r.row_id) for r in reconcile.pair_faults(faults, read).collect()}
+    assert got == {("f1", "r50"), ("f2", "r100"), ("f3", "r460")}

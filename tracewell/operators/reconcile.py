@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections import deque
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.operators.filters import settled
 
@@ -88,17 +91,35 @@ def compare_events(events: DataFrame, read: DataFrame, tolerance_ms: int = 2_000
 def pair_faults(faults: DataFrame, rows: DataFrame, tolerance_ms: int = 60_000) -> DataFrame:
     """C07 (fault_id, row_id): faults paired one to one with the rows (row_id, session_id, ts) that their lost events would have written.
 
-    Inside a session the k-th fault in time goes with the k-th row in time, runs of times that lie within the tolerance counting by
-    themselves; in one dimension pairs in order are a nearest assignment of such a run.
+    Inside a session, in time order, each fault goes with the earliest unpaired row within the tolerance, and rows that no later fault can
+    reach are passed over; so as many pairs are made as can be. A pair need not be the nearest one. Rows without a session or a time pair with none.
     """
-    both = faults.where("session_id is not null").select("session_id", "ts", F.col("fault_id").alias("id"), F.lit(0).alias("kind")).unionByName(rows.select("session_id", "ts", F.col("row_id").alias("id"), F.lit(1).alias("kind")))
-    order = Window.partitionBy("session_id").orderBy("ts", "kind", "id")
-    gap = F.coalesce(F.col("ts") - F.lag("ts").over(order) > tolerance_ms, F.lit(True)).cast("int")
-    runs = both.withColumn("gap", gap).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    k = runs.withColumn("k", F.row_number().over(Window.partitionBy("session_id", "run", "kind").orderBy("ts", "id")))
-    a = k.where("kind = 0").select("session_id", "run", "k", F.col("id").alias("fault_id"), F.col("ts").alias("a"))
-    b = k.where("kind = 1").select("session_id", "run", "k", F.col("id").alias("row_id"), F.col("ts").alias("b"))
-    return a.join(b, ["session_id", "run", "k"]).where(F.abs(F.col("a") - F.col("b")) <= tolerance_ms).select("fault_id", "row_id")
+    a = faults.select("session_id", F.col("ts").cast("long").alias("ts"), F.lit(0).alias("kind"), F.col("fault_id").alias("fault_id"), F.lit(None).cast(rows.schema["row_id"].dataType).alias("row_id"))
+    b = rows.select("session_id", F.col("ts").cast("long").alias("ts"), F.lit(1).alias("kind"), F.lit(None).cast(faults.schema["fault_id"].dataType).alias("fault_id"), "row_id")
+    both = a.unionByName(b).where("session_id is not null and ts is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, held, waiting = None, 0, deque()  # those that wait are of one kind, `held`: another kind in reach is paired at once
+        for batch in batches:
+            pairs = []
+            for s, ts, kind, fault, row in zip(*(batch.column(c).to_pylist() for c in ("session_id", "ts", "kind", "fault_id", "row_id")), strict=True):
+                if s != session:
+                    session = s
+                    waiting.clear()
+                while waiting and ts - waiting[0][0] > tolerance_ms:
+                    waiting.popleft()
+                mine = row if kind else fault
+                if waiting and held != kind:
+                    other = waiting.popleft()[1]
+                    pairs.append((other, mine) if kind else (mine, other))
+                else:
+                    held = kind
+                    waiting.append((ts, mine))
+            columns = zip(*pairs, strict=True) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), batch.column(c).type) for c, x in zip(("fault_id", "row_id"), columns, strict=True)], ["fault_id", "row_id"])
+
+    schema = T.StructType([T.StructField(c, both.schema[c].dataType) for c in ("fault_id", "row_id")])
+    return both.repartition("session_id").sortWithinPartitions("session_id", "ts", "kind", "fault_id", "row_id").mapInArrow(run, schema)
 
 
 def apply_allowlist(found: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
