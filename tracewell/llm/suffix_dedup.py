@@ -1,43 +1,43 @@
 """Exact substring dedup: bytes covered by a string of LENGTH bytes that also starts elsewhere are found and removed.
 
-Not every suffix is sorted. Each window of LENGTH bytes has an anchor, the position in it whose PREFIX bytes have the
+Suffixes are sorted at anchors. Each window of LENGTH bytes has an anchor, the position in it whose PREFIX bytes have the
 smallest hash, so equal windows have equal anchors at the same offset. About one position in sixty is an anchor. Windows
 of one text with the same anchor form a run, and the bytes under a run are its context.
 
 1. Anchors are counted by the hash of their prefix; those with a prefix of their own are out.
 2. Runs whose whole context occurs again are removed as they stand.
-3. For the others, each distinct context with the same prefix (a class) has its anchor's suffix sorted: a mergesort whose comparisons find
-   the common extension by binary search over prefix polynomial hashes. Along the sorted suffixes, contexts whose common
-   extensions to both sides make LENGTH bytes together are compared byte by byte and their match is removed.
-   Prefixes with more than GROUP classes compare the hashes of all their windows instead, dealt by hash.
+3. Of the others, each distinct context of a prefix (a class) has its anchor's suffix sorted among those of the prefix (see
+   suffix_sort). Where two suffixes have the bytes of a window in common, on from their anchors and before them, it is verified and removed.
+4. A prefix of over HOT classes is dealt by further bytes first: its windows are parted by their offset to the anchor, and those of a
+   part lie together by the bytes that all windows of the part hold; parts that are still hot are parted again, down to one window.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
-from functools import cmp_to_key
-from itertools import accumulate, groupby
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import saved
+from tracewell.llm.suffix_sort import Suffixes
 
 LENGTH = 200
 PREFIX = 72
-#: Prefixes with more classes than this go by the hashes of their windows.
-GROUP = 64
+#: Prefixes with more classes than this are dealt by further bytes before they are sorted; a part of its windows has a PARTS-th of them.
+HOT, PARTS = 8192, 4
+#: Suffixes that are sorted at once, about.
+BATCH = 8192
 #: Bytes that are worked on at once; positions in them have POSITION_BITS.
 SLICE_BYTES, POSITION_BITS = 1 << 20, 21
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), 11) for b in range(256)], np.uint64)
-#: Modulus and base of the hashes that suffixes are compared by.
-MODULUS, SORT_BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E68
-POWERS = list(accumulate(range(2 * LENGTH), lambda p, _: p * SORT_BASE % MODULUS, initial=1))
+#: A row of a table, by two hashes.
+ROW = ["row", "also"]
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -114,178 +114,166 @@ class Anchors:
         return [of[text], h[anchor[at]].view(np.int64), context.view(np.int64), at + offset[text], windows, anchor[at] - at]
 
 
+def merged(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges, in order of text and start, with those of a text that touch or overlap made one."""
+    order = np.lexsort((start, text))
+    text, start, stop = text[order], start[order].astype(np.int64), stop[order].astype(np.int64)
+    shift = np.concatenate([[0], np.cumsum(text[1:] != text[:-1])]) * (1 << 40) if len(text) else start
+    ends = np.maximum.accumulate(stop + shift)
+    new = np.concatenate([[True], (start + shift)[1:] > ends[:-1]]) if len(text) else np.zeros(0, bool)
+    return text[new], start[new], (ends - shift)[np.append(np.flatnonzero(new)[1:], len(text)) - 1] if len(text) else start
+
+
 def anchors(rows: DataFrame) -> DataFrame:
-    """(row, prefix, context, at, windows, anchor) of all runs of `rows` (row, text)."""
+    """Of all runs of `rows` (row, also, text): (row, also, n, prefix, context, at, windows, anchor).
+
+    Runs that are equal inside a batch are settled there: one of them stands for them with n = 2, and what they cover is
+    given in ranges, with n = 0, the start as `at`, and the length as `windows`.
+    """
+    schema = pa.schema([("row", pa.int64()), ("also", pa.int32()), ("n", pa.int8()), ("prefix", pa.int64()), ("context", pa.int64()), ("at", pa.int32()), ("windows", pa.int32()), ("anchor", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors()
         for batch in batches:
-            found = find.runs([(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()])
-            row = batch.column("row").to_numpy()[found["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(found["prefix"]), pa.array(found["context"]), *(pa.array(found[c].astype(np.int32)) for c in ("at", "windows", "anchor"))], ["row", "prefix", "context", "at", "windows", "anchor"])
-
-    return rows.mapInArrow(run, "row long, prefix long, context long, at int, windows int, anchor int")
-
-
-class Suffix:
-    """A class's context with its prefix hashes; it is sorted from its anchor on."""
-
-    def __init__(self, context: bytes, anchor: int) -> None:
-        self.context, self.anchor = context, anchor
-        self.sums = list(accumulate(context, lambda h, b: (h * SORT_BASE + b + 1) % MODULUS, initial=0))
-
-    def hash(self, a: int, b: int) -> int:
-        return (self.sums[b] - self.sums[a] * POWERS[b - a]) % MODULUS
-
+            f = find.runs([(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()])
+            row, also = (batch.column(c).to_numpy() for c in ROW)
+            order = np.lexsort((f["anchor"], f["windows"], f["context"], f["prefix"]))
+            same = np.ones(max(len(order) - 1, 0), bool)
+            for c in ("prefix", "context", "windows", "anchor"):
+                same &= f[c][order[1:]] == f[c][order[:-1]]
+            after, before = np.append(same, False)[: len(order)], np.append(False, same)[: len(order)]
+            n = np.where(after, 2, 1)[~before]
+            one, again = order[~before], order[after | before]
+            text, start, stop = merged(f["text"][again], f["at"][again], f["at"][again] + f["windows"][again] + LENGTH - 1)
+            none = np.zeros(len(text), np.int64)
+            columns = [np.append(row[f["text"][one]], row[text]), np.append(also[f["text"][one]], also[text]), np.append(n, none)]
+            columns += [np.append(f[c][one], x) for c, x in (("prefix", none), ("context", none), ("at", start), ("windows", stop - start), ("anchor", none))]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, schema.types, strict=True)], schema.names)
 
-def common(most: int, same: Callable[[int], bool]) -> int:
-    """The largest n up to `most` for which same(n) holds, where it holds up to some n; by binary search."""
-    low = 0
-    while low < most:
-        mid = (low + most + 1) // 2
-        if same(mid):
-            low = mid
-        else:
-            most = mid - 1
-    return low
+    return rows.mapInArrow(run, "row long, also int, n byte, prefix long, context long, at int, windows int, anchor int")
 
 
-def ahead(a: Suffix, b: Suffix) -> int:
-    """Bytes that two suffixes have in common from their anchors on."""
-    i, j = a.anchor, b.anchor
-    return common(min(len(a.context) - i, len(b.context) - j), lambda n: a.hash(i, i + n) == b.hash(j, j + n))
+#: What is sorted: one context of each class, how often it occurs, and how many classes its prefix has.
+CLASSES = "prefix long, n long, row long, also int, at int, anchor int, classes long, bytes binary"
+PARTED = "prefix long, context long, n long, row long, also int, at int, anchor int, bytes binary"
 
 
-def behind(a: Suffix, b: Suffix) -> int:
-    """Bytes that two suffixes have in common before their anchors."""
-    i, j = a.anchor, b.anchor
-    return common(min(i, j), lambda n: a.hash(i - n, i) == b.hash(j - n, j))
+def sorted_matches(classes: DataFrame) -> DataFrame:
+    """(row, also, start, length): what is removed of `classes` (CLASSES) that occur once, dealt by prefix, which is of HOT classes at most."""
+    names = ["prefix", "n", "row", "also", "at", "anchor", "bytes"]
 
+    def settle(held: pa.Table) -> pa.RecordBatch:
+        prefix, n, row, also, at, anchor = (held.column(c).to_numpy() for c in names[:-1])
+        first, last = Suffixes(held.column("bytes").to_pylist(), anchor, LENGTH - PREFIX, LENGTH).repeats(prefix, LENGTH)
+        out = np.flatnonzero((n == 1) & (first < 1))
+        start = (at + anchor)[out] + first[out]
+        return pa.RecordBatch.from_arrays([pa.array(row[out]), pa.array(also[out]), pa.array(start.astype(np.int32)), pa.array((last - first + LENGTH)[out].astype(np.int32))], [*ROW, "start", "length"])
 
-def compare(a: Suffix, b: Suffix) -> int:
-    n = ahead(a, b)
-    x, y = a.context[a.anchor + n : a.anchor + n + 1], b.context[b.anchor + n : b.anchor + n + 1]
-    return (x > y) - (x < y)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= BATCH:
+                table = pa.Table.from_batches(held)
+                prefix = table.column("prefix").to_numpy()
+                whole = int(np.flatnonzero(prefix == prefix[-1])[0])  # the last prefix may go on
+                for a, b in portions(prefix[:whole]):
+                    yield settle(table.slice(a, b - a))
+                held = table.slice(whole).to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            for a, b in portions(table.column("prefix").to_numpy()):
+                yield settle(table.slice(a, b - a))
 
+    dealt = classes.select(*names).repartition("prefix").sortWithinPartitions("prefix")
+    return dealt.mapInArrow(run, "row long, also int, start int, length int")
 
-def matches(suffixes: list[Suffix]) -> Iterator[tuple[Suffix, Suffix, int, int]]:
-    """(a, b, left, right): pairs whose extensions to the left and right of their anchors make LENGTH bytes or more, verified."""
-    order = sorted(suffixes, key=cmp_to_key(compare))  # list.sort is a mergesort
-    steps = [ahead(a, b) for a, b in zip(order, order[1:], strict=False)]
-    farthest = max(s.anchor for s in order)
-    for i, a in enumerate(order):
-        right = len(a.context)
-        for j in range(i + 1, len(order)):
-            right = min(right, steps[j - 1])
-            if right + min(a.anchor, farthest) < LENGTH:
-                break  # later suffixes have no more in common with this one
-            b = order[j]
-            left = behind(a, b)
-            if left + right >= LENGTH and a.context[a.anchor - left : a.anchor + right] == b.context[b.anchor - left : b.anchor + right]:
-                yield a, b, left, right
 
+def portions(group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of whole groups, of about BATCH rows."""
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, int)
+    at = 0
+    while at < len(group):
+        later = starts[np.searchsorted(starts, at + BATCH) :]
+        stop = int(later[0]) if len(later) else len(group)
+        yield at, stop
+        at = stop
 
-def sorted_matches(classes: DataFrame) -> DataFrame:
-    """(row, start, length): what is removed of classes (prefix, n, row, at, anchor, bytes) that occur once, GROUP of a prefix at most."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("prefix", "n", "row", "at", "anchor", "bytes")), strict=True)
-
-        out: list[tuple[int, int, int]] = []
-        for _, group in groupby(rows(), key=lambda r: r[0]):
-            place = {}
-            for _, n, row, at, anchor, context in group:
-                place[Suffix(context, anchor)] = (n, row, at)
-            for a, b, left, right in matches(list(place)):
-                for s in (a, b):
-                    n, row, at = place[s]
-                    if n == 1:
-                        out.append((row, at + s.anchor - left, left + right))
-            if len(out) > 50_000:
-                yield ranges(out)
-                out = []
-        yield ranges(out)
-
-    dealt = classes.repartition("prefix").sortWithinPartitions("prefix")
-    return dealt.select("prefix", "n", "row", "at", "anchor", "bytes").mapInArrow(run, "row long, start int, length int")
-
-
-def ranges(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    columns = list(zip(*found, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["row", "start", "length"])
-
-
-def window_matches(classes: DataFrame) -> DataFrame:
-    """As sorted_matches(), for prefixes of any number of classes, by 128-bit hashes of all windows.
-
-    Windows are counted inside each batch first: those that occur there again are settled, in runs, and one row stands for
-    them. So what is dealt by hash and joined is what a batch could not settle, however often a window occurs.
-    """
+def parted(classes: DataFrame, width: int) -> DataFrame:
+    """(PARTED): the windows of `classes` (CLASSES) in parts of `width` offsets to the anchor: prefix is a hash of the bytes that all windows of a part hold, context one of what they cover."""
+    schema = pa.schema([("prefix", pa.int64()), ("context", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("also", pa.int32()), ("at", pa.int32()), ("anchor", pa.int32()), ("bytes", pa.binary())])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("n", "row", "at", "bytes")), strict=True))
-            hashes = [[xxhash.xxh3_128_digest(c[i : i + LENGTH]) for i in range(len(c) - LENGTH + 1)] for _, _, _, c in rows]
-            times: Counter = Counter()
-            for (n, _, _, _), own in zip(rows, hashes, strict=True):
-                for h in own:
-                    times[h] += n
-            out = [(2, 0, 0, 0, h) for h, n in times.items() if n > 1]
-            for (n, row, at, _), own in zip(rows, hashes, strict=True):
-                settled = None
-                for i, h in enumerate(own if n == 1 else ()):
-                    if times[h] == 1:
-                        out.append((1, row, at + i, LENGTH, h))
-                    elif settled and settled[1] == i - 1:
-                        settled[1] = i
-                    else:
-                        out += [(1, row, at + settled[0], settled[1] - settled[0] + LENGTH, None)] if settled else []
-                        settled = [i, i]
-                out += [(1, row, at + settled[0], settled[1] - settled[0] + LENGTH, None)] if settled else []
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["n", "row", "start", "length", "window"])
-
-    found = saved(classes.select("n", "row", "at", "bytes").mapInArrow(run, "n long, row long, start int, length int, window binary"), "windows")
-    windows = found.where("window is not null")
-    again = windows.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
-    joined = windows.where("n = 1").join(again, "window").select("row", "start", "length")
-    return found.where("window is null").select("row", "start", "length").unionByName(joined)
-
-
-def repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of `rows` (row, text, others): the rows dealt by `row`, and all (row, start, length) to remove, in bytes; they may overlap."""
-    slim = rows.select("row", "text")
-    again = anchors(slim).groupBy("prefix").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1")
-    again = saved(again.select("prefix", (F.col("a") != F.col("b")).alias("mixed")), "prefixes")
-    runs = saved(anchors(slim).join(again, "prefix"), "runs")
+            out = []
+            for prefix, n, row, also, at, anchor, raw in zip(*(batch.column(c).to_pylist() for c in ("prefix", "n", "row", "also", "at", "anchor", "bytes")), strict=True):
+                seed = prefix & (1 << 64) - 1
+                for top in range(0, PREFIX - LENGTH - 1, -width):
+                    low, high = max(top - width + 1, -anchor), min(top, len(raw) - LENGTH - anchor)
+                    if low <= high:
+                        core = xxhash.xxh3_64_intdigest(raw[anchor + top : anchor + top - width + 1 + LENGTH] + top.to_bytes(2, "big", signed=True), seed)
+                        own = raw[anchor + low : anchor + high + LENGTH]
+                        out.append((signed(core), signed(xxhash.xxh3_64_intdigest(own, -low)), n, row, also, at + anchor + low, -low, own))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema.names)
+
+    return classes.mapInArrow(run, PARTED)
+
+
+def settled(classes: DataFrame) -> DataFrame:
+    """(row, also, start, length): as sorted_matches(), for prefixes of any number of classes."""
+    found, width = sorted_matches(classes.where(F.col("classes") <= HOT)), LENGTH - PREFIX + 1
+    hot = classes.where(F.col("classes") > HOT)
+    while width > 1 and not hot.isEmpty():
+        width = -(-width // PARTS)
+        parts = saved(parted(hot, width), "parts")
+        same = parts.groupBy("prefix", "context").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in (*ROW, "at", "anchor")), F.first("bytes").alias("bytes"))
+        same = saved(same, "part-classes")
+        again = parts.where("n = 1").join(same.where("n > 1").select("prefix", "context"), ["prefix", "context"])
+        found = found.unionByName(again.select(*ROW, F.col("at").alias("start"), F.octet_length("bytes").alias("length")))
+        classes = saved(open_(same).drop("context"), "contexts")
+        found = found.unionByName(sorted_matches(classes.where(F.col("classes") <= HOT)))
+        hot = classes.where(F.col("classes") > HOT)
+    return found
+
+
+def open_(classes: DataFrame) -> DataFrame:
+    """`classes` (prefix, n, others) of prefixes that have several, one of them occurring once; with their number."""
+    sizes = classes.groupBy("prefix").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 and least = 1")
+    return classes.join(sizes.select("prefix", "classes"), "prefix")
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Of `rows` (row, also, text), all (row, also, start, length) to remove, in bytes; they may overlap."""
+    written = saved(anchors(rows), "anchors")
+    covers = lambda df: df.select(*ROW, F.col("at").alias("start"), (F.col("windows") + LENGTH - 1).alias("length"))
+    found = written.where("n = 0").select(*ROW, F.col("at").alias("start"), F.col("windows").alias("length"))
+    runs = written.where("n > 0")
+    again = runs.groupBy("prefix").agg(F.sum("n").alias("times"), F.min("context").alias("a"), F.max("context").alias("b")).where("times > 1")
+    runs = saved(runs.join(again.select("prefix", (F.col("a") != F.col("b")).alias("mixed")), "prefix"), "runs")
     mixed = runs.where("mixed")
-    first = F.min(F.struct("row", "at", "windows", "anchor")).alias("first")
-    classes = saved(mixed.groupBy("prefix", "context").agg(F.count("*").alias("n"), first), "classes")
-    whole = runs.where("not mixed").select("row", F.col("at").alias("start"), (F.col("windows") + LENGTH - 1).alias("length"))
-    often = mixed.join(classes.where("n > 1").select("prefix", "context"), ["prefix", "context"])
-    whole = whole.unionByName(often.select("row", F.col("at").alias("start"), (F.col("windows") + LENGTH - 1).alias("length")))
-
-    groups = classes.groupBy("prefix").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("least = 1")
-    wanted = classes.join(groups, "prefix").select("prefix", "n", "first.*", "classes")
-    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("prefix", "n", "at", "windows", "anchor", "classes")).alias("wanted"))
-    columns = [c for c in rows.columns if c != "row"]
-    schema = "prefix long, n long, row long, at int, anchor int, classes long, bytes binary"
+    found = found.unionByName(covers(runs.where("not mixed and n = 1")))
+    classes = saved(mixed.groupBy("prefix", "context").agg(F.sum("n").alias("n"), F.min(F.struct(*ROW, "at", "windows", "anchor")).alias("first")), "classes")
+    often = mixed.where("n = 1").join(classes.where("n > 1").select("prefix", "context"), ["prefix", "context"])
+    found = found.unionByName(covers(often))
+
+    wanted = open_(classes.drop("context")).select("prefix", "n", "first.*", "classes")
+    wanted = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("prefix", "n", "at", "windows", "anchor", "classes")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row, text, wants in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "wanted")), strict=True):
+            for row, also, text, wants in zip(*(batch.column(c).to_pylist() for c in (*ROW, "text", "wanted")), strict=True):
                 raw = (text or "").encode("utf-8", "replace")
-                out += [(w["prefix"], w["n"], row, w["at"], w["anchor"], w["classes"], raw[w["at"] : w["at"] + w["windows"] + LENGTH - 1]) for w in wants]
-            made = list(zip(*out, strict=True)) or [()] * 7
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, types, strict=True)], ["prefix", "n", "row", "at", "anchor", "classes", "bytes"])
+                out += [(w["prefix"], w["n"], row, also, w["at"], w["anchor"], w["classes"], raw[w["at"] : w["at"] + w["windows"] + LENGTH - 1]) for w in wants]
+            made = list(zip(*out, strict=True)) or [()] * 8
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, types, strict=True)], ["prefix", "n", *ROW, "at", "anchor", "classes", "bytes"])
 
-    contexts = saved(rows.join(wanted, "row").select("row", *columns, "wanted").mapInArrow(cut, schema), "contexts")
-    few, many = contexts.where(F.col("classes") <= GROUP), contexts.where(F.col("classes") > GROUP)
-    return rows, whole.unionByName(sorted_matches(few)).unionByName(window_matches(many))
+    contexts = saved(rows.join(wanted, ROW).select(*ROW, "text", "wanted").mapInArrow(cut, CLASSES), "contexts")
+    return found.unionByName(settled(contexts))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -295,41 +283,37 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[s
     texts are given; strings do not go on from one text into another. spans: (start, length) of each maximal removed run, in
     bytes. kept: the remaining bytes, which may hold parts of a character.
 
-    Null texts are empty, and texts shorter than LENGTH lose nothing. Rows are told apart by a 64-bit hash of key and text, so rows with
+    Null texts are empty, and texts shorter than LENGTH lose nothing. Rows are told apart by 96 bits of hashes of key and text, so rows with
     the same key and text, which are copies of one another, have the same result. A null key is a value of its own. Other columns pass
     through; columns of these four names are replaced. Contexts that count as the same have two equal 64-bit hashes of
     different kinds; matches found by sorting are compared byte by byte.
     """
     keep = [c for c in (keep or docs.columns) if c not in ("n_bytes", "n_removed", "spans", "kept")]
-    rows = docs.select(F.xxhash64(key, text).alias("row"), *[F.col(c).alias(f"_{c}") for c in keep], F.col(text).alias("text"))
-    rows, found = repeated(rows)
-    found = found.groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("found"))
-
     names = [f"_{c}" for c in keep]
-    joined = rows.join(found, "row", "left").select(*names, "text", "found")
+    rows = docs.select(F.xxhash64(key, text).alias("row"), F.hash(key, text).alias("also"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("text"))
+    found = repeated(rows.select(*ROW, "text")).groupBy(*ROW).agg(F.collect_list(F.struct("start", "length")).alias("found"))
+    joined = rows.join(found, ROW, "left").select(*names, "text", "found")
     schema = docs.select(*keep, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"), F.lit(b"").alias("kept")).schema
-    span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, spans, kept = [], [], [], []
-            for t, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            sizes, removed, kept, counts, starts, stops = [], [], [], [], [], []
+            lists = batch.column("found")
+            ends, values = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)), lists.flatten()
+            start, length = (values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+            for t, b, a in zip(batch.column("text").to_pylist(), ends.tolist(), np.append(0, ends).tolist(), strict=False):
                 raw = (t or "").encode("utf-8", "replace")
-                merged: list[list[int]] = []
-                for a, b in sorted((r["start"], r["start"] + r["length"]) for r in found or ()):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                at, left = 0, []
-                for a, b in merged:
-                    left.append(raw[at:a])
-                    at = b
-                kept.append(b"".join([*left, raw[at:]]))
+                _, begin, stop = merged(np.zeros(b - a, np.int64), start[a:b], start[a:b] + length[a:b])
+                kept.append(b"".join([raw[x:y] for x, y in zip([0, *stop.tolist()], [*begin.tolist(), len(raw)], strict=True)]))
                 sizes.append(len(raw))
                 removed.append(len(raw) - len(kept[-1]))
-                spans.append([{"start": a, "length": b - a} for a, b in merged])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], [*keep, "n_bytes", "n_removed", "spans", "kept"])
+                counts.append(len(begin))
+                starts.append(begin)
+                stops.append(stop)
+            begin, stop = np.concatenate(starts), np.concatenate(stops)
+            each = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array((stop - begin).astype(np.int32))], ["start", "length"])
+            spans = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), each)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), spans, pa.array(kept, pa.binary())], [*keep, "n_bytes", "n_removed", "spans", "kept"])
 
     return joined.mapInArrow(run, schema)
 
