@@ -68,56 +68,78 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: The reference fingerprints: half of their bits set, by a fixed rule.
-PIVOTS = [_signed(xxhash.xxh64_intdigest(f"pivot {i}")) for i in range(16)]
+#: Reference fingerprints: of each block so many patterns, by a fixed rule, zero outside the block.
+REFERENCES = [[xxhash.xxh64_intdigest(f"block {b} reference {i}") % (1 << WIDTH) << b * WIDTH for i in range(10)] for b in range(BLOCKS)]
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def pivot_table(prints: DataFrame, *others: str) -> DataFrame:
-    """`prints` (fp and the named columns) with `to_pivots`, the Hamming distances to the reference fingerprints."""
-    return prints.select("fp", *others, F.array(*(distance(F.col("fp"), F.lit(p)).cast("byte") for p in PIVOTS)).alias("to_pivots"))
+def pivot_table(prints: DataFrame) -> DataFrame:
+    """`prints` (fp, others) with `to_pivots`: for each block, the Hamming distances to its reference fingerprints inside the block."""
+    inside = lambda b, r: distance(F.col("fp").bitwiseAND(F.lit(_signed((1 << WIDTH) - 1 << b * WIDTH))), F.lit(_signed(r))).cast("byte")
+    return prints.withColumn("to_pivots", F.array(*(F.array(*(inside(b, r) for r in refs)) for b, refs in enumerate(REFERENCES))))
+
+
+def may_be_near(a: Column, b: Column) -> Column:
+    """Whether two pivot tables' rows leave it open that fingerprints differ in MOST bits or fewer: a block's largest difference of coordinates is a lower bound of its differing bits."""
+    most = F.zip_with(a, b, lambda x, y: F.array_max(F.zip_with(x, y, lambda p, q: F.abs(p - q))))
+    return F.aggregate(most, F.lit(0), lambda n, x: n + x) <= MOST
 
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links among the distinct fingerprints `prints` (fp) whose components are those of all pairs at MOST bits or fewer.
 
-    Two fingerprints with at most two differing bits agree in two of their four blocks, so each such pair meets in
-    a cell: the fingerprints that have two given blocks in common. In cells of up to CELL members, a pair is discarded if
-    its distances to some pivot differ by more than MOST (the triangle inequality), and survivors are verified by
+    Each fingerprint has a row in the pivot table: its distances to many references, block by block. Two fingerprints with at
+    most two differing bits have the same distances in two of their four blocks, so each such pair meets in a cell: the fingerprints
+    with the same coordinates in two given blocks. In cells of up to CELL members, a pair is discarded if the largest differences of
+    its coordinates add up to more than MOST (the triangle inequality in each block), and survivors are verified by
     their own distance. In larger cells each member goes to itself and to its neighbours at one bit outside the cell's blocks:
     fingerprints that meet at a neighbour are at most two bits apart, and any two that are so meet at one; so each links to
     the smallest that it meets. That is exact, and linear in the members of a cell, of whatever size.
     """
     pairs = [(i, j) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
-    block = lambda i: F.shiftrightunsigned("fp", i * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
-    key = lambda n, i, j: F.lit(n << 32).cast("long") + block(i) * (1 << WIDTH) + block(j)
-    cells = saved(prints.select("fp", F.explode(F.array(*(key(n, i, j) for n, (i, j) in enumerate(pairs)))).alias("cell")), "cells")
+    own = lambda n, i, j: F.struct(F.lit(n).cast("byte").alias("pair"), F.xxhash64(F.lit(n), F.col("to_pivots")[i], F.col("to_pivots")[j]).alias("cell"))
+    cells = saved(pivot_table(prints.select("fp")).select("fp", F.inline(F.array(*(own(n, i, j) for n, (i, j) in enumerate(pairs))))), "cells")
     sizes = saved(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cell-sizes")
 
-    small = pivot_table(cells.join(sizes.where(F.col("n") <= CELL).select("cell"), "cell").select("fp", "cell"), "cell")
+    small = pivot_table(cells.join(sizes.where(F.col("n") <= CELL).select("cell"), "cell").select("fp", "cell"))
     met = small.groupBy("cell").agg(F.collect_list(F.struct("fp", "to_pivots")).alias("members"))
     both = met.select("members", F.explode("members").alias("a")).select("a", F.explode("members").alias("b")).where("a.fp > b.fp")
-    apart = F.array_max(F.zip_with("a.to_pivots", "b.to_pivots", lambda x, y: F.abs(x - y)))
-    near = both.where(apart <= MOST).where(distance(F.col("a.fp"), F.col("b.fp")) <= MOST).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    near = both.where(may_be_near(F.col("a.to_pivots"), F.col("b.to_pivots"))).where(distance(F.col("a.fp"), F.col("b.fp")) <= MOST).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
     outside = F.array(*(F.array(*(F.lit(_signed(1 << bit)) for bit in range(BITS) if bit // WIDTH not in p)) for p in pairs))
-    own = F.element_at(outside, (F.shiftright("cell", 32) + 1).cast("int"))
     large = cells.join(sizes.where(F.col("n") > CELL).select("cell"), "cell")
-    hubs = large.select("cell", "fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), own)).alias("bit"))
-    hubs = hubs.select("cell", "fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("hub"))
+    hubs = hubs_of(large, F.element_at(outside, (F.col("pair") + 1).cast("int")), "cell")
     least = hubs.groupBy("cell", "hub").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("cell", "hub", "b")
     through = hubs.join(least, ["cell", "hub"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
     return near.unionByName(through).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def hubs_of(prints: DataFrame, bits: Column, *others: str) -> DataFrame:
+    """(fp, hub, others): each fingerprint with itself and with its neighbours at one of the `bits`."""
+    flipped = prints.select("fp", *others, F.explode(F.concat(F.array(F.lit(0).cast("long")), bits)).alias("bit"))
+    return flipped.select("fp", *others, F.col("fp").bitwiseXOR(F.col("bit")).alias("hub"))
+
+
+def degrees(found: DataFrame) -> DataFrame:
+    """(fp, links): of each fingerprint in the links `found` (a, b), how many others there are at two bits or fewer.
+
+    Any two such meet at two hubs, whether one bit apart (at both) or two (at the two between), so the others that a fingerprint meets at its hubs,
+    counted hub by hub, are twice its neighbours.
+    """
+    nodes = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    hubs = hubs_of(nodes, F.array(*(F.lit(_signed(1 << bit)) for bit in range(BITS))))
+    met = hubs.groupBy("hub").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    return hubs.join(met, "hub").groupBy("fp").agg((F.sum("others") / 2).cast("long").alias("links"))
+
+
 def components(docs: DataFrame, key: str = "doc_id", shingle: int = 3) -> DataFrame:
     """(key, fp, component_id, links) for each row of `docs` (key, text).
 
-    component_id: the smallest key that can be reached over links between fingerprints, its own included. links: other
-    fingerprints that the row's is linked to in the graph of links(). Documents with the same fingerprint are
+    component_id: the smallest key that can be reached over links between fingerprints, its own included. links: how many other
+    fingerprints are at MOST bits or fewer from the row's. Documents with the same fingerprint are
     copies: one fingerprint stands for them, and they are not paired. Null and empty texts have fingerprint 0 and link like
     any other. A null key is passed over when the smallest is taken. Repeated rows stay; an empty table gives no
     rows; further columns are not used.
@@ -128,8 +150,7 @@ def components(docs: DataFrame, key: str = "doc_id", shingle: int = 3) -> DataFr
     reached = connected_components(found).withColumnsRenamed({"node": "fp", "component": "root"})
     grouped = members.join(reached, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    degree = found.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
-    classes = grouped.select("fp", "root").join(smallest, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    classes = grouped.select("fp", "root").join(smallest, "root").join(degrees(found), "fp", "left").select("fp", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
     return prints.join(classes, "fp")
 
 
