@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import map_texts, slices
@@ -23,8 +23,9 @@ SLICE_BYTES = 1 << 25
 @dataclass(frozen=True)
 class Params:
     centroids: int = 4  # of each language
-    fit_rows: int = 1500  # rows of each language, at most, that centroids are clustered from
-    fit_chars: int = 20_000  # longest text that is clustered from
+    languages: int = 256  # most frequent values of lang that are learned
+    fit_rows: int = 1500  # distinct texts of each language, at most, that centroids are clustered from
+    fit_chars: int = 20_000  # characters of a text, at most, that are clustered from
     rounds: int = 12  # of clustering
     margin: float = 0.35  # a text is rejected below this part of what its language's fit rows reach (see fit())
 
@@ -86,41 +87,57 @@ def document_frequency(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def clusters(texts: Iterable[str], idf: np.ndarray, params: Params) -> tuple[np.ndarray, float]:
+    """Centroids of a language's texts by spherical k-means, and the cosine below which a text is rejected."""
+    x = vectors(_bytes(texts), idf)
+    c = x[np.random.default_rng(0).permutation(len(x))[: params.centroids]]
+    for _ in range(params.rounds):
+        best = (x @ c.T).argmax(axis=1)
+        c = np.stack([x[best == j].sum(axis=0) if (best == j).any() else c[j] for j in range(len(c))])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    return c, params.margin * float(np.quantile((x @ c.T).max(axis=1), 0.01))
+
+
+def sample(docs: DataFrame, params: Params) -> DataFrame:
+    """(lang, h, text): up to fit_rows distinct texts with a letter of each of the most frequent languages of `docs` (text, lang), by order of hash.
+
+    Copies count once, so they crowd out nothing. Of a text of over fit_chars characters a piece of so many is taken, at a place that its hash gives.
+    """
+    able = docs.select("lang", "text", F.xxhash64(F.lit("fit"), "text").alias("h")).where(F.col("text").rlike(r"\p{L}"))
+    sizes = able.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").limit(params.languages).collect()
+    if not sizes:
+        return able.limit(0)
+    # hashes up to a bound that some more than fit_rows texts pass; which of them are taken is by exact order
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.5 * params.fit_rows / max(1, r["texts"])))))
+    passed = able.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) <= share[F.col("lang")])
+    from_ = F.pmod(F.shiftright("h", 30), F.greatest(F.length("text") - params.fit_chars + 1, F.lit(1))).cast("int") + 1
+    piece = F.when(F.length("text") <= params.fit_chars, F.col("text")).otherwise(F.substring(F.col("text"), from_, F.lit(params.fit_chars)))
+    distinct = passed.select("lang", "h", piece.alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    return distinct.withColumn("at", order).where(F.col("at") <= params.fit_rows).drop("at")
+
+
 def fit(docs: DataFrame, params: Params = Params()) -> Model:
     """Fits the model on `docs` (text, lang), null languages left out.
 
-    Document frequencies are counted over all rows. Each language's centroids come from spherical k-means on a
-    bounded sample, about fit_rows of its rows, by hash of the text, of at most fit_chars characters. A language
-    rejects a text whose cosine is below `margin` times the 1 % quantile of its own sample's.
+    Document frequencies are counted over all rows. Each language's centroids come from spherical k-means, a task a
+    language, on its share of sample(): a bounded number of distinct texts, so repeated rows weigh as one. A language
+    rejects a text whose cosine is below `margin` times the 1 % quantile of its own sample's. Only the `languages` most
+    frequent values of lang are learned, ties by code point: each has centroids that go to every task.
     """
     docs = docs.where("lang is not null and text is not null").select("text", "lang")
     df = document_frequency(docs)
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
-    able = docs.where(F.length("text") <= params.fit_chars).where(F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["count"] for r in able.groupBy("lang").count().collect()}  # a row for each language
-    languages = sorted(sizes)
-    if not languages:
-        return Model(idf, [], np.zeros(0, int), np.zeros((0, SLOTS), np.float32), np.zeros(0))
-    # a share of each language's rows, by hash, that gives about fit_rows
-    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, params.fit_rows / sizes[lang]))))
-    u = F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 30)) / float(1 << 30)
-    rows = able.where(u < share[F.col("lang")]).limit(2 * params.fit_rows * len(languages)).toPandas().sort_values(["lang", "text"])
-    rng = np.random.default_rng(0)
-    of, centroids, least = [], [], []
-    for k, lang in enumerate(languages):
-        x = vectors(_bytes(rows["text"][rows["lang"] == lang]), idf)
-        if not len(x):
-            least.append(0.0)
-            continue
-        c = x[rng.permutation(len(x))[: params.centroids]]
-        for _ in range(params.rounds):
-            best = (x @ c.T).argmax(axis=1)
-            c = np.stack([x[best == j].sum(axis=0) if (best == j).any() else c[j] for j in range(len(c))])
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        of += [k] * len(c)
-        centroids.append(c)
-        least.append(params.margin * float(np.quantile((x @ c.T).max(axis=1), 0.01)))
-    return Model(idf, languages, np.array(of), np.concatenate(centroids), np.array(least))
+
+    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
+        c, least = clusters(rows.sort_values("h")["text"], idf, params)
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "centroids": [c.astype(np.float32).tobytes()], "least": [least]})
+
+    found = sample(docs, params).groupBy("lang").applyInPandas(cluster, "lang string, centroids binary, least double").collect()
+    found = sorted(found, key=lambda r: r["lang"])
+    centroids = [np.frombuffer(r["centroids"], np.float32).reshape(-1, SLOTS) for r in found]
+    of = np.repeat(np.arange(len(found)), [len(c) for c in centroids])
+    return Model(idf, [r["lang"] for r in found], of, np.concatenate([np.zeros((0, SLOTS), np.float32), *centroids]), np.array([r["least"] for r in found]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
