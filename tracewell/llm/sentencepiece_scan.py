@@ -4,11 +4,14 @@ The model is one of merged pieces: at each step the adjacent pair whose union is
 make that a path problem, so that chunks of a text can be worked on apart:
 
 * No piece goes on after a word with another space mark. So merging never crosses the start of a unit (space marks and the word
-  after them), and texts fall into units that are encoded by themselves.
+  after them), and texts fall into units that are encoded by themselves: every path goes through the start of each unit.
 * Inside a unit, a sequence of pieces is the encoding if and only if each piece, and each two neighbours, encode to
   themselves. So the encoding is the one path through a lattice of pieces whose neighbours agree, which has weight 0;
-  other paths have weight minus infinity. A chunk is a matrix from the pieces that can cover its start to those that
-  can cover its end, and matrices combine by (max, +), which is associative.
+  other paths have weight minus infinity.
+
+A giant text is cut into chunks of CHUNK characters, wherever that is. A chunk is a matrix from the pieces that can cover its start to
+those that can cover its end, and matrices combine by (max, +), which is associative: FAN neighbours at a time, level by level, up to one
+for each text; then down again, which gives each chunk the pieces at its ends, between which it traces its own path back.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,8 +32,8 @@ from tracewell.llm.common import map_texts, saved, slices
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
-#: Longer texts are cut into chunks of this many characters, at the start of a unit where there is one.
-CHUNK = 1 << 16
+#: Longer texts are cut into chunks of this many characters; so many matrices are combined at once.
+CHUNK, FAN = 1 << 15, 8
 CACHED_UNITS = 150_000
 SLICE_CHARS = 1 << 18
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -109,7 +113,7 @@ class Encoder:
         return reached
 
     def transfer(self, text: str, start: int, stop: int) -> np.ndarray:
-        """The matrix of a chunk [start, stop) of a unit; a unit's start is one state, and so is its end."""
+        """The matrix of [start, stop), no unit start in between; where text starts or ends, units do, and there is one state."""
         entries, exits = self.states(text, start), self.states(text, stop)
         reached = self.paths(text, entries, stop)
         out = np.full((len(entries), len(exits)), -np.inf)
@@ -125,7 +129,7 @@ class Encoder:
         return [(at, "")] if at in (0, len(text)) else self.covering(text, at)
 
     def backtrace(self, text: str, start: int, stop: int, entry: int, exit_: int) -> list[int]:
-        """Ids of the pieces that start in a chunk, given the states at its ends."""
+        """Ids of the pieces that start in [start, stop), given the states at its ends."""
         entries, exits = self.states(text, start), self.states(text, stop)
         reached = self.paths(text, [entries[entry]], stop)
         state = exits[exit_] if exits[exit_][1] else next(iter(reached[stop]))
@@ -136,6 +140,32 @@ class Encoder:
             state = reached[state[0] + len(state[1])][state][1]
         return [i for p in reversed(found) for i in self.piece_ids(p)]
 
+    def sections(self, text: str, start: int, stop: int) -> tuple[tuple[str, int, int] | None, str, tuple[str, int, int] | None]:
+        """A chunk [start, stop) of a text as (what is left of the unit at its start, whole units, what it has of the unit at its end).
+
+        The outer two are given as transfer() takes them. If no unit starts in the chunk, it is all in the first of them.
+        """
+        starts = [m.start() for m in UNIT.finditer(text, start and start - 1, min(len(text), stop + 1)) if m.start() >= start and (not m.start() or text[m.start() - 1] != SPACE)]
+        first, last = (starts[0], starts[-1]) if starts else (None, None)
+        if stop == len(text):
+            first, last = stop if first is None else first, stop
+        if first is None:
+            return (text, start, stop), "", None
+        return None if first == start else (text[:first], start, first), text[first:last], None if last == stop else (text[last:], 0, stop - last)
+
+    def chunk_matrix(self, text: str, start: int, stop: int) -> np.ndarray:
+        left, _, right = self.sections(text, start, stop)
+        parts = [self.transfer(*x) for x in (left, right) if x]
+        return combine(*parts) if len(parts) == 2 else parts[0] if parts else np.zeros((1, 1))
+
+    def chunk_ids(self, text: str, start: int, stop: int, entry: int, exit_: int) -> np.ndarray:
+        """Ids of the pieces that start in a chunk. Whole units need no tracing: there is one state at each of their ends."""
+        left, units, right = self.sections(text, start, stop)
+        inner = np.frombuffer(self.ids([UNIT.findall(units)])[0], "<i4")
+        before = self.backtrace(*left, entry, exit_ if left[2] < len(left[0]) else 0) if left else []
+        after = self.backtrace(*right, 0, exit_) if right else []
+        return np.concatenate([np.array(before, "<i4"), inner, np.array(after, "<i4")])
+
     def piece_ids(self, piece: str) -> list[int]:
         if piece in self.pieces:
             return [self.pieces[piece]]
@@ -152,35 +182,14 @@ def marked(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def cuts(text: str, chunk: int) -> Iterator[tuple[int, int, int, int]]:
-    """(start, stop, unit start, unit end) of each chunk of a marked text. Unless a unit is longer than a chunk, chunks hold whole units, and their unit is themselves."""
-    at = 0
-    while at < len(text):
-        stop = min(len(text), at + chunk)
-        if stop < len(text):
-            stop = text.rfind(SPACE, at + 1, stop + 1)
-            while stop > at and text[stop - 1] == SPACE:  # units start at the first of several marks
-                stop -= 1
-        if stop > at:
-            yield at, stop, at, stop
-        else:
-            word = re.compile(f"[^{SPACE}]").search(text, at)
-            end = text.find(SPACE, word.start()) if word else len(text)
-            stop = end if end >= 0 else len(text)
-            for a in range(at, stop, chunk):
-                yield a, min(stop, a + chunk), at, stop
-        at = stop
-
-
 def encode(docs: DataFrame, model: bytes, text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """docs with `ids` (array of int): the model's encoding of each whole text.
 
-    Texts of up to `chunk` characters are encoded where they are. Longer ones are cut into chunks, which are dealt out evenly.
-    Chunks of whole units are encoded by themselves. Chunks of a unit longer than a chunk each give a transfer matrix; the
-    matrices of a unit are combined, and each chunk's path is traced back by itself between the states found.
+    Texts of under `chunk` characters are encoded where they are. Longer ones are cut into chunks, which are dealt out evenly:
+    each gives a transfer matrix, matrices are combined in a tree, and each chunk's path is traced back by itself between the states found.
 
     Null and empty texts have no ids. A space mark in a text is encoded as a space. Repeated rows stay; other columns
-    pass through; a column `ids` is replaced. The order of rows may change.
+    pass through, whatever their names; a column `ids` is replaced. The order of rows may change.
     """
     docs = docs.drop("ids")
     size = F.coalesce(F.length(text), F.lit(0))
@@ -199,68 +208,87 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", chunk: int = CHUNK
         return work
 
     short = map_texts(docs.where(size < chunk), None, "ids array<int>", maker, text)
-    giants = saved(docs.where(size >= chunk).withColumn("_row", F.monotonically_increasing_id()), "giants")
+    giants = saved(docs.where(size >= chunk).select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "giants")
+    ids = giant_ids(giants.select("row", F.col(f"doc.`{text}`").alias("text")), model, chunk)
+    return short.unionByName(giants.join(ids, "row").select("doc.*", "ids"))
+
+
+def giant_ids(giants: DataFrame, model: bytes, chunk: int) -> DataFrame:
+    """(row, ids) of giants (row, text), by chunks."""
+    margin = Encoder(model).longest  # what surrounds a chunk as far as pieces reach
+    if chunk < margin:
+        raise ValueError(f"a chunk must hold the longest piece, {margin} characters")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, t in zip(batch.column("_row").to_pylist(), batch.column(text).to_pylist(), strict=True):
-                t, margin = marked(t), 64
-                for no, (a, b, u, v) in enumerate(cuts(t, chunk)):
-                    # what surrounds a chunk of a longer unit, as far as pieces reach
-                    lo, hi = max(u, a - margin), min(v, b + margin)
-                    yield pa.RecordBatch.from_pylist([{"_row": row, "no": no, "piece": t[lo:hi], "a": a - lo, "b": b - lo, "first": a == u, "last": b == v}], schema=pieces)
-
-    pieces = pa.schema([("_row", pa.int64()), ("no", pa.int32()), ("piece", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
-    split_schema = "_row long, no int, piece string, a int, b int, first boolean, last boolean"
-    chunked = saved(giants.select("_row", text).mapInArrow(split, split_schema), "chunks").repartition(F.col("_row"), F.col("no"))
-    whole = map_texts(chunked.where("first and last").select("_row", "no", F.col("piece").alias("text")), ["_row", "no"], "ids array<int>", whole_units(model))
+            for row, t in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                t = marked(t)
+                for no, a in enumerate(range(0, len(t), chunk)):
+                    lo, hi = max(0, a - margin - 1), min(len(t), a + chunk + margin + 1)
+                    yield pa.RecordBatch.from_pylist([{"row": row, "no": no, "piece": t[lo:hi], "a": a - lo, "b": min(len(t), a + chunk) - lo}], schema=pieces)
+
+    pieces = pa.schema([("row", pa.int64()), ("no", pa.int32()), ("piece", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
+    chunks = saved(giants.mapInArrow(split, "row long, no int, piece string, a int, b int"), "chunks")
+    dealt = chunks.repartition("row", "no")
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(model)
         for f in frames:
-            made = [encoder.transfer(*within(r)) for r in f.itertuples()]
-            yield pd.DataFrame({"_row": f["_row"], "no": f["no"], "first": f["first"], "n": [len(m) for m in made], "cells": [(m == 0).tobytes() for m in made]})
-
-    def scan(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("no")
-        out = []
-        for _, unit in f.groupby(f["first"].cumsum()):
-            steps = [np.where(np.frombuffer(c, bool).reshape(n, -1), 0.0, -np.inf) for c, n in zip(unit["cells"], unit["n"], strict=True)]
-            ahead = [np.zeros((1, 1))]  # from the unit's start to each boundary
-            for m in steps:
-                ahead.append(combine(ahead[-1], m))
-            back, path = np.zeros((1, 1)), [0]  # from each boundary to the unit's end
-            for m, a in zip(reversed(steps), reversed(ahead[:-1]), strict=True):
-                back = combine(m, back)
-                path.append(int((a[0] + back[:, 0]).argmax()))
-            path.reverse()
-            out.append(pd.DataFrame({"_row": unit["_row"], "no": unit["no"], "entry": path[:-1], "exit": path[1:]}))
-        return pd.concat(out)
+            made = [encoder.chunk_matrix(r.piece, r.a, r.b) for r in f.itertuples()]
+            yield pd.DataFrame({"row": f["row"], "no": f["no"], "n": [len(m) for m in made], "cells": [(m == 0).tobytes() for m in made]})
+
+    levels = [saved(dealt.mapInPandas(matrices, MATRIX), "matrices")]
+    most = chunks.agg(F.max("no")).first()[0] or 0
+    while most:
+        up = levels[-1].withColumn("parent", F.floor(F.col("no") / FAN).cast("int")).groupBy("row", "parent").applyInPandas(combined, MATRIX)
+        levels.append(saved(up, "matrices"))
+        most //= FAN
+    path = levels.pop().select("row", "no", F.lit(0).alias("entry"), F.lit(0).alias("exit"))
+    while levels:
+        above = path.select("row", F.col("no").alias("parent"), "entry", "exit")
+        own = levels.pop().withColumn("parent", F.floor(F.col("no") / FAN).cast("int"))
+        path = own.join(above, ["row", "parent"]).groupBy("row", "parent").applyInPandas(ways, "row long, no int, entry int, exit int")
 
     def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(model)
         for f in frames:
-            yield pd.DataFrame({"_row": f["_row"], "no": f["no"], "ids": [encoder.backtrace(*within(r), r.entry, r.exit) for r in f.itertuples()]})
+            yield pd.DataFrame({"row": f["row"], "no": f["no"], "ids": [encoder.chunk_ids(r.piece, r.a, r.b, r.entry, r.exit) for r in f.itertuples()]})
 
-    inner = chunked.where("not (first and last)")
-    found = inner.mapInPandas(matrices, "_row long, no int, first boolean, n int, cells binary")
-    ends = found.groupBy("_row").applyInPandas(scan, "_row long, no int, entry int, exit int")
-    traced = inner.join(ends, ["_row", "no"]).mapInPandas(trace, "_row long, no int, ids array<int>")
-    together = whole.unionByName(traced).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
-    together = together.select("_row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    return short.unionByName(giants.join(together, "_row").drop("_row"))
+    traced = chunks.join(path, ["row", "no"]).mapInPandas(trace, "row long, no int, ids array<int>")
+    together = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
+    return together.select("row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
-def within(r: object) -> tuple[str, int, int]:
-    return r.piece, r.a, r.b
+#: A matrix of n rows, as a byte for each cell: 1 for weight 0, 0 for minus infinity.
+MATRIX = "row long, no int, n int, cells binary"
 
 
-def whole_units(model: bytes) -> Callable[[], Callable[[list[str]], dict]]:
-    def maker() -> Callable[[list[str]], dict]:
-        encoder = Encoder(model)
-        return lambda texts: {"ids": [np.frombuffer(encoder.ids([UNIT.findall(t)])[0], "<i4") for t in texts]}
+def read_cells(cells: bytes, n: int) -> np.ndarray:
+    return np.where(np.frombuffer(cells, bool).reshape(n, -1), 0.0, -np.inf)
+
+
+def combined(f: pd.DataFrame) -> pd.DataFrame:
+    """The matrix of up to FAN neighbouring ones."""
+    f = f.sort_values("no")
+    m = reduce(combine, map(read_cells, f["cells"], f["n"]))
+    return pd.DataFrame({"row": f["row"].iloc[:1], "no": f["parent"].iloc[:1], "n": [len(m)], "cells": [(m == 0).tobytes()]})
+
 
-    return maker
+def ways(f: pd.DataFrame) -> pd.DataFrame:
+    """The states at the ends of up to FAN neighbouring matrices, given those at the ends of all of them."""
+    f = f.sort_values("no")
+    steps = list(map(read_cells, f["cells"], f["n"]))
+    ahead = [steps[0][f["entry"].iloc[0]][None, :]]  # from the entry to each boundary
+    for m in steps[1:]:
+        ahead.append(combine(ahead[-1], m))
+    path = [int(f["exit"].iloc[0])]
+    if ahead[-1][0, path[0]] < 0:
+        raise ValueError("no path: the model's pieces do not cover the text")
+    for m, a in zip(reversed(steps[1:]), reversed(ahead[:-1]), strict=True):
+        path.append(int((a[0] + m[:, path[-1]]).argmax()))
+    path.append(int(f["entry"].iloc[0]))
+    path.reverse()
+    return pd.DataFrame({"row": f["row"], "no": f["no"], "entry": path[:-1], "exit": path[1:]})
 
 
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids", to: str = "decoded") -> DataFrame:
