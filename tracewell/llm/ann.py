@@ -19,7 +19,7 @@ class Params:
     width: float = 0.8  # half of the first window, for vectors of length 1
     margin: float = 1.0  # standard deviations by which the nearest are expected to pass the threshold
     block: int = 4096  # index rows of a block
-    queries: int = 2048  # queries of a block
+    queries: int = 8192  # queries of a block
 
 
 RESULT = "query_id long, vec_id long, score double"
@@ -43,8 +43,8 @@ def search_block(index: np.ndarray, queries: np.ndarray, reach: float, k: int, p
 
     Inner products become distances between vectors of length 1: index vectors are divided by `reach`, their greatest length
     anywhere, and get one more component that fills them up; queries are normalised and get a 0. Each projection's values
-    are sorted once; a query's window in it is all values within w of its own. Rows that collide with the query in enough
-    windows are verified. While fewer than k are, w grows; each window holds the one before it (virtual rehashing). The k-th
+    are sorted once; a query's window in it is all values within w of its own, a range of ranks. Rows whose ranks lie in enough of the query's
+    windows collide with it and are verified. While fewer than k are, w grows; each window holds the one before it (virtual rehashing). The k-th
     verified distance then gives the last w: a row at that distance collides as often as asked, with a margin for chance.
     """
     n, dim = index.shape
@@ -57,6 +57,9 @@ def search_block(index: np.ndarray, queries: np.ndarray, reach: float, k: int, p
     values = (x @ lines).T
     order = np.argsort(values, axis=1, kind="stable")
     values = np.take_along_axis(values, order, axis=1)
+    kind = np.uint16 if n < 1 << 16 else np.uint32
+    ranks = np.empty(order.shape, kind)
+    np.put_along_axis(ranks, order, np.arange(n, dtype=kind)[None, :], axis=1)
     centres = (q @ lines).T
     p, m = params.threshold, params.projections
     asked, k = int(np.ceil(p * m)), min(k, n)
@@ -65,11 +68,11 @@ def search_block(index: np.ndarray, queries: np.ndarray, reach: float, k: int, p
 
     def windows(at: np.ndarray, w: np.ndarray) -> Iterator[np.ndarray]:
         """Rows that collide often enough with each of the queries `at`, in windows of half-width w."""
-        first = [v.searchsorted(c[at] - w, "left").tolist() for v, c in zip(values, centres, strict=True)]
-        stop = [v.searchsorted(c[at] + w, "right").tolist() for v, c in zip(values, centres, strict=True)]
-        for a, b in zip(zip(*first, strict=True), zip(*stop, strict=True), strict=True):
-            met = np.concatenate([o[i:j] for o, i, j in zip(order, a, b, strict=True)])
-            yield np.flatnonzero(np.bincount(met, minlength=n) >= asked)
+        first = np.stack([v.searchsorted(c[at] - w, "left") for v, c in zip(values, centres, strict=True)], axis=1).astype(kind)
+        stop = np.stack([v.searchsorted(c[at] + w, "right") for v, c in zip(values, centres, strict=True)], axis=1).astype(kind)
+        for a, size in zip(first[:, :, None], (stop - first)[:, :, None], strict=True):
+            met = ranks - a < size  # a rank below the window's first wraps around
+            yield np.flatnonzero(np.add.reduce(met.view(np.uint8), axis=0, dtype=np.uint8 if m < 256 else np.int32) >= asked)
 
     last, left, w = np.zeros(len(q)), np.arange(len(q)), params.width
     while len(left):
@@ -78,7 +81,7 @@ def search_block(index: np.ndarray, queries: np.ndarray, reach: float, k: int, p
             if len(found) < k:
                 few.append(i)
             else:
-                near = 2 - 2 * np.partition(x[found] @ q[i], len(found) - k)[len(found) - k]
+                near = 2 - 2 * np.partition(x.take(found, axis=0) @ q[i], len(found) - k)[len(found) - k]
                 last[i] = max(w, safe * np.sqrt(max(near, 0)))
         left, w = np.array(few, int), 1.5 * w
     yield from windows(np.arange(len(q)), last)
@@ -88,7 +91,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     """(query_id, rank, vec_id, score): of each query (key, column), the k rows of `vectors` with the largest inner product found.
 
     score is the inner product of the original vectors in double precision; nearest first, ties to the smaller vec_id, and a
-    query's own vec_id is passed over. All rows are indexed, dealt by hash of their place to blocks of bounded size, and
+    query's own vec_id is passed over. All rows are indexed, dealt by hash of their key to blocks of bounded size, so that results do not depend on files, and
     every block of queries meets every block of rows, so no task holds more than two blocks; each pair of blocks
     gives up to k of a query, which are merged. Each block verifies its share of k and more, so a query has min(k, rows) results.
 
@@ -100,7 +103,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     n, reach = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
     m = asked.count()
     blocks, query_blocks = max(1, -(-n // params.block)), max(1, -(-m // params.queries))
-    deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.withColumn("b", deal(blocks)).select("id", "v", "dim", "b", every(query_blocks).alias("q"))
     right = asked.withColumn("q", deal(query_blocks)).select("id", "v", "dim", every(blocks).alias("b"), "q")
@@ -119,10 +122,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
             ids = there["id"].to_numpy()
             for qid, v, found in zip(own["id"].to_numpy(), q, search_block(x, q, reach, own_k, params), strict=True):
                 found = found[ids[found] != qid]
+                score = x.take(found, axis=0) @ v
+                if len(score) > k:  # those that may be among the nearest are scored in one fixed order of addition
+                    found = found[score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-9 * reach * np.linalg.norm(v)]
                 score = (x[found] * v).sum(axis=1)
-                if len(score) > k:
-                    top = score >= np.partition(score, len(score) - k)[len(score) - k]
-                    found, score = found[top], score[top]
                 best = np.lexsort((ids[found], -score))[:k]
                 out.append((np.full(len(best), qid), ids[found][best], score[best]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
