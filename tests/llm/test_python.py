@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tracewell.llm import ann, fingerprints, langid, sentencepiece_scan, simhash, suffix_dedup, toxicity
+from tracewell.llm import ann, fingerprints, langid, sentencepiece_scan, simhash, suffix_dedup, suffix_sort, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
 
@@ -58,10 +60,12 @@ def test_fingerprints_and_components_equal_all_pairs(spark, monkeypatch):
     for i in ids:
         if i is not None:
             least.setdefault(find(i), i)
+    around = [len({y for y in fp if 0 < (x ^ y).bit_count() <= 2}) for x in fp]
+    assert max(around) > 5
     for cell in (48, 1):
         monkeypatch.setattr(simhash, "CELL", cell)
-        got = {r.doc_id: (r.fp, r.component_id) for r in simhash.components(df).collect()}
-        assert got == {i: (simhash._signed(fp[k]), least[find(k)]) for k, i in enumerate(ids)}
+        got = {r.doc_id: (r.fp, r.component_id, r.links) for r in simhash.components(df).collect()}
+        assert got == {i: (simhash._signed(fp[k]), least[find(k)], around[k]) for k, i in enumerate(ids)}
     assert simhash.components(df.limit(0)).count() == 0
 
 
@@ -152,9 +156,24 @@ def test_similar_equals_jaccard_of_all_pairs(spark):
     assert found_components(spark, texts) == jaccard_components(texts)
 
 
-@pytest.mark.parametrize("group", [64, 3])
-def test_suffix_dedup_equals_all_windows(spark, monkeypatch, group):
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+def windows_kept(texts):
+    """Of each text: kept bytes and number of removed runs, by the hashes of all windows."""
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(xxhash.xxh3_128_intdigest(b[i : i + 200]) for b in raw for i in range(len(b) - 199))
+    out = []
+    for b in raw:
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if seen[xxhash.xxh3_128_intdigest(b[i : i + 200])] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        out.append((bytes(x for x, g in zip(b, gone, strict=True) if not g), len(re.findall(b"\1+", bytes(gone)))))
+    return out
+
+
+@pytest.mark.parametrize(("hot", "batch", "partitions"), [(8192, 8192, 1), (8192, 5, 3), (2, 3, 7)])
+def test_suffix_dedup_equals_all_windows(spark, monkeypatch, hot, batch, partitions):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
     rng = random.Random(3)
     letters = "abcdefgh é\n"
     passages = ["".join(rng.choice(letters) for _ in range(rng.randint(190, 500))) for _ in range(3)]
@@ -163,24 +182,59 @@ def test_suffix_dedup_equals_all_windows(spark, monkeypatch, group):
         p = rng.choice(passages)
         texts.append("".join(rng.choice(letters) for _ in range(rng.randint(0, 90))) + p[rng.randint(0, 30) : len(p) - rng.randint(0, 30)] + "".join(rng.choice(letters) for _ in range(rng.randint(0, 40))))
     texts += [texts[9], "tail" + texts[9]]
-    df = docs(spark, texts).unionByName(docs(spark, texts).where("doc_id = 12"))
-    seen = Counter()
-    rows = [(r.doc_id, (r.text or "").encode()) for r in df.collect()]
-    for _, b in rows:
-        seen.update(b[i : i + 200] for i in range(len(b) - 199))
-
-    def kept(b):
-        gone = bytearray(len(b))
-        for i in range(len(b) - 199):
-            if seen[b[i : i + 200]] > 1:
-                gone[i : i + 200] = b"\1" * 200
-        return bytes(x for x, g in zip(b, gone, strict=True) if not g), len(re.findall(b"\1+", bytes(gone)))
-
+    df = docs(spark, texts).unionByName(docs(spark, texts).where("doc_id = 12")).repartition(partitions)
+    rows = [(r.doc_id, r.text or "") for r in df.collect()]
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.dedup(df).collect())
-    assert got == sorted((str(i), len(b), len(b) - len(kept(b)[0]), kept(b)[1], kept(b)[0]) for i, b in rows)
+    want = zip(rows, windows_kept([t for _, t in rows]), strict=True)
+    assert got == sorted((str(i), len(t.encode()), len(t.encode()) - len(kept), spans, kept) for (i, t), (kept, spans) in want)
     assert suffix_dedup.without_repeats(df).columns == df.columns and suffix_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_one_prefix_in_very_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 100)
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    passage = text(230)
+    texts = [text(rng.randint(0, 60)) + passage[rng.choice((0, 0, 0, rng.randint(1, 40))) :] + text(rng.randint(0, 60)) for _ in range(1200)]
+    df = docs(spark, texts)
+    got = {r.doc_id: (bytes(r.kept), len(r.spans)) for r in suffix_dedup.dedup(df.repartition(5)).collect()}
+    assert got == {i if i != 4 else None: x for i, x in enumerate(windows_kept(texts))}
+
+
+def test_suffix_dedup_of_a_very_long_text_of_one_letter(spark):
+    texts = ["a" * 3_000_000, "b" * 150, "a" * 500 + "c"]
+    got = {r.doc_id: (r.n_bytes, bytes(r.kept), [tuple(s) for s in r.spans]) for r in suffix_dedup.dedup(docs(spark, texts)).collect()}
+    assert got == {0: (3_000_000, b"", [(0, 3_000_000)]), 1: (150, b"b" * 150, []), 2: (501, b"c", [(0, 500)])}
+
+
+def test_suffixes_are_sorted_and_collisions_do_not_count(monkeypatch):
+    rng = random.Random(14)
+    contexts, anchors, group = [], [], []
+    for g in range(40):
+        base = bytes(rng.choice(b"ab") for _ in range(328))
+        for _ in range(rng.randint(1, 30)):
+            left, right = rng.randint(0, 128), rng.randint(72, 200)
+            own = bytearray(base[128 - left : 128 + right])
+            if rng.random() < 0.7:
+                own[rng.randrange(len(own))] ^= 1
+            contexts.append(bytes(own))
+            anchors.append(left)
+            group.append(g)
+    found = []
+    for weak in (False, True):
+        if weak:  # hashes that often collide
+            monkeypatch.setattr(suffix_sort, "VALUES", np.arange(256, dtype=np.uint64) % 2)
+            monkeypatch.setattr(suffix_sort, "BASE", np.uint64(1))
+        s = suffix_sort.Suffixes(contexts, np.array(anchors), 128, 200)
+        if not weak:
+            suffixes = [c[a:] for c, a in zip(contexts, anchors, strict=True)]
+            assert s.order(np.array(group)).tolist() == sorted(range(len(contexts)), key=lambda i: (group[i], suffixes[i], i))
+        found.append([x.tolist() for x in s.repeats(np.array(group), 200)])
+    places = [{k for k in range(129) for j in range(len(contexts)) if j != i and group[i] == group[j] and min(anchors[i], anchors[j]) >= k and len(a := contexts[i][anchors[i] - k : anchors[i] - k + 200]) == 200 and a == contexts[j][anchors[j] - k : anchors[j] - k + 200]} for i in range(len(contexts))]
+    assert found[0] == [[-max(p, default=-1) for p in places], [-min(p, default=129) for p in places]]
+    assert all(x == 1 or -x in p for x, p in zip(found[1][0], places, strict=True))
+
+
 def test_long_texts_come_in_pieces(monkeypatch):
     rng = random.Random(4)
     text = bytes(rng.randrange(97, 123) for _ in range(9_000))
@@ -195,14 +249,36 @@ def test_scan_gives_the_library_s_ids(spark):
     model = sentencepiece_scan.read_model()
     encoder = sentencepiece_scan.Encoder(model)
     rng = random.Random(5)
-    odd = ["", None, " ", "  a ", "\n", "é\tb", "中文😀" * 30, "thequickbrownfox" * 20, "x" * 150 + " y z  ", "a b", "aaa" * 70 + " " * 70 + "b"]
-    odd += ["".join(rng.choice(["the", "ing", "é", "中", "😀", "\n", "QX", "==", "0"]) for _ in range(60)) for _ in range(6)]
-    df = docs(spark, odd)
-    want = sorted((str(i if i != 4 else None), encoder.processor.encode(t or ""), t or "") for i, t in enumerate(odd))
-    for chunk in (17, 40, 1 << 16):
+    odd = ["", None, " ", "  a ", "\n", "é\tb", "中文😀" * 30, "thequickbrownfox" * 20, "x" * 150 + " y z  ", "a b", "aaa" * 70 + " " * 70 + "b", " " * 200, "▁▁ a▁"]
+    odd += ["".join(rng.choice(["the", "ing", "é", "中", "😀", "\n", "QX", "==", "0", " ", "  "][: 9 + k % 3]) for _ in range(60)) for k in range(9)]
+    odd += ["one text of several words and an " + "antidisestablishmentarianism" * 9 + " in it, more than once. " * 20]
+    df = docs(spark, odd).withColumns({c: F.lit(1) for c in ("row", "no", "_row", "doc", "ids", "piece")})
+    want = sorted((str(i if i != 4 else None), encoder.processor.encode(t or ""), (t or "").replace("▁", " ")) for i, t in enumerate(odd))
+    for chunk in (encoder.longest, 40, 1 << 16):
         coded = sentencepiece_scan.decode(sentencepiece_scan.encode(df, model, chunk=chunk), model)
         assert sorted((str(r.doc_id), r.ids, r.decoded) for r in coded.collect()) == want
+        assert set(coded.columns) == {*df.columns, "decoded"}
     assert sentencepiece_scan.encode(df.limit(0), model).count() == 0
+    with pytest.raises(ValueError, match="longest piece"):
+        sentencepiece_scan.encode(df, model, chunk=3)
+
+
+def test_chunks_of_any_text_give_the_library_s_ids():
+    encoder = sentencepiece_scan.Encoder(sentencepiece_scan.read_model())
+    rng = random.Random(16)
+    for k in range(60):
+        t = "".join(rng.choice(["the ", "ing", "é", "中", "\n", "QX", " ", "  ", "word", "s of ", "tion", "."]) for _ in range(rng.randint(1, 60)))
+        text, chunk = sentencepiece_scan.marked(t), rng.choice((encoder.longest, 25, 60))
+        cuts = [(a, min(len(text), a + chunk)) for a in range(0, len(text), chunk)]
+        frame = pd.DataFrame([{"row": 1, "no": n, "parent": 0, "n": len(m), "cells": (m == 0).tobytes(), "entry": 0, "exit": 0} for n, (a, b) in enumerate(cuts) for m in [encoder.chunk_matrix(text, a, b)]])
+        path = sentencepiece_scan.ways(frame)
+        got = [i for (a, b), r in zip(cuts, path.itertuples(), strict=True) for i in encoder.chunk_ids(text, a, b, r.entry, r.exit).tolist()]
+        assert got == encoder.processor.encode(t)
+        if len(cuts) > 3:  # in any order of combining
+            parts = [encoder.chunk_matrix(text, a, b) for a, b in cuts]
+            left = functools.reduce(sentencepiece_scan.combine, parts)
+            both = sentencepiece_scan.combine(functools.reduce(sentencepiece_scan.combine, parts[:2]), functools.reduce(sentencepiece_scan.combine, parts[2:]))
+            assert np.array_equal(left, both) and left[0, 0] == 0
 
 
 def test_transfer_matrices_are_associative():
@@ -293,6 +369,50 @@ def test_languages_are_told_apart(spark):
     assert langid.predict(others, langid.fit(df.limit(0))).where("lang_pred <> 'und'").count() == 0 and langid.predict(df.limit(0), model).count() == 0
 
 
+def test_predictions_equal_plain_nearest_centroids(spark):
+    rng = random.Random(12)
+    text = lambda lang, n: " ".join(rng.choice(LANGUAGES[lang].split()) for _ in range(n))
+    names = sorted(LANGUAGES)
+    texts = [text(names[i % 3], rng.randint(1, 40)) + rng.choice(["", " 12!", " aé", "\n"]) for i in range(150)] + ["", None, "9", "漢字"]
+    df = docs(spark, texts, lambda i: names[i % 3])
+    model = langid.fit(df)
+
+    def grams(t):
+        raw = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in t.lower().encode())
+        raw += b" " * (3 - len(raw))
+        return Counter(((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % (1 << 32)) >> 19 for i in range(len(raw) - 2))
+
+    counts = [grams(t) for t in texts if t is not None]
+    df_ = Counter(g for c in counts for g in c)
+    idf = {g: np.log((1 + len(counts)) / (1 + n)) + 1 for g, n in df_.items()}
+    assert np.allclose(model.idf[sorted(idf)], [idf[g] for g in sorted(idf)], atol=1e-5)
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    for i, t in enumerate(texts):
+        r = got[i if i != 4 else None]
+        if not any(map(str.isalpha, t or "")):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
+            continue
+        v = {g: (1 + np.log(n)) * model.idf[g] for g, n in grams(t).items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        cosine = [sum(x * float(c[g]) for g, x in v.items()) / norm for c in model.centroids]
+        assert r.score == pytest.approx(max(cosine), abs=1e-5) and r.lang_pred == model.languages[model.of[int(np.argmax(cosine))]]
+
+
+def test_hot_texts_and_dirty_languages_crowd_out_nothing(spark):
+    rng = random.Random(15)
+    text = lambda lang: " ".join(rng.choice(LANGUAGES[lang].split()) for _ in range(30))
+    rows = [(text("aa"), "aa")] * 5000 + [(text(x), x) for x in ("bb", "cc") for _ in range(100)] + [(text("cc"), f"dirty{i}") for i in range(60)]
+    rows += [("long déjà " * 9000, "only_long")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    params = langid.Params(fit_rows=50, languages=30)
+    kept = Counter(r.lang for r in langid.sample(df, params).collect())
+    assert len(kept) == 30 and kept["aa"] == 1 and kept["bb"] == kept["cc"] == 50
+    model = langid.fit(df.where("lang not like 'dirty%'"), params)
+    assert model.languages == ["aa", "bb", "cc", "only_long"] and np.bincount(model.of).tolist() == [1, 4, 4, 1]
+    again = langid.fit(df.where("lang not like 'dirty%'").repartition(3), params)
+    assert np.array_equal(model.centroids, again.centroids) and np.array_equal(model.least, again.least)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(10)
     for n in (1, 2, 7):
