@@ -320,22 +320,25 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
         on = reduce(lambda x, y: x & y, [F.col("a.cell") == F.col("b.cell"), ordered, may_link(similarity), *also])
         return rows.alias("a").join(rows.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
-    def star(rows: DataFrame, salt: int) -> DataFrame:
-        hub = rows.groupBy("cell").agg(F.min_by(F.struct("id", "n", "at"), F.xxhash64("id", F.lit(salt))).alias("hub")).select("cell", "hub.*")
-        met = rows.alias("a").join(hub.alias("b"), "cell").where(F.col("a.id") != F.col("b.id")).where(may_link(similarity))
+    def star(rows: DataFrame, salt: int, apart: Column) -> DataFrame:
+        hub = rows.groupBy("cell").agg(F.min_by(F.struct("id", "n", "at", "root"), F.xxhash64("id", F.lit(salt))).alias("hub")).select("cell", "hub.*")
+        met = rows.alias("a").join(hub.alias("b"), "cell").where(apart & may_link(similarity))
         return met.select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b")).distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
         return saved(verified(docs, prints, saved(pairs, "pairs"), shingle, similarity), "near")
 
-    crowded = members.join(large, "cell", "left_semi")
-    found = linked(all_pairs(members.join(large, "cell", "left_anti")).unionByName(star(crowded, 0)).distinct())
-    salt, before = 0, None
-    while True:
-        reached = saved(connected_components(found).withColumnsRenamed({"node": "id", "component": "root"}), "reached")
-        if before == 0:
-            break
-        known = crowded.join(reached, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    def root_of(rows: DataFrame, node: str, reached: DataFrame) -> DataFrame:
+        """rows with the component of a node in place of it; a node without links is one by itself."""
+        return rows.join(reached.withColumnRenamed("id", node), node, "left").withColumn(node, F.coalesce("root", node)).drop("root")
+
+    crowded = members.join(large, "cell", "left_semi").withColumn("root", F.col("id"))
+    apart = F.col("a.root") != F.col("b.root")
+    found = linked(all_pairs(members.join(large, "cell", "left_anti")).unionByName(star(crowded, 0, apart)).distinct())
+    reached = saved(connected_components(found).toDF("id", "root"), "reached")
+    salt, before, last = 0, None, False
+    while not last:
+        known = crowded.drop("root").join(reached, "id", "left").withColumn("root", F.coalesce("root", "id"))
         per = known.groupBy("cell", "root").agg(F.count("*").alias("k")).groupBy("cell").agg(F.count("*").alias("roots"), F.sum("k").alias("k"), F.sum(F.col("k").cast("double") ** 2).alias("same")).where("roots > 1")
         per = saved(per, "open-cells")
         rows, open_ = per.agg(F.sum("k"), F.sum((F.col("k").cast("double") ** 2 - F.col("same")) / 2)).first()
@@ -344,8 +347,12 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
         crowded = saved(known.join(per.select("cell"), "cell", "left_semi").select("cell", "id", "n", "at", "root"), "open-members")
         salt += 1
         last = salt >= STARS or open_ <= CHUNK * rows or (before is not None and open_ > before / 2)
-        met = linked(all_pairs(crowded, F.col("a.root") != F.col("b.root")) if last else star(crowded, salt))
-        found, before, crowded = saved(found.unionByName(met), "near"), 0 if last else open_, crowded.drop("root")
+        met = linked(all_pairs(crowded, apart) if last else star(crowded, salt, apart))
+        # only components are joined on: links between them, then their members' new roots
+        joined = saved(connected_components(root_of(root_of(met, "a", reached), "b", reached)).toDF("id", "root"), "joined")
+        moved = root_of(reached.withColumnRenamed("root", "r"), "r", joined).withColumnRenamed("r", "root")
+        reached = saved(moved.unionByName(joined.join(reached, "id", "left_anti")), "reached")
+        before = open_
     distinct = prints.groupBy("id").agg(F.min(key).alias("least"))
     grouped = distinct.join(reached, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
