@@ -11,8 +11,8 @@ from tracewell.llm.common import WORD, join_same, saved
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-#: Documents of a source are dealt to 16^3 buckets by the first digits of their seeded hash.
-BUCKET_DIGITS = 3
+#: Documents of a source are dealt to buckets by so many first digits of their seeded hash: 16^3 of them, and the one that matters to as many again.
+BUCKET_DIGITS = (3, 6)
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -47,8 +47,8 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: Sequence[int] = WEIGHTS,
     size: words of the whole text. Each document is taken floor(target / source_size) times. The fractional
     repetition takes further documents, whole and once each, in the order of md5(seed, key) within the source, as
     long as the words before them are fewer than the fraction's; so a source misses its target by less
-    than one document. Running sums go over hash buckets first and over documents only in the one bucket
-    where the fraction ends, so no window holds a whole source.
+    than one document. Running sums go over hash buckets first, over smaller ones in the one bucket where the fraction ends,
+    and over documents only in the one of these, so no window holds a whole source; and documents meet the cuts bucket by bucket.
 
     Null text: size 0. A null source is a source. Empty texts have size 0 and take 0 words. Rows with the
     same key and source share their hash, and are taken or left together. A source without words
@@ -56,7 +56,6 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: Sequence[int] = WEIGHTS,
     """
     hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     slim = saved(docs.select(F.col(key), F.col("source"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), hashed.alias("h")).fillna(0, ["size"]), "sizes")
-    slim = slim.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = saved(
         targets(sizes, weights, max_epochs)
@@ -65,20 +64,28 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: Sequence[int] = WEIGHTS,
         "targets",
     )
     upto = lambda order: Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    buckets = buckets.withColumn("before", F.sum("words").over(upto("bucket")) - F.col("words"))
-    # a bucket is taken (2), split (1) or left (0)
-    part = F.when(F.col("before") + F.col("words") <= F.col("more"), 2).when(F.col("before") < F.col("more"), 1).otherwise(0)
-    buckets = join_same(buckets, goal.select("source", "more"), ["source"]).withColumn("part", part)
-    there = join_same(slim, buckets.where("part = 1").select("source", "bucket", "before", "more"), ["source", "bucket"])
-    by_hash = there.groupBy("source", "h").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("more").alias("more"))
+    bucket = lambda digits: F.substring("h", 1, digits)
+    first = slim.groupBy("source", bucket(BUCKET_DIGITS[0]).alias("bucket")).agg(F.sum("size").alias("words"))
+    cut, inside, rows, buckets = goal, goal.select("source", F.lit(0).cast("long").alias("before"), "more"), slim, first
+    for digits in BUCKET_DIGITS:
+        if digits != BUCKET_DIGITS[0]:
+            buckets = rows.groupBy("source", bucket(digits).alias("bucket")).agg(F.sum("size").alias("words"))
+        buckets = join_same(buckets, inside, ["source"]).withColumn("before", F.col("before") + F.sum("words").over(upto("bucket")) - F.col("words"))
+        whole_buckets = buckets.where(F.col("before") + F.col("words") <= F.col("more")).groupBy("source").agg(F.max("bucket").alias(f"last_{digits}"))
+        cut = join_same(cut, whole_buckets, ["source"], "left")
+        split = buckets.where((F.col("before") < F.col("more")) & (F.col("before") + F.col("words") > F.col("more")))
+        inside = saved(split.select("source", "bucket", "before", "more"), "split-buckets")
+        rows = join_same(rows.withColumn("bucket", bucket(digits)), inside.select("source", "bucket"), ["source", "bucket"]).drop("bucket")
+        inside = inside.drop("bucket")
+    by_hash = join_same(rows.groupBy("source", "h").agg(F.sum("size").alias("words")), inside, ["source"])
     last = by_hash.where(F.col("words") > 0).withColumn("at", F.col("before") + F.sum("words").over(upto("h")) - F.col("words"))
     last = last.where("at + words / 2 <= more").groupBy("source").agg(F.max("h").alias("last_h"))
-    whole_buckets = buckets.where("part = 2").groupBy("source").agg(F.max("bucket").alias("last_bucket"))
-    cut = join_same(join_same(goal, whole_buckets, ["source"], "left"), last, ["source"], "left")
-    extra = F.coalesce(F.col("bucket") <= F.col("last_bucket"), F.lit(False)) | F.coalesce(F.col("h") <= F.col("last_h"), F.lit(False))
+    cut = join_same(join_same(first.select("source", "bucket"), cut, ["source"]), last, ["source"], "left")
+    extra = F.coalesce(F.col("h") <= F.col("last_h"), F.lit(False))
+    for digits in BUCKET_DIGITS:
+        extra |= F.coalesce(bucket(digits) <= F.col(f"last_{digits}"), F.lit(False))
     copies = F.col("whole") + F.when(extra & (F.col("more") > 0), 1).otherwise(0)
-    joined = join_same(slim, cut, ["source"], "left").select(key, "source", "size", "source_size", "target", copies.alias("copies"))
+    joined = join_same(slim.withColumn("bucket", bucket(BUCKET_DIGITS[0])), cut, ["source", "bucket"]).select(key, "source", "size", "source_size", "target", copies.alias("copies"))
     return joined.withColumn("taken", F.col("size") * F.col("copies"))
 
 
@@ -87,6 +94,6 @@ def mixed(docs: DataFrame, key: str = "doc_id", weights: Sequence[int] = WEIGHTS
 
     Texts without words, which take nothing of the mix, follow their source's copies as well.
     """
-    copies = mix(docs, key, weights, max_epochs, seed).select(key, "source", "copies").distinct()
-    taken = join_same(docs, copies.where("copies > 0"), [key, "source"])
-    return taken.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    copies = mix(docs, key, weights, max_epochs, seed).select(F.col(key).alias("k"), "source", "copies").distinct().where("copies > 0")
+    rows = docs.select(F.col(key).alias("k"), "source", F.struct(*docs.columns).alias("doc"))
+    return join_same(rows, copies, ["k", "source"]).select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
