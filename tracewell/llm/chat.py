@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: The template's control strings (fixed values).
 TURN_START, TURN_END, CONTROL = "<|im_start|>", "<|im_end|>", "<|"
 LOSS_ROLE = "assistant"
+#: Turns whose places are summed up together.
+BLOCK = 256
 EVENTS_SCHEMA = "conv_id long, seq long, turn long, kind string, role string, text string"
 
 
@@ -74,14 +76,18 @@ def render(messages: DataFrame) -> DataFrame:
     body = lambda t: F.concat(F.lit(TURN_START), escape_role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(f"{TURN_END}\n"))
     grouped = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     shown = grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.length(escape(t["text"])).alias("n"), body(t).alias("body"))).alias("shown"))
-    spans = F.aggregate(
-        "shown",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
+    # places of turns are sums over the turns before: of each block first, then inside the blocks
+    blocks = F.transform(F.sequence(F.lit(0), ((F.size("shown") - 1) / BLOCK).cast("int")), lambda i: F.slice("shown", i * BLOCK + 1, BLOCK))
+    ends = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(b, F.lit(0), lambda n, t: n + F.length(t["body"])))))
+    inside = lambda block, at: F.aggregate(
+        block,
+        F.struct(at.alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
         lambda acc, t: F.struct(
             (acc["at"] + F.length(t["body"])).alias("at"),
             F.when(t["role"] == LOSS_ROLE, F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(t["body"]) - len(TURN_END) - 1 - t["n"]).alias("start"), t["n"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
         ),
     )["spans"]
+    spans = F.flatten(F.zip_with(blocks, F.slice(ends, 1, F.size(ends) - 1), inside))
     return shown.select("conv_id", F.size("shown").alias("n_turns"), F.array_join(F.transform("shown", lambda t: t["body"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
