@@ -158,16 +158,17 @@ def document_features(p: np.ndarray, first: np.ndarray, rows: np.ndarray, n: int
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), key: str = "doc_id") -> Model:
     """Fits the field on the texts of `docs` (key, text) that `labels` (key, toxic 0 or 1) marks.
 
-    The labelled rows are sampled by hash, about fit_rows of each label, before they meet the texts, so what
-    is broadcast and collected is bounded by the parameters. A word of a toxic text is
+    Of the labelled keys, fit_rows of each label are taken in the order of a hash before they meet the texts, so what
+    is broadcast and collected is bounded by the parameters. A key that has several texts counts with the first of them, one with several labels is toxic. A word of a toxic text is
     labelled toxic if toxic_items() finds it or one of its affixes. Emissions are weights of the word and its affixes; weights and transitions follow the gradient of the log likelihood (AdaGrad), from forward-backward marginals.
     """
     labels = labels.where("toxic is not null").select(key, (F.col("toxic") > 0).cast("int").alias("toxic")).groupBy(key).agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     u = F.pmod(F.xxhash64(F.lit("fit"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("toxic") == 1, min(1.0, params.fit_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, params.fit_rows / max(1, sizes.get(0, 0))))
-    picked = labels.where(u < share).limit(4 * params.fit_rows)
-    rows = docs.select(key, "text").where(F.length("text") <= params.fit_chars).join(F.broadcast(picked), key).limit(8 * params.fit_rows).toPandas()
+    of = lambda y: labels.where(F.col("toxic") == y).where(u <= 1.5 * params.fit_rows / max(1, sizes.get(y, 0))).orderBy(u, key).limit(params.fit_rows)
+    picked = of(0).unionByName(of(1))
+    rows = docs.select(key, "text").where(F.length("text") <= params.fit_chars).join(F.broadcast(picked), key)
+    rows = rows.groupBy(key, "toxic").agg(F.min("text").alias("text")).toPandas()
     rows = rows.sort_values([key, "text"])
     words = [[w.lower() for w in WORD.findall(t)] for t in rows["text"]]
     toxic = rows["toxic"].to_numpy(dtype=int) if len(rows) else np.zeros(0, int)
