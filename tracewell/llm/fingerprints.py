@@ -20,7 +20,7 @@ LEAST, NORMAL, MOST = 32, 64, 256
 STRICT_BITS, LOOSE_BITS = 7, 5
 #: Random value of each byte, by a fixed rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
-DIGEST_DIGITS, LENGTH_DIGITS = 10, 3
+DIGEST_DIGITS, LENGTH_DIGITS = 16, 3
 SLICE_BYTES = 1 << 21
 #: Rows of a bucket, and buckets at most: beyond that, buckets grow. They are sorted and read as streams, so their size is of no account to memory.
 ROWS_PER_BUCKET, MOST_BUCKETS = 512, 100_000
@@ -61,7 +61,7 @@ def fingerprints(texts: Sequence[bytes]) -> list[dict[str, int]]:
     for part in slices([len(t) for t in texts], SLICE_BYTES):
         own, joined = texts[part], b"".join(texts[part])
         digest = xxhash.xxh3_64_hexdigest
-        found += [{digest(joined[a:b])[:DIGEST_DIGITS]: b - a for a, b in pieces} for pieces in chunks(own)]
+        found += [{digest(joined[a:b]): b - a for a, b in pieces} for pieces in chunks(own)]
     return found
 
 
@@ -124,7 +124,7 @@ def in_order(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
 
 
 def edits(docs: DataFrame, key: str = "doc_id", part: int = 4) -> DataFrame:
-    """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row of `docs` (key, text).
+    """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row of `docs` (key, text); key is a whole number.
 
     The edited text drops a row's last floor(n_chars / part) code points and adds as many of the first ones of the next text
     (all of them, if fewer); the next row is by key, nulls first, ties by text, and after the last comes the first. near_*:
