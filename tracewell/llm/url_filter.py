@@ -84,7 +84,11 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     no links. Repeated rows stay repeated; other columns pass through. A name that is already taken
     (host, path, rule, verdict) is replaced.
     """
-    own = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    base = pages.drop("host", "path", "rule", "verdict")
+    url = F.col("url")
+    # a page without a node meets no alias; such pages are dealt out
+    node = F.coalesce(node_of(url), F.concat(F.lit("\0"), (F.monotonically_increasing_id() % 1024).cast("string")))
+    own = base.select(F.struct(*base.columns).alias("page"), host_of(url).alias("host"), path_of(url).alias("path"), node.alias("node"))
     edges = aliases(pages) if redirects is None else aliases(pages).unionByName(redirects.select("from_url", "to_url"))
     edges = saved(edges.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b"), "from_url", "to_url").dropna(), "aliases")
     ends = edges.select(F.col("from_url").alias("url")).unionByName(edges.select(F.col("to_url").alias("url")))
@@ -98,10 +102,5 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     )
     passed = component.join(decided, "component").select("node", "of_aliases")
     fits = matched_rules(own.select("host", "path").distinct(), rules)
-    return (
-        own.join(fits, ["host", "path"], "left")
-        .withColumn("_node", node_of(F.col("url")))
-        .join(passed.withColumnRenamed("node", "_node"), "_node", "left")
-        .withColumn("verdict", F.coalesce("action", "of_aliases", F.lit("allow")))
-        .select(*own.columns, "rule", "verdict")
-    )
+    verdict = F.coalesce("action", "of_aliases", F.lit("allow")).alias("verdict")
+    return own.join(fits, ["host", "path"], "left").join(passed, "node", "left").select("page.*", "host", "path", "rule", verdict)
