@@ -18,6 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Folders that are cleared when their application ends.
+_to_clear: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,9 +34,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    """df, written once to the shared folder and read again: lineage ends here, and a lost executor costs nothing.
+
+    The tables of an application lie in a folder of its own, which goes when the application ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if folder not in _to_clear:
+        _to_clear.add(folder)
+        there = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
