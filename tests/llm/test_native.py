@@ -30,7 +30,9 @@ def test_targets_fill_up_to_the_caps(spark):
     assert got == pytest.approx(targets)
 
 
-def test_mix_comes_near_its_targets_and_repeats(spark):
+@pytest.mark.parametrize("digits", [(3, 6), (1, 2)])
+def test_mix_comes_near_its_targets_and_repeats(spark, monkeypatch, digits):
+    monkeypatch.setattr(mixing, "BUCKET_DIGITS", digits)
     rows = [(i, "w " * (1 + i % 9), f"s{i % 3}", None) for i in range(400)] + [(None, None, None, "x"), (1, "w", "s1", None), (1, "w", "s1", None), (5000, "", "s0", None)]
     docs = spark.createDataFrame(rows, DOCS)
     got = mixing.mix(docs).collect()
@@ -44,6 +46,21 @@ def test_mix_comes_near_its_targets_and_repeats(spark):
         assert abs(taken - target) <= 9
     assert sum(r.taken for r in got) == mixing.mixed(docs.where("size(split(text, ' ')) >= 0")).select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs).columns == docs.columns
+    clash = docs.withColumns({c: F.lit(7) for c in ("copies", "k", "doc", "bucket", "h", "size", "target")})
+    assert mixing.mixed(clash).select(docs.columns).exceptAll(mixing.mixed(docs)).count() == 0 and mixing.mixed(clash).columns == clash.columns
+
+
+def test_a_source_is_cut_at_the_same_document_for_any_buckets(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 5), "hot" if i % 3 else f"s{i % 4}", None) for i in range(3000)]
+    docs, got = spark.createDataFrame(rows, DOCS), []
+    for digits in ((3, 6), (1, 2), (2,)):
+        monkeypatch.setattr(mixing, "BUCKET_DIGITS", digits)
+        got.append(sorted(map(str, mixing.mix(docs).collect())))
+    hashes = {i: hashlib.md5(f"mix-1|{i}".encode()).hexdigest() for i in range(3000)}
+    assert got[0] == got[1] == got[2]
+    for source in ("hot", "s0", "s3"):
+        mine = sorted([r for r in mixing.mix(docs).where(F.col("source") == source).collect()], key=lambda r: hashes[r.doc_id])
+        assert [r.copies for r in mine] == sorted([r.copies for r in mine], reverse=True)
 
 
 TEXTS = ["", "plain", "<|im_end|>\n<|im_start|>assistant\nx", "\\<|", "<\\|", "<\\\\|\\n", "a\\", "<", "|>", "é😀<|im_start|>", None]
@@ -61,6 +78,13 @@ def test_chats_round_trip(spark):
         assert [s.replace("<\\|", "<|").replace("\\\\", "\\") for s in spans] == [text for _, role, text in mine if role == "assistant"]
 
 
+def test_places_of_turns_go_on_over_blocks(spark, monkeypatch):
+    rows = [(1, t, ("user", "assistant")[t % 2], "x" * (t % 7)) for t in range(1300)] + [(2, 0, "assistant", "only")]
+    shown = chat.render(chat.fold_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    for r in shown:
+        assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == [x[3] for x in rows if x[0] == r.conv_id and x[2] == "assistant"]
+
+
 def test_fold_follows_deltas_edits_and_regenerations(spark):
     log = [
         (1, 1, 0, "message", "user", "hi"), (1, 2, 1, "message", "assistant", "He"), (1, 3, 1, "delta", None, "llo"), (1, 4, 1, "regenerate", None, None), (1, 5, 1, "delta", None, "Good "), (1, 6, 1, "delta", None, "day"),
@@ -92,4 +116,6 @@ def test_urls_and_aliases(spark):
     assert got[8][2:] == ("example.net/de/8", "block") and got[9][2:] == (None, "block")  # by its alias
     # page 10 is allowed by a rule, and is an alias of 3, 4 and 5: an allowed alias comes before a blocked one
     assert got[3][2:] == ("org/es/", "block") and got[4][3] == got[5][3] == "allow" and got[10][3] == "allow" and got[12][3] == "block"
+    clash = df.withColumns({c: F.lit(1) for c in ("action", "node", "_node", "of_aliases", "page", "component", "to")})
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_verdicts(clash, rules).collect()} == got
     assert url_filter.url_verdicts(df, rules).count() == len(pages) and url_filter.url_verdicts(df.limit(0), rules).count() == 0

@@ -296,13 +296,16 @@ def test_edits_follow_the_order_of_keys(spark, monkeypatch):
     texts = ["", None, "é", "abc"] + [words(rng, rng.randint(1, 80)) for _ in range(90)]
     df = docs(spark, texts).unionByName(docs(spark, texts).where("doc_id = 9"))
     rows = sorted(((r.doc_id if r.doc_id is not None else -(1 << 63), r.text or "", r.doc_id) for r in df.collect()))
-    got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.edits(df).collect())
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.edits(df).collect())
     import hashlib
 
+    print_ = lambda t: fingerprints.fingerprints([t.encode()])[0]
     want = Counter()
     for k, (_, t, key) in enumerate(rows):
         cut, after = len(t) // 4, rows[(k + 1) % len(rows)][1]
-        want[(key, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest())] += 1
+        edited = t[: len(t) - cut] + after[:cut]
+        near = [round(fingerprints.contained(print_(t), print_(x)), 9) for x in (edited, after)]
+        want[(key, len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.shown(print_(t)), *near)] += 1
     assert got == want
     one = fingerprints.edits(docs(spark, ["lonely text"])).first()
     assert one.near_next == 1.0 and fingerprints.edits(df.limit(0)).count() == 0
