@@ -112,16 +112,12 @@ def test_runners(command, runner):
 
 
 def test_segments_see_quotes_and_separators():
-    assert commands.segments("a 'b;c' && d | e\\ f; g > h 2>&1") == [(["a", "b;c"], False), (["d"], True), (["e f"], False), (["g", ">", "h", "2>&1"], False)]
+    found = commands.segments("a 'b;c' && d | e\\ f; g > h 2>&1 # i; j\n(k $(l; m))")
+    assert [(s.words, s.conditional, s.expands) for s in found] == [(["a", "b;c"], False, False), (["d"], True, False), (["e f"], False, False), (["g", "\0>", "h", "\0002>&1"], False, False), (["k", "$(l; m)"], False, True)]
     assert commands.segments('x "y') is None
-
-
-def test_classes(spark):
-    cases = [("sed -i s/a/b/ f", "edit"), ("cat f", "read"), ("ls | head", "search"), ("git diff", "git"), ("bash -c 'go test ./...'", "test"), ("sleep 3", "wait"), ("mkdir -p x", "housekeeping"), ("make > log", "capture"), ("frob", "other")]
-    calls = spark.createDataFrame([(str(i), "Bash", c) for i, (c, _) in enumerate(cases)] + [("x", "Mystery", None), ("y", "Read", None)], "id string, tool string, command string")
-    rules = spark.createDataFrame([("tool", "Mystery", None, "search")], classify.RULES_DDL)
-    got = {r.id: r["class"] for r in classify.classify(calls, rules).collect()}
-    assert [got[str(i)] for i in range(len(cases))] == [c for _, c in cases] and got["x"] == "search" and got["y"] == "read"
+    one = commands.segments("cat <<EOF > a; b\nx; 'y\nEOF\nc")
+    assert [(s.words, s.body) for s in one] == [(["cat", "\0<<", "EOF", "\0>", "a"], "x; 'y\n"), (["b"], None), (["c"], None)]
+    assert commands.redirected(one[0].words) == (["cat"], ["a"], True, True)
 
 
 def test_sequences_leave_out_runs_inside_longer_ones(spark):
@@ -175,3 +171,27 @@ def test_unequal_fault_rows_do_not_shift_later_pairs(spark):
     read = spark.createDataFrame([(f"r{t}", "s", t * 1000) for t in (0, 50, 100, 150, 460)] + [("u", "t", 60_001)], "row_id string, session_id string, ts long")
     got = {(r.fault_id, r.row_id) for r in reconcile.pair_faults(faults, read).collect()}
     assert got == {("f1", "r50"), ("f2", "r100"), ("f3", "r460")}
+
+
+#: Commands, what the rules say of them, and (for some) with the rules below.
+CLASSED = [
+    ("python3 - <<'EOF'\nopen('a', 'w').write('x')\nEOF", "edit"), ("python3 -c 'print(open(\"a\").read())'", "read"), ("node -e \"fs.writeFileSync('a', 'b')\"", "edit"), ("python3 tests/run_test.py", "test"), ("python3 -m mypy src", "test"),
+    ("until [ -f x ]; do sleep 1; done", "wait"), ("for p in a b; do git -C $p log; done", "read"), ("(cd x && make)", "test"), ("{ echo a; echo b; } >> log", "edit"), ("{ go vet ./...; echo done; } > log", "test,capture"),
+    ("git -C x branch", "read"), ("git tag -a v1 -m x", "git"), ("git grep foo", "search"), ("git apply --check p.diff", "read"), ("git apply p.diff", "edit"), ("git $x checkout main", "git"),
+    ("sed -n 1,5p", "other"), ("sed -n 1,5p a.py", "read"), ("sed -Ei s/a/b/ a.py", "edit"), ("perl -Mi -e 1", "other"), ("perl -pi -e 1 a", "edit"), ("awk '{print}'", "other"), ("jq . a.json", "read"), ("sort", "other"), ("tr a b", "other"),
+    ("sqlite3 a.db 'select 1'", "read"), ("sqlite3 a.db 'delete from t'", "other"), ("find . -delete", "housekeeping,search"), ("find . -name x -exec sed -i s/a/b/ {} +", "edit,search"),
+    ("cargo fmt --check", "test"), ("cargo fmt", "edit"), ("go -C x test ./...", "test"), ("npm run tsc", "test"), ("npm install", "other"), ("npx eslint --fix .", "edit"), ("black .", "edit"), ("black --check .", "test"), ("terraform plan", "other"), ("deno run check.ts", "test"),
+    ("cat <<EOF | tee a.txt\nx\nEOF", "edit"), ("ls | tee a.txt", "read,capture"), ("grep a b > t && mv t b", "edit,housekeeping,search,capture"), ("grep a b > t && mv t c", "housekeeping,search,capture"), ("echo $(git log) > x", "capture"), ("echo 'a $(b)' > x", "edit"), ("ls 2>/dev/null", "read"), ("> x", "capture"),
+    ("docker run i sh -c 'docker exec c bash -c \"ls; pytest\"'", "test,read"), ("./run-tests.sh", "test"), ("nothing known", "other"), ("", "other"),
+]
+RULED = [("box run rm x", "housekeeping"), ("timeout 5 box -q run 'pytest -q'", "test"), ("lanes --all x", "test"), ("echo lanes --all", "other"), ("env lanes --all", "test"), ("box --all run ls", "read")]
+
+
+def test_shell_commands_are_classed_by_the_rules(spark):
+    schema = "id string, tool string, command string"
+    got = {r.command: ",".join(r.classes) for r in classify.classify(spark.createDataFrame([(c, "Bash", c) for c, _ in CLASSED], schema)).withColumnRenamed("id", "command").collect()}
+    assert got == dict(CLASSED)
+    rules = spark.createDataFrame([("wrapper", "box", "run", None), ("test", "lanes", "--all --some", None), ("tool", "Read", None, "search")], classify.RULES_DDL)
+    rows = spark.createDataFrame([(c, "Bash", c) for c, _ in RULED] + [("r", "Read", None), ("n", "Bash", None), ("q", "Bash", "a 'b"), ("m", None, None)], schema)
+    got = {r.id: (",".join(r.classes), r.status) for r in classify.classify(rows, rules).collect()}
+    assert got == {c: (x, "ok") for c, x in RULED} | {"r": ("search", "ok"), "n": ("other", "ok"), "q": ("other", "error"), "m": ("other", "ok")}

@@ -9,33 +9,93 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PARSER = 1
+PARSER = 2
 #: Programs that run the command after them; with the options that take a value (fixed values).
 WRAPPERS = {"env": ("-u", "-C"), "nice": ("-n",), "timeout": ("-s", "-k"), "sudo": ("-u", "-g"), "nohup": (), "time": (), "command": (), "exec": (), "stdbuf": ("-o", "-e", "-i"), "xargs": ("-n", "-I", "-P", "-L")}
-SEPARATORS = re.compile(r"&&|\|\||;;|[;&|\n]")
+SEPARATORS = re.compile(r"&&|\|\||;;|[;&|\n()]")
 READERS = ("cat", "head", "tail", "less", "more", "nl", "wc")
 RUNNERS = {"pytest": "pytest", "vitest": "vitest", "jest": "jest"}
 SCRIPT_RUNNERS = ("npm", "pnpm", "yarn", "bun")
+#: A part of a command. stdout: a file takes its output; fed: its input is a heredoc or a here-string; expands: see Segment; script: see script_of().
+PART = "seq int, program string, args string, files string, conditional int, stdout boolean, fed boolean, expands boolean, script string"
 ASSIGNMENT = re.compile(r"^[A-Za-z_]\w*=")
 
 
-def segments(command: str) -> list[tuple[list[str], bool]] | None:
-    """Simple commands as words, and whether each follows && or ||; None if quotes do not balance."""
-    out, words, word, quote, conditional, i = [], [], None, "", False, 0
+#: In front of a word that is a redirection operator, so that a quoted > is told from one.
+OPERATOR = "\0"
+HEREDOC = re.compile(r"(?P<head><<-?\s*(['\"]?)(?P<end>\w+)\2[^\n]*)\n(?P<body>.*?)(?:^|(?<=\n))[\t ]*(?P=end)(?=\n|$)", re.S)
+PRINTED = re.compile(r"\$\(date[^)]*\)")
+
+
+#: Words of the shell's own that a command may stand after, that open what is no command, and that close a group (fixed values).
+BEFORE, NO_COMMAND, CLOSING = ("if", "then", "elif", "else", "do", "while", "until", "!", "{"), ("for", "case", "select", "function"), ("done", "fi", "esac", "}")
+#: What a script says when it writes or reads files.
+SCRIPT_WRITES = re.compile(r"""\bopen\([^()]*,\s*(?:mode\s*=\s*)?['"][rbt]*[wax+]|\.write_(?:text|bytes)\(|\b(?:writeFile|appendFile)(?:Sync)?\(|createWriteStream\(|\bshutil\.(?:copy|move)\w*\(|\bos\.(?:replace|rename)\(""")
+SCRIPT_READS = re.compile(r"""\bopen\(|\.read_(?:text|bytes)\(|\b(?:glob|listdir|walk|scandir|iterdir|stat|exists)\(""")
+SCRIPT_OPTIONS = {"python": "-c", "node": "-e", "nodejs": "-e"}
+
+
+class Segment(NamedTuple):
+    words: list[str]
+    conditional: bool  # it follows && or ||
+    expands: bool  # a word holds what another command prints or returns, other than the time
+    body: str | None  # of its heredoc
+
+
+def substitution(command: str, at: int) -> int:
+    """The end of the $( ) or the backticks that start at a place."""
+    if command[at] == "`":
+        return command.find("`", at + 1) + 1 or len(command)
+    depth, i = 1, at + 2
+    while i < len(command) and depth:
+        depth += {"(": 1, ")": -1}.get(command[i], 0)
+        i += 1
+    return i
+
+
+def segments(command: str) -> list[Segment] | None:
+    """Simple commands, the bodies of heredocs apart; None if quotes do not balance."""
+    bodies: list[str] = []
+
+    def without_body(m: re.Match) -> str:
+        bodies.append(m["body"])
+        return m["head"]
+
+    command = HEREDOC.sub(without_body, command)
+    out, words, word, quote, conditional, expands, i = [], [], None, "", False, False, 0
+
+    def body_of(words: list[str]) -> str | None:
+        own = [bodies.pop(0) for w in words if w.startswith(OPERATOR) and "<<" in w and not w.endswith("<<<") and bodies]
+        return own[-1] if own else None
+
+    def end_of_word() -> None:
+        nonlocal word
+        if word is not None:
+            words.append(word)
+        word = None
+
     while i < len(command):
         c = command[i]
-        if quote:
+        if quote != "'" and (c == "`" or command.startswith("$(", i)):
+            stop = substitution(command, i)
+            word = (word or "") + command[i:stop]
+            expands |= not PRINTED.fullmatch(command[i:stop])
+            i = stop - 1
+        elif quote:
             if c == quote:
                 quote = ""
             elif c == "\\" and quote == '"' and i + 1 < len(command):
                 i += 1
                 word = (word or "") + command[i]
             else:
+                expands |= quote == '"' and command.startswith(("$?", "${?"), i)
                 word = (word or "") + c
         elif c in "'\"":
             quote, word = c, word or ""
@@ -43,35 +103,45 @@ def segments(command: str) -> list[tuple[list[str], bool]] | None:
             i += 1
             if command[i] != "\n":
                 word = (word or "") + command[i]
+        elif command.startswith("&>", i) or c in "<>":
+            number = word if word and word.isdigit() else ""
+            if not number:
+                end_of_word()
+            m = re.compile(r"&>>?|<<<|<<-?|<|>>|>\||>&[\d-]?|>").match(command, i)
+            words.append(OPERATOR + number + m[0])
+            word, i = None, m.end() - 1
         elif m := SEPARATORS.match(command, i):
-            if m[0] == "&" and (word or "").endswith(">") or (m[0] == "&" and command[i + 1 : i + 2] == ">"):
-                word = (word or "") + c
-            else:
-                if word is not None:
-                    words.append(word)
-                if words:
-                    out.append((words, conditional))
-                words, word, conditional = [], None, m[0] in ("&&", "||")
-                i += len(m[0]) - 1
+            end_of_word()
+            if words:
+                out.append(Segment(words, conditional, expands, body_of(words)))
+            conditional, words, expands = m[0] in ("&&", "||"), [], False
+            i = m.end() - 1
         elif c.isspace():
-            if word is not None:
-                words.append(word)
-                word = None
+            end_of_word()
+        elif c == "#" and word is None:
+            i = command.find("\n", i) - 1
+            if i < -1:
+                break
         else:
+            expands |= command.startswith(("$?", "${?"), i)
             word = (word or "") + c
         i += 1
     if quote:
         return None
-    if word is not None:
-        words.append(word)
+    end_of_word()
     if words:
-        out.append((words, conditional))
+        out.append(Segment(words, conditional, expands, body_of(words)))
     return out
 
 
 def unwrapped(words: list[str]) -> list[str]:
-    """Words without assignments in front and without the wrappers that run them."""
+    """Words without assignments and words of the shell's own in front, and without the wrappers that run them."""
     while words:
+        if words[0] in NO_COMMAND:
+            return []
+        if words[0] in BEFORE or words[0] in CLOSING:
+            words = words[1:]
+            continue
         if ASSIGNMENT.match(words[0]):
             words = words[1:]
             continue
@@ -87,26 +157,33 @@ def unwrapped(words: list[str]) -> list[str]:
     return words
 
 
-def redirected(words: list[str]) -> tuple[list[str], list[str]]:
-    """Words without output redirections, and the files these write."""
-    kept, files, i = [], [], 0
+class Redirected(NamedTuple):
+    words: list[str]  # without redirections
+    files: list[str]  # that it writes
+    stdout: bool  # one of them takes its standard output
+    fed: bool  # a heredoc or a here-string is its input
+
+
+def redirected(words: list[str]) -> Redirected:
+    kept, files, stdout, fed, i = [], [], False, False, 0
     while i < len(words):
-        m = re.match(r"^(?:\d|&)?>>?(?!&)(.*)$", words[i])
-        if m and not re.match(r"^\d?>&", words[i]):
-            target = m[1] or (words[i + 1] if i + 1 < len(words) else "")
-            i += 0 if m[1] else 1
-            if target and target != "/dev/null":
-                files.append(target)
-        elif not re.match(r"^\d?>&\d?$", words[i]):
+        if not words[i].startswith(OPERATOR):
             kept.append(words[i])
+        elif not re.search(r">&[\d-]$", words[i]):  # the word after it is its target
+            i += 1
+            if "<<" in words[i - 1]:
+                fed = True
+            elif ">" in words[i - 1] and i < len(words) and words[i] != "/dev/null":
+                files.append(words[i])
+                stdout |= not words[i - 1].startswith(f"{OPERATOR}2")
         i += 1
-    return kept, files
+    return Redirected(kept, files, stdout, fed)
 
 
 def test_runner(command: str) -> str | None:
     """The test runner of the first segment that is a test."""
-    for words, _ in segments(command) or []:
-        words = unwrapped(words)
+    for segment in segments(command) or []:
+        words = unwrapped(redirected(segment.words).words)
         if not words:
             continue
         name, rest = words[0].rsplit("/", 1)[-1], [w for w in words[1:] if not w.startswith("-")]
@@ -134,7 +211,7 @@ def cut_content(command: str) -> tuple[str | None, int]:
         cut += len(m["body"].encode())
         return f"{m['head']}\n{m['end']}"
 
-    text = re.sub(r"(?P<head><<-?\s*(['\"]?)(?P<end>\w+)\2[^\n]*)\n(?P<body>.*?)(?:^|(?<=\n))[\t ]*(?P=end)(?=\n|$)", heredoc, text, flags=re.S)
+    text = HEREDOC.sub(heredoc, text)
     if segments(re.sub(r"<<-?\s*['\"]?\w+['\"]?", "", text)) is None:
         return None, len(command.encode())
     operand = r"(?:'[^']*'|\"(?:[^\"\\]|\\.)*\"|[^\s;&|<>]+)"
@@ -150,36 +227,85 @@ def cut_content(command: str) -> tuple[str | None, int]:
     return text, cut
 
 
+def script_of(words: list[str], body: str | None) -> str | None:
+    """Whether the script that an interpreter is given, by an option or as its input, `writes` or `reads` files; `runs` if neither."""
+    name = words[0].rsplit("/", 1)[-1]
+    option = SCRIPT_OPTIONS.get("python" if name.startswith("python") else name)
+    if option is None:
+        return None
+    text = words[words.index(option) + 1] if option in words[1:-1] else body
+    return None if text is None else "writes" if SCRIPT_WRITES.search(text) else "reads" if SCRIPT_READS.search(text) else "runs"
+
+
+def parts_of(command: str) -> list[dict] | None:
+    """The parts (PART) of a command; None if it does not split. What a group's output goes to is a matter of its first part that is no echo."""
+    found, parts, groups = segments(command), [], []
+    for seq, segment in enumerate(found or []):
+        r = redirected(segment.words)
+        words = unwrapped(r.words)
+        groups += [len(parts)] * (r.words[:1] == ["{"])
+        if r.words[:1] == ["}"] and groups:
+            group = parts[groups.pop() :]
+            part = next((p for p in group if p["program"] not in ("echo", "printf")), group[-1] if group else None)
+            if part and r.files:
+                part["files"] = json.dumps(json.loads(part["files"]) + [f"write\t\t?\t{w}" for w in r.files])
+                part["stdout"] = part["stdout"] or r.stdout
+            continue
+        if not words and not r.files:
+            continue
+        name = words[0].rsplit("/", 1)[-1] if words else ""
+        read = [w for w in words[1:] if not w.startswith("-")] if name in READERS else []
+        files = [f"read-whole\t\t?\t{w}" for w in read] + [f"write\t\t?\t{w}" for w in r.files]
+        parts.append({
+            "seq": seq, "program": words[0] if words else "", "args": json.dumps(words[1:]), "files": json.dumps(files), "conditional": int(segment.conditional),
+            "stdout": r.stdout, "fed": r.fed, "expands": segment.expands, "script": script_of(words, segment.body) if words else None,
+        })
+    return None if found is None else parts
+
+
 def command_facts(commands: DataFrame) -> DataFrame:
     """(command, parts, test_runner, cut, cut_bytes, status) of the distinct commands of `commands` (command)."""
-    schema = "command string, parts array<struct<seq:int,program:string,args:string,files:string,conditional:int>>, test_runner string, cut string, cut_bytes int, status string"
+    schema = f"command string, parts array<struct<{PART.replace(' ', ':').replace(',:', ',')}>>, test_runner string, cut string, cut_bytes int, status string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for command in f["command"]:
-                found, parts = segments(command), []
-                for seq, (words, conditional) in enumerate(found or []):
-                    words, written = redirected(unwrapped(words))
-                    if not words:
-                        continue
-                    name = words[0].rsplit("/", 1)[-1]
-                    read = [w for w in words[1:] if not w.startswith("-")] if name in READERS else []
-                    files = [f"read-whole\t\t?\t{w}" for w in read] + [f"write\t\t?\t{w}" for w in written]
-                    parts.append({"seq": seq, "program": words[0], "args": json.dumps(words[1:]), "files": json.dumps(files), "conditional": int(conditional)})
+                parts = parts_of(command)
                 cut, size = cut_content(command)
-                rows.append((command, parts, test_runner(command), cut, size, "ok" if found is not None else "error"))
+                rows.append((command, parts or [], test_runner(command), cut, size, "error" if parts is None else "ok"))
             yield pd.DataFrame(rows, columns=["command", "parts", "test_runner", "cut", "cut_bytes", "status"])
 
     return commands.select("command").where("command is not null").distinct().mapInPandas(run, schema)
 
 
+#: Of a part, what command_segments() gives besides its call and its seq.
+PART_COLUMNS = ["program", "args", "files", "conditional", "stdout", "fed", "expands", "script", "parse_status", "parser"]
+
+
+def with_parts(rows: DataFrame, *keys: str) -> DataFrame:
+    """A row for each part of rows (keys, status, parts); one without a command that splits is a part of status `error`."""
+    none = F.array(F.from_json(F.lit('{"seq": 0, "conditional": 0}'), PART))
+    each = rows.select(*keys, F.col("status").alias("parse_status"), F.explode(F.when(F.col("status") == "ok", F.col("parts")).otherwise(none)).alias("p"))
+    return each.select(*keys, "p.seq", *(f"p.{c}" for c in PART_COLUMNS[:-2]), "parse_status", F.lit(PARSER).alias("parser"))
+
+
 def command_segments(calls: DataFrame) -> DataFrame:
-    """command_parts of calls (tool_use_id, command): each distinct command is split once. One that does not split is a part of status `error`."""
-    facts = command_facts(calls)
-    none = F.array(F.struct(F.lit(0).alias("seq"), F.lit(None).cast("string").alias("program"), F.lit(None).cast("string").alias("args"), F.lit(None).cast("string").alias("files"), F.lit(0).alias("conditional")))
-    rows = calls.select("tool_use_id", "command").join(facts, "command").select("tool_use_id", "status", F.explode(F.when(F.col("status") == "ok", F.col("parts")).otherwise(none)).alias("p"))
-    return rows.select("tool_use_id", "p.seq", F.lit("sh").alias("lang"), "p.program", "p.args", "p.files", "p.conditional", F.col("status").alias("parse_status"), F.lit(PARSER).alias("parser"))
+    """command_parts of calls (tool_use_id, command), with stdout, fed and expands (see PART): each distinct command is split once."""
+    parts = with_parts(calls.select("tool_use_id", "command").join(command_facts(calls), "command"), "tool_use_id")
+    return parts.select("tool_use_id", "seq", F.lit("sh").alias("lang"), *PART_COLUMNS)
+
+
+def split_commands(commands: DataFrame, key: str) -> DataFrame:
+    """(key, seq, PART_COLUMNS): the parts of commands (key, command) that are distinct or few, split where they are."""
+    schema = T.StructType([commands.schema[key], T.StructField("status", T.StringType()), T.StructField("parts", T.ArrayType(T.StructType.fromDDL(PART)))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [parts_of(c) for c in f["command"]]
+            yield pd.DataFrame({key: f[key], "status": ["error" if x is None else "ok" for x in found], "parts": [x or [] for x in found]})
+
+    return with_parts(commands.select(key, "command").mapInPandas(run, schema), key)
 
 
 def parts_to_refresh(calls: DataFrame, parts: DataFrame, version: int = PARSER, retry: tuple[str, ...] = ("unparsed", "python-unavailable")) -> DataFrame:

@@ -269,7 +269,7 @@ ASSISTANT = "FROM cv WHERE role = 'assistant'"
 entry("e01_requests", lambda S: E.requests_from_transcript(P_(S)).select("request_id", "session_id", "prompt_id", "ts", "model", "stop_reason", "api_request_id", "input_tokens", "cache_read_tokens", "cache_creation_tokens", "output_tokens"),
       f"WITH {CONV} SELECT 'm' || tag AS request_id, session_id, prompt_id, ms AS ts, 'model-' || (conv_id % 3) AS model, CASE WHEN n % 4 = 0 THEN 'end_turn' ELSE 'tool_use' END AS stop_reason, 'req' || tag AS api_request_id, n % 1000 AS input_tokens, turn * 1000 AS cache_read_tokens, n * 3 % 700 AS cache_creation_tokens, n AS output_tokens {ASSISTANT}")
 entry("e02_context_tokens", lambda S: E.requests_from_transcript(P_(S)).select("request_id", "context_tokens"), f"WITH {CONV} SELECT 'm' || tag AS request_id, n % 1000 + turn * 1000 + n * 3 % 700 AS context_tokens {ASSISTANT}")
-entry("e03_tool_uses", lambda S: E.tool_uses(P_(S)).select("request_id", "tool_use_id", "tool", "ts", "cwd", F.get_json_object("input", "$.command").alias("command")), f"WITH {CONV} SELECT 'm' || tag AS request_id, 't' || tag AS tool_use_id, 'Bash' AS tool, ms + 1000 AS ts, '/w' AS cwd, CASE WHEN n % 2 = 0 THEN 'git commit -m ''x''' ELSE 'pytest -q | tail -3' END AS command {ASSISTANT}")
+entry("e03_tool_uses", lambda S: E.tool_uses(P_(S)).select("request_id", "tool_use_id", "tool", "ts", "cwd", F.get_json_object("input", "$.command").alias("command")), f"WITH {CONV} SELECT 'm' || tag AS request_id, 't' || tag AS tool_use_id, 'Bash' AS tool, ms + 1000 AS ts, '/w' AS cwd, CASE WHEN n % 2 = 0 THEN 'git commit -m ''x ' || tag || '''' ELSE 'cd t' || turn || ' && pytest -q ' || tag || '.py | tail -3' END AS command {ASSISTANT}")
 entry("e04_prompt_of", lambda S: E.prompt_of(P_(S)).where("type = 'assistant'").select("path", "line_no", "prompt_id"), f"WITH {CONV} SELECT '/h/projects/proj/' || session_id || '.jsonl' AS path, turn * 10 + k AS line_no, prompt_id FROM cv CROSS JOIN (SELECT unnest([0, 1]) AS k) WHERE role = 'assistant'")
 entry("e05_iterations", lambda S: E.iterations(P_(S)).select("request_id", "seq", "type", "output_tokens"), f"WITH {CONV} SELECT 'm' || tag AS request_id, 1 AS seq, 'fallback_message' AS type, n % 77 AS output_tokens {ASSISTANT}")
 entry("e06_compactions", lambda S: E.compactions(P_(S)).select("entry_id", "session_id", "ts", "trigger", "pre_tokens", "post_tokens"), f"WITH {CONV} SELECT 'u' || tag AS entry_id, session_id, ms AS ts, CASE WHEN n % 2 = 0 THEN 'auto' END AS trigger, n AS pre_tokens, n // 4 AS post_tokens FROM cv WHERE role = 'system'")
@@ -285,11 +285,13 @@ entry("e15_e17_call_rows", lambda S: E.call_rows(SRC.payloads(X.call_payloads(S)
       f"""SELECT tool_use_id, ts, duration_ms, failed, file_path, CASE WHEN tool = 'Read' THEN greatest(read_start - 5, 1) END AS read_start, read_lines, CASE WHEN tool = 'Write' THEN 0 WHEN tool = 'Edit' THEN duration_ms % 50 END AS file_bytes_before,
       CASE WHEN tool = 'Write' THEN 2 WHEN tool = 'Edit' THEN 2 END AS lines_added, CASE WHEN tool = 'Write' THEN 0 WHEN tool = 'Edit' THEN 1 END AS lines_removed FROM ({CALLP})""")
 entry("e18_commits", lambda S: E.call_rows(SRC.payloads(X.call_payloads(S))[0]).where("commit_sha is not null").select("tool_use_id", "commit_sha", "commit_branch"), f"SELECT tool_use_id, left(sha256(tool_use_id), 8) AS commit_sha, 'main' AS commit_branch FROM ({CALLP}) WHERE tool = 'Bash'")
-entry("e19_test_runner", lambda S: C.command_facts(E.tool_uses(P_(S)).select(F.get_json_object("input", "$.command").alias("command"))).select("command", "test_runner"), f"WITH {CONV} SELECT DISTINCT CASE WHEN n % 2 = 0 THEN 'git commit -m ''x''' ELSE 'pytest -q | tail -3' END AS command, CASE WHEN n % 2 = 1 THEN 'pytest' END AS test_runner {ASSISTANT}")
+entry("e19_test_runner", lambda S: C.command_facts(E.tool_uses(P_(S)).select(F.get_json_object("input", "$.command").alias("command"))).select("command", "test_runner"), f"WITH {CONV} SELECT DISTINCT CASE WHEN n % 2 = 0 THEN 'git commit -m ''x ' || tag || '''' ELSE 'cd t' || turn || ' && pytest -q ' || tag || '.py | tail -3' END AS command, CASE WHEN n % 2 = 1 THEN 'pytest' END AS test_runner {ASSISTANT}")
 entry("e20_agent_totals", lambda S: E.agent_totals(P_(S).withColumn("path", F.regexp_replace("path", "/s([0-9]+).jsonl", "/subagents/agent-a$1.jsonl"))), f"WITH {CONV}, l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ms DESC) AS r {ASSISTANT}) SELECT 'a' || conv_id AS agent_id, isum(n % 1000 + turn * 1000 + n * 3 % 700 + n) AS total_tokens, count(*) AS tool_uses, max(CASE WHEN r = 1 THEN 'model-' || (conv_id % 3) END) AS model FROM l GROUP BY conv_id")
 entry("e21_turn_end", lambda S: E.turn_end(P_(S).where("not (type = 'user' and message.content like '%tool_result%')")).select("session_id", "event", "ts"), f"WITH {CONV}, l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM cv WHERE role <> 'system') SELECT session_id, 'Stop' AS event, ms + 1000 AS ts FROM l WHERE r = 1 AND role = 'assistant' AND n % 4 = 0")
-entry("e22_command_segments", lambda S: C.command_segments(E.tool_uses(P_(S)).select("tool_use_id", F.get_json_object("input", "$.command").alias("command"))).select("tool_use_id", "seq", "program", "args", "parse_status"),
-      f"WITH {CONV} SELECT 't' || tag AS tool_use_id, k AS seq, CASE WHEN n % 2 = 0 THEN 'git' WHEN k = 0 THEN 'pytest' ELSE 'tail' END AS program, CASE WHEN n % 2 = 0 THEN '[\"commit\", \"-m\", \"x\"]' WHEN k = 0 THEN '[\"-q\"]' ELSE '[\"-3\"]' END AS args, 'ok' AS parse_status FROM cv CROSS JOIN (SELECT unnest([0, 1]) AS k) WHERE role = 'assistant' AND (k = 0 OR n % 2 = 1)")
+entry("e22_command_segments", lambda S: C.command_segments(E.tool_uses(P_(S)).select("tool_use_id", F.get_json_object("input", "$.command").alias("command"))).select("tool_use_id", "seq", "program", "args", "conditional", "parse_status"),
+      f"""WITH {CONV} SELECT 't' || tag AS tool_use_id, k AS seq, CASE WHEN n % 2 = 0 THEN 'git' WHEN k = 0 THEN 'cd' WHEN k = 1 THEN 'pytest' ELSE 'tail' END AS program,
+      CASE WHEN n % 2 = 0 THEN '["commit", "-m", "x ' || tag || '"]' WHEN k = 0 THEN '["t' || turn || '"]' WHEN k = 1 THEN '["-q", "' || tag || '.py"]' ELSE '["-3"]' END AS args, CASE WHEN n % 2 = 1 AND k = 1 THEN 1 ELSE 0 END AS conditional, 'ok' AS parse_status
+      FROM cv CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE role = 'assistant' AND (k = 0 OR n % 2 = 1)""")
 entry("e24_parts_to_refresh", lambda S: C.parts_to_refresh(S.calls, S.command_parts, 3).select("tool_use_id"), "SELECT tool_use_id FROM {calls} WHERE tool = 'Bash' AND (tool_use_id NOT IN (SELECT tool_use_id FROM {command_parts}) OR tool_use_id IN (SELECT tool_use_id FROM {command_parts} WHERE parse_status = 'unparsed'))")
 entry("e25_chat_titles", lambda S: E.chat_titles(P_(S)), f"WITH {CONV} SELECT session_id, trim(regexp_replace(left(text, 20) || chr(10) || ' x', '\\s+', ' ', 'g')) AS title FROM cv WHERE turn = 0")
 entry("e26_task_notices", lambda S: E.task_notices(P_(S).withColumn("message", F.col("message").withField("content", F.concat(F.lit("<task-id>a"), F.col("line_no").cast("string"), F.lit("</task-id><status>"), F.when(F.col("line_no") % 20 == 0, "done").otherwise(""), F.lit("</status>")))).where("promptId is not null")).groupBy("agent_id").agg(F.count("*").alias("n")), f"WITH {CONV} SELECT 'a' || (turn * 10) AS agent_id, count(*) AS n FROM cv WHERE role NOT IN ('assistant', 'system') AND turn % 3 <> 0 AND turn % 2 = 0 GROUP BY turn")
@@ -361,11 +363,48 @@ entry("m27_settle_calls", lambda S: M.settle_calls(S.calls.select("tool_use_id",
 entry("m28_insert_earliest", lambda S: M.insert_earliest(S.hook_events.select(F.concat("session_id", F.lit("/"), "event").alias("event_id"), "ts", F.col("event_id").alias("v"))), "SELECT session_id || '/' || event AS event_id, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS v FROM {hook_events} GROUP BY 1")
 
 # Classification
-COMMANDS = lambda S: S.calls.select(F.col("tool_use_id").alias("id"), "tool", F.when(F.col("tool") == "Bash", F.element_at(F.array(*map(F.lit, ("git status && sed -i s/a/b/ x.py", "cat f.py | head -3", "docker exec c bash -c 'pytest -q'", "echo hi > out.txt", "sleep 5; ls", "odd 'quote"))), F.coalesce(F.col("duration_ms") % 6, F.lit(0)).cast("int") + 1)).alias("command"))
-CLASS_SQL = "CASE coalesce(duration_ms % 6, 0) WHEN 0 THEN 'edit' WHEN 1 THEN 'read' WHEN 2 THEN 'test' WHEN 3 THEN 'edit' WHEN 4 THEN 'search' ELSE 'other' END"
-entry("k01_classify", lambda S: K.classify(COMMANDS(S)).groupBy("class", "status").agg(F.count("*").alias("n")), f"SELECT CASE tool WHEN 'Bash' THEN {CLASS_SQL} WHEN 'Grep' THEN 'search' WHEN 'Read' THEN 'read' WHEN 'Agent' THEN 'spawn' ELSE 'edit' END AS class, CASE WHEN tool = 'Bash' AND coalesce(duration_ms % 6, 0) = 5 THEN 'error' ELSE 'ok' END AS status, count(*) AS n FROM {{calls}} GROUP BY 1, 2")
-entry("k02_part_classes", lambda S: K.part_classes(S.command_parts.withColumnRenamed("tool_use_id", "id"), S.spark.createDataFrame([("test", "git", "status", None)], K.RULES_DDL)).select("id", "seq", F.array_join("classes", ",").alias("classes")), """SELECT tool_use_id AS id, seq, CASE program WHEN 'cd' THEN 'housekeeping' WHEN 'git' THEN 'git,test' WHEN '/usr/bin/cat' THEN '' WHEN 'sed' THEN 'capture' WHEN 'pytest' THEN 'test' WHEN 'echo' THEN '' ELSE 'search' END AS classes FROM {command_parts}""")
-entry("k03_expand_wrapped", lambda S: K.expand_wrapped(C.command_segments(COMMANDS(S).where("tool = 'Bash'").withColumnRenamed("id", "tool_use_id")).withColumnRenamed("tool_use_id", "id")).groupBy("program").agg(F.count("*").alias("n")), "SELECT p AS program, count(*) AS n FROM {calls}, UNNEST(CASE coalesce(duration_ms % 6, 0) WHEN 0 THEN ['git', 'sed'] WHEN 1 THEN ['cat', 'head'] WHEN 2 THEN ['docker', 'pytest'] WHEN 3 THEN ['echo'] WHEN 4 THEN ['sleep', 'ls'] ELSE [NULL] END) AS u(p) WHERE tool = 'Bash' GROUP BY 1")
+#: By turns, commands of shell calls that hold the call's duration d; what the rules say of each; the programs of its parts, as path, seq and program.
+SHELL_CASES = [
+    ("git status && sed -i s/a/b/ x{d}.py", "edit,read", ["|0|git", "|1|sed"]),
+    ("cat f{d}.py | head -3", "read", ["|0|cat", "|1|head"]),
+    ("docker exec c bash -c 'pytest -q t{d}.py; sleep 1'", "test,wait", ["|0|docker", "/0|0|pytest", "/0|1|sleep"]),
+    ("echo hi > out{d}.txt", "edit", ["|0|echo"]),
+    ("sleep 5; ls d{d}", "read,wait", ["|0|sleep", "|1|ls"]),
+    ("odd {d} 'quote", "other", ["|0|"]),
+    ("git log -{d} | grep x > o.txt", "search,read,capture", ["|0|git", "|1|grep"]),
+    ("jq . a{d}.json > t && mv t a{d}.json", "edit,housekeeping,read,capture", ["|0|jq", "|1|mv"]),
+    ("find . -name x{d} -exec rm {{}} \\;", "housekeeping,search", ["|0|find"]),
+    ("npm run build-{d} && echo $? >> log", "test,capture", ["|0|npm", "|1|echo"]),
+    ("cat > n{d}.py <<'EOF'\nrm -r x; pytest\nEOF", "edit", ["|0|cat"]),
+    ("git stash list; git branch b{d}", "git,read", ["|0|git", "|1|git"]),
+    ("cd d{d} && export A=1", "other", ["|0|cd", "|1|export"]),
+    ("printf %s {d} | tee f{d}.txt", "edit", ["|0|printf", "|1|tee"]),
+    ("python3 -m pytest t{d}.py 2>&1 | tail -5", "test", ["|0|python3", "|1|tail"]),
+    ("box.sh -v run go build ./p{d}", "test", ["|0|box.sh", "/0|0|go"]),
+]
+SHELL_RULES = [("wrapper", "box.sh", "run", None), ("tool", "Grep", None, "read")]
+
+
+def COMMANDS(S: StandIns) -> DataFrame:
+    d = F.coalesce("duration_ms", F.lit(0))
+    parts = [[F.lit(x) for x in c.replace("{{}}", "{}").split("{d}")] for c, _, _ in SHELL_CASES]
+    texts = [F.concat(*[y for x in p for y in (x, d.cast("string"))][:-1]) for p in parts]
+    return S.calls.select(F.col("tool_use_id").alias("id"), "tool", F.when(F.col("tool") == "Bash", F.element_at(F.array(*texts), (d % len(texts)).cast("int") + 1)).alias("command"))
+
+
+def of_case(values: list[str]) -> str:
+    return f"CASE coalesce(duration_ms, 0) % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+entry("k01_classify", lambda S: K.classify(COMMANDS(S), S.spark.createDataFrame(SHELL_RULES, K.RULES_DDL)).select("id", "class", F.array_join("classes", ",").alias("classes"), "status"),
+      f"""WITH k AS (SELECT tool_use_id AS id, CASE tool WHEN 'Bash' THEN {of_case([f"'{c}'" for _, c, _ in SHELL_CASES])} WHEN 'Grep' THEN 'read' WHEN 'Read' THEN 'read' WHEN 'Agent' THEN 'spawn' ELSE 'edit' END AS classes,
+      CASE WHEN tool = 'Bash' AND coalesce(duration_ms, 0) % {len(SHELL_CASES)} = 5 THEN 'error' ELSE 'ok' END AS status FROM {{calls}}) SELECT id, split_part(classes, ',', 1) AS class, classes, status FROM k""")
+# by the rules: a directory change, an echo and a reader without operands have no class; sed -n with a script only filters, and its output goes to a file; the rule says that a grep of src is a test
+entry("k02_part_classes", lambda S: K.part_classes(S.command_parts.withColumnRenamed("tool_use_id", "id"), S.spark.createDataFrame([("test", "grep", "src lib", None)], K.RULES_DDL)).select("id", "seq", F.array_join("classes", ",").alias("classes")),
+      """SELECT tool_use_id AS id, seq, CASE program WHEN 'cd' THEN '' WHEN 'git' THEN 'read' WHEN '/usr/bin/cat' THEN '' WHEN 'sed' THEN 'capture' WHEN 'pytest' THEN 'test' WHEN 'echo' THEN '' ELSE 'test' END AS classes FROM {command_parts}""")
+entry("k03_expand_wrapped", lambda S: K.expand_wrapped(C.command_segments(COMMANDS(S).where("tool = 'Bash'").withColumnRenamed("id", "tool_use_id")).withColumnRenamed("tool_use_id", "id"), S.spark.createDataFrame(SHELL_RULES, K.RULES_DDL)).select("id", "path", "seq", F.coalesce("program", F.lit("")).alias("program")),
+      f"""SELECT id, split_part(p, '|', 1) AS path, CAST(split_part(p, '|', 2) AS INTEGER) AS seq, split_part(p, '|', 3) AS program
+      FROM (SELECT tool_use_id AS id, unnest({of_case([str(list(ps)) for _, _, ps in SHELL_CASES])}) AS p FROM {{calls}} WHERE tool = 'Bash')""")
 entry("k04_parse_status", lambda S: K.parse_status(S.command_parts.withColumnRenamed("tool_use_id", "id")), "SELECT tool_use_id AS id, coalesce(arg_min(parse_status, seq) FILTER (parse_status <> 'ok'), 'ok') AS status FROM {command_parts} GROUP BY 1")
 
 # Reconciliation

@@ -27,7 +27,7 @@ def transcripts(S: StandIns) -> DataFrame:
     model = F.concat(F.lit("model-"), (F.col("conv_id") % 3).cast("string"))
     user = F.struct(F.lit("user").alias("type"), stamp(0).alias("timestamp"), session.alias("sessionId"), F.when(F.col("turn") % 3 != 0, name("p")).alias("promptId"), F.struct(F.col("text").alias("content")).alias("message"))
     said = F.struct(F.lit("assistant").alias("type"), stamp(0).alias("timestamp"), session.alias("sessionId"), name("req").alias("requestId"), F.struct(name("m").alias("id"), model.alias("model"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"), usage(F.lit(1)).alias("usage")).alias("message"))
-    command = F.struct(F.when(F.col("n") % 2 == 0, "git commit -m 'x'").otherwise("pytest -q | tail -3").alias("command"))
+    command = F.struct(F.when(F.col("n") % 2 == 0, F.concat(F.lit("git commit -m 'x "), tag, F.lit("'"))).otherwise(F.concat(F.lit("cd t"), F.col("turn").cast("string"), F.lit(" && pytest -q "), tag, F.lit(".py | tail -3"))).alias("command"))
     call = F.struct(F.lit("assistant").alias("type"), stamp(1).alias("timestamp"), session.alias("sessionId"), F.lit("/w").alias("cwd"), F.struct(name("m").alias("id"), model.alias("model"), F.when(F.col("n") % 4 == 0, "end_turn").otherwise("tool_use").alias("stop_reason"), F.array(F.struct(F.lit("tool_use").alias("type"), name("t").alias("id"), F.lit("Bash").alias("name"), command.alias("input"))).alias("content"), usage(F.col("n")).alias("usage")).alias("message"))
     failed = F.col("n") % 5 == 3
     told = F.when(failed & (F.col("n") % 2 == 0), F.concat(F.lit("Permission to use Bash "), F.col("text"))).otherwise(F.col("text"))
