@@ -89,19 +89,19 @@ SECRET = "s3cret words"
 
 @pytest.mark.parametrize("tool", ["Bash", "mcp__x__y", "Edit"])
 def test_no_text_passes_the_input_rules(spark, tool):
-    value = json.dumps({"command": SECRET, "file_path": "/a/b", "n": 3, "flag": True, "none": None, "nested": {"x": SECRET}, "list": [SECRET], "url": "https://u:p@h/x?q=" + SECRET, "model": "m"})
+    value = json.dumps({"command": f"echo {SECRET} > f", "prompt": SECRET, "to": "x", "file_path": "/a/b", "n": 3, "flag": True, "none": None, "nested": {"x": SECRET}, "list": [SECRET], "url": "https://u:p@h/x?q=" + SECRET, "model": "m"})
     df = spark.createDataFrame([(tool, value)], "tool string, input string")
     once = df.withColumn("input", privacy.sanitize_input(F.col("tool"), F.col("input")))
     out = json.loads(once.first()["input"])
-    assert SECRET not in once.first()["input"] and out["n"] == 3 and out["flag"] is True and out["command_bytes"] == len(SECRET)
+    assert SECRET not in once.first()["input"] and out["n"] == 3 and out["flag"] is True and (out["command"] == f"echo '[cut]' > f" if tool == "Bash" else out["command_bytes"] == len(SECRET) + 9)
     assert ("file_path" in out) == (tool != "mcp__x__y")
     assert once.withColumn("input", privacy.sanitize_input(F.col("tool"), F.col("input"))).first()["input"] == once.first()["input"]
 
 
 def test_no_text_passes_the_detail_and_command_rules(spark):
-    detail = json.dumps({"reason": "exit", "a": [{"b": {"c": SECRET}}], "x": 1})
-    got = spark.createDataFrame([(detail,), ("{torn",), (None,)], "d string").select(privacy.sanitize_detail("d").alias("d")).collect()
-    assert SECRET not in got[0].d and '"reason":"exit"' in got[0].d and got[1].d is None and got[2].d is None
+    detail = json.dumps({"reason": "logout", "a": [{"b": {"c": SECRET}}], "x": 1})
+    got = spark.createDataFrame([(detail,), ("{torn",), (None,)], "d string").select(privacy.sanitize_detail("d", F.lit("SessionEnd")).alias("d")).collect()
+    assert SECRET not in got[0].d and '"reason":"logout"' in got[0].d and got[1].d is None and got[2].d is None
     for command in (f"git commit -m '{SECRET}'", f"cat <<EOF > x\n{SECRET}\nEOF\nls", f"echo {SECRET} > f", f"cat <<< '{SECRET}'", f"echo '{SECRET}"):
         assert SECRET not in (commands.cut_content(command)[0] or "")
 

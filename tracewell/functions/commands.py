@@ -200,31 +200,32 @@ def test_runner(command: str) -> str | None:
     return None
 
 
-def cut_content(command: str) -> tuple[str | None, int]:
-    """The command without what it writes: heredoc bodies, commit messages, echo and printf operands that go to a file and here-strings; and the
-    bytes cut. A command whose quotes do not balance keeps its size only."""
-    cut = 0
-    text = command
+def cut_content(command: str) -> tuple[str | None, int, int]:
+    """The command without what it writes, and the bytes cut: of heredoc bodies, and of operands (commit messages, echo and printf operands that go to a file,
+    here-strings). A command whose quotes do not balance keeps its size only."""
+    heredocs = operands = 0
 
     def heredoc(m: re.Match) -> str:
-        nonlocal cut
-        cut += len(m["body"].encode())
+        nonlocal heredocs
+        heredocs += len(m["body"].encode())
         return f"{m['head']}\n{m['end']}"
 
-    text = HEREDOC.sub(heredoc, text)
+    text = HEREDOC.sub(heredoc, command)
     if segments(re.sub(r"<<-?\s*['\"]?\w+['\"]?", "", text)) is None:
-        return None, len(command.encode())
+        return None, 0, 0
     operand = r"(?:'[^']*'|\"(?:[^\"\\]|\\.)*\"|[^\s;&|<>]+)"
 
     def hide(m: re.Match) -> str:
-        nonlocal cut
-        cut += len(m["x"].encode())
+        nonlocal operands
+        if m["x"] == "'[cut]'":
+            return m[0]
+        operands += len(m["x"].encode())
         return m["a"] + "'[cut]'" + (m.groupdict().get("z") or "")
 
     text = re.sub(rf"(?P<a>\bcommit\b[^;&|\n]*?\s(?:-m|--message)[ =]?)(?P<x>{operand})", hide, text)
     text = re.sub(rf"(?P<a><<<\s*)(?P<x>{operand})", hide, text)
     text = re.sub(rf"(?P<a>\b(?:echo|printf)\s+(?:-\w+\s+)*)(?P<x>{operand}(?:\s+{operand})*)(?P<z>\s*(?:>|\|\s*tee\b))", hide, text)
-    return text, cut
+    return text, heredocs, operands
 
 
 def script_of(words: list[str], body: str | None) -> str | None:
@@ -272,13 +273,20 @@ def command_facts(commands: DataFrame) -> DataFrame:
             rows = []
             for command in f["command"]:
                 parts = parts_of(command)
-                cut, size = cut_content(command)
+                cut, heredocs, operands = cut_content(command)
+                size = len(command.encode()) if cut is None else heredocs + operands
                 rows.append((command, parts or [], test_runner(command), cut, size, "error" if parts is None else "ok"))
             yield pd.DataFrame(rows, columns=["command", "parts", "test_runner", "cut", "cut_bytes", "status"])
 
     return commands.select("command").where("command is not null").distinct().mapInPandas(run, schema)
 
 
+@F.pandas_udf(T.StringType())
+def runner_of(commands: pd.Series) -> pd.Series:
+    """E19 for a column: see test_runner(); nulls stay."""
+    return pd.Series([None if c is None else test_runner(c) for c in commands], dtype=object)
+
+
 #: Of a part, what command_segments() gives besides its call and its seq.
 PART_COLUMNS = ["program", "args", "files", "conditional", "stdout", "fed", "expands", "script", "parse_status", "parser"]
 

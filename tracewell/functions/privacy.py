@@ -3,90 +3,147 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fields that keep their text: paths and patterns, and labels up to LABEL bytes (fixed values).
-PATHS = ("file_path", "notebook_path", "path", "pattern", "glob", "type", "output_mode")
-LABELS = ("subagent_type", "model", "mode", "language", "skill", "name", "isolation", "run_in_background", "status")
-LABEL = 200
-DETAIL_KEYS = ("source", "reason", "trigger", "notification_type", "error_type", "load_reason", "memory_type", "level", "model", "permission_mode", "tool_name")
+from tracewell.functions.commands import cut_content
+
+#: Of an input: fields that never keep their text; those that do; labels, which do up to LABEL bytes; and tools whose command is kept without its content (fixed values).
+DROPPED = ("content", "old_string", "new_string", "edits", "new_source", "prompt")
+PATHS = ("file_path", "notebook_path", "path", "pattern", "glob")
+LABELS = ("subagent_type", "model", "skill", "task_id", "shell_id", "output_mode", "type", "cell_id", "cell_type", "edit_mode", "to")
+LABEL = 4096
+SHELL_TOOLS = ("Bash", "Monitor")
+#: Of a payload's detail: keys that keep their text; keys that do by event, if it is a label; and keys left out, as they have columns: of every event, and by event (fixed values).
+DETAIL_KEYS = (
+    "id", "type", "status", "source", "trigger", "level", "mode", "behavior", "destination", "notification_type", "load_reason", "memory_type", "command_name", "command_source", "expansion_type", "task_id", "tool_name", "tool_use_id", "model",
+    "file_path", "trigger_file_path", "schedule", "cron",
+)
+DETAIL_LABELS = {("StopFailure", "error"): r"[a-z][a-z0-9_]{0,63}", ("SessionEnd", "reason"): "clear|resume|logout|prompt_input_exit|bypass_permissions_disabled|other"}
+IN_COLUMNS = ("session_id", "transcript_path", "cwd", "hook_event_name", "prompt_id", "agent_id", "agent_type", "permission_mode", "effort")
+IN_COLUMNS_BY_EVENT = {
+    "SessionStart": ("source", "model"), "SessionEnd": ("reason",), "Setup": ("trigger",), "PreCompact": ("trigger",), "PostCompact": ("trigger",), "StopFailure": ("error",), "InstructionsLoaded": ("load_reason", "memory_type", "file_path"),
+    "PermissionRequest": ("tool_name",), "PermissionDenied": ("tool_name",), "UserPromptSubmit": ("prompt",), "UserPromptExpansion": ("command_name", "prompt"), "TaskCreated": ("task_id",), "TaskCompleted": ("task_id",),
+    "Stop": ("background_tasks", "session_crons", "last_assistant_message", "stop_hook_active"), "SubagentStop": ("background_tasks", "session_crons", "last_assistant_message", "stop_hook_active"),
+}
+TASK_NOTICE = "<task-notification>"
+NOT_STORED = "error text not stored"
 OUTCOMES = ("denied by a PreToolUse hook", "denied by permission", "rejected or interrupted by the user", "refused by Claude Code")
 
 
 def cut_url(url: Column) -> Column:
     """A URL without query, fragment and user."""
-    return F.regexp_replace(F.regexp_replace(url, r"[?#][\s\S]*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@", "$1")
+    return F.regexp_replace(F.regexp_replace(url, r"[?#][\s\S]*$", ""), r"^([^/@:]+://|//)[^/]*@", "$1")
 
 
-def sanitize_error(error: Column, outcome: Column) -> Column:
-    """An outcome label, the exit code, or a fixed label."""
-    code = F.regexp_extract(error, r"^(Exit code -?\d{1,10})\b", 1)
-    return F.when(error.isNull(), None).when(outcome.isin(*OUTCOMES), outcome).when(error.isin(*OUTCOMES), error).when(code != "", code).otherwise("error text not stored")
+def sanitize_error(error: Column, outcome: Column | None = None) -> Column:
+    """An outcome label, a first line that is an exit code, or a fixed label."""
+    line = F.element_at(F.split(error, "\n"), 1)
+    stored = F.when(error.isNull(), None).when(error.isin(*OUTCOMES, NOT_STORED), error).when(line.rlike(r"^Exit code -?[0-9]+$"), line).otherwise(NOT_STORED)
+    return stored if outcome is None else F.when(error.isNotNull() & outcome.isin(*OUTCOMES), outcome).otherwise(stored)
 
 
 def sanitize_fault(stage: Column, text: Column) -> Column:
-    """A parse fault keeps its label and how many bytes it had; other stages keep their own message."""
-    label = F.regexp_extract(text, r"^([a-z][a-z ]{0,40})(?::|$)", 1)
-    cut = F.concat(F.when(label != "", label).otherwise("fault"), F.lit(" ("), F.octet_length(text).cast("string"), F.lit(" bytes)"))
-    return F.when(text.rlike(r"\(\d+ bytes\)$"), text).when(stage == "parse", cut).otherwise(text)
+    """A parse fault keeps its part and program, and how many bytes its message had; other stages keep their own message."""
+    sized = rf"^{NOT_STORED} \([0-9]+ bytes\)$"
+    part = lambda i: F.regexp_extract(text, r"(?s)^part ([0-9]+) \((.*?)\): (.*)$", i)
+    of = lambda message: F.concat(F.lit(f"{NOT_STORED} ("), F.octet_length(message).cast("string"), F.lit(" bytes)"))
+    named = F.when(part(2) == "", "no program parsed").otherwise(part(2))
+    known = text.rlike(sized) | ((part(1) != "") & (part(2) != "") & part(3).rlike(sized))
+    return F.when((stage != "parse") | stage.isNull() | known, text).when(part(1) == "", of(text)).otherwise(F.concat(F.lit("part "), part(1), F.lit(" ("), named, F.lit("): "), of(part(3))))
+
+
+@F.pandas_udf(T.StructType([T.StructField("command", T.StringType()), T.StructField("heredoc_bytes", T.IntegerType()), T.StructField("operand_bytes", T.IntegerType())]))
+def cut_command(commands: pd.Series) -> pd.DataFrame:
+    """P06 for a column: see cut_content(); nulls stay."""
+    return pd.DataFrame([(None, 0, 0) if c is None else cut_content(c) for c in commands], columns=["command", "heredoc_bytes", "operand_bytes"])
 
 
 def sanitize_input(tool: Column, value: Column) -> Column:
-    """One level of an input. For an mcp__ tool no text stays. A value of another shape is dropped."""
+    """One level of an input, its keys in order. For an mcp__ tool no text stays. What is no JSON object is dropped."""
     entries = F.map_entries(F.from_json(value, "map<string,string>"))
     quoted = F.from_json(F.to_json(F.try_parse_json(value)), "map<string,variant>")
     kind = lambda k: F.schema_of_variant(F.try_element_at(quoted, k))
     mcp = F.coalesce(tool.startswith("mcp__"), F.lit(False))
-
-    def piece(e: Column) -> Column:
+    shell = F.coalesce(tool.isin(*SHELL_TOOLS), F.lit(False))
+    cut = cut_command(F.when(shell, F.get_json_object(value, "$.command")))
+    json_text = lambda v: F.get(F.regexp_extract_all(F.to_json(F.struct(v.alias("v"))), F.lit(r'^\{"v":([\s\S]*)\}$'), 1), F.lit(0))
+    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    command = F.try_element_at(quoted, F.lit("command"))
+    some = lambda name: F.when(cut[name] > 0, pair(F.lit(name), cut[name].cast("string")))
+    size = pair(F.lit("command_bytes"), F.octet_length(F.get_json_object(value, "$.command")).cast("string"))
+    stays = F.array_compact(F.array(pair(F.lit("command"), json_text(cut["command"])), some("heredoc_bytes"), some("operand_bytes")))
+    shell_pieces = F.when(shell & F.coalesce(F.schema_of_variant(command) == "STRING", F.lit(False)), F.when(cut["command"].isNull(), F.array(size)).otherwise(stays)).otherwise(none)
+
+    def pieces(e: Column) -> Column:
         k, v = e["key"], e["value"]
         text, plain = kind(k) == "STRING", kind(k).rlike("^(BIGINT|DOUBLE|DECIMAL.*|BOOLEAN|VOID)")
-        shown = F.when(k == "url", cut_url(v)).otherwise(v)
-        stays = ~mcp & text & (k.isin(*PATHS, "url") | (k.isin(*LABELS) & (F.octet_length(v) <= LABEL)))
-        size = F.concat(F.lit('"'), k, F.lit('_bytes":'), F.octet_length(F.coalesce(v, F.lit(""))).cast("string"))
-        counted = k.rlike("_bytes$") & plain
-        return F.when(plain | counted, F.concat(F.lit('"'), k, F.lit('":'), F.coalesce(v, F.lit("null")))).when(stays, F.concat(F.lit('"'), k, F.lit('":'), F.get(F.regexp_extract_all(F.to_json(F.struct(shown.alias("v"))), F.lit(r'^\{"v":([\s\S]*)\}$'), 1), F.lit(0)))).otherwise(size)
+        size = F.array(pair(F.concat(k, F.lit("_bytes")), F.octet_length(F.coalesce(v, F.lit(""))).cast("string")))
+        short = F.octet_length(v) <= LABEL
+        return (
+            F.when(k.isin(*DROPPED), size).when((k == "command") & shell & text, none).when(plain, F.array(pair(k, F.coalesce(v, F.lit("null"))))).when(mcp | ~text, size)
+            .when(k.isin(*PATHS), F.array(pair(k, json_text(v)))).when((k == "url") & short, F.array(pair(k, json_text(cut_url(v))))).when(k.isin(*LABELS) & short, F.array(pair(k, json_text(v)))).otherwise(size)
+        )
 
-    return F.when(entries.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries), piece), ","), F.lit("}")))
+    shown = F.transform(F.array_sort(F.concat(F.flatten(F.transform(entries, pieces)), shell_pieces)), lambda x: F.concat(json_text(x["k"]), F.lit(":"), x["v"]))
+    return F.when(entries.isNotNull(), F.concat(F.lit("{"), F.array_join(shown, ","), F.lit("}")))
 
 
-def _detail(value: object, key: str | None) -> object:
+def _bytes(text: str) -> int:
+    return len(text.encode("utf-8", "replace"))
+
+
+def _detail(value: object, event: str | None, key: str | None, sized: bool, tool: str | None = None) -> object:
+    """value, found under a key: shape, numbers and booleans stay, and text under a listed key; other text is counted."""
+    stays = lambda k, v: not sized and (k in DETAIL_KEYS or ((event, k) in DETAIL_LABELS and re.fullmatch(DETAIL_LABELS[event, k], v) is not None))
     if isinstance(value, dict):
-        out: dict[str, object] = {}
-        for k, v in value.items():
-            cleaned = _detail(v, k)
-            if isinstance(v, str) and cleaned is not v:
-                out[f"{k}_bytes"] = len(v.encode("utf-8", "replace"))
-            else:
-                out[k] = cleaned
-        return out
+        mcp = tool is not None and tool.startswith("mcp__")
+        return dict((f"{k}_bytes", _bytes(v)) if isinstance(v, str) and not stays(k, v) else (k, v if isinstance(v, str) else _detail(v, event, k, sized or mcp and k == "tool_input")) for k, v in value.items())
     if isinstance(value, list):
-        return [_detail(v, None) for v in value]
-    if isinstance(value, str) and not (key in DETAIL_KEYS and len(value.encode("utf-8", "replace")) <= LABEL):
-        return {"bytes": len(value.encode("utf-8", "replace"))} if key is None else None
+        return [(v if stays(key, v) else _bytes(v)) if isinstance(v, str) else _detail(v, event, key, sized) for v in value]
     return value
 
 
 @F.pandas_udf(T.StringType())
-def sanitize_detail(details: pd.Series) -> pd.Series:
-    """Any depth: shape, numbers, booleans and listed labels stay, other text becomes its byte count. What does not decode is dropped."""
-
-    def one(text: str | None) -> str | None:
+def _details(details: pd.Series, events: pd.Series, tools: pd.Series, whole: pd.Series) -> pd.Series:
+    def one(text: str | None, event: str | None, tool: str | None, payload: bool) -> str | None:
         try:
-            return None if text is None else json.dumps(_detail(json.loads(text), None), separators=(",", ":"), ensure_ascii=False)
+            found = None if text is None else json.loads(text)
         except ValueError:
             return None
+        if not isinstance(found, (dict, list)):
+            return None
+        more = {}
+        if payload and isinstance(found, dict):
+            prompt = found.get("prompt")
+            if event == "UserPromptSubmit" and isinstance(prompt, str) and prompt.startswith(TASK_NOTICE):
+                more = {"task_notification": True}
+            found = {k: v for k, v in found.items() if k not in IN_COLUMNS and k not in IN_COLUMNS_BY_EVENT.get(event or "", ())}
+        cleaned = _detail(found, event, None, False, tool)
+        return json.dumps(cleaned | more if more else cleaned, separators=(",", ":"), ensure_ascii=False)
+
+    return pd.Series([one(*x) for x in zip(details, events, tools, whole, strict=True)], dtype=object)
+
+
+def sanitize_detail(detail: Column | str, event: Column | None = None, tool: Column | None = None) -> Column:
+    """JSON of any depth, of an event and a tool: shape, numbers, booleans and listed labels stay, other text becomes its byte count. What does not decode is dropped."""
+    none = F.lit(None).cast("string")
+    return _details(detail, none if event is None else event, none if tool is None else tool, F.lit(False))
+
 
-    return details.map(one)
+def event_detail(payload: Column, event: Column, tool: Column) -> Column:
+    """What of a payload has no column of its own, by P05; and whether its prompt is a task's notice."""
+    return _details(payload, event, tool, F.lit(True))
 
 
 def redact(calls: DataFrame, faults: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The rules applied to stored rows: calls, faults, parts (those of calls whose input changed go), and (column, changed)."""
-    new_input, new_error = sanitize_input(F.col("tool"), F.col("input")), sanitize_error(F.col("error"), F.lit(None).cast("string"))
+    new_input, new_error = sanitize_input(F.col("tool"), F.col("input")), sanitize_error(F.col("error"))
     c = calls.withColumns({"_input": new_input, "_error": new_error})
     changed = c.where(~F.col("_input").eqNullSafe(F.col("input"))).select("tool_use_id")
     f = faults.withColumn("_error", sanitize_fault(F.col("stage"), F.col("error")))
@@ -98,4 +155,4 @@ def redact(calls: DataFrame, faults: DataFrame, parts: DataFrame) -> tuple[DataF
 
 def count_unredacted(calls: DataFrame) -> DataFrame:
     """One row of how many calls P01 or P03 would still change."""
-    return calls.agg(F.count_if(~sanitize_input(F.col("tool"), F.col("input")).eqNullSafe(F.col("input")) | ~sanitize_error(F.col("error"), F.lit(None).cast("string")).eqNullSafe(F.col("error"))).alias("n"))
+    return calls.agg(F.count_if(~sanitize_input(F.col("tool"), F.col("input")).eqNullSafe(F.col("input")) | ~sanitize_error(F.col("error")).eqNullSafe(F.col("error"))).alias("n"))

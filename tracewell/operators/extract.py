@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import privacy
+from tracewell.functions.commands import runner_of
+
 USAGE = "struct<input_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint,output_tokens:bigint,output_tokens_details:struct<thinking_tokens:bigint>,cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>,iterations:array<struct<type:string,model:string,input_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint,output_tokens:bigint,cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>>>>"
 LINE = (
     "type string, subtype string, uuid string, timestamp string, sessionId string, cwd string, promptId string, requestId string, isApiErrorMessage boolean, error string, toolUseResult string,"
@@ -248,20 +251,43 @@ def field(name: str, kind: str = "string") -> Column:
     return F.try_variant_get(F.try_parse_json("payload"), f"$.{name}", kind)
 
 
+#: Events that come with no effort of their own do not take the one given as a parameter if they are of these (fixed values).
+WITHOUT_FALLBACK = ("PreToolUse", "PostToolUse", "PostToolUseFailure", "PostToolBatch", "Stop", "SubagentStop", "StopFailure")
+
+
 def event_rows(payloads: DataFrame, effort: str | None = None) -> DataFrame:
-    """A row of events for each lifecycle payload; the effort given as a parameter holds for models other than haiku only."""
-    of = lambda event, name: F.when(F.col("event") == event, field(name))
-    fallback = F.when(~F.coalesce(F.lower(field("model")).contains("haiku"), F.lit(False)), F.lit(effort))
-    return payloads.where(~F.col("event").isin("PreToolUse", "PostToolUse", "PostToolUseFailure", "PostToolBatch")).select(
-        "hash", "event", "session_id", field("agent_id").alias("agent_id"), field("prompt_id").alias("prompt_id"), F.col("received_ms").alias("ts"), of("SessionStart", "source").alias("source"), of("SessionEnd", "reason").alias("reason"),
-        F.when(F.col("event").isin("PreCompact", "PostCompact"), field("trigger")).alias("trigger"), of("StopFailure", "error_type").alias("error_type"), of("InstructionsLoaded", "load_reason").alias("load_reason"), of("InstructionsLoaded", "memory_type").alias("memory_type"),
-        of("InstructionsLoaded", "file_path").alias("file_path"), of("UserPromptExpansion", "command_name").alias("command_name"), F.when(F.col("event") == "UserPromptSubmit", F.octet_length(field("prompt"))).cast("bigint").alias("prompt_bytes"),
-        F.coalesce(field("effort.level"), fallback).alias("effort"), field("permission_mode").alias("permission_mode"), field("model").alias("model"), field("cwd").alias("cwd"), field("transcript_path").alias("transcript_path"), "payload",
+    """A row of events for each lifecycle payload, with what has no column sanitised as `detail`. The effort given as a parameter holds for known models other than haiku only."""
+    event = F.col("event")
+    of = lambda name, *events: F.when(event.isin(*events), field(name))
+    fallback = F.when(~event.isin(*WITHOUT_FALLBACK) & (F.coalesce(field("model"), F.lit("")) != "") & ~field("model").contains("haiku"), F.lit(effort))
+    prompt = F.when(event.isin("UserPromptSubmit", "UserPromptExpansion"), F.octet_length(field("prompt"))).cast("bigint")
+    return payloads.where(~event.isin("PreToolUse", "PostToolUse", "PostToolUseFailure", "PostToolBatch")).select(
+        "hash", "event", "session_id", field("agent_id").alias("agent_id"), field("agent_type").alias("agent_type"), field("prompt_id").alias("prompt_id"), F.col("received_ms").alias("ts"), of("source", "SessionStart").alias("source"), of("reason", "SessionEnd").alias("reason"),
+        of("trigger", "Setup", "PreCompact", "PostCompact").alias("trigger"), of("error", "StopFailure").alias("error_type"), of("load_reason", "InstructionsLoaded").alias("load_reason"), of("memory_type", "InstructionsLoaded").alias("memory_type"),
+        of("file_path", "InstructionsLoaded").alias("file_path"), of("tool_name", "PermissionRequest", "PermissionDenied").alias("tool"), of("command_name", "UserPromptExpansion").alias("command_name"), of("task_id", "TaskCreated", "TaskCompleted").alias("task_id"), prompt.alias("prompt_bytes"),
+        F.coalesce(F.nullif(field("effort.level"), F.lit("")), fallback).alias("effort"), field("permission_mode").alias("permission_mode"), field("model").alias("model"), field("cwd").alias("cwd"), field("transcript_path").alias("transcript_path"),
+        privacy.event_detail(F.col("payload"), event, field("tool_name")).alias("detail"),
     )
 
 
+def sanitized(rows: DataFrame) -> DataFrame:
+    """Rows (tool, input) with the test runner of their command, and the input as P01 leaves it."""
+    command = F.when(F.col("tool") == "Bash", F.get_json_object("input", "$.command"))
+    return rows.withColumn("test_runner", runner_of(command)).withColumn("input", privacy.sanitize_input(F.col("tool"), F.col("input")))
+
+
+def without_internal_agents(payloads: DataFrame, transcripts: DataFrame | None) -> DataFrame:
+    """Payloads but those of agents without a type that no transcript (path) is of: they are internal, and nothing of them is metered."""
+    if transcripts is None:
+        return payloads
+    path = F.concat(F.regexp_replace(field("transcript_path"), r"\.jsonl$", ""), F.lit("/subagents/agent-"), field("agent_id"), F.lit(".jsonl"))
+    p = payloads.withColumn("_of", F.when((F.coalesce(field("agent_id"), F.lit("")) != "") & (F.coalesce(field("agent_type"), F.lit("")) == ""), F.coalesce(path, F.lit(""))))
+    there = p.where("_of is not null").join(transcripts.select(F.col("path").alias("_of")).distinct(), "_of", "left_semi")
+    return p.where("_of is null").unionByName(there).drop("_of")
+
+
 def call_rows(payloads: DataFrame) -> DataFrame:
-    """A call for each finished tool payload: it began its duration before it was received, not before 0."""
+    """A call for each finished tool payload: it began its duration before it was received, not before 0. Input and error are as P01 and P03 leave them."""
     p = payloads.where(F.col("event").isin("PostToolUse", "PostToolUseFailure"))
     took = field("duration_ms", "double").cast("bigint")
     failed = (F.col("event") == "PostToolUseFailure").cast("int")
@@ -269,27 +295,33 @@ def call_rows(payloads: DataFrame) -> DataFrame:
     rows = p.select(
         field("tool_use_id").alias("tool_use_id"), "session_id", field("agent_id").alias("agent_id"), field("agent_type").alias("agent_type"), field("prompt_id").alias("prompt_id"), F.greatest(F.col("received_ms") - F.coalesce(took, F.lit(0)), F.lit(0)).alias("ts"), took.alias("duration_ms"),
         field("tool_name").alias("tool"), field("tool_input").alias("input"), field("cwd").alias("cwd"), failed.alias("failed"), field("is_interrupt", "boolean").cast("int").alias("is_interrupt"), F.when(failed == 1, result_outcome(F.coalesce(field("error"), F.lit("")))).alias("outcome"),
-        F.when(failed == 1, F.octet_length(field("error")).cast("bigint")).otherwise(real_bytes(field("tool_name"), response)).alias("bytes_real"), response.alias("response"),
+        F.when(failed == 1, F.octet_length(field("error")).cast("bigint")).otherwise(real_bytes(field("tool_name"), response)).alias("bytes_real"), response.alias("response"), F.when(failed == 1, field("error")).alias("error"),
     )
     added, removed = line_counts(F.col("response"))
     rows = file_columns_from_result(file_columns_from_input(rows)).withColumns({"lines_added": added, "lines_removed": removed})
     sha, branch = commit_from_text(F.coalesce(F.get_json_object("input", "$.command"), F.lit("")), F.coalesce(F.get_json_object("response", "$.stdout"), F.lit("")))
-    return rows.withColumns({"commit_sha": sha, "commit_branch": branch}).drop("response")
+    rows = rows.withColumns({"commit_sha": sha, "commit_branch": branch, "error": privacy.sanitize_error(F.col("error"), F.col("outcome"))}).drop("response")
+    return sanitized(rows)
+
+
+#: How the rows of a call's start are merged (M01): its directory replaces one, what else it says fills, and the earliest time holds.
+START_MODES = {"session_id": "fill", "agent_id": "fill", "ts": "min", "tool": "fill", "input": "fill", "cwd": "overwrite", "test_runner": "fill"}
 
 
-def call_start_rows(payloads: DataFrame) -> DataFrame:
-    """What a tool's start says of its call; merged, its cwd replaces one and the rest fills."""
-    p = payloads.where("event = 'PreToolUse'")
-    return p.select(field("tool_use_id").alias("tool_use_id"), "session_id", field("agent_id").alias("agent_id"), F.col("received_ms").alias("ts"), field("tool_name").alias("tool"), field("tool_input").alias("input"), field("cwd").alias("cwd"))
+def call_start_rows(payloads: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
+    """What a tool's start says of its call, with its test runner and its input as P01 leaves it; merged by START_MODES."""
+    p = without_internal_agents(payloads.where("event = 'PreToolUse'"), transcripts)
+    return sanitized(p.select(field("tool_use_id").alias("tool_use_id"), "session_id", field("agent_id").alias("agent_id"), F.col("received_ms").alias("ts"), field("tool_name").alias("tool"), field("tool_input").alias("input"), field("cwd").alias("cwd")))
 
 
-def batch_rows(payloads: DataFrame, uses: DataFrame | None = None) -> DataFrame:
+def batch_rows(payloads: DataFrame, uses: DataFrame | None = None, transcripts: DataFrame | None = None) -> DataFrame:
     """(tool_use_id, session_id, agent_id, tool, bytes_delivered, request_id, outcome) of the calls of a batch.
 
-    Calls that no transcript message holds yet share the pending request of the batch's first call.
+    Calls that no transcript message holds yet share the pending request of the batch's first call. With `transcripts` (path), batches of
+    internal agents are left out (see without_internal_agents()).
     """
     calls = F.from_json(field("tool_calls"), "array<struct<tool_use_id:string,tool_name:string,tool_response:string>>")
-    b = payloads.where("event = 'PostToolBatch'").select("hash", "session_id", field("agent_id").alias("agent_id"), calls.alias("calls"))
+    b = without_internal_agents(payloads.where("event = 'PostToolBatch'"), transcripts).select("hash", "session_id", field("agent_id").alias("agent_id"), calls.alias("calls"))
     b = b.select("*", F.posexplode("calls").alias("pos", "c"), F.concat(F.lit("pending:"), F.col("calls")[0]["tool_use_id"]).alias("pending"))
     b = b.select(F.col("c.tool_use_id").alias("tool_use_id"), "session_id", "agent_id", F.col("c.tool_name").alias("tool"), delivered_bytes(F.col("c.tool_response")).alias("bytes_delivered"), result_outcome(F.coalesce("c.tool_response", F.lit(""))).alias("outcome"), "pending")
     if uses is not None:

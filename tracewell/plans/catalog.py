@@ -186,7 +186,8 @@ entry("r17_coverage", lambda S: R.coverage(S.sessions.select(F.lit("/r").alias("
       """WITH o AS (SELECT session_id, min(ts) AS started, max(CASE WHEN event IN ('Stop', 'UserPromptSubmit') THEN 1 ELSE 0 END) AS turn, max(CASE WHEN event = 'Notification' THEN 1 ELSE 0 END) AS hook FROM {hook_events} GROUP BY 1)
       SELECT '/r' AS root, 'proj' AS project, s.session_id, started, last_ts AS modified, length(s.session_id) * 100 AS bytes, CASE WHEN turn IS NULL THEN 'unreadable' WHEN started < 1704200000000 THEN 'before-store' WHEN turn = 0 THEN 'no-turn' WHEN hook = 1 THEN 'hook-ran' ELSE 'no-hook' END AS why
       FROM {sessions} s LEFT JOIN o USING (session_id) WHERE s.session_id NOT LIKE '%7' AND s.session_id NOT IN (SELECT session_id FROM {calls} WHERE session_id LIKE '%5')""")
-entry("r18_events", lambda S: R.events(S.hook_events), "SELECT event, coalesce(nullif(source, ''), nullif(reason, ''), nullif(trigger, ''), nullif(error_type, ''), CASE WHEN json_valid(detail) THEN json_extract_string(detail, '$.notification_type') END) AS value, count(*) AS count, min(ts) AS first, max(ts) AS last FROM {hook_events} GROUP BY 1, 2")
+entry("r18_events", lambda S: R.events(S.hook_events.withColumns({"load_reason": F.when(F.col("ts") % 5 == 0, "session_start"), "tool": F.when(F.col("ts") % 7 == 0, "Bash"), "command_name": F.when(F.col("ts") % 3 == 0, "review")})),
+      "SELECT event, coalesce(nullif(source, ''), nullif(reason, ''), nullif(trigger, ''), nullif(error_type, ''), CASE WHEN ts % 5 = 0 THEN 'session_start' END, CASE WHEN ts % 7 = 0 THEN 'Bash' END, CASE WHEN ts % 3 = 0 THEN 'review' END, CASE WHEN json_valid(detail) THEN json_extract_string(detail, '$.notification_type') END) AS value, count(*) AS count, min(ts) AS first, max(ts) AS last FROM {hook_events} GROUP BY 1, 2")
 entry("r19_compactions", lambda S: R.compactions(S.compactions, None), "SELECT entry_id, session_id, ts, trigger, pre_tokens AS before, post_tokens AS after, pre_tokens - post_tokens AS freed, cumulative_dropped_tokens AS dropped_total, duration_ms FROM {compactions}")
 entry("r20_cost_chats", lambda S: R.cost_chats(S.session_costs, S.requests, S.hook_events, None), """WITH e AS (SELECT session_id, max(ts) AS ended FROM {hook_events} WHERE event = 'SessionEnd' GROUP BY 1),
  c AS (SELECT s.*, CASE WHEN started IS NOT NULL AND wall_ms IS NOT NULL THEN greatest(started + wall_ms, ended) END AS exit FROM {session_costs} s LEFT JOIN e USING (session_id)),
@@ -296,18 +297,25 @@ entry("e24_parts_to_refresh", lambda S: C.parts_to_refresh(S.calls, S.command_pa
 entry("e25_chat_titles", lambda S: E.chat_titles(P_(S)), f"WITH {CONV} SELECT session_id, trim(regexp_replace(left(text, 20) || chr(10) || ' x', '\\s+', ' ', 'g')) AS title FROM cv WHERE turn = 0")
 entry("e26_task_notices", lambda S: E.task_notices(P_(S).withColumn("message", F.col("message").withField("content", F.concat(F.lit("<task-id>a"), F.col("line_no").cast("string"), F.lit("</task-id><status>"), F.when(F.col("line_no") % 20 == 0, "done").otherwise(""), F.lit("</status>")))).where("promptId is not null")).groupBy("agent_id").agg(F.count("*").alias("n")), f"WITH {CONV} SELECT 'a' || (turn * 10) AS agent_id, count(*) AS n FROM cv WHERE role NOT IN ('assistant', 'system') AND turn % 3 <> 0 AND turn % 2 = 0 GROUP BY turn")
 entry("e27_stop_hook_name", lambda S: E.stop_hooks(P_(S))[1].groupBy("name").agg(F.count("*").alias("n")), f"WITH {CONV} SELECT name, count(*) AS n FROM cv CROSS JOIN (SELECT unnest(['lint.sh', '#' || left(sha256('$X && y'), 8)]) AS name) WHERE role = 'assistant' GROUP BY 1")
-entry("e28_event_rows", lambda S: E.event_rows(SRC.payloads(X.payload_rows(S))[0]).groupBy("event", "source", "reason", "trigger", "error_type", "permission_mode").agg(F.count("*").alias("n"), F.sum("prompt_bytes").alias("prompt_bytes")), "SELECT event, source, reason, trigger, error_type, permission_mode, isum(k) AS n, isum(k * prompt_bytes) AS prompt_bytes FROM (SELECT *, CASE WHEN ts % 3 = 0 THEN 3 ELSE 1 END AS k FROM {hook_events}) GROUP BY ALL")
+entry("e28_event_rows", lambda S: E.event_rows(SRC.payloads(X.payload_rows(S))[0], "high").select("event", "session_id", "agent_id", "prompt_id", "ts", "source", "reason", "trigger", "error_type", "permission_mode", "prompt_bytes", "detail"),
+      """SELECT event, session_id, agent_id, prompt_id, ts + d AS ts, source, reason, trigger, error_type, permission_mode, prompt_bytes, '{"nonce_bytes":' || (length(event_id) + 1) || '}' AS detail
+      FROM {hook_events}, UNNEST(CASE WHEN ts % 3 = 0 THEN [0, 400, 1400] ELSE [0] END) AS u(d)""")
 BATCH = lambda S: S.calls.where("request_id is not null").groupBy("session_id", "request_id").agg(F.array_sort(F.collect_list(F.struct("tool_use_id", F.col("tool").alias("tool_name"), F.repeat(F.lit("y"), (F.coalesce("bytes_delivered", F.lit(7)) % 90).cast("int")).alias("tool_response")))).alias("tool_calls")).select(F.lit(5).cast("bigint").alias("received_ms"), F.to_json(F.struct(F.lit("PostToolBatch").alias("hook_event_name"), "session_id", "tool_calls")).alias("payload"))
-entry("e30_call_starts", lambda S: E.call_start_rows(SRC.payloads(X.call_payloads(S).withColumn("payload", F.regexp_replace("payload", "PostToolUse(Failure)?", "PreToolUse")))[0]).groupBy("tool").agg(F.count("*").alias("n"), F.count_distinct("cwd").alias("cwds")), f"SELECT tool, count(*) AS n, count(DISTINCT cwd) AS cwds FROM ({CALLP}) GROUP BY tool")
+entry("e30_call_starts", lambda S: E.call_start_rows(SRC.payloads(X.call_payloads(S).withColumn("payload", F.regexp_replace("payload", "PostToolUse(Failure)?", "PreToolUse")))[0]).select("tool_use_id", "session_id", "ts", "tool", "cwd", F.get_json_object("input", "$.command").alias("command"), "test_runner"),
+      f"SELECT tool_use_id, session_id, ts + coalesce(duration_ms, 0) AS ts, tool, cwd, CASE WHEN tool = 'Bash' THEN 'git commit -m ''[cut]''' END AS command, NULL AS test_runner FROM ({CALLP})")
 entry("e31_batch_rows", lambda S: E.batch_rows(SRC.payloads(BATCH(S))[0], S.calls.where("tool = 'Read'").select("tool_use_id", "request_id")).select("tool_use_id", "bytes_delivered", "request_id"), "SELECT tool_use_id, coalesce(bytes_delivered, 7) % 90 AS bytes_delivered, CASE WHEN tool = 'Read' THEN request_id ELSE 'pending:' || min(tool_use_id) OVER (PARTITION BY request_id) END AS request_id FROM {calls}")
 entry("e32_agent_rows", lambda S: E.agent_rows(SRC.payloads(X.payload_rows(S))[0]).groupBy("agent_id").agg(F.min("started").alias("started"), F.max("stopped").alias("stopped")), "SELECT agent_id, min(CASE WHEN event = 'SubagentStart' THEN ts END) AS started, max(CASE WHEN event = 'SubagentStop' THEN ts + CASE WHEN ts % 3 = 0 THEN 1400 ELSE 0 END END) AS stopped FROM {hook_events} WHERE event LIKE 'Subagent%' GROUP BY 1")
 
 # Privacy
-entry("p01_sanitize_input", lambda S: S.calls.select("tool_use_id", P.sanitize_input(F.col("tool"), F.col("input")).alias("input")), """SELECT tool_use_id, CASE WHEN tool = 'Agent' THEN '{"model":"m1","subagent_type":"' || json_extract_string(input, '$.subagent_type') || '"}' WHEN tool = 'Bash' THEN '{"command_bytes":' || length(json_extract_string(input, '$.command')) || '}' ELSE '{}' END AS input FROM {calls}""")
-entry("p02_cut_url", lambda S: S.table("pages").select("page_id", P.cut_url(F.col("url")).alias("url")), "SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', '', 's'), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@', '\\1') AS url FROM {pages}")
-entry("p03_sanitize_error", lambda S: S.calls.select("tool_use_id", P.sanitize_error(F.concat("error", F.lit(": secret")), F.when(F.col("error") == "denied by permission", F.col("error"))).alias("error")), "SELECT tool_use_id, CASE WHEN error IS NULL THEN NULL WHEN error = 'denied by permission' THEN error ELSE error END AS error FROM {calls}")
-entry("p04_sanitize_fault", lambda S: S.faults.select("fault_id", P.sanitize_fault(F.col("stage"), F.concat(F.lit("torn line: "), "error")).alias("error")), "SELECT fault_id, CASE WHEN stage = 'parse' THEN 'torn line (' || (length(error) + 11) || ' bytes)' ELSE 'torn line: ' || error END AS error FROM {faults}")
-entry("p05_sanitize_detail", lambda S: S.table("documents").select("doc_id", P.sanitize_detail(F.to_json(F.struct(F.lit("kept").alias("reason"), F.col("text").alias("secret"), F.struct(F.col("n_chars").alias("size"), F.col("text").alias("deep")).alias("in")))).alias("detail")), """SELECT doc_id, '{"reason":"kept","secret_bytes":' || strlen(text) || ',"in":{"size":' || n_chars || ',"deep_bytes":' || strlen(text) || '}}' AS detail FROM {documents}""")
+entry("p01_sanitize_input", lambda S: S.calls.select("tool_use_id", P.sanitize_input(F.col("tool"), F.col("input")).alias("input")).unionByName(S.table("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("tool_use_id"), P.sanitize_input(F.when(F.col("turn") % 2 == 0, "mcp__x__y").otherwise("Bash"), F.to_json(F.struct(F.concat(F.lit("git commit -m '"), F.translate("text", "'\"\\", ""), F.lit("'")).alias("command"), F.col("text").alias("content"), F.col("role").alias("type"), F.col("turn").alias("n"), F.array("text").alias("list")))).alias("input"))),
+      """SELECT tool_use_id, CASE WHEN tool = 'Agent' THEN '{"model":"m1","subagent_type":"' || json_extract_string(input, '$.subagent_type') || '"}' WHEN tool = 'Bash' THEN '{"command":"' || json_extract_string(input, '$.command') || '"}' ELSE '{}' END AS input FROM {calls}
+      UNION ALL SELECT conv_id || '-' || turn, '{' || CASE WHEN turn % 2 = 0 THEN '"command_bytes":' || (strlen(t) + 16) ELSE '"command":"git commit -m ''[cut]''"' END || ',"content_bytes":' || strlen(text) || ',"list_bytes":' || strlen(l) || ',"n":' || turn
+      || CASE WHEN turn % 2 = 0 THEN ',"type_bytes":' || strlen(role) ELSE ',"operand_bytes":' || (strlen(t) + 2) || ',"type":"' || role || '"' END || '}' FROM (SELECT *, translate(text, '''"\', '') AS t, CAST(to_json([text]) AS VARCHAR) AS l FROM {conversations})""")
+entry("p02_cut_url", lambda S: S.table("pages").select("page_id", P.cut_url(F.concat(F.element_at(F.array(F.lit("http://u:p@x@"), F.lit("//me@"), F.lit("")), (F.col("page_id") % 3).cast("int") + 1), F.regexp_replace("url", "^https?://", ""))).alias("url")), "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'http://' WHEN 1 THEN '//' ELSE '' END || regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '', 's') AS url FROM {pages}")
+entry("p03_sanitize_error", lambda S: S.calls.select("tool_use_id", P.sanitize_error(F.concat("error", F.when(F.col("duration_ms") % 2 == 0, "\n").otherwise(": "), F.lit("secret")), F.when(F.col("error") == "denied by permission", F.col("error"))).alias("error")), "SELECT tool_use_id, CASE WHEN error IS NULL THEN NULL WHEN error = 'denied by permission' OR duration_ms % 2 = 0 THEN error ELSE 'error text not stored' END AS error FROM {calls}")
+entry("p04_sanitize_fault", lambda S: S.faults.select("fault_id", P.sanitize_fault(F.col("stage"), F.concat(F.when(F.col("ts") % 2 == 0, "torn: ").otherwise("part 3 (git): "), "error")).alias("error")), "SELECT fault_id, CASE WHEN stage <> 'parse' THEN CASE WHEN ts % 2 = 0 THEN 'torn: ' ELSE 'part 3 (git): ' END || error WHEN ts % 2 = 0 THEN 'error text not stored (' || (length(error) + 6) || ' bytes)' ELSE 'part 3 (git): error text not stored (' || length(error) || ' bytes)' END AS error FROM {faults}")
+entry("p05_sanitize_detail", lambda S: S.table("documents").select("doc_id", P.sanitize_detail(F.to_json(F.struct(F.lit("kept").alias("status"), F.col("text").alias("secret"), F.lit("logout").alias("reason"), F.struct(F.col("n_chars").alias("size"), F.col("text").alias("deep"), F.array("text", F.lit("é")).alias("list")).alias("in"))), F.when(F.col("doc_id") % 2 == 0, "SessionEnd")).alias("detail")),
+      """SELECT doc_id, '{"status":"kept","secret_bytes":' || strlen(text) || CASE WHEN doc_id % 2 = 0 THEN ',"reason":"logout"' ELSE ',"reason_bytes":6' END || ',"in":{"size":' || n_chars || ',"deep_bytes":' || strlen(text) || ',"list":[' || strlen(text) || ',2]}}' AS detail FROM {documents}""")
 entry("p06_cut_content", lambda S: C.command_facts(S.table("documents").select(F.concat(F.lit("git commit -m 'x"), F.translate("text", "'\"\\", ""), F.lit("' && echo done")).alias("command"))).select("cut", "cut_bytes").distinct(), """SELECT DISTINCT 'git commit -m ''[cut]'' && echo done' AS cut, strlen(translate(text, '''"\\', '')) + 3 AS cut_bytes FROM {documents}""")
 entry("p07_redact", lambda S: P.redact(S.calls, S.faults, S.command_parts)[3], """SELECT 'calls.input' AS column, count(*) FILTER (tool IN ('Bash', 'Agent')) AS changed FROM {calls} UNION ALL SELECT 'calls.error', 0 UNION ALL SELECT 'faults.error', count(*) FROM {faults} WHERE stage = 'parse'""")
 entry("p08_count_unredacted", lambda S: P.count_unredacted(P.redact(S.calls, S.faults, S.command_parts)[0].unionByName(S.calls.where("tool = 'Bash'"))), "SELECT count(*) AS n FROM {calls} WHERE tool = 'Bash'")

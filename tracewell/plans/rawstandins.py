@@ -49,7 +49,7 @@ def payload_rows(S: StandIns) -> DataFrame:
     """(received_ms, payload): lifecycle and tool payloads of the stand-in events and calls; some are delivered twice."""
     e = S.hook_events.withColumn("ms", F.col("ts"))
     common = [F.col("session_id"), F.col("agent_id"), F.col("prompt_id"), F.concat(F.lit("/home/"), F.col("session_id")).alias("cwd"), F.col("permission_mode")]
-    life = F.to_json(F.struct(F.col("event").alias("hook_event_name"), *common, F.col("source"), F.col("reason"), F.col("trigger"), F.col("error_type"), F.when(F.col("prompt_bytes").isNotNull(), F.repeat(F.lit("x"), F.col("prompt_bytes").cast("int"))).alias("prompt"), F.concat("event_id", F.lit("!")).alias("nonce")))
+    life = F.to_json(F.struct(F.col("event").alias("hook_event_name"), *common, F.col("source"), F.col("reason"), F.col("trigger"), F.col("error_type").alias("error"), F.when(F.col("prompt_bytes").isNotNull(), F.repeat(F.lit("x"), F.col("prompt_bytes").cast("int"))).alias("prompt"), F.concat("event_id", F.lit("!")).alias("nonce")))
     twice = F.explode(F.when(F.col("ms") % 3 == 0, F.array(F.lit(0), F.lit(400), F.lit(1400))).otherwise(F.array(F.lit(0))))
     return e.select(life.alias("payload"), "ms", twice.alias("d")).select((F.col("ms") + F.col("d")).alias("received_ms"), "payload")
 

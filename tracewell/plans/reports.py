@@ -290,7 +290,7 @@ def notification_type(detail: Column) -> Column:
 
 def events(events_: DataFrame) -> DataFrame:
     """Events by kind and the first value they carry."""
-    value = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("source", "reason", "trigger", "error_type") if c in events_.columns), notification_type(F.col("detail")))
+    value = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("source", "reason", "trigger", "error_type", "load_reason", "tool", "command_name") if c in events_.columns), notification_type(F.col("detail")))
     return events_.groupBy("event", value.alias("value")).agg(F.count("*").alias("count"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
