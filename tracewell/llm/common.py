@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: A word is a maximal run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that map_texts() works on at once.
+PART_BYTES = 1 << 22
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,10 +82,13 @@ def map_texts(docs: DataFrame, keep: Sequence[str] | None, fields: str, maker: C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = maker()
-        for batch in batches:
-            made = work([t if t is not None else "" for t in batch.column(text).to_pylist()])
-            arrays = [*(batch.column(c) for c in keep), *(made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], t) for n, t in zip(new.names, types, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, *new.names])
+        for whole in batches:
+            sizes = pc.fill_null(pc.binary_length(whole.column(text)), 0).to_pylist()
+            for part in slices(sizes, PART_BYTES):
+                batch = whole.slice(part.start, part.stop - part.start)
+                made = work([t if t is not None else "" for t in batch.column(text).to_pylist()])
+                arrays = [*(batch.column(c) for c in keep), *(made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], t) for n, t in zip(new.names, types, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, [*keep, *new.names])
 
     return docs.mapInArrow(run, schema)
 

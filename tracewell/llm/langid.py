@@ -17,7 +17,7 @@ SLOTS = 1 << 13
 UNKNOWN = "und"
 #: A text with fewer distinct n-grams cannot come as near to a centroid; what is asked of it falls with their square root.
 FULL = 120
-SLICE_BYTES = 1 << 25
+SLICE_BYTES = 1 << 23
 
 
 @dataclass(frozen=True)

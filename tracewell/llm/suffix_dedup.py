@@ -31,9 +31,9 @@ PREFIX = 72
 #: Prefixes with more classes than this are dealt by further bytes before they are sorted; a part of its windows has a PARTS-th of them.
 HOT, PARTS = 8192, 4
 #: Suffixes that are sorted at once, about.
-BATCH = 8192
+BATCH = 2048
 #: Bytes that are worked on at once; positions in them have POSITION_BITS.
-SLICE_BYTES, POSITION_BITS = 1 << 20, 21
+SLICE_BYTES, POSITION_BITS = 1 << 18, 21
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), 11) for b in range(256)], np.uint64)
 #: A row of a table, by two hashes.
