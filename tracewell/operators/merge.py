@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.schema import not_ledger
+from tracewell.schema import KEYS, not_ledger
 
 SECOND = 1_000
 HOUR = 3_600_000
@@ -194,13 +194,46 @@ def rebuild_calls(uses: DataFrame, results: DataFrame, calls: DataFrame) -> Data
     return new.select("tool_use_id", "session_id", "request_id", "prompt_id", "ts", "tool", "input", "cwd", "failed", "outcome", F.col("bytes").alias("bytes_delivered"), F.col("real").alias("bytes_real"), F.lit("transcript").alias("source"))
 
 
+#: What the detail of a rebuilt turn end says.
+REBUILT = '{"rebuilt":true}'
+
+
+def latest_prompts(events: DataFrame) -> DataFrame:
+    """(session_id, p): the latest prompt (ts, event_id, prompt_id) of each main chat."""
+    main = events.where("event = 'UserPromptSubmit' and coalesce(agent_id, '') = ''")
+    return main.groupBy("session_id").agg(F.max(F.struct("ts", "event_id", "prompt_id")).alias("p"))
+
+
+def open_prompts(events: DataFrame) -> DataFrame:
+    """(session_id, p): latest prompts that no Stop or StopFailure of the main chat answers, at or after them and of the same prompt id, if both have one."""
+    prompts = latest_prompts(events)
+    ends = events.where("event in ('Stop', 'StopFailure') and coalesce(agent_id, '') = ''").select("session_id", F.col("ts").alias("end_ts"), F.col("prompt_id").alias("end_prompt"))
+    answers = (F.col("end_ts") >= F.col("p.ts")) & (F.col("end_prompt").isNull() | F.col("p.prompt_id").isNull() | (F.col("end_prompt") == F.col("p.prompt_id")))
+    return prompts.join(prompts.join(ends, "session_id").where(answers).select("session_id").distinct(), "session_id", "left_anti")
+
+
 def rebuild_turn_ends(events: DataFrame, ends: DataFrame) -> DataFrame:
-    """An end for each session whose latest main-chat prompt has none, as its transcript ends (E21), not before the prompt."""
-    prompt = events.where("event = 'UserPromptSubmit' and agent_id is null").groupBy("session_id").agg(F.max(F.struct("ts", "event_id", "prompt_id")).alias("p"))
-    answered = events.where("event in ('Stop', 'StopFailure')").groupBy("session_id").agg(F.max("ts").alias("e"))
-    open_ = prompt.join(answered, "session_id", "left").where("e is null or e < p.ts")
-    rows = open_.join(ends.select("session_id", "event", "error_type", F.col("ts").alias("end_ts")), "session_id")
-    return rows.select(F.concat(F.lit("rebuilt:"), "p.event_id").alias("event_id"), "event", "session_id", F.col("p.prompt_id").alias("prompt_id"), F.greatest("end_ts", "p.ts").alias("ts"), "error_type")
+    """An end for each session whose latest main-chat prompt has none, as its transcript ends (E21), not before the prompt. A Stop that the transcript has before the prompt is an earlier turn's."""
+    rows = open_prompts(events).join(ends.select("session_id", "event", "error_type", F.col("ts").alias("end_ts")), "session_id").where("event <> 'Stop' or end_ts is null or end_ts >= p.ts")
+    key = F.sha2(F.concat_ws("\0", F.lit("rebuilt"), "event", "session_id", F.col("p.ts").cast("string")), 256)
+    return rows.select(key.alias("event_id"), "event", "session_id", F.col("p.prompt_id").alias("prompt_id"), F.greatest("end_ts", "p.ts").alias("ts"), "error_type", F.lit(REBUILT).alias("detail"))
+
+
+def drop_rebuilt(events: DataFrame) -> DataFrame:
+    """Events without the rebuilt turn ends that a real Stop or StopFailure of the main chat replaces.
+
+    It replaces one whose prompt, the latest at or before it, is not later than the real end, and of the same prompt id, if both have one.
+    """
+    rebuilt = F.coalesce(F.col("detail") == REBUILT, F.lit(False)) & F.col("event").isin("Stop", "StopFailure")
+    main = events.where(F.col("event").isin("Stop", "StopFailure", "UserPromptSubmit") & (F.coalesce("agent_id", F.lit("")) == "")).select("event_id", "event", "session_id", "prompt_id", "ts", rebuilt.alias("rebuilt"))
+    main = main.join(main.where("rebuilt").select("session_id").distinct(), "session_id", "left_semi")
+    asks = F.col("event") == "UserPromptSubmit"
+    before = Window.partitionBy("session_id").orderBy("ts", (~asks).cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+    asked = main.withColumn("asked", F.coalesce(F.max(F.when(asks, F.col("ts"))).over(before), F.lit(0))).where("event <> 'UserPromptSubmit'")
+    real = asked.where("not rebuilt").groupBy("session_id", F.col("prompt_id").alias("real_prompt")).agg(F.max("ts").alias("real_ts"))
+    same_prompt = F.coalesce(F.col("real_prompt") == F.col("prompt_id"), F.lit(True))
+    gone = asked.where("rebuilt").join(real, "session_id").where(same_prompt & (F.col("real_ts") >= F.col("asked")))
+    return events.join(gone.select("event_id").distinct(), "event_id", "left_anti").select(events.columns)
 
 
 def rebuild_agent_stops(turns: DataFrame, ends: DataFrame, notices: DataFrame) -> DataFrame:
@@ -221,12 +254,42 @@ def end_reasons(sessions: DataFrame, events: DataFrame, faults: DataFrame) -> Da
     return j.select("session_id", F.when(ended, F.col("end.reason")).when(traced, "lost").when(F.col("start").isNotNull(), "never").alias("end_reason"))
 
 
-def mark_unfillable(recoverable: DataFrame, faults: DataFrame, sessions: DataFrame, now: int) -> DataFrame:
-    """A fault for each thing that a full reading left open and that has none since the session's last row; a later row reopens it."""
-    ids = recoverable.select("session_id", "reason", F.concat_ws(":", F.lit("unfillable"), "session_id", "reason").alias("fault_id"))
-    known = faults.where(F.col("fault_id").startswith("unfillable:")).select("fault_id", F.col("ts").alias("marked"))
-    j = ids.join(sessions.select("session_id", "last_ts"), "session_id").join(known, "fault_id", "left").where("marked is null or marked < last_ts")
-    return j.select("fault_id", F.lit(now).cast("bigint").alias("ts"), "session_id", F.lit(None).cast("string").alias("tool_use_id"), F.lit("transcript").alias("stage"), F.concat(F.lit("unfillable: "), "reason").alias("error"))
+#: What the faults of things that a full reading left open say after their ids (fixed values).
+UNFILLED = {
+    "agent turn": "no request in its span, and its quiet transcript holds none at or after the session's first hook", "stop reply": "no final reply request, and its quiet main transcript holds none at or after the session's first hook",
+    "turn end": "no Stop or StopFailure, and its quiet main transcript shows no turn end after it", "call": "no size or no request, and no quiet transcript of the session holds its result or, at or after the session's first hook, its request",
+    "agent stop": "no SubagentStop, and its quiet transcript shows no turn end at or after the turn's start",
+}
+
+
+def unfilled(events: DataFrame, agent_turns_: DataFrame, calls: DataFrame, requests: DataFrame) -> DataFrame:
+    """M23 (session_id, tool_use_id, ts, kind, error, once): each thing that is open: agent turns and stops of the main chat without their request, latest prompts
+    without an end, calls without size or request, latest agent turns without a stop. once: a later row of the session does not open it again."""
+    none, text = F.lit(None).cast("string"), lambda kind, *ids: F.concat(*ids, F.lit(f": {UNFILLED[kind]}"))
+    row = lambda kind, once, ts, error, tool=none: ["session_id", tool.alias("tool_use_id"), ts.alias("ts"), F.lit(kind).alias("kind"), error.alias("error"), F.lit(once).alias("once")]
+    own = requests.where("agent_id is not null").select("agent_id", F.col("ts").alias("r_ts"))
+    stopped = agent_turns_.where("stopped is not null")
+    filled = stopped.join(own, "agent_id").where(F.col("r_ts").between(F.coalesce("started", "stopped"), F.col("stopped"))).select("agent_id", "seq").distinct()
+    turn = stopped.join(filled, ["agent_id", "seq"], "left_anti").select(*row("agent turn", True, F.col("stopped"), text("agent turn", F.lit("agent "), "agent_id", F.lit(" turn stopped "), F.col("stopped").cast("string"))))
+    stops = events.where("event = 'Stop' and coalesce(agent_id, '') = '' and prompt_id is not null")
+    replies = requests.where("agent_id is null and stop_reason = 'end_turn' and prompt_id is not null").select("session_id", "prompt_id").distinct()
+    reply = stops.join(replies, ["session_id", "prompt_id"], "left_anti").select(*row("stop reply", True, F.col("ts"), text("stop reply", F.lit("prompt "), "prompt_id", F.lit(" Stop "), "event_id")))
+    end = open_prompts(events).select(*row("turn end", False, F.col("p.ts"), text("turn end", F.lit("prompt "), F.coalesce("p.prompt_id", F.lit("-")), F.lit(" UserPromptSubmit "), "p.event_id")))
+    open_call = calls.where("(bytes_real is null and bytes_delivered is null) or request_id is null")
+    call = open_call.select(*row("call", False, F.coalesce("ts", F.lit(0)), text("call", F.lit("call "), "tool_use_id"), F.col("tool_use_id")))
+    latest = agent_turns_.groupBy("agent_id").agg(F.max_by(F.struct("session_id", "seq", "started", "stopped"), "seq").alias("t")).select("agent_id", "t.*").where("stopped is null")
+    stop = latest.select(*row("agent stop", False, F.coalesce("started", F.lit(0)), text("agent stop", F.lit("agent "), "agent_id", F.lit(" turn "), F.col("seq").cast("string"), F.lit(" open"))))
+    return reduce(lambda x, y: x.unionByName(y), (turn, reply, end, call, stop))
+
+
+def mark_unfillable(open_: DataFrame, faults: DataFrame, sessions: DataFrame) -> DataFrame:
+    """A fault for each open thing (see unfilled()) of sessions that were read in full, at the session's last row, or at its own time where it is marked once. One that
+    is marked already is marked again only if its session has a later row."""
+    marked = faults.where("stage = 'transcript' and session_id is not null").groupBy("session_id", "error").agg(F.max("ts").alias("marked"))
+    j = open_.join(sessions.select("session_id", "last_ts"), "session_id").join(marked, ["session_id", "error"], "left")
+    new = j.where(F.col("marked").isNull() | (~F.col("once") & (F.col("marked") < F.coalesce("last_ts", F.lit(0)))))
+    ts = F.when(F.col("once"), F.col("ts")).otherwise(F.coalesce("last_ts", "ts"))
+    return new.select(F.sha2(F.concat_ws("\0", "session_id", "error", ts.cast("string")), 256).alias("fault_id"), ts.alias("ts"), "session_id", "tool_use_id", F.lit("transcript").alias("stage"), "error")
 
 
 def insert_lost_faults(faults: DataFrame, new: DataFrame) -> DataFrame:
@@ -235,9 +298,9 @@ def insert_lost_faults(faults: DataFrame, new: DataFrame) -> DataFrame:
     return new.select(columns).exceptAll(faults.select(columns))
 
 
-def retention(table: DataFrame, cutoff: int, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
-    """M25 (kept, archived): rows older than the cutoff are archived; rows without a time stay."""
-    old = F.coalesce(F.col(ts) < cutoff, F.lit(False))
+def retention(table: DataFrame, cutoff: int, ts: str | Column = "ts") -> tuple[DataFrame, DataFrame]:
+    """M25 (kept, archived) of one table: rows older than the cutoff are archived; rows without a time stay."""
+    old = F.coalesce((F.col(ts) if isinstance(ts, str) else ts) < cutoff, F.lit(False))
     return table.where(~old), table.where(old)
 
 
@@ -246,6 +309,47 @@ def retention_of_parts(parts: DataFrame, archived: DataFrame, key: str) -> tuple
     return parts.join(archived.select(key), key, "left_anti"), parts.join(archived.select(key), key, "left_semi")
 
 
+#: Tables whose archived rows give way to newer ones; of others the first copy stays.
+AGGREGATES = ("calls", "requests", "request_iterations", "agents", "sessions", "session_costs")
+PARENTS = {"request_iterations": ("requests", "request_id"), "command_parts": ("calls", "tool_use_id")}
+
+
+def expired(tables: Mapping[str, DataFrame], name: str, cutoff: int) -> DataFrame:
+    """The rows of a table that have aged out. A call without a time ages by its request, an agent and its turns by their stop, else their start, a session by its last row; dependants go with
+    their parent, or if it is gone. A row without any time stays."""
+    table = tables[name]
+    if name in PARENTS:
+        parent, key = PARENTS[name]
+        young = tables[parent].join(expired(tables, parent, cutoff).select(*KEYS[parent]), KEYS[parent], "left_anti")
+        return table.join(young.select(key).distinct(), key, "left_anti").select(table.columns)
+    if name == "calls":
+        times = tables["requests"].select("request_id", F.col("ts").alias("_r_ts"))
+        return table.join(times, "request_id", "left").where(F.coalesce("ts", "_r_ts") < cutoff).select(table.columns)
+    age = {"agents": F.coalesce("stopped", "started"), "agent_turns": F.coalesce("stopped", "started"), "sessions": F.col("last_ts")}
+    return retention(table, cutoff, age.get(name, "ts"))[1]
+
+
+def retain(tables: Mapping[str, DataFrame], archives: Mapping[str, DataFrame], cutoff: int) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """M25 (kept, archives) of whole tables by name (schema.KEYS): what aged out is archived first, and leaves its table only where the archive has an identical row.
+
+    Archived aggregates are replaced; of facts, the first copy stays, so a row that differs from it stays in the table as well.
+    """
+    kept, filed = {}, {}
+    for name, table in tables.items():
+        old, key = expired(tables, name, cutoff), KEYS[name]
+        before = archives.get(name)
+        if before is None:
+            filed[name] = old
+        elif name in AGGREGATES:
+            filed[name] = old.unionByName(before.join(old.select(*key), key, "left_anti"), allowMissingColumns=True)
+        else:
+            filed[name] = before.unionByName(old.join(before.select(*key), key, "left_anti"), allowMissingColumns=True)
+        whole = F.to_json(F.struct(*table.columns)).alias("_whole")
+        safe = old.select(*key, whole).join(filed[name].select(*key, whole).distinct(), [*key, "_whole"], "left_semi")
+        kept[name] = table.withColumn("_whole", whole).join(safe, [*key, "_whole"], "left_anti").select(table.columns)
+    return kept, filed
+
+
 def union_archive(store: DataFrame, archive: DataFrame, key: Sequence[str]) -> DataFrame:
     """Archived rows only where the store has none of their key."""
     return store.unionByName(archive.join(store.select(*key), list(key), "left_anti"), allowMissingColumns=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,20 +36,37 @@ def compare_sessions(sessions: DataFrame, read: DataFrame) -> DataFrame:
 
 
 def compare_calls(calls: DataFrame, read: DataFrame) -> DataFrame:
-    """Calls missing, extra, or with another session, agent, tool or request than read; without size, time or outcome that was read."""
-    classes = {f"call {n}": differ(n) for n in ("session_id", "agent_id", "tool", "request_id")}
-    classes |= {"call without size": F.col("s.bytes_delivered").isNull() & F.col("t.bytes_delivered").isNotNull(), "call failed flag": F.col("s.failed").isNotNull() & F.col("t.failed").isNotNull() & differ("failed"), "call without ts": F.col("s.ts").isNull() & F.col("t.ts").isNotNull()}
-    return mismatches(calls, read, "tool_use_id", classes, ("call missing", "call extra"))
+    """Calls missing, extra, or with another session, agent, agent type, tool or request than read; without size, request, time or outcome that was read; and calls that only a batch has told of.
+
+    A pending request is no other one. A call that only a batch has told of has neither duration, outcome, nor real size, for that one reason.
+    """
+    batch_only = F.col("s.bytes_delivered").isNotNull() & F.col("s.bytes_real").isNull() & F.col("s.duration_ms").isNull() & F.col("s.failed").isNull()
+    known = calls.columns
+    batch_only = batch_only if {"bytes_real", "duration_ms", "failed"} <= set(known) else F.lit(False)
+    other_type = differ("agent_type") & F.col("t.agent_type").isNotNull() & ~differ("agent_id") if "agent_type" in known and "agent_type" in read.columns else F.lit(False)
+    classes = {
+        "call session_id": differ("session_id"), "call agent_id": differ("agent_id"), "call agent type": other_type, "call tool": differ("tool"), "call without request": F.col("s.request_id").isNull() & F.col("t.request_id").isNotNull(),
+        "call request_id": F.col("s.request_id").isNotNull() & ~F.col("s.request_id").startswith("pending:") & differ("request_id"),
+        "call without size": F.col("s.bytes_delivered").isNull() & F.col("t.bytes_delivered").isNotNull(), "call failed flag": F.col("s.failed").isNotNull() & F.col("t.failed").isNotNull() & differ("failed"),
+        "call without ts": F.col("s.ts").isNull() & F.col("t.ts").isNotNull() & ~batch_only,
+    }
+    found = mismatches(calls, read, "tool_use_id", classes, ("call missing", "call extra"))
+    only = calls.select(F.struct("*").alias("s")).where(batch_only).select(F.lit("call batch only").alias("class"), F.col("s.session_id").alias("session_id"), F.col("s.ts").alias("ts"), F.col("s.tool_use_id").alias("id"))
+    return found.unionByName(only)
 
 
 def compare_requests(requests: DataFrame, read: DataFrame) -> DataFrame:
-    """Requests missing, extra, pending though read, or with other tokens, owner, model, stop reason or number of calls."""
+    """Requests missing, extra, pending though read, or with other tokens, owner, model, stop reason or number of calls; and untracked ones: read messages without a call that no row has."""
     tokens = ("input_tokens", "cache_read_tokens", "cache_creation_tokens", "output_tokens")
     other = differ(tokens[0])
     for c in tokens[1:]:
         other = other | differ(c)
     classes = {"request pending": F.col("s.pending") == 1, "request tokens": other, "request owner": differ("session_id") | differ("agent_id"), "request model": differ("model"), "request stop reason": differ("stop_reason"), "request calls": differ("calls")}
-    return mismatches(requests.where("not (source <=> 'ledger')"), read, "request_id", classes, ("request missing", "request extra"))
+    found = mismatches(requests.where("not (source <=> 'ledger')"), read, "request_id", classes, ("request missing", "request extra"))
+    if "calls" not in read.columns:
+        return found
+    without = read.where("coalesce(calls, 0) = 0").select(F.col("request_id").alias("id"), F.lit("request missing").alias("class"), F.lit(True).alias("untracked"))
+    return found.join(without, ["id", "class"], "left").select(F.when(F.col("untracked"), "request untracked").otherwise(F.col("class")).alias("class"), "session_id", "ts", "id")
 
 
 def token_sums(requests: DataFrame, read: DataFrame) -> DataFrame:
@@ -58,10 +76,25 @@ def token_sums(requests: DataFrame, read: DataFrame) -> DataFrame:
     return a.crossJoin(F.broadcast(b))  # one row and one row
 
 
-def compare_agents(agents: DataFrame, read: DataFrame) -> DataFrame:
-    """Agents missing, of another type or parent, with another number of tool uses, or stopped in the transcript only."""
-    classes = {"agent type": differ("agent_type"), "agent parent": differ("parent_tool_use_id"), "agent tool uses": differ("tool_uses"), "agent open turn": F.col("s.stopped").isNull() & F.col("t.stopped").isNotNull()}
-    return mismatches(agents.withColumn("ts", F.col("started")), read.withColumn("ts", F.col("started")), "agent_id", classes, ("agent missing", "agent extra"))
+def compare_agents(agents: DataFrame, read: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+    """Agents missing, extra, of another session, type or parent, or with another number of tool uses, or stopped in the transcript only.
+
+    With turns (agent_id, seq, started, stopped, and optionally rebuilt) and, read, `turns` and `ends` (the times at which the transcript shows a turn to end): another number of
+    turns, turns without a start, and rebuilt stops that no end that was read is near to, at the same time.
+    """
+    classes = {"agent session": differ("session_id"), "agent type": differ("agent_type"), "agent parent": differ("parent_tool_use_id"), "agent tool uses": differ("tool_uses"), "agent open turn": F.col("s.stopped").isNull() & F.col("t.stopped").isNotNull()}
+    stored = agents.withColumn("ts", F.col("started"))
+    if turns is None:
+        return mismatches(stored, read.withColumn("ts", F.col("started")), "agent_id", classes, ("agent missing", "agent extra"))
+    classes["agent turns"] = F.col("t.turns").isNotNull() & (F.coalesce("s.n_turns", F.lit(0)) != F.col("t.turns"))
+    stored = stored.join(turns.groupBy("agent_id").agg(F.count("*").alias("n_turns")), "agent_id", "left")
+    found = mismatches(stored, read.withColumn("ts", F.col("started")), "agent_id", classes, ("agent missing", "agent extra"))
+    of = lambda rows, name: rows.join(agents.select("agent_id", "session_id"), "agent_id").select(F.lit(name).alias("class"), "session_id", F.coalesce("stopped", "started").alias("ts"), F.concat_ws("#", "agent_id", F.col("seq").cast("string")).alias("id"))
+    found = found.unionByName(of(turns.where("started is null").drop("session_id"), "agent turn without start"))
+    if "rebuilt" in turns.columns:
+        shown = turns.where("rebuilt").drop("session_id").join(read.select("agent_id", "ends"), "agent_id", "left").where(~F.coalesce(F.array_contains("ends", F.col("stopped")), F.lit(False)))
+        found = found.unionByName(of(shown, "agent stop rebuilt"))
+    return found
 
 
 def compare_parts(calls: DataFrame, parts: DataFrame, version: int) -> DataFrame:
@@ -72,22 +105,40 @@ def compare_parts(calls: DataFrame, parts: DataFrame, version: int) -> DataFrame
     return shell.join(per, "tool_use_id", "left").select(F.explode(found).alias("class"), "session_id", "ts", F.col("tool_use_id").alias("id"))
 
 
-def compare_events(events: DataFrame, read: DataFrame, tolerance_ms: int = 2_000) -> DataFrame:
-    """Events (event_id, session_id, event, ts) against those read: each read one needs a stored one of its kind within the tolerance, and the other way round; repeats are counted.
+#: Times that a stored and a read event may be apart; a compaction's two ends and its record, more.
+TOLERANCE, COMPACT_TOLERANCE = 2_000, 60_000
 
-    Times meet in buckets of the tolerance's width and their neighbours, so the join is one of equals.
-    """
+
+def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], tolerance_ms: int) -> DataFrame:
+    """a (keys, ts, others) and b (keys, read_ts, others) within the tolerance. Times meet in buckets of its width and their neighbours, so the join is one of equals."""
     bucket = lambda c: F.floor(F.col(c) / tolerance_ms)
+    wide = b.withColumn("k", F.explode(F.array(bucket("read_ts") - 1, bucket("read_ts"), bucket("read_ts") + 1)))
+    return a.withColumn("k", bucket("ts")).join(wide, [*keys, "k"]).where(F.abs(F.col("ts") - F.col("read_ts")) <= tolerance_ms).drop("k")
+
+
+def compare_events(events: DataFrame, read: DataFrame, tolerance_ms: int = TOLERANCE) -> DataFrame:
+    """Events (event_id, session_id, event, ts) against those read: each read one needs a stored one of its kind within the tolerance, and the other way round; repeats are counted."""
     a = events.select("event_id", "session_id", "event", "ts")
     b = read.select(F.col("event_id").alias("read_id"), "session_id", "event", F.col("ts").alias("read_ts"))
-    wide = b.withColumn("k", F.explode(F.array(bucket("read_ts") - 1, bucket("read_ts"), bucket("read_ts") + 1)))
-    near = a.withColumn("k", bucket("ts")).join(wide, ["session_id", "event", "k"]).where(F.abs(F.col("ts") - F.col("read_ts")) <= tolerance_ms)
+    near = near_pairs(a, b, ["session_id", "event"], tolerance_ms)
     missing = b.join(near.select("read_id").distinct(), "read_id", "left_anti").select(F.concat(F.col("event"), F.lit(" missing")).alias("class"), "session_id", F.col("read_ts").alias("ts"), F.col("read_id").alias("id"))
     extra = a.join(near.select("event_id").distinct(), "event_id", "left_anti").select(F.concat(F.col("event"), F.lit(" extra")).alias("class"), "session_id", "ts", F.col("event_id").alias("id"))
     again = near.groupBy("read_id", "session_id", "event").agg(F.count("*").alias("n"), F.min("ts").alias("ts")).where("n > 1").select(F.concat(F.col("event"), F.lit(" repeated")).alias("class"), "session_id", "ts", F.col("read_id").alias("id"))
     return missing.unionByName(extra).unionByName(again)
 
 
+def compare_compactions(events: DataFrame, compactions: DataFrame, tolerance_ms: int = COMPACT_TOLERANCE) -> DataFrame:
+    """Recorded compactions (entry_id, session_id, ts) without a PreCompact or a PostCompact event within the tolerance, and such events without a compaction."""
+    b = compactions.where("ts is not null").select(F.col("entry_id").alias("read_id"), "session_id", F.col("ts").alias("read_ts"))
+    found = []
+    for kind in ("PreCompact", "PostCompact"):
+        a = events.where(F.col("event") == kind).select("event_id", "session_id", "ts")
+        near = near_pairs(a, b, ["session_id"], tolerance_ms)
+        found.append(b.join(near.select("read_id").distinct(), "read_id", "left_anti").select(F.lit(f"{kind} missing").alias("class"), "session_id", F.col("read_ts").alias("ts"), F.col("read_id").alias("id")))
+        found.append(a.join(near.select("event_id").distinct(), "event_id", "left_anti").select(F.lit(f"{kind} without compaction").alias("class"), "session_id", "ts", F.col("event_id").alias("id")))
+    return reduce(lambda x, y: x.unionByName(y), found)
+
+
 def pair_faults(faults: DataFrame, rows: DataFrame, tolerance_ms: int = 60_000) -> DataFrame:
     """C07 (fault_id, row_id): faults paired one to one with the rows (row_id, session_id, ts) that their lost events would have written.
 

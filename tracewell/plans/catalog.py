@@ -6,6 +6,7 @@ A query is a function of the stand-in views; its SQL names views and driver tabl
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,15 +160,22 @@ entry("r07_faults", lambda S: R.faults(S.faults, S.command_parts, R.refusals(S.h
  f AS (SELECT * FROM {faults} ORDER BY ts DESC, fault_id LIMIT 25), r AS (SELECT ts, session_id, coalesce(error_type, 'unknown') AS what FROM {hook_events} WHERE event = 'StopFailure' ORDER BY ts DESC, session_id LIMIT 25)
  SELECT 'stage' AS kind, s AS label, (SELECT count(*) FROM {faults} x WHERE x.stage = s) AS count, NULL::BIGINT AS ts, NULL::VARCHAR AS session_id, NULL::VARCHAR AS call, NULL::VARCHAR AS error FROM st
  UNION ALL SELECT 'parts', parse_status, count(*), NULL, NULL, NULL, NULL FROM {command_parts} GROUP BY 2 UNION ALL SELECT 'fault', stage, NULL, ts, session_id, tool_use_id, error FROM f UNION ALL SELECT 'refusal', what, NULL, ts, session_id, NULL, NULL FROM r""")
-entry("r08_refusals", lambda S: R.refusals(S.hook_events), "SELECT ts, session_id, coalesce(error_type, 'unknown') AS kind, 'hook' AS source FROM {hook_events} WHERE event = 'StopFailure'")
+#: Latest prompts of main chats that no end answers.
+OPEN_SQL = """lp AS (SELECT * FROM (SELECT session_id, event_id, prompt_id, ts, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS r FROM {hook_events} WHERE event = 'UserPromptSubmit') WHERE r = 1),
+ op AS (SELECT session_id, event_id AS p_id, prompt_id AS p_prompt, ts AS p_ts FROM lp WHERE NOT EXISTS (SELECT 1 FROM {hook_events} e WHERE e.session_id = lp.session_id AND e.event IN ('Stop', 'StopFailure') AND e.ts >= lp.ts AND (e.prompt_id IS NULL OR lp.prompt_id IS NULL OR e.prompt_id = lp.prompt_id)))"""
+entry("r08_refusals", lambda S: R.refusals(S.hook_events, S.sessions.select("session_id", F.when(F.col("first_ts") % 2 == 0, "StopFailure").otherwise("Stop").alias("event"), F.lit("overloaded").alias("error_type"), (F.col("last_ts") + 1).alias("ts"))),
+      f"""WITH {OPEN_SQL} SELECT ts, session_id, coalesce(error_type, 'unknown') AS kind, 'hook' AS source FROM {{hook_events}} WHERE event = 'StopFailure'
+      UNION ALL SELECT last_ts + 1, session_id, 'overloaded', 'transcript' FROM op JOIN {{sessions}} USING (session_id) WHERE first_ts % 2 = 0""")
 entry("r09_sessions", lambda S: R.sessions(S.sessions, S.calls, S.agents, R.ran_nothing(S.hook_events, S.calls, S.requests, S.faults), None), """WITH n AS (SELECT session_id FROM {hook_events} GROUP BY 1 HAVING count(*) FILTER (event NOT IN ('SessionStart', 'SessionEnd', 'InstructionsLoaded', 'Notification')) = 0 AND count(*) FILTER (event = 'SessionStart') > 0),
  un AS (SELECT session_id FROM n WHERE session_id NOT IN (SELECT session_id FROM {calls}) AND session_id NOT IN (SELECT session_id FROM {requests}) AND session_id NOT IN (SELECT session_id FROM {faults}))
  SELECT s.session_id, first_ts, last_ts, CASE WHEN model IS NULL AND s.session_id IN (SELECT * FROM un) THEN '(unused)' ELSE model END AS model, start_source, end_reason, (SELECT count(*) FROM {calls} c WHERE c.session_id = s.session_id) AS calls, (SELECT count(*) FROM {agents} a WHERE a.session_id = s.session_id) AS agents, cwd, host, coalesce(tz_name, '-') AS tz FROM {sessions} s""")
-entry("r10_ended_before_start", lambda S: R.ended_before_start(S.hook_events.where("event = 'SessionEnd' or session_id like '%1'"), S.faults),
-      "SELECT session_id FROM {hook_events} WHERE event = 'SessionEnd' OR session_id LIKE '%1' GROUP BY 1 HAVING count(*) FILTER (event <> 'SessionEnd') = 0 AND session_id NOT IN (SELECT session_id FROM {faults} WHERE session_id IS NOT NULL)")
-entry("r11_ran_nothing", lambda S: R.ran_nothing(S.hook_events.where("event in ('SessionStart', 'Notification') or session_id like '%1'"), S.calls.where("session_id like '%2'"), S.requests.where("session_id like '%3'"), S.faults.where("session_id like '%4'")),
-      """WITH n AS (SELECT session_id FROM {hook_events} WHERE event IN ('SessionStart', 'Notification') OR session_id LIKE '%1' GROUP BY 1 HAVING count(*) FILTER (event NOT IN ('SessionStart', 'SessionEnd', 'InstructionsLoaded', 'Notification')) = 0 AND count(*) FILTER (event = 'SessionStart') > 0)
-      SELECT session_id FROM n WHERE session_id NOT IN (SELECT session_id FROM {calls} WHERE session_id LIKE '%2') AND session_id NOT IN (SELECT session_id FROM {requests} WHERE session_id LIKE '%3') AND session_id NOT IN (SELECT session_id FROM {faults} WHERE session_id LIKE '%4')""")
+entry("r10_ended_before_start", lambda S: R.ended_before_start(S.hook_events.withColumn("event", F.when(F.col("session_id").rlike("[02468]$"), "SessionEnd").otherwise(F.col("event"))), S.faults),
+      "SELECT session_id FROM {hook_events} GROUP BY 1 HAVING count(*) FILTER (event <> 'SessionEnd' AND NOT regexp_matches(session_id, '[02468]$')) = 0 AND session_id NOT IN (SELECT session_id FROM {faults} WHERE session_id IS NOT NULL)")
+OF_DIGIT = lambda df, digits: df.withColumn("session_id", F.when(F.col("session_id").rlike(f"[{digits}]$"), F.col("session_id")).otherwise("none"))
+entry("r11_ran_nothing", lambda S: R.ran_nothing(S.hook_events.withColumn("event", F.when(F.col("session_id").rlike("[0-8]$"), F.when(F.col("ts") % 2 == 0, "SessionStart").otherwise("Notification")).otherwise(F.col("event"))), OF_DIGIT(S.calls, "12"), OF_DIGIT(S.requests, "34"), OF_DIGIT(S.faults, "56")),
+      """WITH e AS (SELECT session_id, CASE WHEN NOT regexp_matches(session_id, '[0-8]$') THEN event WHEN ts % 2 = 0 THEN 'SessionStart' ELSE 'Notification' END AS event FROM {hook_events}),
+      n AS (SELECT session_id FROM e GROUP BY 1 HAVING count(*) FILTER (event NOT IN ('SessionStart', 'SessionEnd', 'InstructionsLoaded', 'Notification')) = 0 AND count(*) FILTER (event = 'SessionStart') > 0)
+      SELECT session_id FROM n WHERE session_id NOT IN (SELECT session_id FROM {calls} WHERE regexp_matches(session_id, '[12]$')) AND session_id NOT IN (SELECT session_id FROM {requests} WHERE regexp_matches(session_id, '[34]$')) AND session_id NOT IN (SELECT session_id FROM {faults} WHERE regexp_matches(session_id, '[56]$'))""")
 entry("r12_prompts", lambda S: R.prompts(S.calls, S.requests, S.agents.withColumn("prompt_id", F.concat("session_id", F.lit("-p1"))), S.turn_durations, None), f"""WITH c AS (SELECT prompt_id, min(session_id) AS s1, min(ts) AS f1, max(ts) AS l1, count(*) AS calls, isum(failed) AS failed FROM {{calls}} GROUP BY 1),
  r AS (SELECT prompt_id, min(session_id) AS s2, min(ts) AS f2, max(ts) AS l2, count(*) AS requests, max(context_tokens) AS context_tokens, isum(output_tokens) AS output_tokens FROM {{requests}} WHERE {SETTLED} GROUP BY 1),
  a AS (SELECT session_id || '-p1' AS prompt_id, min(session_id) AS s3, min(started) AS f3, max(stopped) AS l3, count(*) AS agents FROM {{agents}} GROUP BY 1),
@@ -322,8 +330,9 @@ entry("p08_count_unredacted", lambda S: P.count_unredacted(P.redact(S.calls, S.f
 
 # Merges
 SEEN = lambda S: S.hook_events.select("session_id", "ts", F.when(F.col("ts") % 3 == 0, F.concat(F.lit("/d"), (F.col("ts") % 7).cast("string"))).alias("cwd"), F.when(F.col("ts") % 4 == 0, F.concat(F.lit("/t"), (F.col("ts") % 5).cast("string"))).alias("transcript_path"))
-entry("m01_merge", lambda S: M.merge(S.requests.where("request_id like '%1' or request_id like '%2'").select("request_id", "ts", "model", "output_tokens", "context_tokens"), S.requests.where("request_id like '%2' or request_id like '%3'").select("request_id", (F.col("ts") + 5).alias("ts"), F.concat("model", F.lit("!")).alias("model"), (F.col("output_tokens") + 1).alias("output_tokens"), (F.col("context_tokens") - 1).alias("context_tokens")), ["request_id"], {"ts": "min", "model": "fill", "output_tokens": "overwrite", "context_tokens": "max"}),
-      "SELECT request_id, CASE WHEN request_id LIKE '%3' THEN ts + 5 ELSE ts END AS ts, CASE WHEN request_id LIKE '%3' THEN model || '!' ELSE model END AS model, CASE WHEN request_id LIKE '%1' THEN output_tokens ELSE output_tokens + 1 END AS output_tokens, CASE WHEN request_id LIKE '%3' THEN context_tokens - 1 ELSE context_tokens END AS context_tokens FROM {requests} WHERE request_id LIKE '%1' OR request_id LIKE '%2' OR request_id LIKE '%3'")
+entry("m01_merge", lambda S: M.merge(S.requests.select("request_id", "ts", F.when(F.col("ts") % 3 != 0, F.col("model")).alias("model"), "output_tokens", "context_tokens"), S.requests.select(F.when(F.col("ts") % 5 == 0, F.concat(F.lit("new-"), "request_id")).otherwise(F.col("request_id")).alias("request_id"), (F.col("ts") + 5).alias("ts"), F.concat("model", F.lit("!")).alias("model"), (F.col("output_tokens") + 1).alias("output_tokens"), (F.col("context_tokens") - 1).alias("context_tokens")), ["request_id"], {"ts": "min", "model": "fill", "output_tokens": "overwrite", "context_tokens": "max"}),
+      """SELECT request_id, ts, CASE WHEN ts % 3 <> 0 THEN model WHEN ts % 5 <> 0 THEN model || '!' END AS model, CASE WHEN ts % 5 <> 0 THEN output_tokens + 1 ELSE output_tokens END AS output_tokens, context_tokens FROM {requests}
+      UNION ALL SELECT 'new-' || request_id, ts + 5, model || '!', output_tokens + 1, context_tokens - 1 FROM {requests} WHERE ts % 5 = 0""")
 entry("m02_claim_occurrences", lambda S: M.claim_occurrences(SRC.payloads(X.payload_rows(S))[0]).groupBy("event").agg(F.count("*").alias("deliveries"), F.count_distinct("event_id").alias("occurrences")), "SELECT event, isum(CASE WHEN ts % 3 = 0 THEN 3 ELSE 1 END) AS deliveries, isum(CASE WHEN ts % 3 = 0 THEN 2 ELSE 1 END) AS occurrences FROM {hook_events} GROUP BY event")
 entry("m03_touch_sessions", lambda S: M.touch_sessions(SEEN(S)), """WITH e AS (SELECT session_id, ts, CASE WHEN ts % 3 = 0 THEN '/d' || (ts % 7) END AS cwd, CASE WHEN ts % 4 = 0 THEN '/t' || (ts % 5) END AS tp FROM {hook_events})
  SELECT session_id, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(cwd, (ts, cwd)) FILTER (cwd IS NOT NULL) AS cwd, min(ts) FILTER (cwd IS NOT NULL) AS cwd_ts, arg_max(tp, (ts, tp)) FILTER (tp IS NOT NULL) AS transcript_path, max(ts) FILTER (tp IS NOT NULL) AS transcript_path_ts FROM e GROUP BY session_id""")
@@ -334,8 +343,8 @@ entry("m05_agent_turns", lambda S: M.agent_turns(S.hook_events).select("agent_id
 PENDING = lambda S: (S.requests.select(F.when(F.col("pending") == 1, F.concat(F.lit("pending:"), "request_id")).otherwise(F.col("request_id")).alias("request_id"), "session_id", "ts", "model", "pending"), S.calls.join(S.requests.select("request_id", "pending"), "request_id").select("tool_use_id", F.when(F.col("pending") == 1, F.concat(F.lit("pending:"), "request_id")).otherwise(F.col("request_id")).alias("request_id")), S.calls.where("tool <> 'Grep'").select("tool_use_id", "request_id"))
 entry("m06_resolve_pending", lambda S: M.resolve_pending(*PENDING(S))[0].select("request_id", "ts", "model", "pending"), "WITH f AS (SELECT DISTINCT request_id FROM {calls} WHERE tool <> 'Grep') SELECT CASE WHEN pending = 1 AND f.request_id IS NULL THEN 'pending:' || r.request_id ELSE r.request_id END AS request_id, ts, model, CASE WHEN pending = 1 AND f.request_id IS NULL THEN 1 ELSE 0 END AS pending FROM {requests} r LEFT JOIN f ON f.request_id = r.request_id")
 entry("m06_repointed_calls", lambda S: M.resolve_pending(*PENDING(S))[1], "WITH f AS (SELECT DISTINCT request_id FROM {calls} WHERE tool <> 'Grep') SELECT c.tool_use_id, CASE WHEN r.pending = 1 AND f.request_id IS NULL THEN 'pending:' || r.request_id ELSE r.request_id END AS request_id FROM {calls} c JOIN {requests} r ON r.request_id = c.request_id LEFT JOIN f ON f.request_id = r.request_id")
-entry("m07_settle", lambda S: M.settle(S.requests.where("pending = 1 or source = 'hook'"), S.requests.where("session_id like '%3'").select("request_id", "session_id", "agent_id", F.col("ts"), (F.col("output_tokens") + 1).alias("output_tokens"), F.lit("transcript").alias("source")), S.sessions.select("session_id", (F.col("first_ts") + 1000).alias("first_ts"))).select("request_id", "output_tokens", "pending", "source"),
-      """WITH o AS (SELECT * FROM {requests} WHERE pending = 1 OR source = 'hook'), n AS (SELECT r.request_id, r.output_tokens + 1 AS output_tokens, r.ts, s.first_ts + 1000 AS f FROM {requests} r JOIN {sessions} s USING (session_id) WHERE session_id LIKE '%3')
+entry("m07_settle", lambda S: M.settle(S.requests.where("pending = 1 or source = 'hook'"), S.requests.select("request_id", "session_id", "agent_id", F.col("ts"), (F.col("output_tokens") + 1).alias("output_tokens"), F.lit("transcript").alias("source")), S.sessions.select("session_id", (F.col("first_ts") + 1000).alias("first_ts"))).select("request_id", "output_tokens", "pending", "source"),
+      """WITH o AS (SELECT * FROM {requests} WHERE pending = 1 OR source = 'hook'), n AS (SELECT r.request_id, r.output_tokens + 1 AS output_tokens, r.ts, s.first_ts + 1000 AS f FROM {requests} r JOIN {sessions} s USING (session_id))
       SELECT coalesce(o.request_id, n.request_id) AS request_id, coalesce(n.output_tokens, o.output_tokens) AS output_tokens, CASE WHEN n.request_id IS NOT NULL THEN 0 ELSE o.pending END AS pending, coalesce(o.source, CASE WHEN n.request_id IS NOT NULL THEN 'transcript' END) AS source FROM o FULL JOIN n ON o.request_id = n.request_id WHERE o.request_id IS NOT NULL OR n.ts >= n.f""")
 entry("m08_recount", lambda S: M.recount(S.requests, S.calls).select("request_id", "calls"), "SELECT r.request_id, count(c.tool_use_id) AS calls FROM {requests} r LEFT JOIN {calls} c ON c.request_id = r.request_id GROUP BY 1")
 entry("m09_merge_session_costs", lambda S: M.merge_session_costs(S.session_costs.drop("model_a", "usd_a"), S.session_costs.select("session_id", (F.col("ts") - 7).alias("ts"), "started", (F.col("cost_usd") * 2).alias("cost_usd"), "api_ms", "api_no_retry_ms", "tool_ms", F.when(F.col("api_ms") % 2 == 0, F.col("wall_ms") + 1).otherwise(F.col("wall_ms") - 1).alias("wall_ms"))).select("session_id", "ts", "cost_usd", "wall_ms"),
@@ -356,15 +365,62 @@ entry("m18_recoverable_sessions", lambda S: M.recoverable_sessions(S.sessions, S
  UNION ALL SELECT session_id, 'open agent turn' FROM q WHERE session_id IN (SELECT session_id FROM a WHERE (event = 'SubagentStart' AND n IS DISTINCT FROM 'SubagentStop') OR (event = 'SubagentStop' AND b IS DISTINCT FROM 'SubagentStart')) UNION ALL SELECT session_id, 'missing turn end' FROM q WHERE session_id IN (SELECT session_id FROM p WHERE p IS NOT NULL AND (e IS NULL OR e < p))
  UNION ALL SELECT session_id, 'missing or lost session end' FROM q WHERE end_reason IS NULL OR end_reason IN ('never', 'lost')""")
 entry("m19_rebuild_calls", lambda S: M.rebuild_calls(E.tool_uses(P_(S)), E.tool_results(P_(S)), E.tool_uses(P_(S)).where("tool_use_id like '%1'")).select("tool_use_id", "failed", "bytes_delivered", "source"), f"WITH {CONV} SELECT 't' || tag AS tool_use_id, CASE WHEN n % 5 = 3 THEN 1 ELSE 0 END AS failed, strlen({RESULT}) AS bytes_delivered, 'transcript' AS source {ASSISTANT} AND 't' || tag NOT LIKE '%1'")
-ENDS = lambda S: S.sessions.select("session_id", F.lit("Stop").alias("event"), F.lit(None).cast("string").alias("error_type"), F.lit(1_704_900_000_000).alias("ts"))
-entry("m20_rebuild_turn_ends", lambda S: M.rebuild_turn_ends(S.hook_events, ENDS(S)).select("event_id", "session_id", "ts"), "WITH p AS (SELECT session_id, arg_max(event_id, (ts, event_id)) AS id, max(ts) AS p FROM {hook_events} WHERE event = 'UserPromptSubmit' GROUP BY 1), e AS (SELECT session_id, max(ts) AS e FROM {hook_events} WHERE event IN ('Stop', 'StopFailure') GROUP BY 1) SELECT 'rebuilt:' || id AS event_id, session_id, greatest(p, 1704900000000) AS ts FROM p LEFT JOIN e USING (session_id) WHERE e IS NULL OR e < p")
+#: A Stop of each session, as if read from its transcript: about its last row, some before its latest prompt.
+ENDS = lambda S: S.sessions.select("session_id", F.lit("Stop").alias("event"), F.lit(None).cast("string").alias("error_type"), (F.col("last_ts") + (F.col("first_ts") % 3 - 1) * 50).alias("ts"))
+END_SQL = "(last_ts + (first_ts % 3 - 1) * 50)"
+entry("m20_rebuild_turn_ends", lambda S: M.rebuild_turn_ends(S.hook_events, ENDS(S)).select("session_id", "event", "prompt_id", "ts", "detail", F.length("event_id").alias("id_length")),
+      f"WITH {OPEN_SQL} SELECT session_id, 'Stop' AS event, p_prompt AS prompt_id, greatest(p_ts, {END_SQL}) AS ts, '{M.REBUILT}' AS detail, 64 AS id_length FROM op JOIN {{sessions}} USING (session_id) WHERE p_ts <= {END_SQL}")
+
+
+def WITH_REBUILT(S: StandIns) -> DataFrame:
+    """Events, the rebuilt ends of open prompts, and later real ends: of the same prompt where its time is even, of another one where it is a multiple of 3, else of none."""
+    rebuilt = M.rebuild_turn_ends(S.hook_events, ENDS(S))
+    late = M.open_prompts(S.hook_events).where("p.ts % 5 <> 0").select(F.concat(F.lit("late"), "p.event_id").alias("event_id"), F.lit("Stop").alias("event"), "session_id", F.when(F.col("p.ts") % 2 == 0, F.col("p.prompt_id")).when(F.col("p.ts") % 3 == 0, "another").alias("prompt_id"), (F.col("p.ts") + F.when(F.col("p.ts") % 7 == 0, -1).otherwise(1)).alias("ts"))
+    return S.hook_events.select("event_id", "event", "session_id", "agent_id", "prompt_id", "ts", "detail").unionByName(rebuilt.select("event_id", "event", "session_id", "prompt_id", "ts", "detail"), allowMissingColumns=True).unionByName(late, allowMissingColumns=True)
+
+
+# a real end replaces the rebuilt one if it is not before the prompt, and of its prompt, if both name one
+entry("m20_drop_rebuilt", lambda S: M.drop_rebuilt(WITH_REBUILT(S)).where(F.col("detail") == M.REBUILT).select("session_id", "prompt_id", "ts"),
+      f"""WITH {OPEN_SQL}, l AS (SELECT *, CASE WHEN p_ts % 2 = 0 THEN p_prompt WHEN p_ts % 3 = 0 THEN 'another' END AS q FROM op JOIN {{sessions}} USING (session_id) WHERE p_ts <= {END_SQL}),
+      real_ends AS (SELECT session_id, prompt_id, ts FROM {{hook_events}} WHERE event IN ('Stop', 'StopFailure') UNION ALL SELECT session_id, q, p_ts + CASE WHEN p_ts % 7 = 0 THEN -1 ELSE 1 END FROM l WHERE p_ts % 5 <> 0)
+      SELECT session_id, p_prompt AS prompt_id, greatest(p_ts, {END_SQL}) AS ts FROM l WHERE NOT EXISTS (SELECT 1 FROM real_ends r WHERE r.session_id = l.session_id AND r.ts >= p_ts AND (r.prompt_id IS NULL OR p_prompt IS NULL OR r.prompt_id = p_prompt))""")
 entry("m21_rebuild_agent_stops", lambda S: M.rebuild_agent_stops(TURNS5(S), S.hook_events.where("event = 'SubagentStart' and agent_id like '%-0'").select("agent_id", (F.col("ts") + 9).alias("ts")), S.hook_events.where("event = 'SubagentStart'").select("agent_id", (F.col("ts") + 4).alias("ts"))), """WITH e AS (SELECT agent_id, event, ts, event_id, lag(event) OVER w AS b, lead(event) OVER w AS n FROM {hook_events} WHERE event LIKE 'Subagent%' WINDOW w AS (PARTITION BY agent_id ORDER BY ts, event_id)), t AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS seq FROM e WHERE event = 'SubagentStart' OR b IS DISTINCT FROM 'SubagentStart'),
  l AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY seq DESC) AS r FROM t) SELECT agent_id, seq, ts + CASE WHEN agent_id LIKE '%-0' THEN 9 ELSE 4 END AS stopped FROM l WHERE r = 1 AND event = 'SubagentStart' AND n IS DISTINCT FROM 'SubagentStop'""")
 entry("m22_end_reasons", lambda S: M.end_reasons(S.sessions, S.hook_events, S.faults), """WITH e AS (SELECT session_id, max(ts) FILTER (event = 'SessionStart') AS st, max(ts) FILTER (event = 'SessionEnd') AS en, arg_max(reason, ts) FILTER (event = 'SessionEnd') AS reason FROM {hook_events} GROUP BY 1), f AS (SELECT session_id, max(ts) AS lost FROM {faults} WHERE error LIKE '%SessionEnd%' GROUP BY 1)
  SELECT s.session_id, CASE WHEN en >= coalesce(st, 0) THEN reason WHEN lost // 1000 >= coalesce(st, 0) // 1000 THEN 'lost' WHEN st IS NOT NULL THEN 'never' END AS end_reason FROM {sessions} s LEFT JOIN e USING (session_id) LEFT JOIN f USING (session_id)""")
-entry("m23_mark_unfillable", lambda S: M.mark_unfillable(S.requests.where("pending = 1").select("session_id", F.lit("pending request").alias("reason")).distinct(), S.sessions.select(F.concat(F.lit("unfillable:"), "session_id", F.lit(":pending request")).alias("fault_id"), (F.col("last_ts") + F.when(F.col("last_ts") % 2 == 0, 1).otherwise(-1)).alias("ts")), S.sessions, 9).select("fault_id", "ts"), "SELECT 'unfillable:' || session_id || ':pending request' AS fault_id, 9 AS ts FROM {sessions} WHERE last_ts % 2 = 1 AND session_id IN (SELECT session_id FROM {requests} WHERE pending = 1)")
+UNFILLED = lambda S: M.unfilled(S.hook_events, S.agents.withColumn("seq", F.lit(1)), S.calls, S.requests)
+UNFILLED_SQL = f"""{OPEN_SQL}, un AS (
+ SELECT session_id, NULL AS tool_use_id, stopped AS ts, 'agent turn' AS kind, 'agent ' || agent_id || ' turn stopped ' || stopped || ': {M.UNFILLED['agent turn'].replace("'", "''")}' AS error, true AS once FROM {{agents}} a
+ WHERE stopped IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {{requests}} r WHERE r.agent_id = a.agent_id AND r.ts BETWEEN a.started AND a.stopped)
+ UNION ALL SELECT session_id, NULL, ts, 'stop reply', 'prompt ' || prompt_id || ' Stop ' || event_id || ': {M.UNFILLED['stop reply'].replace("'", "''")}', true FROM {{hook_events}} h
+ WHERE event = 'Stop' AND prompt_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {{requests}} r WHERE r.session_id = h.session_id AND r.prompt_id = h.prompt_id AND r.agent_id IS NULL AND r.stop_reason = 'end_turn')
+ UNION ALL SELECT session_id, NULL, p_ts, 'turn end', 'prompt ' || coalesce(p_prompt, '-') || ' UserPromptSubmit ' || p_id || ': {M.UNFILLED['turn end'].replace("'", "''")}', false FROM op
+ UNION ALL SELECT session_id, tool_use_id, coalesce(ts, 0), 'call', 'call ' || tool_use_id || ': {M.UNFILLED['call'].replace("'", "''")}', false FROM {{calls}} WHERE (bytes_real IS NULL AND bytes_delivered IS NULL) OR request_id IS NULL
+ UNION ALL SELECT session_id, NULL, coalesce(started, 0), 'agent stop', 'agent ' || agent_id || ' turn 1 open: {M.UNFILLED['agent stop'].replace("'", "''")}', false FROM {{agents}} WHERE stopped IS NULL)"""
+entry("m23_unfilled", UNFILLED, f"WITH {UNFILLED_SQL} SELECT * FROM un")
+# of the sessions whose last row's time leaves 1 and 2 by 3, what is open is marked already, after that row and before it
+MARKED = lambda S: UNFILLED(S).join(S.sessions.where("last_ts % 3 <> 0").select("session_id", "last_ts"), "session_id").select("session_id", "error", F.lit("transcript").alias("stage"), (F.col("last_ts") + F.when(F.col("last_ts") % 3 == 1, 1).otherwise(-1)).alias("ts"))
+entry("m23_mark_unfillable", lambda S: M.mark_unfillable(UNFILLED(S), MARKED(S), S.sessions).select("session_id", "tool_use_id", "ts", "stage", "error"),
+      f"WITH {UNFILLED_SQL} SELECT session_id, tool_use_id, CASE WHEN once THEN ts ELSE last_ts END AS ts, 'transcript' AS stage, error FROM un JOIN {{sessions}} USING (session_id) WHERE last_ts % 3 = 0 OR (NOT once AND last_ts % 3 = 2)")
 entry("m24_insert_lost_faults", lambda S: M.insert_lost_faults(S.faults.select(F.lit(1).alias("ts"), "stage", F.lit("s").alias("session_id"), "error").where("stage <> 'binary'"), S.faults.select(F.lit(1).alias("ts"), "stage", F.lit("s").alias("session_id"), "error").unionByName(S.faults.where("stage = 'store'").select(F.lit(1).alias("ts"), "stage", F.lit("s").alias("session_id"), "error"))), "SELECT 1 AS ts, stage, 's' AS session_id, error FROM {faults} WHERE stage IN ('binary', 'store')")
-entry("m25_retention", lambda S: M.retention(S.calls, SINCE)[1].groupBy("tool").agg(F.count("*").alias("n")).unionByName(M.retention_of_parts(S.command_parts, M.retention(S.calls, SINCE)[1], "tool_use_id")[1].groupBy(F.lit("parts").alias("tool")).agg(F.count("*").alias("n"))), f"SELECT tool, count(*) AS n FROM {{calls}} WHERE ts < {SINCE} GROUP BY 1 UNION ALL SELECT 'parts', count(*) FROM {{command_parts}} WHERE tool_use_id IN (SELECT tool_use_id FROM {{calls}} WHERE ts < {SINCE})")
+def RETAINED(S: StandIns) -> DataFrame:
+    tables = {"calls": S.calls, "requests": S.requests, "command_parts": S.command_parts, "agents": S.agents, "sessions": S.sessions}
+    archives = {"agents": S.agents.withColumn("total_tokens", F.lit(0).cast("bigint")), "command_parts": S.command_parts.where("seq = 0").withColumn("parser", F.lit(0))}
+    kept, filed = M.retain(tables, archives, SINCE)
+    key = {"calls": "tool_use_id", "requests": "request_id", "command_parts": F.concat_ws("#", "tool_use_id", F.col("seq").cast("string")), "agents": "agent_id", "sessions": "session_id"}
+    more = {"agents": F.col("total_tokens"), "command_parts": F.col("parser").cast("bigint")}
+    rows = [df[n].select(F.lit(n).alias("name"), F.lit(place).alias("place"), (F.col(k) if isinstance(k, str) else k).alias("id"), more.get(n, F.lit(None).cast("bigint")).alias("value")) for place, df in (("kept", kept), ("archive", filed)) for n, k in key.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+# archived agents give way to those that aged out; the archive's copies of first parts differ, so they stay in both
+entry("m25_retention", RETAINED, f"""WITH oldr AS (SELECT request_id FROM {{requests}} WHERE ts < {SINCE}), oldc AS (SELECT c.tool_use_id FROM {{calls}} c LEFT JOIN {{requests}} r ON r.request_id = c.request_id WHERE coalesce(c.ts, r.ts) < {SINCE}),
+ a AS (SELECT *, coalesce(coalesce(stopped, started) < {SINCE}, false) AS old FROM {{agents}}), p AS (SELECT tool_use_id || '#' || seq AS id, seq, parser, tool_use_id IN (SELECT tool_use_id FROM oldc) AS old FROM {{command_parts}})
+ SELECT 'calls' AS name, CASE WHEN tool_use_id IN (SELECT tool_use_id FROM oldc) THEN 'archive' ELSE 'kept' END AS place, tool_use_id AS id, NULL AS value FROM {{calls}}
+ UNION ALL SELECT 'requests', CASE WHEN request_id IN (SELECT request_id FROM oldr) THEN 'archive' ELSE 'kept' END, request_id, NULL FROM {{requests}}
+ UNION ALL SELECT 'sessions', CASE WHEN last_ts < {SINCE} THEN 'archive' ELSE 'kept' END, session_id, NULL FROM {{sessions}}
+ UNION ALL SELECT 'agents', 'kept', agent_id, total_tokens FROM a WHERE NOT old UNION ALL SELECT 'agents', 'archive', agent_id, CASE WHEN old THEN total_tokens ELSE 0 END FROM a
+ UNION ALL SELECT 'command_parts', 'kept', id, parser FROM p WHERE seq = 0 OR NOT old UNION ALL SELECT 'command_parts', 'archive', id, CASE WHEN seq = 0 THEN 0 ELSE parser END FROM p WHERE seq = 0 OR old""")
 entry("m26_union_archive", lambda S: M.union_archive(S.requests.where("pending = 0").select("request_id", "model"), S.requests.select("request_id", F.lit("old").alias("model")), ["request_id"]), "SELECT request_id, CASE WHEN pending = 0 THEN model ELSE 'old' END AS model FROM {requests}")
 entry("m27_settle_calls", lambda S: M.settle_calls(S.calls.select("tool_use_id", "failed", "bytes_delivered", F.lit(None).cast("string").alias("outcome"), "bytes_real"), S.calls.where("tool = 'Bash'").select("tool_use_id", F.lit(11).cast("bigint").alias("bytes"), F.lit(0).alias("failed"), F.lit(None).cast("string").alias("outcome"), F.lit(12).cast("bigint").alias("real"))).select("tool_use_id", "failed", "bytes_delivered", "bytes_real"),
       "SELECT tool_use_id, CASE WHEN tool = 'Bash' AND (failed IS NULL OR bytes_delivered IS NULL) THEN coalesce(failed, 0) ELSE failed END AS failed, CASE WHEN tool = 'Bash' AND (failed IS NULL OR bytes_delivered IS NULL) THEN coalesce(bytes_delivered, 11) ELSE bytes_delivered END AS bytes_delivered, CASE WHEN tool = 'Bash' AND (failed IS NULL OR bytes_delivered IS NULL) THEN coalesce(bytes_real, 12) ELSE bytes_real END AS bytes_real FROM {calls}")
@@ -419,14 +475,26 @@ entry("k04_parse_status", lambda S: K.parse_status(S.command_parts.withColumnRen
 entry("c01_sessions", lambda S: RC.compare_sessions(S.sessions.where("session_id not like '%9'"), S.requests.where("session_id not like '%8'").groupBy("session_id").agg((F.min("ts") - 5).alias("ts"), F.max("model").alias("model"), F.count_if(F.col("pending") == 1).alias("prompts"))).select("class", "session_id"), """WITH s AS (SELECT * FROM {sessions} WHERE session_id NOT LIKE '%9'), t AS (SELECT session_id, min(ts) - 5 AS ts, max(model) AS model, count(*) FILTER (pending = 1) AS prompts FROM {requests} WHERE session_id NOT LIKE '%8' GROUP BY 1)
  SELECT 'session without transcript' AS class, session_id FROM s WHERE session_id NOT IN (SELECT session_id FROM t) UNION ALL SELECT 'session not stored', session_id FROM t WHERE session_id NOT IN (SELECT session_id FROM s) UNION ALL SELECT 'session before first row', session_id FROM s JOIN t USING (session_id) WHERE t.ts < first_ts
  UNION ALL SELECT 'session without model', session_id FROM s JOIN t USING (session_id) WHERE s.model IS NULL AND t.model IS NOT NULL UNION ALL SELECT 'session without prompt', session_id FROM s JOIN t USING (session_id) WHERE prompts = 0""")
-READ_CALLS = lambda S: S.calls.where("tool <> 'Grep'").select("tool_use_id", "session_id", "agent_id", F.when(F.col("file_bytes") % 9 == 0, "x").otherwise(F.col("tool")).alias("tool"), "request_id", F.coalesce("bytes_delivered", F.lit(1)).alias("bytes_delivered"), "failed", F.col("ts"))
-entry("c02_calls", lambda S: RC.compare_calls(S.calls, READ_CALLS(S)).groupBy("class").agg(F.count("*").alias("n")), "SELECT 'call extra' AS class, count(*) AS n FROM {calls} WHERE tool = 'Grep' UNION ALL SELECT 'call tool', count(*) FROM {calls} WHERE tool <> 'Grep' AND file_bytes % 9 = 0 UNION ALL SELECT 'call without size', count(*) FROM {calls} WHERE tool <> 'Grep' AND bytes_delivered IS NULL")
-entry("c03_requests", lambda S: RC.compare_requests(M.recount(S.requests, S.calls), M.recount(S.requests.where("source <> 'ledger' or source is null"), S.calls).withColumn("output_tokens", F.when(F.col("output_tokens") % 7 == 0, 1).otherwise(F.col("output_tokens")))).groupBy("class").agg(F.count("*").alias("n")), "SELECT 'request pending' AS class, count(*) AS n FROM {requests} WHERE source IS DISTINCT FROM 'ledger' AND pending = 1 UNION ALL SELECT 'request tokens', count(*) FROM {requests} WHERE source IS DISTINCT FROM 'ledger' AND output_tokens % 7 = 0 AND output_tokens <> 1")
+READ_CALLS = lambda S: S.calls.where("tool <> 'Grep'").select("tool_use_id", "session_id", "agent_id", F.when(F.col("duration_ms") % 5 == 0, "other").otherwise(F.col("agent_type")).alias("agent_type"), F.when(F.col("file_bytes") % 9 == 0, "x").otherwise(F.col("tool")).alias("tool"), F.when(F.col("duration_ms") % 7 == 0, "r0").otherwise(F.col("request_id")).alias("request_id"), F.coalesce("bytes_delivered", F.lit(1)).alias("bytes_delivered"), "failed", F.coalesce("ts", F.lit(5)).alias("ts"))
+BATCH_ONLY = "(bytes_delivered IS NOT NULL AND bytes_real IS NULL AND duration_ms IS NULL AND failed IS NULL)"
+entry("c02_calls", lambda S: RC.compare_calls(S.calls, READ_CALLS(S)).select("class", "id"), f"""WITH r AS (SELECT * FROM {{calls}} WHERE tool <> 'Grep') SELECT 'call extra' AS class, tool_use_id AS id FROM {{calls}} WHERE tool = 'Grep' UNION ALL SELECT 'call tool', tool_use_id FROM r WHERE file_bytes % 9 = 0
+ UNION ALL SELECT 'call without size', tool_use_id FROM r WHERE bytes_delivered IS NULL UNION ALL SELECT 'call agent type', tool_use_id FROM r WHERE duration_ms % 5 = 0 UNION ALL SELECT 'call request_id', tool_use_id FROM r WHERE duration_ms % 7 = 0
+ UNION ALL SELECT 'call batch only', tool_use_id FROM {{calls}} WHERE {BATCH_ONLY} UNION ALL SELECT 'call without ts', tool_use_id FROM r WHERE ts IS NULL AND NOT {BATCH_ONLY}""")
+entry("c03_requests", lambda S: RC.compare_requests(M.recount(S.requests, S.calls), M.recount(S.requests, S.calls).withColumn("output_tokens", F.when(F.col("output_tokens") % 7 == 0, 1).otherwise(F.col("output_tokens")))).select("class", "id"),
+      """WITH c AS (SELECT DISTINCT request_id FROM {calls}) SELECT 'request pending' AS class, request_id AS id FROM {requests} WHERE source IS DISTINCT FROM 'ledger' AND pending = 1 UNION ALL SELECT 'request tokens', request_id FROM {requests} WHERE source IS DISTINCT FROM 'ledger' AND output_tokens % 7 = 0 AND output_tokens <> 1
+ UNION ALL SELECT CASE WHEN request_id IN (SELECT request_id FROM c) THEN 'request missing' ELSE 'request untracked' END, request_id FROM {requests} WHERE source = 'ledger'""")
 entry("c03_token_sums", lambda S: RC.token_sums(S.requests, S.requests), f"SELECT isum(CASE WHEN {SETTLED} THEN context_tokens END) AS context, isum(CASE WHEN {SETTLED} THEN output_tokens END) AS output, isum(context_tokens) AS read_context, isum(output_tokens) AS read_output FROM {{requests}}")
-entry("c04_agents", lambda S: RC.compare_agents(S.agents, S.agents.where("tool_uses % 4 <> 0").withColumns({"stopped": F.coalesce("stopped", F.lit(5)), "tool_uses": F.when(F.col("tool_uses") % 3 == 0, 0).otherwise(F.col("tool_uses"))})).groupBy("class").agg(F.count("*").alias("n")), "SELECT 'agent extra' AS class, count(*) AS n FROM {agents} WHERE tool_uses % 4 = 0 UNION ALL SELECT 'agent tool uses', count(*) FROM {agents} WHERE tool_uses % 4 <> 0 AND tool_uses % 3 = 0 UNION ALL SELECT 'agent open turn', count(*) FROM {agents} WHERE tool_uses % 4 <> 0 AND stopped IS NULL")
-entry("c05_parts", lambda S: RC.compare_parts(S.calls, S.command_parts, 3).groupBy("class").agg(F.count("*").alias("n")), "WITH p AS (SELECT c.tool_use_id, max(p.parser) AS v, arg_min(parse_status, seq) FILTER (parse_status <> 'ok') AS st FROM {calls} c LEFT JOIN {command_parts} p ON p.tool_use_id = c.tool_use_id WHERE tool = 'Bash' GROUP BY 1) SELECT 'parts missing' AS class, count(*) AS n FROM p WHERE v IS NULL UNION ALL SELECT 'parts ' || st, count(*) FROM p WHERE st IS NOT NULL GROUP BY st")
+READ_AGENTS = lambda S: S.agents.where("tool_uses % 4 <> 0").withColumns({"stopped": F.coalesce("stopped", F.lit(5)), "tool_uses": F.when(F.col("tool_uses") % 3 == 0, 0).otherwise(F.col("tool_uses")), "turns": F.when(F.col("tool_uses") % 5 == 0, 2).otherwise(1), "ends": F.array(F.col("stopped") + F.when(F.col("tool_uses") % 7 == 0, 1).otherwise(0))})
+entry("c04_agents", lambda S: RC.compare_agents(S.agents, READ_AGENTS(S), S.agents.select("agent_id", F.lit(1).alias("seq"), F.when(F.col("tool_uses") % 9 != 0, F.col("started")).alias("started"), "stopped", (F.col("tool_uses") % 2 == 0).alias("rebuilt"))).select("class", "id"),
+      """WITH r AS (SELECT * FROM {agents} WHERE tool_uses % 4 <> 0) SELECT 'agent extra' AS class, agent_id AS id FROM {agents} WHERE tool_uses % 4 = 0 UNION ALL SELECT 'agent tool uses', agent_id FROM r WHERE tool_uses % 3 = 0 UNION ALL SELECT 'agent open turn', agent_id FROM r WHERE stopped IS NULL
+ UNION ALL SELECT 'agent turns', agent_id FROM r WHERE tool_uses % 5 = 0 UNION ALL SELECT 'agent turn without start', agent_id || '#1' FROM {agents} WHERE tool_uses % 9 = 0 UNION ALL SELECT 'agent stop rebuilt', agent_id || '#1' FROM {agents} WHERE tool_uses % 2 = 0 AND (tool_uses % 4 = 0 OR stopped IS NULL OR tool_uses % 7 = 0)""")
+entry("c05_parts", lambda S: RC.compare_parts(S.calls, S.command_parts, 3).select("class", "id"), "WITH p AS (SELECT c.tool_use_id, max(p.parser) AS v, arg_min(parse_status, seq) FILTER (parse_status <> 'ok') AS st FROM {calls} c LEFT JOIN {command_parts} p ON p.tool_use_id = c.tool_use_id WHERE tool = 'Bash' GROUP BY 1) SELECT 'parts missing' AS class, tool_use_id AS id FROM p WHERE v IS NULL UNION ALL SELECT 'parts ' || st, tool_use_id FROM p WHERE st IS NOT NULL")
 entry("c06_events", lambda S: RC.compare_events(S.hook_events, S.hook_events.where("ts % 5 <> 0").select("event_id", "session_id", "event", (F.col("ts") + F.when(F.col("ts") % 3 == 0, 900_000).otherwise(1500)).alias("ts"))).groupBy("class").agg(F.count("*").alias("n")), """WITH b AS (SELECT event_id AS rid, session_id, event, ts + CASE WHEN ts % 3 = 0 THEN 900000 ELSE 1500 END AS rts FROM {hook_events} WHERE ts % 5 <> 0), n AS (SELECT rid, event_id, a.event FROM {hook_events} a JOIN b ON a.session_id = b.session_id AND a.event = b.event AND abs(a.ts - b.rts) <= 2000)
  SELECT event || ' missing' AS class, count(*) AS n FROM b WHERE rid NOT IN (SELECT rid FROM n) GROUP BY event UNION ALL SELECT event || ' extra', count(*) FROM {hook_events} WHERE event_id NOT IN (SELECT event_id FROM n) GROUP BY event UNION ALL SELECT event || ' repeated', count(*) FROM (SELECT rid, event FROM n GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY event""")
-entry("c07_pair_faults", lambda S: RC.pair_faults(S.faults, S.hook_events.where("event = 'StopFailure'").select(F.col("event_id").alias("row_id"), "session_id", F.col("ts") + 100)  .toDF("row_id", "session_id", "ts")).agg(F.count("*").alias("pairs"), F.count_distinct("fault_id").alias("faults"), F.count_distinct("row_id").alias("rows")), "SELECT count(*) AS pairs, count(*) AS faults, count(*) AS rows FROM {faults}")
+entry("c06_compactions", lambda S: RC.compare_compactions(S.hook_events.withColumn("event", F.when(F.col("event") == "Notification", "PostCompact").otherwise(F.col("event"))), S.compactions).select("class", "id"),
+      """WITH e AS (SELECT event_id, session_id, ts, CASE WHEN event = 'Notification' THEN 'PostCompact' ELSE event END AS kind FROM {hook_events} WHERE event IN ('PreCompact', 'Notification')), c AS (SELECT * FROM {compactions} WHERE ts IS NOT NULL), k AS (SELECT unnest(['PreCompact', 'PostCompact']) AS kind)
+ SELECT k.kind || ' missing' AS class, entry_id AS id FROM c, k WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.kind = k.kind AND e.session_id = c.session_id AND abs(e.ts - c.ts) <= 60000)
+ UNION ALL SELECT kind || ' without compaction', event_id FROM e WHERE NOT EXISTS (SELECT 1 FROM c WHERE e.session_id = c.session_id AND abs(e.ts - c.ts) <= 60000)""")
+entry("c07_pair_faults", lambda S: RC.pair_faults(S.faults, S.hook_events.where("event = 'StopFailure'").select(F.col("event_id").alias("row_id"), "session_id", (F.col("ts") + 100).alias("ts"))), "SELECT 'f' || event_id AS fault_id, event_id AS row_id FROM {hook_events} WHERE event = 'StopFailure'")
 ALLOWED = [("Stop extra", "e1", None, "clock"), ("Stop extra", None, 1_704_500_000_000, "old"), ("never", None, None, "unused")]
 entry("c08_allowlist", lambda S: RC.apply_allowlist(S.hook_events.where("event = 'Stop'").select(F.lit("Stop extra").alias("class"), "session_id", "ts", F.col("event_id").alias("id")), S.spark.createDataFrame(ALLOWED, "class string, id_prefix string, before_ts bigint, reason string"))[0].groupBy("verdict", "reason").agg(F.count("*").alias("n")), "SELECT CASE WHEN event_id LIKE 'e1%' OR ts < 1704500000000 THEN 'expected' ELSE 'unexplained' END AS verdict, CASE WHEN event_id LIKE 'e1%' THEN 'clock' WHEN ts < 1704500000000 THEN 'old' END AS reason, count(*) AS n FROM {hook_events} WHERE event = 'Stop' GROUP BY 1, 2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.merge import open_prompts
 from tracewell.operators.filters import LIMIT, nearest_rank, settled, top
 from tracewell.schema import not_ledger
 
@@ -187,9 +188,7 @@ def refusals(events: DataFrame, turn_ends: DataFrame | None = None) -> DataFrame
     told = events.where("event = 'StopFailure'").select("ts", "session_id", F.coalesce("error_type", F.lit("unknown")).alias("kind"), F.lit("hook").alias("source"))
     if turn_ends is None:
         return told
-    prompts = events.where("event = 'UserPromptSubmit'").groupBy("session_id").agg(F.max("ts").alias("prompt_ts"))
-    ends = events.where("event in ('Stop', 'StopFailure')").groupBy("session_id").agg(F.max("ts").alias("end_ts"))
-    open_ = prompts.join(ends, "session_id", "left").where("end_ts is null or end_ts < prompt_ts").select("session_id")
+    open_ = open_prompts(events).select("session_id")
     read = turn_ends.where("event = 'StopFailure'").join(open_, "session_id", "left_semi").select("ts", "session_id", F.col("error_type").alias("kind"), F.lit("transcript").alias("source"))
     return told.unionByName(read)
 
