@@ -1,59 +1,111 @@
 """Streaming ingestion (M12 and the batch rules): each micro-batch is merged into Parquet tables by the same functions that a batch job uses.
 
+Tables are kept in buckets by session. A micro-batch reads and writes the buckets of its own sessions only, so its work follows what came in, not what is stored.
+
 Spark's file source follows whole files, so writers of ledgers and payloads must roll their files; a file that grows after it was read is
 not read again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tracewell import schema
 from tracewell.operators import extract, merge
 from tracewell.sources import raw
 
+#: Buckets of a table, and versions of it that are kept.
+BUCKETS, VERSIONS = 64, 2
+
+
+def bucket_of(session: Column | str = "session_id") -> Column:
+    return F.pmod(F.xxhash64(session), F.lit(BUCKETS)).cast("int")
+
 
 class Store:
-    """Versioned Parquet tables in a folder: a write adds a version, and a pointer file names the latest, so a failed batch leaves the last one."""
+    """Parquet tables in a folder, in buckets by session. A write adds a version of the buckets that it touches, and a manifest of one row a bucket, (bucket, version), says
+    which version holds each; a manifest counts once it is whole, so a failed batch leaves the last one."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def versions(self, table: str) -> list[int]:
-        jvm, path = self.spark._jvm, f"{self.folder}/{table}"
-        p = jvm.org.apache.hadoop.fs.Path(path)
+    def _listed(self, path: str) -> tuple[object, list[str]]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n) for n in names if n.isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+        return fs, [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
-    def read(self, table: str) -> DataFrame | None:
-        found = self.versions(table)
-        return self.spark.read.parquet(f"{self.folder}/{table}/{found[-1]}") if found else None
-
-    def write(self, table: str, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{table}/{batch + 1}")
-
-
-def upsert(store: Store, table: str, batch: int, new: DataFrame, combine: Callable[[DataFrame], DataFrame]) -> None:
-    """The table is combine(what it holds and the new rows). A batch that runs again starts from the version before it."""
-    before = [v for v in store.versions(table) if v <= batch]
-    old = store.spark.read.parquet(f"{store.folder}/{table}/{before[-1]}") if before else None
-    store.write(table, combine(new if old is None else old.unionByName(new, allowMissingColumns=True)), batch)
+    def versions(self, table: str) -> list[int]:
+        path = f"{self.folder}/{table}/manifest"
+        fs, names = self._listed(path)
+        return sorted(int(n) for n in names if n.isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+    def manifest(self, table: str, upto: int | None = None) -> dict[int, int]:
+        """Version by bucket: at most BUCKETS rows."""
+        found = [v for v in self.versions(table) if upto is None or v <= upto]
+        return {r.bucket: r.version for r in self.spark.read.parquet(f"{self.folder}/{table}/manifest/{found[-1]}").collect()} if found else {}
+
+    def next(self, table: str) -> int:
+        """A number for a batch of a table that several streams write."""
+        return max(self.versions(table), default=0)
+
+    def read(self, table: str, buckets: Sequence[int] | None = None, upto: int | None = None) -> DataFrame | None:
+        """The table, or these buckets of it; None if there is nothing."""
+        there = {b: v for b, v in self.manifest(table, upto).items() if buckets is None or b in buckets}
+        if not there:
+            return None
+        return self.spark.read.option("mergeSchema", True).parquet(*(f"{self.folder}/{table}/data/{v}/_bucket={b}" for b, v in there.items()))
+
+    def write(self, table: str, df: DataFrame, batch: int, buckets: Sequence[int]) -> None:
+        """df takes the place of what these buckets hold."""
+        version, held = batch + 1, self.manifest(table, batch)
+        rows = df.withColumn("_bucket", bucket_of())
+        rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/{table}/data/{version}")
+        _, names = self._listed(f"{self.folder}/{table}/data/{version}")
+        new = {int(n.partition("=")[2]) for n in names if n.startswith("_bucket=")}
+        held = {b: v for b, v in held.items() if b not in buckets} | {b: version for b in new}
+        manifest = self.spark.createDataFrame(sorted(held.items()), "bucket int, version int").coalesce(1)
+        manifest.write.mode("overwrite").parquet(f"{self.folder}/{table}/manifest/{version}")
+        self.clear(table)
+
+    def clear(self, table: str) -> None:
+        """Removes data that none of the last manifests names, and older manifests."""
+        versions = self.versions(table)
+        kept = versions[-VERSIONS:]
+        named = {(v, b) for k in kept for b, v in self.manifest(table, k).items()}
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs, found = self._listed(f"{self.folder}/{table}/data")
+        for v in (int(n) for n in found if n.isdigit() and int(n) <= kept[-1]):
+            _, names = self._listed(f"{self.folder}/{table}/data/{v}")
+            for n in names:
+                if n.startswith("_bucket=") and (v, int(n.partition("=")[2])) not in named:
+                    fs.delete(path(f"{self.folder}/{table}/data/{v}/{n}"), True)
+        for v in versions[:-VERSIONS]:
+            fs.delete(path(f"{self.folder}/{table}/manifest/{v}"), True)
+
+
+def touched(df: DataFrame) -> list[int]:
+    """The buckets of the rows' sessions: BUCKETS of them at most."""
+    return [r[0] for r in df.select(bucket_of()).distinct().collect()]
+
+
+def upsert(store: Store, table: str, batch: int, new: DataFrame, buckets: Sequence[int], combine: Callable[[DataFrame], DataFrame]) -> None:
+    """These buckets become combine(what they hold and the new rows). A batch that runs again starts from the version before it."""
+    old = store.read(table, buckets, batch)
+    store.write(table, combine(new if old is None else old.unionByName(new, allowMissingColumns=True)), batch, buckets)
 
 
 def deliveries(payloads: DataFrame) -> DataFrame:
     return payloads.select("received_ms", "hash", "event", "session_id", "payload").distinct()
 
 
-def derived(store: Store) -> dict[str, DataFrame]:
-    """The tables that follow from all deliveries: as a batch job makes them, and so the same for any order of arrival."""
-    held = merge.claim_occurrences(store.read("deliveries"))
-    events = extract.event_rows(held).join(held.select("hash", F.col("received_ms").alias("ts"), "event_id", F.col("ts").alias("first_ts")), ["hash", "ts"]).withColumn("ts", F.col("first_ts")).drop("first_ts", "hash", "payload")
+def derived(rows: DataFrame) -> dict[str, DataFrame]:
+    """The tables that follow from all deliveries of some sessions: as a batch job makes them, and so the same for any order of arrival."""
+    held = merge.claim_occurrences(rows)
+    events = extract.event_rows(held).join(held.select("hash", F.col("received_ms").alias("ts"), "event_id", F.col("ts").alias("first_ts")), ["hash", "ts"]).withColumn("ts", F.col("first_ts")).drop("first_ts", "hash")
     events = merge.insert_earliest(events.distinct())
     seen = held.select("session_id", "received_ms", "payload").select("session_id", F.col("received_ms").alias("ts"), extract.field("cwd").alias("cwd"), extract.field("transcript_path").alias("transcript_path"))
     return {"events": events, "sessions": merge.touch_sessions(seen), "agent_turns": merge.agent_turns(events)}
@@ -64,22 +116,35 @@ def payload_stream(spark: SparkSession, source: str, store: Store, checkpoint: s
 
     def batch(df: DataFrame, number: int) -> None:
         good, faults = raw.payloads(df)
-        upsert(store, "deliveries", number, deliveries(good), lambda x: x.distinct())
-        upsert(store, "faults", number, faults, lambda x: x.dropDuplicates(["fault_id"]))
-        for name, table in derived(store).items():
-            store.write(name, table, number)
+        buckets = touched(good)
+        upsert(store, "deliveries", number, deliveries(good), buckets, lambda x: x.distinct())
+        upsert(store, "faults", number, faults, touched(faults), lambda x: x.dropDuplicates(["fault_id"]))
+        rows = store.read("deliveries", buckets)
+        for name, table in derived(rows).items() if rows is not None else ():
+            store.write(name, table, number, buckets)
 
     stream = spark.readStream.schema("received_ms bigint, payload string").json(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def ledger_stream(spark: SparkSession, source: str, store: Store, checkpoint: str) -> StreamingQuery:
-    """Rolled ledger files into `ledger`: of each request the best line, joined to requests by merge.join_ledger()."""
+    """Rolled ledger files into `ledger`, of each request the best line, and these into `requests` of the same sessions by merge.join_ledger().
+
+    A file is named by its session, with the number of its roll before the extension. What transcripts hold is read from `held` (request_id, api_request_id, session_id), if there is such a table. Joining again changes nothing.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        rows, faults = raw.ledger(df.select(F.col("path"), F.col("at").alias("line_no"), F.col("value").alias("raw")))
-        upsert(store, "ledger", number, rows, merge.best_ledger)
-        upsert(store, "ledger_faults", number, faults, lambda x: x.dropDuplicates(["fault_id"]))
+        rows, faults = raw.ledger(df.select(F.regexp_replace("path", r"\.\d+(\.[^./]*)$", "$1").alias("path"), F.col("at").alias("line_no"), F.col("value").alias("raw")))
+        buckets = touched(rows)
+        upsert(store, "ledger", number, rows, buckets, merge.best_ledger)
+        upsert(store, "ledger_faults", number, faults, touched(faults), lambda x: x.dropDuplicates(["fault_id"]))
+        requests, lines = store.read("requests", buckets), store.read("ledger", buckets)
+        if lines is not None:
+            requests = schema.conform(lines.limit(0), "requests") if requests is None else schema.conform(requests, "requests")
+            held = store.read("held", buckets)
+            held = requests.select("request_id", "api_request_id").limit(0) if held is None else held.select("request_id", "api_request_id")
+            joined, _ = merge.join_ledger(requests, lines, held)
+            store.write("requests", joined, store.next("requests"), buckets)
 
     files = spark.readStream.text(source, wholetext=True).select(F.col("_metadata.file_path").alias("path"), (F.unix_millis("_metadata.file_modification_time") * 1_000_000).alias("base"), "value")
     lines = files.select("path", "base", F.posexplode(F.split("value", "\n")).alias("pos", "value")).where(F.trim("value") != "")
