@@ -33,8 +33,8 @@ from tracewell.llm.common import map_texts, saved, slices
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Longer texts are cut into chunks of this many characters; so many matrices are combined at once.
-CHUNK, FAN = 1 << 15, 8
-CACHED_UNITS = 150_000
+CHUNK, FAN = 1 << 16, 8
+CACHED_UNITS = 60_000
 SLICE_CHARS = 1 << 18
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -306,11 +306,12 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids", to: str = "decode
         for batch in batches:
             column = batch.column(ids)
             offsets, values = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False)
-            out = []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):  # a text at a time: as objects, ids take ten times the room
-                t = b"".join([table[i] for i in values[a:b].tolist()]).decode("utf-8", "replace")
-                out.append(t[1:] if t.startswith(" ") else t)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, to])
+            for part in slices([b - a for a, b in zip(offsets[:-1], offsets[1:], strict=True)], SLICE_CHARS):
+                out = []
+                for a, b in zip(offsets[part], offsets[part.start + 1 : part.stop + 1], strict=True):  # a text at a time: as objects, ids take ten times the room
+                    t = b"".join([table[i] for i in values[a:b].tolist()]).decode("utf-8", "replace")
+                    out.append(t[1:] if t.startswith(" ") else t)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(part.start, len(out)) for c in keep), pa.array(out, pa.string())], [*keep, to])
 
     return encoded.mapInArrow(run, schema)
 
