@@ -41,24 +41,27 @@ def files(calls: DataFrame, parts: DataFrame, limit: int | None = LIMIT) -> Data
         F.col("file_path").alias("path"), F.col("bytes_delivered").alias("read_bytes"), F.lit(None).cast("bigint").alias("bash_bytes"), F.lit(1).alias("reads"), F.lit(1).alias("certain"), F.lit(0).alias("conditional"),
         party.alias("party"), F.when((F.col("read_start") > 1) | (F.col("read_lines") < F.col("read_total_lines")), 1).otherwise(0).alias("ranged"), F.lit(0).alias("execs"), "ts", F.lit("1").alias("exists"), F.col("read_total_lines").alias("lines"), F.lit(0).alias("shell"), "tool_use_id",
     )
-    looks = shell_looks(calls, parts)
-    read = looks.where(F.col("action").isin(*READS))
-    alone = looks.groupBy("tool_use_id").agg(F.count_distinct(F.when(F.col("action").isin(*READS), F.col("path"))).alias("paths"), F.count_if(F.col("action").isin("exec", "unknown")).alias("runs"))
-    by_path = read.groupBy("tool_use_id", "path").agg(F.min("conditional").alias("conditional"), F.min(F.when(F.col("action") == "read-whole", 0).otherwise(1)).alias("ranged"), F.max("exists").alias("exists"), F.first("session_id").alias("session_id"), F.first("agent_id").alias("agent_id"), F.first("ts").alias("ts"), F.first("bytes_delivered").alias("bytes"))
-    shell = by_path.join(alone, "tool_use_id").select(
-        "path", F.lit(None).cast("bigint").alias("read_bytes"), F.when((F.col("paths") == 1) & (F.col("runs") == 0), F.col("bytes")).alias("bash_bytes"), F.lit(1).alias("reads"), (1 - F.col("conditional")).alias("certain"), F.col("conditional"),
-        party.alias("party"), "ranged", F.lit(0).alias("execs"), "ts", "exists", F.lit(None).cast("bigint").alias("lines"), F.lit(1).alias("shell"), "tool_use_id",
+    # each file of each shell call once: what reads it, and whether the call runs it
+    reading, of_read = F.col("action").isin(*READS), lambda c: F.when(F.col("action").isin(*READS), c)
+    looks = shell_looks(calls, parts).groupBy("tool_use_id", "path").agg(
+        F.max(reading.cast("int")).alias("reads"), F.max((F.col("action") == "exec").cast("int")).alias("execs"), F.max(F.col("action").isin("exec", "unknown").cast("int")).alias("runs"), F.min(of_read(F.col("conditional"))).alias("conditional"),
+        F.min(of_read(F.when(F.col("action") == "read-whole", 0).otherwise(1))).alias("ranged"), F.max(of_read(F.col("exists"))).alias("exists"), *(F.first(c).alias(c) for c in ("session_id", "agent_id", "ts", "bytes_delivered")),
     )
-    ran = looks.where("action = 'exec'").groupBy("path").agg(F.count_distinct("tool_use_id").alias("execs"))
-    both = reads.unionByName(shell)
-    grouped = both.groupBy("path").agg(
+    call = Window.partitionBy("tool_use_id")
+    alone = (F.sum("reads").over(call) == 1) & (F.max("runs").over(call) == 0)
+    is_read = F.col("reads") == 1
+    shell = looks.withColumn("alone", alone).select(
+        "path", F.lit(None).cast("bigint").alias("read_bytes"), F.when(is_read & F.col("alone"), F.col("bytes_delivered")).alias("bash_bytes"), "reads", F.when(is_read, 1 - F.col("conditional")).alias("certain"), F.when(is_read, F.col("conditional")).alias("conditional"),
+        F.when(is_read, party).alias("party"), "ranged", "execs", F.when(is_read, F.col("ts")).alias("ts"), "exists", F.lit(None).cast("bigint").alias("lines"), F.lit(1).alias("shell"), "tool_use_id",
+    )
+    grouped = reads.unionByName(shell).groupBy("path").agg(
         F.sum("read_bytes").alias("read_bytes"), F.sum("bash_bytes").alias("bash_bytes"), F.sum("reads").alias("reads"), F.sum("certain").alias("certain"), F.sum("conditional").alias("conditional"),
-        F.count_distinct("party").alias("agents"), F.sum(1 - F.col("ranged")).alias("whole"), F.sum("ranged").alias("ranged"),
-        F.max_by("exists", F.struct("ts", "shell", "tool_use_id")).alias("last_exists"),
+        F.count_distinct("party").alias("agents"), F.sum(1 - F.col("ranged")).alias("whole"), F.sum("ranged").alias("ranged"), F.sum("execs").alias("execs"),
+        F.max_by("exists", F.when(F.col("reads") == 1, F.struct("ts", "shell", "tool_use_id"))).alias("last_exists"),
         F.max_by("lines", F.when(F.col("lines").isNotNull(), F.struct("ts", "tool_use_id"))).alias("lines"),
-    )
+    ).where("reads > 0")
     size = F.when(F.col("last_exists") == "0", "gone").otherwise(F.col("lines").cast("string"))
-    rows = grouped.join(ran, "path", "left").select("path", "read_bytes", "bash_bytes", "reads", "certain", "conditional", "agents", size.alias("size"), "whole", "ranged", (F.col("reads") - F.col("agents")).alias("re_reads"), F.coalesce("execs", F.lit(0)).alias("execs"))
+    rows = grouped.select("path", "read_bytes", "bash_bytes", "reads", "certain", "conditional", "agents", size.alias("size"), "whole", "ranged", (F.col("reads") - F.col("agents")).alias("re_reads"), "execs")
     return top(rows, [F.desc(F.greatest(F.coalesce("read_bytes", F.lit(0)), F.coalesce("bash_bytes", F.lit(0)))), F.desc("reads"), "path"], limit)
 
 
@@ -150,16 +153,17 @@ def sequences(calls: DataFrame, parts: DataFrame, limit: int | None = LIMIT) ->
 
     # an unknown size leaves the occurrence's bytes out whole
     size = F.aggregate("run", F.lit(0).cast("bigint"), lambda s, x: s + x["bytes"])
-    keyed_runs = runs.select(keyed(F.col("run")).alias("run_key"), "n", "session_id", "agent_id", "ts", "tool_use_id", size.alias("size"), "run")
-    found = keyed_runs.groupBy("run_key", "n").agg(
-        F.count("*").alias("occurrences"), F.count_distinct(F.struct("session_id", "agent_id")).alias("agents"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("size").alias("sized"),
-        F.min_by("run", F.struct("session_id", F.coalesce("agent_id", F.lit("")), "ts", "tool_use_id")).alias("first"),
+    keyed_runs = runs.select(keyed(F.col("run")).alias("run_key"), "n", "session_id", "agent_id", F.struct("ts", "tool_use_id").alias("at"), size.alias("size"), "run")
+    by_party = keyed_runs.groupBy("run_key", "n", "session_id", "agent_id").agg(F.count("*").alias("occurrences"), F.sum("size").alias("bytes"), F.count("size").alias("sized"), F.min_by("run", "at").alias("run"))
+    found = by_party.groupBy("run_key", "n").agg(
+        F.sum("occurrences").alias("occurrences"), F.count("*").alias("agents"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.sum("sized").alias("sized"),
+        F.min_by("run", F.struct("session_id", F.coalesce("agent_id", F.lit("")))).alias("first"),
     ).where("agents >= 2")
-    # sub-runs of each run's first occurrence, by key
-    inner = found.where("n > 2").select("occurrences", F.col("n").alias("outer_n"), "first", F.explode(F.expr("sequence(2, n - 1)")).alias("m"))
-    inner = inner.select("occurrences", "first", "m", F.explode(F.expr("sequence(1, outer_n - m + 1)")).alias("at"))
-    inner = inner.select("occurrences", keyed(F.slice("first", F.col("at"), F.col("m"))).alias("run_key")).distinct()
-    kept = found.join(inner, ["run_key", "occurrences"], "left_anti")
+    # a run with the sub-runs of its first occurrence, each by key; one that is a sub-run of another with the same count goes
+    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("n") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("n") - m + 1), lambda i: F.struct(keyed(F.slice("first", i, m)).alias("run_key"), m.cast("int").alias("n"), F.lit(None).cast("struct<agents:bigint,bytes:bigint,sized:bigint>").alias("own")))))
+    own = F.struct("run_key", F.col("n").cast("int").alias("n"), F.struct(*(F.col(c).cast("bigint").alias(c) for c in ("agents", "bytes", "sized"))).alias("own"))
+    each = found.select("occurrences", F.explode(F.when(F.col("n") > 2, F.concat(F.array(own), inner)).otherwise(F.array(own))).alias("r")).select("occurrences", "r.*")
+    kept = each.groupBy("run_key", "n", "occurrences").agg(F.max("own").alias("own"), F.count_if(F.col("own").isNull()).alias("inside")).where("own is not null and inside = 0").select("run_key", "n", "occurrences", "own.*")
     mean = F.expr("CASE WHEN sized > 0 THEN bytes div sized END")
     rows = kept.select("run_key", "n", "occurrences", "agents", "bytes", mean.alias("mean_bytes"))
     return top(rows, [F.desc("bytes"), F.desc("occurrences"), "run_key"], limit)
