@@ -307,6 +307,8 @@ def test_edits_follow_the_order_of_keys(spark, monkeypatch):
         near = [round(fingerprints.contained(print_(t), print_(x)), 9) for x in (edited, after)]
         want[(key, len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.shown(print_(t)), *near)] += 1
     assert got == want
+    monkeypatch.setattr(fingerprints, "MOST_BUCKETS", 2)
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.edits(df).collect()) == Counter(k[:3] for k in want.elements())
     one = fingerprints.edits(docs(spark, ["lonely text"])).first()
     assert one.near_next == 1.0 and fingerprints.edits(df.limit(0)).count() == 0
 

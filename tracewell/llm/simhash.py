@@ -308,7 +308,8 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
     In a cell of over CHUNK members each goes with one member first; members that are in one component by then need not be
     compared, and all other pairs of the cell are, after at most STARS such rounds.
 
-    Null and empty texts have the empty set. component_id is the smallest key, null keys passed over.
+    Null and empty texts have the empty set and are copies of one another. component_id is the smallest key, null keys passed over. Repeated rows stay; an empty
+    table gives no rows; texts of any length are taken whole, one at a time; other columns, whatever their names, are not used.
     """
     whole = saved(with_set_ids(docs, key, shingle), "set-ids")
     prints = whole.where("part is null").select(key, "read", "id")
@@ -363,7 +364,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarit
     """The rows of `docs`, one for each component of similar(): the row with the smallest key.
 
     A key stays if it is the smallest of its component. Of rows with the same key and text one stays; with
-    the same key and other texts, all stay if one does. Rows with a null key stay, one for each text. Columns are those of docs.
+    the same key and other texts, all stay if one does. Rows with a null key stay, one for each text. Columns are those of docs, whatever
+    their names; an empty table gives no rows.
     """
     gone = similar(docs, key, shingle, similarity).groupBy(key).agg(F.bool_or(F.col(key) == F.col("component_id")).alias("stays")).where(~F.col("stays"))
     return docs.join(gone.select(key), key, "left_anti").dropDuplicates([key, "text"])
