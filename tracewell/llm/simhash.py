@@ -154,10 +154,10 @@ def components(docs: DataFrame, key: str = "doc_id", shingle: int = 3) -> DataFr
     return prints.join(classes, "fp")
 
 
-#: Cells of over CHUNK members meet one of their members first, and go pair by pair where components still differ.
-CHUNK = 32
-#: Rounds of one member each, at most, before what is left in such cells goes pair by pair.
-STARS = 4
+#: In cells of over CHUNK members all meet some of them first, and go pair by pair where components still differ; at once if that is DENSE pairs a member or fewer.
+CHUNK, DENSE = 4, 32
+#: Members of a cell that all others meet in a round; and rounds, at most, before what is left in such cells goes pair by pair.
+HUBS, STARS = 4, 4
 #: Documents that hold a shingle are counted in so many slots, sent in parts.
 SLOTS, PART = 1 << 22, 1 << 16
 
@@ -305,7 +305,7 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
     Two texts link if the Jaccard similarity of their sets of shingles is that or more: no more and no fewer links than all pairs would
     give, up to collisions of 64-bit hashes. Rows with equal sets are copies, and one stands for them. Sets that can be so similar share
     one of their rarest shingles (prefix filtering), whose cells bring them together; sizes and places discard, and the whole sets verify.
-    In a cell of over CHUNK members each goes with one member first; members that are in one component by then need not be
+    In a cell of over CHUNK members each meets HUBS members first; members that are in one component by then need not be
     compared, and all other pairs of the cell are, after at most STARS such rounds.
 
     Null and empty texts have the empty set and are copies of one another. component_id is the smallest key, null keys passed over. Repeated rows stay; an empty
@@ -322,7 +322,10 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
         return rows.alias("a").join(rows.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
     def star(rows: DataFrame, salt: int, apart: Column) -> DataFrame:
-        hub = rows.groupBy("cell").agg(F.min_by(F.struct("id", "n", "at", "root"), F.xxhash64("id", F.lit(salt))).alias("hub")).select("cell", "hub.*")
+        # a member whose rarest shingles are common ones differs least from the others; and some at random
+        one = F.struct("id", "n", "at", "root")
+        few = [F.min_by(one, F.struct("at", F.xxhash64("id"))), *(F.min_by(one, F.xxhash64("id", F.lit(HUBS * salt + i))) for i in range(HUBS - 1))]
+        hub = rows.groupBy("cell").agg(F.array_distinct(F.array(*few)).alias("hubs")).select("cell", F.inline("hubs"))
         met = rows.alias("a").join(hub.alias("b"), "cell").where(apart & may_link(similarity))
         return met.select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b")).distinct()
 
@@ -347,7 +350,7 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
             break
         crowded = saved(known.join(per.select("cell"), "cell", "left_semi").select("cell", "id", "n", "at", "root"), "open-members")
         salt += 1
-        last = salt >= STARS or open_ <= CHUNK * rows or (before is not None and open_ > before / 2)
+        last = salt >= STARS or open_ <= DENSE * rows or (before is not None and open_ > before / 2)
         met = linked(all_pairs(crowded, apart) if last else star(crowded, salt, apart))
         # only components are joined on: links between them, then their members' new roots
         joined = saved(connected_components(root_of(root_of(met, "a", reached), "b", reached)).toDF("id", "root"), "joined")
