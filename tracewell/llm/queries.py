@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import ann, chat, fingerprints, langid, mixing, sentencepiece_scan, simhash, suffix_dedup, toxicity, url_filter
-from tracewell.llm.common import table
+from tracewell.llm import ann, chat, fingerprints, langid, mixing, quality, sentencepiece_scan, simhash, suffix_dedup, toxicity, url_filter, variants
+from tracewell.llm.common import saved, table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -30,6 +30,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), F.coalesce(remainder(4) == 2, F.lit(False))
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = variants.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    at = F.pmod(h, F.length("run")).cast("int")
+    without = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.length("run")))
+    spelt = runs.select(F.when(h % 31 == 0, without).otherwise(F.col("run")).alias("word"))
+    return variants.forms(saved(variants.vocabulary(spelt), "words"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -199,6 +214,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ann": op7_ann,
     "op8_fingerprints": op8_fingerprints,
     "op9_url_filters": op9_url_filters,
+    "op11_quality": op11_quality,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_chat": OP6_SQL, "op9_url_filters": OP9_SQL}
