@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import ann, chat, fingerprints, langid, mixing, quality, sentencepiece_scan, simhash, suffix_dedup, toxicity, url_filter, variants
+from tracewell.llm import ann, chat, fingerprints, langid, mixing, prefix_trie, quality, sentencepiece_scan, simhash, suffix_dedup, toxicity, url_filter, variants
 from tracewell.llm.common import saved, table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -36,6 +36,69 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations rebuilt to begin with the first turns of the one whose id is theirs rounded to twenties."""
+    placed = saved(prefix_trie.place(table(spark, sf_dir, "conversations")), "placed")
+    convs = placed.select("conv_id").distinct()
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).alias("h")
+    heads = placed.where("pos <= 3").withColumnRenamed("conv_id", "base")
+    base = (F.col("conv_id") - F.col("conv_id") % 20).alias("base")
+    lent = saved(convs.select("conv_id", base, h).join(heads, "base").where("pos <= h").select("conv_id", "pos", "token", "words"), "lent")
+    taken = lent.groupBy("conv_id").agg(F.count("*").alias("taken"))
+    own = placed.withColumn("h", h).where("pos > h").join(taken, "conv_id", "left")
+    own = own.select("conv_id", (F.col("pos") - F.col("h") + F.coalesce("taken", F.lit(0))).alias("pos"), "token", "words")
+    return prefix_trie.trie(convs, saved(lent.unionByName(own), "rebuilt"))
+
+
+#: CRC-32 of the UTF-8 bytes of a text; DuckDB has none. Its table is made from the polynomial.
+CRC_SQL = """(
+  SELECT list(b8 ORDER BY i) AS crc_table FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS b8 FROM range(256) t(i))
+)"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL of the unsigned CRC-32 of a text of code points below U+0800, beside a row of crc_table."""
+    points = f"list_transform(string_split({text}, ''), lambda c: unicode(c))"
+    octets = f"flatten(list_transform({points}, lambda p: CASE WHEN p < 128 THEN [p::BIGINT] ELSE [(192 + (p >> 6))::BIGINT, (128 + (p & 63))::BIGINT] END))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(crc_table[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+OP12_SQL = rf"""
+WITH crc_table AS {CRC_SQL},
+placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS token,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, {crc_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM placed), crc_table
+), lent AS (
+  SELECT c.conv_id, p.pos, p.token, p.words FROM convs c JOIN placed p ON p.conv_id = c.base AND p.pos <= c.h
+), rebuilt AS (
+  SELECT * FROM lent UNION ALL
+  SELECT p.conv_id, p.pos - c.h + (SELECT count(*) FROM lent l WHERE l.conv_id = p.conv_id), p.token, p.words FROM placed p JOIN convs c USING (conv_id) WHERE p.pos > c.h
+), whole AS (
+  SELECT c.conv_id, coalesce(list(r.token ORDER BY r.pos) FILTER (WHERE r.pos IS NOT NULL), []) AS tokens, coalesce(list(r.words ORDER BY r.pos) FILTER (WHERE r.pos IS NOT NULL), []) AS words
+  FROM convs c LEFT JOIN rebuilt r USING (conv_id) GROUP BY c.conv_id
+), prefixes AS (
+  SELECT conv_id, d AS depth, md5(array_to_string(tokens[1:d], '')) AS name, CASE WHEN d = 0 THEN 0 ELSE words[d] END AS words, d = len(tokens) AS ends
+  FROM (SELECT *, unnest(range(0, len(tokens) + 1)) AS d FROM whole)
+), node AS (
+  SELECT depth, name, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS own, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE ends) AS ends
+  FROM prefixes GROUP BY depth, name
+), child AS (
+  SELECT n.depth, n.name, p.name AS above FROM node n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+), counted AS (
+  SELECT n.*, (SELECT count(*) FROM child c WHERE c.depth = n.depth + 1 AND c.above = n.name) AS n_children FROM node n
+), sums AS (  -- each node to those that it begins with, along its smallest member
+  SELECT p.depth, p.name, sum(c.own) AS saved_tokens, count(*) FILTER (WHERE c.n_children = 0) AS n_leaves FROM counted c JOIN prefixes p ON p.conv_id = c.conv_id AND p.depth <= c.depth GROUP BY p.depth, p.name
+)
+SELECT c.conv_id, c.depth, a.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(c.ends, '')) AS ends_sha256
+FROM counted c JOIN sums s USING (depth, name) LEFT JOIN child k USING (depth, name) LEFT JOIN node a ON a.depth = c.depth - 1 AND a.name = k.above
+"""
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = variants.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
@@ -215,7 +278,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_url_filters": op9_url_filters,
     "op11_quality": op11_quality,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling": op13_spelling,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_chat": OP6_SQL, "op9_url_filters": OP9_SQL}
+OP13_SQL = rf"""
+WITH RECURSIVE crc_table AS {CRC_SQL},
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT *, {crc_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM counted, crc_table),
+spelt AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+pair AS (  -- one replaced: the same without the same letter; one deleted: the other without a letter
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, v.word FROM cut c JOIN v ON v.word = c.rest UNION SELECT v.word, c.word FROM cut c JOIN v ON v.word = c.rest
+), best AS (
+  SELECT p.a AS word, count(*) AS n_near, max(o.n) AS best_n, arg_min(o.word, (-o.n, o.word)) AS best FROM pair p JOIN v o ON o.word = p.b GROUP BY p.a
+), f AS (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.best_n >= 10 * v.n THEN b.best END AS form, CASE WHEN b.best_n >= 10 * v.n THEN b.best_n END AS form_n FROM v LEFT JOIN best b USING (word)
+), walk(word, spot, k) AS (
+  SELECT word, word, 0 FROM f UNION ALL SELECT w.word, f.form, k + 1 FROM walk w JOIN f ON f.word = w.spot WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(spot, k) AS root FROM walk GROUP BY word) w USING (word)
+"""
+
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op12_prefix_trie": OP12_SQL, "op13_spelling": OP13_SQL, "op6_chat": OP6_SQL, "op9_url_filters": OP9_SQL}
