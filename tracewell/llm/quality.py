@@ -82,8 +82,8 @@ def pieces(texts: Sequence[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray
         yield b"".join(held), np.array(starts), np.array(owners)
 
 
-def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, slots) of the words of a text in order: runs of letters without regard to A-Z or a-z, of digits, and of other characters; marks follow their word."""
+def words(data: bytes, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, slots) of the words, in order, of pieces of text that start at the places given: runs of letters without regard to A-Z or a-z, of digits, and of other characters; marks follow their word."""
     raw = np.frombuffer(data, np.uint8)
     kind = KIND[raw]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(kind)) + 1, [len(raw)]])
@@ -99,10 +99,11 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     small = np.concatenate([[0], np.cumsum((raw >= 97) & (raw <= 122))])
     capitals = (large[end] - large[start] >= 2) & (small[end] == small[start])
     letters = np.flatnonzero(kind[start] == 1) if len(start) else np.zeros(0, np.int64)
-    again = letters[1:][slot[letters[1:]] == slot[letters[:-1]]]
+    piece = np.searchsorted(pieces, start, side="right") - 1
+    again = letters[1:][(slot[letters[1:]] == slot[letters[:-1]]) & (piece[letters[1:]] == piece[letters[:-1]])]
     at = np.concatenate([np.flatnonzero(capitals) + 1, again + 1])
     mark = np.concatenate([np.full(int(capitals.sum()), CAPITALS), np.full(len(again), AGAIN)])
-    return np.insert(start, at, start[at - 1]), np.insert(slot, at, mark)
+    return np.insert(piece, at, piece[at - 1]), np.insert(slot, at, mark)
 
 
 def _contexts(texts: Sequence[str]) -> np.ndarray:
@@ -110,8 +111,7 @@ def _contexts(texts: Sequence[str]) -> np.ndarray:
     dims, signs = index_vectors()
     total = np.zeros(SLOTS * DIMS)
     for data, starts, _ in pieces(texts):
-        at, slot = words(data)
-        piece = np.searchsorted(starts, at, side="right")
+        piece, slot = words(data, starts)
         pairs = [(slot[step:][same], slot[:-step][same]) for step in range(1, WINDOW + 1) for same in [piece[step:] == piece[:-step]]]
         word = np.concatenate([x for a, b in pairs for x in (a, b)])
         beside = np.concatenate([x for a, b in pairs for x in (b, a)])
@@ -159,10 +159,9 @@ def pool(texts: Sequence[str], vectors: np.ndarray) -> np.ndarray:
     """Of each text the mean vector of its words (0 if it has none), and the share of marks of each kind."""
     total, n = np.zeros((len(texts), DIMS + MARKS)), np.zeros(len(texts))
     for data, starts, owners in pieces(texts):
-        at, slot = words(data)
+        piece, slot = words(data, starts)
         if not len(slot):
             continue
-        piece = np.searchsorted(starts, at, side="right") - 1
         first = np.flatnonzero(np.diff(piece, prepend=-1))
         owner = owners[piece[first]]
         np.add.at(total[:, :DIMS], owner, np.add.reduceat(vectors[slot], first, axis=0))
