@@ -13,7 +13,6 @@ from tracewell.functions import commands, privacy
 from tracewell.operators import classify, extract, merge, reconcile
 from tracewell.plans import reports
 from tracewell.sources import raw, sinks
-from tracewell.streaming import ingest
 
 
 def rows(df):
@@ -140,64 +139,6 @@ def test_report_json_of_an_empty_window(spark):
     assert value["rows"] == [] and value["columns"] == ["a", "b"] and value["notes"] == ["n 1"]
 
 
-def test_stream_gives_what_a_batch_gives(spark, tmp_path):
-    store, source = ingest.Store(spark, f"file://{tmp_path}/store"), tmp_path / "in"
-    source.mkdir()
-    order = [3, 0, 5, 1, 4, 2]
-    for k in range(3):
-        with open(source / f"{k}.json", "w") as f:
-            f.writelines(json.dumps({"received_ms": PAYLOADS[i][0], "payload": PAYLOADS[i][1]}) + "\n" for i in order[2 * k : 2 * k + 2])
-        ingest.payload_stream(spark, str(source), store, f"file://{tmp_path}/cp").awaitTermination()
-    good, _ = raw.payloads(spark.createDataFrame(PAYLOADS, "received_ms bigint, payload string"))
-    for name, table in ingest.derived(ingest.deliveries(good)).items():
-        assert rows(store.read(name).select(table.columns)) == rows(table), name
-        assert len(store.versions(name)) <= ingest.VERSIONS
-    assert "detail" in store.read("events").columns
-
-
-def test_a_write_touches_its_own_buckets_only(spark, tmp_path):
-    store = ingest.Store(spark, f"file://{tmp_path}/store")
-    df = lambda *pairs: spark.createDataFrame([(f"s{i}", v) for i, v in pairs], "session_id string, v int")
-    store.write("t", df(*((i, 0) for i in range(40))), 0, range(ingest.BUCKETS))
-    before = store.manifest("t")
-    for batch, (i, v) in enumerate([(3, 1), (3, 2), (7, 5)], 1):
-        new = df((i, v))
-        ingest.upsert(store, "t", batch, new, ingest.touched(new), lambda x: x.groupBy("session_id").agg(F.max("v").alias("v")))
-    ingest.upsert(store, "t", 3, df((7, 4)), ingest.touched(df((7, 4))), lambda x: x.groupBy("session_id").agg(F.max("v").alias("v")))  # the batch again
-    assert dict(store.read("t").collect()) == {f"s{i}": {3: 2, 7: 4}.get(i, 0) for i in range(40)}
-    after = store.manifest("t")
-    assert set(before) == set(after) and sum(before[b] != after[b] for b in before) <= 2
-    assert store.read("none") is None and dict(store.read("t", [ingest.touched(df((3, 0)))[0]]).collect())["s3"] == 2
-
-
-def test_ledger_stream_keeps_the_best_line(spark, tmp_path):
-    store, source = ingest.Store(spark, f"file://{tmp_path}/store"), tmp_path / "in"
-    source.mkdir()
-    (source / "s1.jsonl").write_text('{"request_id":"a","join":"log+span","cost_usd_micros":5}\n{"request_id":"b","join":"span","cost_usd_micros":1}\n{torn\n')
-    ingest.ledger_stream(spark, str(source), store, f"file://{tmp_path}/cp").awaitTermination()
-    (source / "s1.2.jsonl").write_text('{"request_id":"a","join":"log","cost_usd_micros":9}\n{"request_id":"b","join":"log","cost_usd_micros":2}\n')
-    ingest.ledger_stream(spark, str(source), store, f"file://{tmp_path}/cp").awaitTermination()
-    assert {r.request_id: r.cost for r in store.read("ledger").collect()} == {"a": 5, "b": 2}
-    assert store.read("ledger_faults").count() == 1
-    assert {r.request_id: (r.cost_usd_micros, r.source, r.session_id) for r in store.read("requests").collect()} == {"a": (5, "ledger", "s1"), "b": (2, "ledger", "s1")}
-
-
-def test_ledger_stream_prices_the_requests_of_its_sessions(spark, tmp_path):
-    store, source = ingest.Store(spark, f"file://{tmp_path}/store"), tmp_path / "in"
-    source.mkdir()
-    own = [("r1", "s1", "a", None, "hook"), ("r2", "s1", None, 7, "hook"), ("r3", "s2", "x", 3, "hook")]
-    requests = schema.conform(spark.createDataFrame(own, "request_id string, session_id string, api_request_id string, cost_usd_micros bigint, source string"), "requests")
-    store.write("requests", requests, 0, range(ingest.BUCKETS))
-    store.write("held", spark.createDataFrame([("r2", "b", "s1"), ("r9", "c", "s1")], "request_id string, api_request_id string, session_id string"), 0, range(ingest.BUCKETS))
-    (source / "s1.jsonl").write_text("".join(f'{{"request_id":"{k}","join":"log","cost_usd_micros":{v}}}\n' for k, v in [("a", 5), ("b", 6), ("c", 8), ("d", 9)]))
-    ingest.ledger_stream(spark, str(source), store, f"file://{tmp_path}/cp").awaitTermination()
-    want = {"r1": (5, "hook"), "r2": (6, "hook"), "r3": (3, "hook"), "d": (9, "ledger")}
-    assert {r.request_id: (r.cost_usd_micros, r.source) for r in store.read("requests").collect()} == want
-    (source / "s1.2.jsonl").write_text('{"request_id":"d","join":"log+span","cost_usd_micros":1}\n')
-    ingest.ledger_stream(spark, str(source), store, f"file://{tmp_path}/cp").awaitTermination()
-    assert {r.request_id: (r.cost_usd_micros, r.source) for r in store.read("requests").collect()} == want | {"d": (1, "ledger")}
-
-
 def test_unequal_fault_rows_do_not_shift_later_pairs(spark):
     faults = spark.createDataFrame([("f1", "s", 100_000), ("f2", "s", 150_000), ("f3", "s", 400_000), ("f4", "t", 0), ("f5", None, 0)], "fault_id string, session_id string, ts long")
     read = spark.createDataFrame([(f"r{t}", "s", t * 1000) for t in (0, 50, 100, 150, 460)] + [("u", "t", 60_001)], "row_id string, session_id string, ts long")

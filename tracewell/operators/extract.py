@@ -60,6 +60,41 @@ def requests_from_transcript(p: DataFrame) -> DataFrame:
     )
 
 
+#: What a message's lines say, the last of each that is known.
+SAID = {"model": "message.model", "stop_reason": "message.stop_reason", "api_request_id": "requestId", "usage": "message.usage"}
+
+
+def prompt_lines(p: DataFrame) -> DataFrame:
+    """(path, line_no, prompt_id) of the user lines that name a prompt."""
+    return p.where("type = 'user' and promptId is not null").select("path", F.col("line_no").cast("bigint").alias("line_no"), F.col("promptId").alias("prompt_id"))
+
+
+def message_parts(p: DataFrame) -> DataFrame:
+    """(path, request_id, first, and a field for each of SAID): what some lines of files say of a message, with the numbers of the lines that say so. Parts of any lines, in any order, merge to those of all."""
+    at = F.col("line_no").cast("bigint").alias("line_no")
+    last = lambda name, c: F.max(F.when(F.col(c).isNotNull(), F.struct(at, F.col(c).alias("v")))).alias(name)
+    first = F.min(F.struct(at, F.col("sessionId").alias("session_id"), "ts")).alias("first")
+    return messages(p).groupBy("path", F.col("message.id").alias("request_id")).agg(first, *(last(n, c) for n, c in SAID.items()))
+
+
+def merge_message_parts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("path", "request_id").agg(F.min("first").alias("first"), *(F.max(n).alias(n) for n in SAID))
+
+
+def requests_of_parts(parts: DataFrame, prompts: DataFrame) -> DataFrame:
+    """What requests_from_transcript() gives of the lines that merged message_parts() and prompt_lines() were taken from."""
+    a = parts.select("path", F.col("first.line_no").alias("line_no"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("prompt_id"), F.struct("request_id", "first", *SAID).alias("m"))
+    b = prompts.select("path", "line_no", F.lit(0).alias("kind"), "prompt_id", F.lit(None).cast(a.schema["m"].dataType).alias("m"))
+    order = Window.partitionBy("path").orderBy("line_no", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = a.unionByName(b).withColumn("prompt_id", F.last("prompt_id", ignorenulls=True).over(order)).where("kind = 1")
+    u = F.col("m.usage.v")
+    return rows.select(
+        "m.request_id", "m.first.session_id", "prompt_id", "m.first.ts", F.col("m.model.v").alias("model"), F.col("m.stop_reason.v").alias("stop_reason"), F.col("m.api_request_id.v").alias("api_request_id"), u["input_tokens"].alias("input_tokens"), u["cache_read_input_tokens"].alias("cache_read_tokens"),
+        u["cache_creation_input_tokens"].alias("cache_creation_tokens"), u["cache_creation"]["ephemeral_5m_input_tokens"].alias("cache_creation_5m_tokens"), u["cache_creation"]["ephemeral_1h_input_tokens"].alias("cache_creation_1h_tokens"), context_tokens(u).alias("context_tokens"),
+        u["output_tokens"].alias("output_tokens"), u["output_tokens_details"]["thinking_tokens"].alias("thinking_tokens"),
+    )
+
+
 def blocks(p: DataFrame) -> DataFrame:
     return p.select("*", F.posexplode(F.from_json("message.content", BLOCKS)).alias("pos", "block"))
 

@@ -246,6 +246,8 @@ from tracewell.operators import reconcile as RC  # noqa: E402
 from tracewell.plans import rawstandins as X  # noqa: E402
 from tracewell.sources import raw as SRC  # noqa: E402
 from tracewell.sources import sinks  # noqa: E402
+from tracewell.streaming import ingest  # noqa: E402
+from tracewell.streaming.store import scratch  # noqa: E402
 
 
 def P_(S: StandIns) -> DataFrame:
@@ -355,6 +357,26 @@ entry("m11_join_ledger", lambda S: M.join_ledger(S.requests.where("source <> 'le
       f"""WITH {LEDGER}, b AS (SELECT * FROM lb WHERE best = 1), o AS (SELECT *, CASE WHEN cache_read_tokens % 2 = 0 OR stop_reason = 'end_turn' THEN api_request_id END AS api FROM {{requests}} WHERE source IS DISTINCT FROM 'ledger')
       SELECT request_id, coalesce(b.cost, cost_usd_micros) AS cost_usd_micros, CASE WHEN b.cost IS NOT NULL THEN 'ledger' ELSE cost_source END AS cost_source, source FROM o LEFT JOIN b ON b.api = o.api
       UNION ALL SELECT b.api, b.cost, CASE WHEN b.cost IS NOT NULL THEN 'ledger' END, 'ledger' FROM b WHERE b.api NOT IN (SELECT api FROM o WHERE api IS NOT NULL) AND b.api NOT IN (SELECT api_request_id FROM {{requests}} WHERE stop_reason = 'end_turn')""")
+LINES = "path string, line_no bigint, raw string"
+
+
+def REPLAYED(S: StandIns, parts: int = 9) -> DataFrame:
+    """Transcripts and ledger, each cut in files that micro-batches follow one by one; the ledger's runs are merged in between."""
+    folder = scratch(S.spark)
+    store = ingest.open_store(S.spark, f"{folder}/store")
+    for name, lines, files, start in (("transcripts", X.transcripts(S), 3, ingest.transcript_batches), ("ledger", X.message_ledger(S), parts, ingest.ledger_batches)):
+        lines.select("path", F.col("line_no").cast("bigint").alias("line_no"), "raw").repartition(files, F.xxhash64("raw")).write.parquet(f"{folder}/{name}")
+        stream = S.spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+        start(stream, store, f"{folder}/{name}-checkpoint").awaitTermination()
+    store.compact("ledger")
+    return ingest.requests(store)[0].select("request_id", "session_id", "prompt_id", "output_tokens", "cost_usd_micros", "cost_source", "source")
+
+
+entry("m12_ledger_replay", REPLAYED, f"""WITH {CONV}, a AS (SELECT * FROM cv WHERE role = 'assistant'),
+ ld AS (SELECT session_id, 'req' || tag AS api, n % 900 AS cost, 2 AS rank FROM a WHERE n % 4 <> 0 UNION ALL SELECT session_id, 'req' || tag, n % 700, 3 FROM a WHERE n % 8 = 1 UNION ALL SELECT session_id, 'side_' || tag, n % 50, 1 FROM a WHERE n % 10 = 0),
+ b AS (SELECT api, arg_max(cost, rank) AS cost, any_value(session_id) AS session_id FROM ld GROUP BY api)
+ SELECT 'm' || tag AS request_id, a.session_id, a.prompt_id, a.n AS output_tokens, b.cost AS cost_usd_micros, CASE WHEN b.cost IS NOT NULL THEN 'ledger' END AS cost_source, CAST(NULL AS VARCHAR) AS source FROM a LEFT JOIN b ON b.api = 'req' || tag
+ UNION ALL SELECT api, session_id, NULL, NULL, cost, 'ledger', 'ledger' FROM b WHERE starts_with(api, 'side_')""")
 entry("r24_ledger_notes", lambda S: M.join_ledger(S.requests.where("source <> 'ledger' or source is null"), SRC.ledger(X.ledger_lines(S))[0], HELD(S))[1], f"""WITH {LEDGER}, b AS (SELECT * FROM lb WHERE best = 1), o AS (SELECT api_request_id AS api FROM {{requests}} WHERE source IS DISTINCT FROM 'ledger'), h AS (SELECT api_request_id AS api FROM {{requests}} WHERE stop_reason = 'end_turn')
  SELECT 'side calls' AS kind, count(*) AS count FROM b WHERE api NOT IN (SELECT api FROM o) AND api NOT IN (SELECT api FROM h) UNION ALL SELECT 'held but unrecorded', count(*) FROM b WHERE api NOT IN (SELECT api FROM o) AND api IN (SELECT api FROM h) UNION ALL SELECT 'priced', count(*) FROM b JOIN o USING (api) WHERE cost IS NOT NULL""")
 TURNS5 = lambda S: M.agent_turns(S.hook_events)
@@ -475,7 +497,7 @@ entry("k04_parse_status", lambda S: K.parse_status(S.command_parts.withColumnRen
 entry("c01_sessions", lambda S: RC.compare_sessions(S.sessions.where("session_id not like '%9'"), S.requests.where("session_id not like '%8'").groupBy("session_id").agg((F.min("ts") - 5).alias("ts"), F.max("model").alias("model"), F.count_if(F.col("pending") == 1).alias("prompts"))).select("class", "session_id"), """WITH s AS (SELECT * FROM {sessions} WHERE session_id NOT LIKE '%9'), t AS (SELECT session_id, min(ts) - 5 AS ts, max(model) AS model, count(*) FILTER (pending = 1) AS prompts FROM {requests} WHERE session_id NOT LIKE '%8' GROUP BY 1)
  SELECT 'session without transcript' AS class, session_id FROM s WHERE session_id NOT IN (SELECT session_id FROM t) UNION ALL SELECT 'session not stored', session_id FROM t WHERE session_id NOT IN (SELECT session_id FROM s) UNION ALL SELECT 'session before first row', session_id FROM s JOIN t USING (session_id) WHERE t.ts < first_ts
  UNION ALL SELECT 'session without model', session_id FROM s JOIN t USING (session_id) WHERE s.model IS NULL AND t.model IS NOT NULL UNION ALL SELECT 'session without prompt', session_id FROM s JOIN t USING (session_id) WHERE prompts = 0""")
-READ_CALLS = lambda S: S.calls.where("tool <> 'Grep'").select("tool_use_id", "session_id", "agent_id", F.when(F.col("duration_ms") % 5 == 0, "other").otherwise(F.col("agent_type")).alias("agent_type"), F.when(F.col("file_bytes") % 9 == 0, "x").otherwise(F.col("tool")).alias("tool"), F.when(F.col("duration_ms") % 7 == 0, "r0").otherwise(F.col("request_id")).alias("request_id"), F.coalesce("bytes_delivered", F.lit(1)).alias("bytes_delivered"), "failed", F.coalesce("ts", F.lit(5)).alias("ts"))
+READ_CALLS = lambda S: S.calls.where("tool <> 'Grep'").select("tool_use_id", "session_id", "agent_id", F.when(F.col("duration_ms") % 5 == 0, "other").otherwise(F.col("agent_type")).alias("agent_type"), F.when(F.col("file_bytes") % 9 == 0, "x").otherwise(F.col("tool")).alias("tool"), F.when(F.col("duration_ms") % 7 == 0, "?").otherwise(F.col("request_id")).alias("request_id"), F.coalesce("bytes_delivered", F.lit(1)).alias("bytes_delivered"), "failed", F.coalesce("ts", F.lit(5)).alias("ts"))
 BATCH_ONLY = "(bytes_delivered IS NOT NULL AND bytes_real IS NULL AND duration_ms IS NULL AND failed IS NULL)"
 entry("c02_calls", lambda S: RC.compare_calls(S.calls, READ_CALLS(S)).select("class", "id"), f"""WITH r AS (SELECT * FROM {{calls}} WHERE tool <> 'Grep') SELECT 'call extra' AS class, tool_use_id AS id FROM {{calls}} WHERE tool = 'Grep' UNION ALL SELECT 'call tool', tool_use_id FROM r WHERE file_bytes % 9 = 0
  UNION ALL SELECT 'call without size', tool_use_id FROM r WHERE bytes_delivered IS NULL UNION ALL SELECT 'call agent type', tool_use_id FROM r WHERE duration_ms % 5 = 0 UNION ALL SELECT 'call request_id', tool_use_id FROM r WHERE duration_ms % 7 = 0

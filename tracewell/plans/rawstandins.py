@@ -72,3 +72,13 @@ def ledger_lines(S: StandIns) -> DataFrame:
     lines = F.array_compact(F.array(F.when(F.col("k") % 4 != 0, body("log", F.col("k") % 900, F.col("api_request_id"))), F.when(F.col("k") % 8 == 1, body("log+span", F.col("k") % 700, F.col("api_request_id"))), F.when(F.col("k") % 16 == 1, body("log+span", F.lit(-1), F.col("api_request_id"))), F.when(F.col("k") % 10 == 0, body("span", F.col("k") % 50, F.concat(F.lit("side_"), "request_id"))), F.when(F.col("k") % 50 == 7, F.lit('{"torn": '))))
     rows = r.select("session_id", "k", F.posexplode(lines).alias("n", "raw"))
     return rows.select(F.concat(F.lit("/ledger/"), "session_id", F.lit(".jsonl")).alias("path"), (F.col("k") * 8 + F.col("n")).cast("bigint").alias("line_no"), "raw")
+
+
+def message_ledger(S: StandIns) -> DataFrame:
+    """(path, line_no, raw): ledger files for the messages of transcripts(): a line for most, a second one of a higher rank for some, side calls, and lines that are torn."""
+    c = S.table("conversations").where("role = 'assistant'").withColumn("n", F.length("text"))
+    tag, session = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), F.concat(F.lit("s"), F.col("conv_id").cast("string"))
+    body = lambda join, cost, api: F.to_json(F.struct(F.concat(F.lit(api), tag).alias("request_id"), F.lit("2024-01-01T00:00:00Z").alias("ts"), cost.alias("cost_usd_micros"), F.lit(join).alias("join")))
+    n = F.col("n")
+    lines = F.array_compact(F.array(F.when(n % 4 != 0, body("log", n % 900, "req")), F.when(n % 8 == 1, body("log+span", n % 700, "req")), F.when(n % 10 == 0, body("span", n % 50, "side_")), F.when(n % 50 == 7, F.lit('{"torn": '))))
+    return c.select(F.concat(F.lit("/ledger/"), session, F.lit(".jsonl")).alias("path"), "turn", F.posexplode(lines).alias("k", "raw")).select("path", (F.col("turn") * 10 + F.col("k")).cast("bigint").alias("line_no"), "raw")

@@ -1,101 +1,33 @@
-"""Streaming ingestion (M12 and the batch rules): each micro-batch is merged into Parquet tables by the same functions that a batch job uses.
+"""Streaming ingestion (M12 and the batch rules): micro-batches append what came in, and the tables that follow from it are made by the functions that a batch job uses.
 
-Tables are kept in buckets by session. A micro-batch reads and writes the buckets of its own sessions only, so its work follows what came in, not what is stored.
-
-Spark's file source follows whole files, so writers of ledgers and payloads must roll their files; a file that grows after it was read is
-not read again.
+Spark's file source follows whole files, so writers of ledgers, payloads and transcripts must roll their files; a file that grows after it was read is not read again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewell import schema
 from tracewell.operators import extract, merge
 from tracewell.sources import raw
+from tracewell.streaming.store import Rule, Store
+
+RULES = {
+    "deliveries": Rule(["hash", "received_ms"], lambda d: d.distinct()),
+    "faults": Rule(["fault_id"], lambda d: merge.insert_earliest(d, "fault_id")),
+    "ledger": Rule(["request_id"], merge.best_ledger),
+    "ledger_faults": Rule(["fault_id"], lambda d: merge.insert_earliest(d, "fault_id")),
+    "messages": Rule(["path", "request_id"], extract.merge_message_parts),
+    "prompts": Rule(["path", "line_no"], lambda d: d.groupBy("path", "line_no").agg(F.min("prompt_id").alias("prompt_id"))),
+    "line_faults": Rule(["fault_id"], lambda d: merge.insert_earliest(d, "fault_id")),
+    "recorded": Rule(["request_id"], lambda d: merge.insert_earliest(d, "request_id")),
+}
+
 
-#: Buckets of a table, and versions of it that are kept.
-BUCKETS, VERSIONS = 64, 2
-
-
-def bucket_of(session: Column | str = "session_id") -> Column:
-    return F.pmod(F.xxhash64(session), F.lit(BUCKETS)).cast("int")
-
-
-class Store:
-    """Parquet tables in a folder, in buckets by session. A write adds a version of the buckets that it touches, and a manifest of one row a bucket, (bucket, version), says
-    which version holds each; a manifest counts once it is whole, so a failed batch leaves the last one."""
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _listed(self, path: str) -> tuple[object, list[str]]:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs, [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-
-    def versions(self, table: str) -> list[int]:
-        path = f"{self.folder}/{table}/manifest"
-        fs, names = self._listed(path)
-        return sorted(int(n) for n in names if n.isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-
-    def manifest(self, table: str, upto: int | None = None) -> dict[int, int]:
-        """Version by bucket: at most BUCKETS rows."""
-        found = [v for v in self.versions(table) if upto is None or v <= upto]
-        return {r.bucket: r.version for r in self.spark.read.parquet(f"{self.folder}/{table}/manifest/{found[-1]}").collect()} if found else {}
-
-    def next(self, table: str) -> int:
-        """A number for a batch of a table that several streams write."""
-        return max(self.versions(table), default=0)
-
-    def read(self, table: str, buckets: Sequence[int] | None = None, upto: int | None = None) -> DataFrame | None:
-        """The table, or these buckets of it; None if there is nothing."""
-        there = {b: v for b, v in self.manifest(table, upto).items() if buckets is None or b in buckets}
-        if not there:
-            return None
-        return self.spark.read.option("mergeSchema", True).parquet(*(f"{self.folder}/{table}/data/{v}/_bucket={b}" for b, v in there.items()))
-
-    def write(self, table: str, df: DataFrame, batch: int, buckets: Sequence[int]) -> None:
-        """df takes the place of what these buckets hold."""
-        version, held = batch + 1, self.manifest(table, batch)
-        rows = df.withColumn("_bucket", bucket_of())
-        rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/{table}/data/{version}")
-        _, names = self._listed(f"{self.folder}/{table}/data/{version}")
-        new = {int(n.partition("=")[2]) for n in names if n.startswith("_bucket=")}
-        held = {b: v for b, v in held.items() if b not in buckets} | {b: version for b in new}
-        manifest = self.spark.createDataFrame(sorted(held.items()), "bucket int, version int").coalesce(1)
-        manifest.write.mode("overwrite").parquet(f"{self.folder}/{table}/manifest/{version}")
-        self.clear(table)
-
-    def clear(self, table: str) -> None:
-        """Removes data that none of the last manifests names, and older manifests."""
-        versions = self.versions(table)
-        kept = versions[-VERSIONS:]
-        named = {(v, b) for k in kept for b, v in self.manifest(table, k).items()}
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs, found = self._listed(f"{self.folder}/{table}/data")
-        for v in (int(n) for n in found if n.isdigit() and int(n) <= kept[-1]):
-            _, names = self._listed(f"{self.folder}/{table}/data/{v}")
-            for n in names:
-                if n.startswith("_bucket=") and (v, int(n.partition("=")[2])) not in named:
-                    fs.delete(path(f"{self.folder}/{table}/data/{v}/{n}"), True)
-        for v in versions[:-VERSIONS]:
-            fs.delete(path(f"{self.folder}/{table}/manifest/{v}"), True)
-
-
-def touched(df: DataFrame) -> list[int]:
-    """The buckets of the rows' sessions: BUCKETS of them at most."""
-    return [r[0] for r in df.select(bucket_of()).distinct().collect()]
-
-
-def upsert(store: Store, table: str, batch: int, new: DataFrame, buckets: Sequence[int], combine: Callable[[DataFrame], DataFrame]) -> None:
-    """These buckets become combine(what they hold and the new rows). A batch that runs again starts from the version before it."""
-    old = store.read(table, buckets, batch)
-    store.write(table, combine(new if old is None else old.unionByName(new, allowMissingColumns=True)), batch, buckets)
+def open_store(spark: SparkSession, folder: str) -> Store:
+    return Store(spark, folder, RULES)
 
 
 def deliveries(payloads: DataFrame) -> DataFrame:
@@ -111,42 +43,88 @@ def derived(rows: DataFrame) -> dict[str, DataFrame]:
     return {"events": events, "sessions": merge.touch_sessions(seen), "agent_turns": merge.agent_turns(events)}
 
 
-def payload_stream(spark: SparkSession, source: str, store: Store, checkpoint: str) -> StreamingQuery:
-    """Files of (received_ms, payload) rows, JSON lines, into `deliveries` and what derives from it."""
+def tables(store: Store) -> dict[str, DataFrame]:
+    """events, sessions and agent_turns as all deliveries so far make them; none before the first."""
+    rows = store.read("deliveries")
+    return {} if rows is None else derived(rows)
+
+
+def held(store: Store) -> DataFrame | None:
+    """Requests of all transcripts so far, as extract.requests_from_transcript() gives them; None if there is none."""
+    messages, prompts = store.read("messages"), store.read("prompts")
+    return None if messages is None or prompts is None else extract.requests_of_parts(messages, prompts)
+
+
+def requests(store: Store) -> tuple[DataFrame, DataFrame] | None:
+    """Requests, and the summary of merge.join_ledger(): those recorded, settled by what transcripts hold of them (M07), with the prices and side calls of the ledger (M11). None if there is nothing."""
+    recorded, read, lines, seen = store.read("recorded"), held(store), store.read("ledger"), tables(store).get("sessions")
+    spark = store.spark
+    if recorded is None and read is None and lines is None:
+        return None
+    none = spark.createDataFrame([], schema.schema("requests"))
+    recorded = none if recorded is None else schema.conform(recorded, "requests")
+    seen = spark.createDataFrame([], "session_id string, first_ts bigint") if seen is None else seen
+    settled = recorded if read is None else merge.settle(recorded, read.drop("calls"), seen)
+    known = none if read is None else read
+    if lines is None:
+        lines = raw.ledger(spark.createDataFrame([], "path string, line_no bigint, raw string"))[0]
+    return merge.join_ledger(settled, lines, known.select("request_id", "api_request_id"))
+
+
+def _run(stream: DataFrame, batch, checkpoint: str) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def payload_stream(spark: SparkSession, source: str, store: Store, checkpoint: str, files: int = 1000) -> StreamingQuery:
+    """Files of (received_ms, payload) rows, JSON lines, into `deliveries` and `faults`; so many files at most in a micro-batch."""
 
     def batch(df: DataFrame, number: int) -> None:
         good, faults = raw.payloads(df)
-        buckets = touched(good)
-        upsert(store, "deliveries", number, deliveries(good), buckets, lambda x: x.distinct())
-        upsert(store, "faults", number, faults, touched(faults), lambda x: x.dropDuplicates(["fault_id"]))
-        rows = store.read("deliveries", buckets)
-        for name, table in derived(rows).items() if rows is not None else ():
-            store.write(name, table, number, buckets)
-
-    stream = spark.readStream.schema("received_ms bigint, payload string").json(source)
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        store.append("deliveries", deliveries(good), "payloads", number)
+        store.append("faults", faults, "payloads", number)
 
+    return _run(spark.readStream.schema("received_ms bigint, payload string").option("maxFilesPerTrigger", files).json(source), batch, checkpoint)
 
-def ledger_stream(spark: SparkSession, source: str, store: Store, checkpoint: str) -> StreamingQuery:
-    """Rolled ledger files into `ledger`, of each request the best line, and these into `requests` of the same sessions by merge.join_ledger().
 
-    A file is named by its session, with the number of its roll before the extension. What transcripts hold is read from `held` (request_id, api_request_id, session_id), if there is such a table. Joining again changes nothing.
-    """
+def rolled_lines(spark: SparkSession, source: str, files: int = 1000) -> DataFrame:
+    """A stream of (path, line_no, raw) of rolled files: the path without the number of the roll before the extension, and numbers that grow from file to file by their times."""
+    whole = spark.readStream.option("maxFilesPerTrigger", files).text(source, wholetext=True)
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"\.\d+(\.[^./]*)$", "$1")
+    parts = whole.select(path.alias("path"), (F.unix_millis("_metadata.file_modification_time") * 1_000_000).alias("base"), "value")
+    lines = parts.select("path", "base", F.posexplode(F.split("value", "\n")).alias("pos", "raw")).where(F.trim("raw") != "")
+    return lines.select("path", (F.col("base") + F.col("pos")).alias("line_no"), "raw")
+
+
+def ledger_batches(lines: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """A stream of ledger lines (path, line_no, raw) into `ledger` and `ledger_faults`; the session is the stem of the path."""
 
     def batch(df: DataFrame, number: int) -> None:
-        rows, faults = raw.ledger(df.select(F.regexp_replace("path", r"\.\d+(\.[^./]*)$", "$1").alias("path"), F.col("at").alias("line_no"), F.col("value").alias("raw")))
-        buckets = touched(rows)
-        upsert(store, "ledger", number, rows, buckets, merge.best_ledger)
-        upsert(store, "ledger_faults", number, faults, touched(faults), lambda x: x.dropDuplicates(["fault_id"]))
-        requests, lines = store.read("requests", buckets), store.read("ledger", buckets)
-        if lines is not None:
-            requests = schema.conform(lines.limit(0), "requests") if requests is None else schema.conform(requests, "requests")
-            held = store.read("held", buckets)
-            held = requests.select("request_id", "api_request_id").limit(0) if held is None else held.select("request_id", "api_request_id")
-            joined, _ = merge.join_ledger(requests, lines, held)
-            store.write("requests", joined, store.next("requests"), buckets)
-
-    files = spark.readStream.text(source, wholetext=True).select(F.col("_metadata.file_path").alias("path"), (F.unix_millis("_metadata.file_modification_time") * 1_000_000).alias("base"), "value")
-    lines = files.select("path", "base", F.posexplode(F.split("value", "\n")).alias("pos", "value")).where(F.trim("value") != "")
-    stream = lines.select("path", (F.col("base") + F.col("pos")).alias("at"), "value")
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        rows, faults = raw.ledger(df)
+        store.append("ledger", rows, "ledger", number)
+        store.append("ledger_faults", faults, "ledger", number)
+
+    return _run(lines, batch, checkpoint)
+
+
+def ledger_stream(spark: SparkSession, source: str, store: Store, checkpoint: str, files: int = 1000) -> StreamingQuery:
+    """Rolled ledger files into the store; requests() has them in its prices and side calls."""
+    return ledger_batches(rolled_lines(spark, source, files), store, checkpoint)
+
+
+def transcript_batches(lines: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """A stream of transcript lines (path, line_no, raw) into `messages`, what each line says of its message, `prompts`, and `line_faults`."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        good = raw.is_object(F.col("raw"))
+        p = extract.parsed(df.where(good))
+        store.append("messages", extract.message_parts(p), "transcripts", number)
+        store.append("prompts", extract.prompt_lines(p), "transcripts", number)
+        bad = df.where(~good).select(F.concat_ws(":", F.lit("line"), "path", F.col("line_no").cast("string")).alias("fault_id"), F.lit(None).cast("bigint").alias("ts"), F.lit("parse").alias("stage"), F.left("raw", F.lit(200)).alias("error"))
+        store.append("line_faults", bad, "transcripts", number)
+
+    return _run(lines, batch, checkpoint)
+
+
+def transcript_stream(spark: SparkSession, source: str, store: Store, checkpoint: str, files: int = 1000) -> StreamingQuery:
+    """Rolled transcript files into the store; held() has their requests, and so has requests()."""
+    return transcript_batches(rolled_lines(spark, source, files), store, checkpoint)
