@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracewell import schema
 from tracewell.functions import commands, privacy
 from tracewell.operators import classify, extract, merge, reconcile
-from tracewell.plans import reports
+from tracewell.plans import recipes, reports
 from tracewell.sources import raw, sinks
 
 
@@ -139,11 +139,91 @@ def test_report_json_of_an_empty_window(spark):
     assert value["rows"] == [] and value["columns"] == ["a", "b"] and value["notes"] == ["n 1"]
 
 
-def test_unequal_fault_rows_do_not_shift_later_pairs(spark):
-    faults = spark.createDataFrame([("f1", "s", 100_000), ("f2", "s", 150_000), ("f3", "s", 400_000), ("f4", "t", 0), ("f5", None, 0)], "fault_id string, session_id string, ts long")
-    read = spark.createDataFrame([(f"r{t}", "s", t * 1000) for t in (0, 50, 100, 150, 460)] + [("u", "t", 60_001)], "row_id string, session_id string, ts long")
-    got = {(r.fault_id, r.row_id) for r in reconcile.pair_faults(faults, read).collect()}
-    assert got == {("f1", "r50"), ("f2", "r100"), ("f3", "r460")}
+def plain_pairs(faults, read, tolerance=60_000):
+    """All pairs in reach, nearest first, each end once."""
+    near = sorted((abs(ft - rt), ft, rt, f, r) for f, s, ft in faults for r, t, rt in read if s == t and s is not None and abs(ft - rt) <= tolerance)
+    used, out = set(), set()
+    for *_, f, r in near:
+        if ("f", f) not in used and ("r", r) not in used:
+            used |= {("f", f), ("r", r)}
+            out.add((f, r))
+    return out
+
+
+def test_faults_take_the_nearest_row_and_leave_the_rest(spark):
+    rng = random.Random(4)
+    faults = [("f1", "s", 100_000), ("f2", "s", 150_000), ("f3", "s", 400_000), ("f4", "t", 0), ("f5", None, 0)]
+    read = [(f"r{t}", "s", t * 1000) for t in (0, 50, 100, 150, 460)] + [("u", "t", 60_001)]
+    assert plain_pairs(faults, read) == {("f1", "r100"), ("f2", "r150"), ("f3", "r460")}
+    for k in range(12):  # unequal counts, ties, a chain whose gaps shrink, silent stretches
+        span, n, m = rng.choice([300, 4000, 900_000]), rng.randrange(1, 60), rng.randrange(1, 60)
+        faults += [(f"a{k}-{i}", f"k{k}", rng.randrange(span) // 10 * 10) for i in range(n)]
+        read += [(f"b{k}-{i}", f"k{k}", rng.randrange(span) // 10 * 10) for i in range(m)]
+    at = 0
+    for i in range(40):
+        (faults if i % 2 else read).append((f"{'fr'[i % 2 == 0]}c{i}", "chain", at))
+        at += 50_000 - 1000 * i
+    df = lambda data, name: spark.createDataFrame(data, f"{name} string, session_id string, ts long").repartition(5)
+    got = [(r.fault_id, r.row_id) for r in reconcile.pair_faults(df(faults, "fault_id"), df(read, "row_id")).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_pairs(faults, read)
+    assert reconcile.pair_faults(df(faults, "fault_id").limit(0), df(read, "row_id")).count() == 0
+
+
+def plain_allowed(mismatches, entries):
+    used, out = set(), []
+    for c, session, ts, ids in mismatches:
+        for entry, kind, scopes, before, _ in entries:
+            named = any(s in ids if s.startswith("tool=") else any(x and x.startswith(s) for x in (session, *ids)) for s in scopes)
+            if kind == c and (named or (before is not None and ts is not None and 0 < ts < before)):
+                used.add(entry)
+                out.append((c, session, ts, tuple(ids), entry))
+                break
+        else:
+            out.append((c, session, ts, tuple(ids), None))
+    return out, {e[0] for e in entries} - used
+
+
+def test_the_first_fitting_entry_explains_a_mismatch(spark):
+    rng = random.Random(9)
+    words = ["x", "x1", "x12", "s1", "s12", "tool=Bash", "tool=Ba", "y", "yy"]
+    entries = [(n, rng.choice("abc"), rng.sample(words, rng.randrange(0, 3)), rng.choice([None, None, 10, 50]), f"r{9 - n % 10}") for n in rng.sample(range(100), 14)]
+    entries.sort()
+    found = [(rng.choice("abcd"), rng.choice([None, "s1", "s12", "s2"]), rng.choice([None, 0, -5, 9, 10, 49, 90]), rng.sample(words + ["z", "x123"], rng.randrange(1, 3))) for _ in range(300)]
+    found += [("a", "s9", 50, ["x1"])] * 3
+    want, unused = plain_allowed(found, entries)
+    df = spark.createDataFrame([(c, s, t, "i", i) for c, s, t, i in found], "class string, session_id string, ts long, id string, ids array<string>")
+    allowed = spark.createDataFrame(entries, "entry int, class string, scopes array<string>, before_ts long, reason string")
+    judged, left = reconcile.apply_allowlist(df, allowed)
+    assert sorted(map(str, ((r["class"], r.session_id, r.ts, tuple(r.ids), r.entry) for r in judged.collect()))) == sorted(map(str, want))
+    assert {r.entry for r in left.collect()} == unused and any(e[4] is None for e in want)
+    reasons = {e[0]: e[4] for e in entries}
+    assert all(r.reason == reasons.get(r.entry) and r.verdict == ("expected" if r.entry is not None else "unexplained") for r in judged.collect())
+
+
+@pytest.mark.parametrize("shape", ["chain", "circle", "fan", "forest"])
+def test_descendants_of_deep_and_circular_agents(spark, shape):
+    rng = random.Random(2)
+    if shape == "chain":
+        up = {f"a{i}": f"a{i - 1}" for i in range(1, 5001)}
+    elif shape == "circle":
+        up = {f"a{i}": f"a{(i + 1) % 7}" for i in range(7)} | {f"b{i}": f"b{(i + 1) % 5}" for i in range(5)} | {"c": "a3", "d": "b1"}
+    elif shape == "fan":
+        up = {f"x{i}": "a0" for i in range(100_000)} | {f"y{i}": "x7" for i in range(1000)}
+    else:
+        up = {f"a{i}": f"a{rng.randrange(i)}" for i in range(1, 300)} | {f"z{i}": f"z{rng.randrange(max(1, i))}" for i in range(1, 100)} | {"lone": None}
+    want, level, depth = {"a0": 0}, ["a0"], 0
+    below = {}
+    for a, b in up.items():
+        below.setdefault(b, []).append(a)
+    while level:
+        depth += 1
+        level = [x for a in level for x in below.get(a, ()) if x not in want]
+        want |= dict.fromkeys(level, depth)
+    calls = spark.createDataFrame([(f"t{a}", b) for a, b in up.items()], "tool_use_id string, agent_id string")
+    agents = spark.createDataFrame([(a, f"t{a}") for a in up] + [("top", None)], "agent_id string, parent_tool_use_id string")
+    got = [(r.agent_id, r.depth) for r in recipes.descendants(calls, agents, "a0").collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert [tuple(r) for r in recipes.descendants(calls, agents, "nobody").collect()] == [("nobody", 0)]
 
 
 #: Commands, what the rules say of them, and (for some) with the rules below.

@@ -65,7 +65,7 @@ def test_runs_merge_by_levels_and_any_order_gives_the_same(spark, tmp_path, monk
         levels = [r["level"] for r in state["runs"]]
         assert merges >= 3 and max(levels) >= 2 and all(levels.count(k) < 3 for k in levels)
         assert dict(store.read("t").collect()) == want
-        store.vacuum("t", 1)
+        store.vacuum("t", 1, 0)
         assert dict(store.read("t").collect()) == want and {p.name for p in (tmp_path / str(seed) / "t" / "runs").iterdir()} == {r["id"] for r in state["runs"]}
 
 

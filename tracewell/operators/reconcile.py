@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator, Mapping
 from functools import reduce
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -139,47 +139,115 @@ def compare_compactions(events: DataFrame, compactions: DataFrame, tolerance_ms:
     return reduce(lambda x, y: x.unionByName(y), found)
 
 
+def nearest_pairs(faults: list[tuple], rows: list[tuple], tolerance: int) -> list[tuple]:
+    """Pairs of (ts, id) of faults with those of rows: the pair at the least distance first, ties by the fault's time, the row's time, the fault's id, the row's id; then the same with what is left, up to the tolerance.
+
+    The pair at the least distance is one of neighbours in time. Neighbours of either kind stand in a list, with those of one kind and time in one place, and wait in a heap; where a place
+    is empty, its neighbours become neighbours.
+    """
+    places: dict[tuple, list] = {}
+    for kind, items in enumerate((faults, rows)):
+        for ts, i in sorted(items, reverse=True):
+            places.setdefault((ts, kind), []).append(i)  # the smallest last
+    keys = sorted(places)
+    before, after = list(range(-1, len(keys) - 1)), list(range(1, len(keys) + 1))
+    heap: list[tuple] = []
+
+    def push(a: int, b: int) -> None:
+        if a >= 0 and b < len(keys) and keys[a][1] != keys[b][1] and keys[b][0] - keys[a][0] <= tolerance:
+            f, r = (a, b) if keys[b][1] else (b, a)
+            heappush(heap, (keys[b][0] - keys[a][0], keys[f][0], keys[r][0], f, r))
+
+    for a in range(len(keys) - 1):
+        push(a, a + 1)
+    found = []
+    while heap:
+        *_, f, r = heappop(heap)
+        a, b = places[keys[f]], places[keys[r]]
+        if not a or not b:
+            continue
+        while a and b:
+            found.append((a.pop(), b.pop()))
+        for place, left in ((f, a), (r, b)):
+            if not left:
+                low, high = before[place], after[place]
+                if low >= 0:
+                    after[low] = high
+                if high < len(keys):
+                    before[high] = low
+                push(low, high)
+    return found
+
+
 def pair_faults(faults: DataFrame, rows: DataFrame, tolerance_ms: int = 60_000) -> DataFrame:
     """C07 (fault_id, row_id): faults paired one to one with the rows (row_id, session_id, ts) that their lost events would have written.
 
-    Inside a session, in time order, each fault goes with the earliest unpaired row within the tolerance, and rows that no later fault can
-    reach are passed over; so as many pairs are made as can be. A pair need not be the nearest one. Rows without a session or a time pair with none.
+    Inside a session the nearest pair within the tolerance is taken first, ties by time, then id, and so on with what is left: nearest_pairs(). Where a session is silent for longer than the
+    tolerance nothing pairs across, so it is read in order, stretch by stretch, and only a stretch is held. Rows without a session or a time pair with none.
     """
     a = faults.select("session_id", F.col("ts").cast("long").alias("ts"), F.lit(0).alias("kind"), F.col("fault_id").alias("fault_id"), F.lit(None).cast(rows.schema["row_id"].dataType).alias("row_id"))
     b = rows.select("session_id", F.col("ts").cast("long").alias("ts"), F.lit(1).alias("kind"), F.lit(None).cast(faults.schema["fault_id"].dataType).alias("fault_id"), "row_id")
     both = a.unionByName(b).where("session_id is not null and ts is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, held, waiting = None, 0, deque()  # those that wait are of one kind, `held`: another kind in reach is paired at once
+        held: tuple[list, list] = ([], [])
+        session, last, types = None, 0, [pa.null(), pa.null()]
+
+        def pairs() -> list[tuple]:
+            found = nearest_pairs(*held, tolerance_ms) if held[0] and held[1] else []
+            held[0].clear()
+            held[1].clear()
+            return found
+
+        def made(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], t) for i, t in enumerate(types)], ["fault_id", "row_id"])
+
         for batch in batches:
-            pairs = []
+            found = []
+            types = [batch.column(c).type for c in ("fault_id", "row_id")]
             for s, ts, kind, fault, row in zip(*(batch.column(c).to_pylist() for c in ("session_id", "ts", "kind", "fault_id", "row_id")), strict=True):
-                if s != session:
-                    session = s
-                    waiting.clear()
-                while waiting and ts - waiting[0][0] > tolerance_ms:
-                    waiting.popleft()
-                mine = row if kind else fault
-                if waiting and held != kind:
-                    other = waiting.popleft()[1]
-                    pairs.append((other, mine) if kind else (mine, other))
-                else:
-                    held = kind
-                    waiting.append((ts, mine))
-            columns = zip(*pairs, strict=True) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), batch.column(c).type) for c, x in zip(("fault_id", "row_id"), columns, strict=True)], ["fault_id", "row_id"])
+                if s != session or ts - last > tolerance_ms:
+                    found += pairs()
+                session, last = s, ts
+                held[kind].append((ts, row if kind else fault))
+            yield made(found)
+        if held[0] or held[1]:
+            yield made(pairs())
 
     schema = T.StructType([T.StructField(c, both.schema[c].dataType) for c in ("fault_id", "row_id")])
-    return both.repartition("session_id").sortWithinPartitions("session_id", "ts", "kind", "fault_id", "row_id").mapInArrow(run, schema)
+    return both.where("coalesce(fault_id, row_id) is not null").repartition("session_id").sortWithinPartitions("session_id", "ts").mapInArrow(run, schema)
+
+
+#: Begins a scope that names a tool.
+TOOL_SCOPE = "tool="
 
 
 def apply_allowlist(found: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Mismatches with verdict (expected with its reason, or unexplained), and allowlist entries that no mismatch needed.
+    """Mismatches with entry, reason and verdict (expected or unexplained), and allowlist entries that explain none.
+
+    found: (class, session_id, ts, id) and, where a mismatch has several, ids. allowed: (entry, class, scopes, before_ts, reason), entry a number in the order of the list. An entry explains a mismatch of its class if one
+    of its scopes begins the session or one of the ids, a scope `tool=...` if it is one of the ids, or if the mismatch has a time, above 0 and before before_ts. Of several the first counts, and
+    one that always comes later is not used.
 
-    allowed: (class, id_prefix, before_ts, reason); a null prefix or time holds for all.
+    Scopes are met by joins of equals: a mismatch's ids are cut at the lengths that the scopes of its class have.
     """
-    a = allowed.select("class", "id_prefix", "before_ts", "reason", F.xxhash64("class", "id_prefix", "before_ts", "reason").alias("entry"))
-    hit = found.join(a, "class").where((F.col("id_prefix").isNull() | F.startswith("id", "id_prefix")) & (F.col("before_ts").isNull() | (F.col("ts") < F.col("before_ts"))))
-    reasons = hit.groupBy("class", "id").agg(F.min("reason").alias("reason"))
-    judged = found.join(reasons, ["class", "id"], "left").withColumn("verdict", F.when(F.col("reason").isNotNull(), "expected").otherwise("unexplained"))
-    return judged, a.join(hit.select("entry").distinct(), "entry", "left_anti").drop("entry")
+    columns = found.columns
+    ids = F.col("ids") if "ids" in columns else F.array("id")
+    rows = found.groupBy(*columns).agg(F.count("*").alias("_copies"))
+    scopes = allowed.select("class", "entry", F.explode("scopes").alias("scope")).where("scope <> ''")
+    exact = F.startswith("scope", F.lit(TOOL_SCOPE))
+    lengths = scopes.where(~exact).groupBy("class").agg(F.array_sort(F.collect_set(F.length("scope"))).alias("_lengths"))
+    times = allowed.where("before_ts is not null").groupBy("class").agg(F.collect_list(F.struct("entry", "before_ts")).alias("_times"))
+    early = F.array_min(F.transform(F.filter("_times", lambda t: t["before_ts"] > F.col("ts")), lambda t: t["entry"]))
+    rows = rows.join(lengths, "class", "left").join(times, "class", "left").withColumn("_early", F.when(F.col("ts") > 0, early)).drop("_times")
+    known = F.filter(F.array_union(F.array("session_id"), F.coalesce(ids, F.array().cast("array<string>"))), lambda x: x.isNotNull() & (x != ""))
+    cut = F.flatten(F.transform(known, lambda x: F.transform(F.filter(F.col("_lengths"), lambda n: n <= F.length(x)), lambda n: F.struct(F.lit(False).alias("exact"), F.substring(x, F.lit(1), n).alias("scope")))))
+    whole = F.transform(F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda x: F.startswith(x, F.lit(TOOL_SCOPE))), lambda x: F.struct(F.lit(True).alias("exact"), x.alias("scope")))
+    rows = rows.withColumn("_cut", F.explode_outer(F.array_distinct(F.concat(F.coalesce(cut, F.array().cast("array<struct<exact:boolean,scope:string>>")), whole))))
+    rows = rows.select(*columns, "_copies", "_early", F.col("_cut.exact").alias("_exact"), F.col("_cut.scope").alias("_scope"))
+    index = scopes.groupBy(F.col("class").alias("_class"), exact.alias("_is"), "scope").agg(F.min("entry").alias("_entry"))
+    hit = rows.join(index, (F.col("class") == F.col("_class")) & (F.col("_exact") == F.col("_is")) & (F.col("_scope") == F.col("scope")), "left")
+    first = hit.groupBy(*columns, "_copies").agg(F.least(F.min("_early"), F.min("_entry")).alias("entry"))
+    judged = first.join(allowed.select("entry", "reason"), "entry", "left").withColumn("verdict", F.when(F.col("entry").isNotNull(), "expected").otherwise("unexplained"))
+    judged = judged.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns, "entry", "reason", "verdict")
+    return judged, allowed.join(first.select("entry").distinct(), "entry", "left_anti")

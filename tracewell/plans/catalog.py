@@ -224,6 +224,20 @@ entry("q01_spend_per_agent", lambda S: Q.spend_per_agent(S.requests, S.agents, S
 entry("q02_money_per_party", lambda S: Q.money_per_party(S.requests, S.agents, SID), f"SELECT {MAIN}, max(a.agent_type) AS agent_type, count(*) AS requests, count(*) FILTER (r.source = 'ledger') AS side_calls, round(coalesce(sum(cost_usd_micros), 0) / 1e6, 4) AS usd, count(*) FILTER (cost_usd_micros IS NULL) AS unpriced, coalesce(string_agg(DISTINCT cost_source, ',' ORDER BY cost_source), '') AS price_from FROM {{requests}} r LEFT JOIN {{agents}} a ON a.agent_id = r.agent_id WHERE r.session_id = '{SID}' AND pending = 0 GROUP BY r.agent_id")
 entry("q03_agent_calls", lambda S: Q.agent_calls(S.calls, S.agents, SID), f"SELECT c.tool_use_id, coalesce(c.agent_id, '(main)') AS spawned_by, json_extract_string(input, '$.subagent_type') AS type, coalesce(a.model, json_extract_string(input, '$.model')) AS model, a.agent_id AS started_agent, started, round((stopped - started) / 60000.0, 1) AS wall_min, total_tokens, tool_uses, ts FROM {{calls}} c LEFT JOIN {{agents}} a ON a.parent_tool_use_id = c.tool_use_id WHERE c.session_id = '{SID}' AND tool IN ('Agent', 'Task') ORDER BY ts NULLS FIRST, c.tool_use_id, a.agent_id LIMIT 50")
 entry("q04_family", lambda S: Q.family(S.requests, S.calls, S.agents, AID), f"WITH RECURSIVE tree(agent_id, depth) AS (SELECT '{AID}', 0 UNION SELECT a.agent_id, t.depth + 1 FROM tree t JOIN {{calls}} c ON c.agent_id = t.agent_id JOIN {{agents}} a ON a.parent_tool_use_id = c.tool_use_id) SELECT count(DISTINCT t.agent_id) AS agents, max(t.depth) AS depth, count(r.request_id) AS requests, isum(output_tokens) AS output, max(context_tokens) AS peak_context FROM tree t LEFT JOIN {{requests}} r ON r.agent_id = t.agent_id AND pending = 0 AND r.source IS DISTINCT FROM 'ledger'")
+
+
+def DEEP(S: StandIns) -> tuple[DataFrame, DataFrame]:
+    """Calls and agents: a chain of all customers, each order's agent started by its customer's, and a circle of nations."""
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    c, o, n = F.col("c_custkey"), S.table("orders"), F.col("n_nationkey")
+    links = S.table("customer").select(name("d", c).alias("agent_id"), name("d", c - 1).alias("by")).unionByName(o.select(name("o", F.col("o_orderkey")).alias("agent_id"), name("d", F.col("o_custkey")).alias("by")))
+    links = links.unionByName(S.table("nation").select(name("n", n).alias("agent_id"), name("n", (n + 1) % 25).alias("by")))
+    call = F.concat(F.lit("t"), "agent_id")
+    return links.select(call.alias("tool_use_id"), F.col("by").alias("agent_id")), links.select("agent_id", call.alias("parent_tool_use_id"))
+
+
+entry("q04_descendants", lambda S: Q.descendants(*DEEP(S), "d0"), """WITH RECURSIVE up AS (SELECT 'd' || c_custkey AS a, 'd' || (c_custkey - 1) AS p FROM {customer} UNION ALL SELECT 'o' || o_orderkey, 'd' || o_custkey FROM {orders} UNION ALL SELECT 'n' || n_nationkey, 'n' || ((n_nationkey + 1) % 25) FROM {nation}),
+ tree(agent_id, depth) AS (SELECT 'd0', 0 UNION ALL SELECT up.a, t.depth + 1 FROM tree t JOIN up ON up.p = t.agent_id) SELECT agent_id, depth FROM tree""")
 entry("q05_tool_mix", lambda S: Q.tool_mix(S.calls, AID), f"SELECT tool, count(*) AS calls, isum(failed) AS failed, round(sum(duration_ms) / 60000.0, 1) AS tool_min, isum(bytes_delivered) AS bytes_into_context FROM {{calls}} WHERE agent_id = '{AID}' GROUP BY tool")
 entry("q05_slowest_calls", lambda S: Q.slowest_calls(S.calls, AID), f"SELECT tool_use_id, round(duration_ms / 1000.0, 1) AS secs, tool, left(replace(coalesce(json_extract_string(input, '$.command'), file_path, ''), chr(10), ' '), 120) AS what, duration_ms FROM {{calls}} WHERE agent_id = '{AID}' ORDER BY duration_ms DESC NULLS LAST, tool_use_id LIMIT 10")
 entry("q06_bytes_by_tool", lambda S: Q.bytes_by_tool(S.calls, SINCE), f"SELECT tool, count(*) AS calls, isum(bytes_delivered) AS bytes, max(bytes_delivered) AS largest, count(persisted_path) AS spilled_to_file FROM {{calls}} WHERE ts >= {SINCE} GROUP BY tool")
@@ -247,7 +261,7 @@ from tracewell.plans import rawstandins as X  # noqa: E402
 from tracewell.sources import raw as SRC  # noqa: E402
 from tracewell.sources import sinks  # noqa: E402
 from tracewell.streaming import ingest  # noqa: E402
-from tracewell.streaming.store import scratch  # noqa: E402
+from tracewell.tables import scratch  # noqa: E402
 
 
 def P_(S: StandIns) -> DataFrame:
@@ -517,6 +531,27 @@ entry("c06_compactions", lambda S: RC.compare_compactions(S.hook_events.withColu
       """WITH e AS (SELECT event_id, session_id, ts, CASE WHEN event = 'Notification' THEN 'PostCompact' ELSE event END AS kind FROM {hook_events} WHERE event IN ('PreCompact', 'Notification')), c AS (SELECT * FROM {compactions} WHERE ts IS NOT NULL), k AS (SELECT unnest(['PreCompact', 'PostCompact']) AS kind)
  SELECT k.kind || ' missing' AS class, entry_id AS id FROM c, k WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.kind = k.kind AND e.session_id = c.session_id AND abs(e.ts - c.ts) <= 60000)
  UNION ALL SELECT kind || ' without compaction', event_id FROM e WHERE NOT EXISTS (SELECT 1 FROM c WHERE e.session_id = c.session_id AND abs(e.ts - c.ts) <= 60000)""")
-entry("c07_pair_faults", lambda S: RC.pair_faults(S.faults, S.hook_events.where("event = 'StopFailure'").select(F.col("event_id").alias("row_id"), "session_id", (F.col("ts") + 100).alias("ts"))), "SELECT 'f' || event_id AS fault_id, event_id AS row_id FROM {hook_events} WHERE event = 'StopFailure'")
-ALLOWED = [("Stop extra", "e1", None, "clock"), ("Stop extra", None, 1_704_500_000_000, "old"), ("never", None, None, "unused")]
-entry("c08_allowlist", lambda S: RC.apply_allowlist(S.hook_events.where("event = 'Stop'").select(F.lit("Stop extra").alias("class"), "session_id", "ts", F.col("event_id").alias("id")), S.spark.createDataFrame(ALLOWED, "class string, id_prefix string, before_ts bigint, reason string"))[0].groupBy("verdict", "reason").agg(F.count("*").alias("n")), "SELECT CASE WHEN event_id LIKE 'e1%' OR ts < 1704500000000 THEN 'expected' ELSE 'unexplained' END AS verdict, CASE WHEN event_id LIKE 'e1%' THEN 'clock' WHEN ts < 1704500000000 THEN 'old' END AS reason, count(*) AS n FROM {hook_events} WHERE event = 'Stop' GROUP BY 1, 2")
+# sessions are put together in tens, so that many faults and rows are in reach of each other; rows are moved by up to 54 s, and a fifth of them is missing
+GROUPED = lambda: F.substring("session_id", 1, 2)
+FAULT_ROWS = lambda S: S.hook_events.where("event in ('StopFailure', 'SessionEnd', 'Stop') and ts % 5 <> 0").select(F.col("event_id").alias("row_id"), GROUPED().alias("session_id"), (F.col("ts") - F.col("ts") % 7 * 9000).alias("ts"))
+entry("c07_pair_faults", lambda S: RC.pair_faults(S.faults.withColumns({"session_id": GROUPED(), "ts": F.col("ts") - F.col("ts") % 400_000}), FAULT_ROWS(S).withColumn("ts", F.col("ts") - F.col("ts") % 50_000)),
+      """WITH f AS (SELECT fault_id, substr(session_id, 1, 2) AS g, ts - ts % 400000 AS ts FROM {faults}), r AS (SELECT row_id, g, ts - ts % 50000 AS ts FROM (SELECT event_id AS row_id, substr(session_id, 1, 2) AS g, ts - ts % 7 * 9000 AS ts FROM {hook_events} WHERE event IN ('StopFailure', 'SessionEnd', 'Stop') AND ts % 5 <> 0)),
+ c AS (SELECT g, list({'ids': ['f' || fault_id, 'r' || row_id]} ORDER BY abs(f.ts - r.ts), f.ts, r.ts, fault_id, row_id) AS pairs FROM f JOIN r USING (g) WHERE abs(f.ts - r.ts) <= 60000 GROUP BY g),
+ t AS (SELECT list_reduce(pairs, lambda a, p: CASE WHEN list_has_any(a.ids, p.ids) THEN a ELSE {'ids': a.ids || p.ids} END).ids AS ids FROM c)
+ SELECT substr(ids[2 * k - 1], 2) AS fault_id, substr(ids[2 * k], 2) AS row_id FROM (SELECT ids, unnest(range(1, len(ids) // 2 + 1)) AS k FROM t)""")
+ALLOWED = [(3, "Stop extra", ["e1", "tool=Bash"], None, "ids"), (5, "Stop extra", ["s2", "e77"], 1_704_300_000_000, "either"), (6, "Stop extra", ["e12"], None, "shadowed by the first"), (8, "Stop missing", [], 1_704_900_000_000, "old"), (9, "Stop missing", ["s1", "tool=Ba"], None, "session"), (12, "never", ["e"], None, "unused")]
+ALLOWED_DDL = "entry int, class string, scopes array<string>, before_ts bigint, reason string"
+MISSED = lambda S: S.hook_events.where("event = 'Stop'").select(F.when(F.col("ts") % 2 == 0, "Stop extra").otherwise("Stop missing").alias("class"), "session_id", F.when(F.col("ts") % 11 != 0, F.col("ts")).alias("ts"), F.col("event_id").alias("id"), F.when(F.col("ts") % 3 == 0, F.array(F.col("event_id"), F.lit("tool=Bash"))).otherwise(F.array("event_id")).alias("ids"))
+
+
+def EXPLAINED(S: StandIns) -> DataFrame:
+    judged, unused = RC.apply_allowlist(MISSED(S), S.spark.createDataFrame(ALLOWED, ALLOWED_DDL))
+    return judged.select("class", "session_id", "id", "verdict", "reason").unionByName(unused.select("class", F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("id"), F.lit("unused").alias("verdict"), "reason"))
+
+
+entry("c08_allowlist", EXPLAINED, f"""WITH e(entry, class, scopes, before_ts, reason) AS (VALUES {", ".join(f"({n}, '{c}', {str(s)}::VARCHAR[], {'NULL' if t is None else t}, '{r}')" for n, c, s, t, r in ALLOWED)}),
+ m AS (SELECT CASE WHEN ts % 2 = 0 THEN 'Stop extra' ELSE 'Stop missing' END AS class, session_id, CASE WHEN ts % 11 <> 0 THEN ts END AS ts, event_id AS id, CASE WHEN ts % 3 = 0 THEN [event_id, 'tool=Bash'] ELSE [event_id] END AS ids FROM {{hook_events}} WHERE event = 'Stop'),
+ w AS (SELECT m.*, (SELECT min(entry) FROM e WHERE e.class = m.class AND (coalesce(m.ts > 0 AND m.ts < e.before_ts, false)
+   OR len(list_filter(e.scopes, lambda s: CASE WHEN starts_with(s, 'tool=') THEN list_contains(m.ids, s) ELSE starts_with(m.session_id, s) OR len(list_filter(m.ids, lambda i: starts_with(i, s))) > 0 END)) > 0)) AS entry FROM m)
+ SELECT w.class, session_id, id, CASE WHEN e.entry IS NULL THEN 'unexplained' ELSE 'expected' END AS verdict, e.reason FROM w LEFT JOIN e ON e.entry = w.entry
+ UNION ALL SELECT class, NULL, NULL, 'unused', reason FROM e WHERE entry NOT IN (SELECT entry FROM w WHERE entry IS NOT NULL)""")

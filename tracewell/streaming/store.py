@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -32,20 +31,6 @@ def slot(*key: Column | str) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(SLOTS)).cast("int").alias(SLOT)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the one that the driver and all executors share (spark.checkpoint.dir); a temporary one where that is unset and Spark is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/streams-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return path
-
-
 class Store:
     """Tables in a folder. A table is a list of immutable runs, Parquet sorted by slot of the key, and a log of commits, each with the whole list: a few runs for each
     power of FAN that the table has grown by.
@@ -172,8 +157,8 @@ class Store:
 
             merges += self._commit(table, change)
 
-    def vacuum(self, table: str, keep: int = 2) -> None:
-        """Removes the runs that none of the last `keep` commits lists, and older commits. Readers of older lists must be done."""
+    def vacuum(self, table: str, keep: int = 2, grace_ms: int = 86_400_000) -> None:
+        """Removes the runs that none of the last `keep` commits lists, merged ones once they are grace_ms old, and older commits. Readers of older lists must be done."""
         fs, commits = self._fs(), self._commits(table)
         listed = {r["id"] for v in commits[-keep:] for r in self.state(table, v)["runs"]}
         done = self.state(table)["batches"]
@@ -182,7 +167,7 @@ class Store:
             name = s.getPath().getName()
             stream, _, batch = name.rpartition("-")
             committed = not batch.isdigit() or int(batch) <= done.get(stream, -1)  # a batch at work is not touched
-            if name not in listed and committed and (stream != "merged" or s.getModificationTime() < self.spark._jvm.java.lang.System.currentTimeMillis() - 86_400_000):
+            if name not in listed and committed and (stream != "merged" or s.getModificationTime() < self.spark._jvm.java.lang.System.currentTimeMillis() - grace_ms):
                 fs.delete(s.getPath(), True)
         for v in commits[:-keep]:
             fs.delete(self._path(f"{table}/commits/{v}.json"), False)
