@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.commands import PART_COLUMNS, split_commands
+from tracewell.functions.commands import PARSER, PART, PART_COLUMNS, parts_of, split_commands
 
 #: Classes, the first that a call holds being its class (fixed order).
 CLASSES = ("edit", "test", "git", "housekeeping", "search", "read", "capture", "wait", "spawn", "other")
@@ -54,6 +56,8 @@ SCRIPT_HOSTS = ("node", "nodejs", "tsx", "bash", "sh", "zsh")
 HOST_VALUES, GIT_VALUES = ("-W", "-X", "-r", "--require", "--import"), ("-C", "-c", "--git-dir", "--work-tree", "--namespace")
 CONTAINERS, SHELLS = ("docker", "podman"), ("bash", "sh", "zsh")
 #: Rules of a project. kind tool: name is a tool, class its class. wrapper: name is a program that runs what stands after the words `args`. test: name is a program that tests if given one of the words `args`.
+#: Programs whose words are what they print, read, search or move, so name no program.
+ONLY_NAMES = {"echo", "printf", *SEARCH, *HOUSEKEEPING, *READ} - {"env", "command"}
 RULES_DDL = "kind string, name string, args string, class string"
 DEPTH = 3
 
@@ -259,7 +263,7 @@ def part_classes(parts: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """K02 (id, path, seq, classes) of parts (id, seq, program, args, files, and of command_segments() and expand_wrapped(): path, stdout, fed, expands).
 
     Classes come from the program, its arguments and the files that its output goes to. A tee writes what the part before it says, and a
-    move over a file from what an earlier part made of that file is an edit; both are judged inside a command (id, path), in order of seq.
+    move over a file from what an earlier part made of that file is an edit; both are judged inside a command (id, path), in order of seq. A parse_status of the parts is kept.
     """
     p = enriched(parts, rules).withColumn("a", F.when(F.col("wrapped").isNull(), args_()).otherwise(F.slice("a", 1, F.col("wrapped.cut") - 1)))
     p = p.withColumn("named", programs_in(args_()))
@@ -268,13 +272,14 @@ def part_classes(parts: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     # a part, then the commands that a find runs
     row = lambda main, program, a, ruled, script: F.struct(F.lit(main).alias("main"), program.alias("base"), a.alias("a"), ruled.alias("ruled"), script.alias("script"))
     run = F.transform(F.when(base() == "find", find_commands(args_())).otherwise(F.array().cast("array<array<string>>")), lambda c: row(False, base_name(c[0]), after(c, F.lit(1)), F.lit(False), F.lit("")))
-    rows = p.select("id", "path", "seq", "writes", "stdout", "fed", "expands", F.explode_outer(F.concat(F.array(row(True, base(), args_(), F.col("ruled"), F.col("script"))), run)).alias("r"))
-    rows = with_own(rows.select("id", "path", "seq", "writes", "stdout", "fed", "expands", "r.*")).withColumn("ops", operands(args_()))
+    kept = [c for c in ("parse_status",) if c in parts.columns]
+    rows = p.select("id", "path", "seq", *kept, "writes", "stdout", "fed", "expands", F.explode_outer(F.concat(F.array(row(True, base(), args_(), F.col("ruled"), F.col("script"))), run)).alias("r"))
+    rows = with_own(rows.select("id", "path", "seq", *kept, "writes", "stdout", "fed", "expands", "r.*")).withColumn("ops", operands(args_()))
     has_file = F.exists("ops", lambda x: x != "/dev/null")
     authors = (base().isin("echo", "printf") & ~F.col("expands")) | ((base() == "cat") & F.col("fed") & ~has_file)
     moves = base().isin("mv", "cp") & (F.size("ops") >= 2)
     facts = [
-        F.col("seq"), F.col("main"), F.col("own"), F.col("fed"), F.col("stdout"), F.col("writes"), authors.alias("authors"), ((base() == "tee") & has_file).alias("tees"),
+        F.col("seq"), *map(F.col, kept), F.col("main"), F.col("own"), F.col("fed"), F.col("stdout"), F.col("writes"), authors.alias("authors"), ((base() == "tee") & has_file).alias("tees"),
         F.when(moves, F.try_element_at("ops", F.lit(1))).alias("source"), F.when(moves, normal(F.try_element_at("ops", F.lit(-1)))).alias("target"), F.transform(args_(), normal).alias("of"),
     ]
     group = rows.select("id", "path", F.struct(*facts).alias("part")).groupBy("id", "path").agg(F.collect_list("part").alias("all"))
@@ -287,28 +292,73 @@ def part_classes(parts: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         tee = cases((~x["tees"], none()), (x["fed"] | before, one("edit")), otherwise=one("capture"))
         moved = F.when(x["source"].isNotNull() & made, one("edit")).otherwise(none())
         inner = F.flatten(F.transform(F.filter("all", lambda q: ~q["main"] & (q["seq"] == x["seq"])), lambda q: q["own"]))
-        return F.struct(x["seq"].alias("seq"), F.array_distinct(F.concat(x["own"], inner, tee, moved, to_file)).alias("classes"))
+        return F.struct(x["seq"].alias("seq"), *(x[c].alias(c) for c in kept), F.array_distinct(F.concat(x["own"], inner, tee, moved, to_file)).alias("classes"))
 
     return group.select("id", "path", F.explode_outer(F.transform("mains", judged)).alias("p")).select("id", "path", "p.*")
 
 
+def wrapped_command(program: str, args: list[str], wrappers: list[tuple[str, list[str]]]) -> str:
+    """The command that a part runs by a wrapper's rule, or by a shell's -c in a container; empty if there is none."""
+    name = program.rsplit("/", 1)[-1]
+    only_names = name in ONLY_NAMES
+    named = [name] + ([] if only_names else [a.rsplit("/", 1)[-1] for a in args])
+    for wrapper, words in wrappers:
+        if wrapper in named:
+            for i in range(max(0, named.index(wrapper)), len(args)):
+                if args[i : i + len(words)] == words:
+                    return " ".join(args[i + len(words) :])
+    if name in CONTAINERS:
+        return next((args[i + 2] for i in range(len(args) - 2) if args[i] in SHELLS and args[i + 1] == "-c"), "")
+    return ""
+
+
+def nested(program: str, args: list[str], wrappers: list[tuple[str, list[str]]], levels: int, path: str = "") -> Iterator[dict]:
+    """The parts of the command that a part runs, each with those that it runs before the next; path is that of the part."""
+    command = wrapped_command(program, args, wrappers) if levels else ""
+    if not command:
+        return
+    parts = parts_of(command)
+    for part in [NOT_SPLIT] if parts is None else parts:
+        yield {**part, "path": path, "parse_status": "error" if parts is None else "ok"}
+        if parts is not None:
+            yield from nested(part["program"] or "", json.loads(part["args"] or "[]"), wrappers, levels - 1, f"{path}/{part['seq']}")
+
+
+#: What stands for the parts of a command that does not split.
+NOT_SPLIT = {**dict.fromkeys(("program", "args", "files", "stdout", "fed", "expands", "script")), "seq": 0, "conditional": 0}
+NESTED = f"array<struct<{PART.replace(' ', ':').replace(',:', ',')},path:string,parse_status:string>>"
+
+
 def expand_wrapped(parts: DataFrame, rules: DataFrame | None = None, levels: int = DEPTH) -> DataFrame:
     """The parts, with path (empty), and those of commands that they wrap: of a shell's -c in a container, or by a rule of kind `wrapper`.
 
-    The path of such a part is that of the part that runs it and its seq. Wrapped commands may wrap again, `levels` deep; a level without any ends it.
+    The path of such a part is that of the part that runs it and its seq. Wrapped commands may wrap again, `levels` deep. A part that runs a command gets all that is in it from one pass of a
+    Python function, depth first; other parts are not sent there.
     """
-    all_ = now = parts.withColumn("path", F.lit("")) if "path" not in parts.columns else parts
-    for _ in range(levels):
-        shell = first_place(args_(), lambda w, before, i: w.isin(*SHELLS) & F.coalesce(F.try_element_at(args_(), i + 1) == "-c", F.lit(False)) & (i + 2 <= F.size(args_())))
-        by_rule = F.array_join(F.slice("a", F.col("wrapped.start"), F.size("a")), " ")
-        by_shell = F.when(base().isin(*CONTAINERS), F.try_element_at("a", shell + 2))
-        command = F.coalesce(F.when(F.col("wrapped").isNotNull(), by_rule), by_shell)
-        inner = enriched(now, rules).select(F.struct("id", F.concat("path", F.lit("/"), F.col("seq").cast("string")).alias("path")).alias("of"), command.alias("command")).where("command <> ''")
-        if inner.isEmpty():
-            break
-        now = split_commands(inner, "of").select("of.*", "seq", F.lit("sh").alias("lang"), *PART_COLUMNS)
-        all_ = all_.unionByName(now, allowMissingColumns=True)
-    return all_
+    columns = [c for c in parts.columns if c != "path"]
+
+    @F.pandas_udf(NESTED)
+    def inside(program: pd.Series, args: pd.Series, wrappers: pd.Series) -> pd.Series:
+        def of(p: str | None, a: str | None, w: list | None) -> list[dict]:
+            return [] if a is None else list(nested(p or "", json.loads(a), [(x["name"], list(x["words"])) for x in w], levels))
+
+        return pd.Series([of(*x) for x in zip(program, args, wrappers, strict=True)], dtype=object)
+
+    own = with_rules(parts, rules).withColumns({"base": base_name(F.coalesce("program", F.lit(""))), "a": words_of()})
+    runs = base().isin(*CONTAINERS) | F.exists("wrappers", lambda w: F.array_contains(programs_in(args_()), w["name"]))
+    path = F.coalesce("path", F.lit("")) if "path" in parts.columns else F.lit("")
+    sent = own.select(*columns, path.alias("path"), inside(F.col("program"), F.when(runs, F.to_json("a")), "wrappers").alias("_inner"))
+    prefix = F.concat("path", F.lit("/"), F.col("seq").cast("string"))
+    types = dict(parts.dtypes)
+    given = {"id": F.col("id"), "lang": F.lit("sh"), "parser": F.lit(PARSER)}
+    fields = {*(f.split()[0] for f in PART.split(", ")), "parse_status"}
+
+    def row(x: Column) -> Column:
+        value = lambda c: (x[c] if c in fields else given.get(c, F.lit(None))).cast(types[c]).alias(c)
+        return F.struct(*(value(c) for c in columns), F.concat(prefix, x["path"]).alias("path"))
+
+    each = F.concat(F.array(F.struct(*columns, "path")), F.transform(F.coalesce("_inner", F.array().cast(NESTED)), row))
+    return sent.select(F.explode(each).alias("p")).select("p.*")
 
 
 def parse_status(parts: DataFrame) -> DataFrame:
@@ -329,8 +379,8 @@ def classify(calls: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     # each distinct command is judged once
     commands = shell.select("command").distinct().select(F.col("command").alias("id"), "command")
     parts = expand_wrapped(split_commands(commands, "id").select("id", "seq", F.lit("sh").alias("lang"), *PART_COLUMNS), rules)
-    held = part_classes(parts, rules).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("classes"))).alias("of_parts"))
-    judged = parse_status(parts).join(held, "id").withColumnRenamed("id", "command")
+    status = F.coalesce(F.min_by("parse_status", F.when(F.col("parse_status") != "ok", F.struct("path", "seq"))), F.lit("ok"))
+    judged = part_classes(parts, rules).groupBy(F.col("id").alias("command")).agg(F.array_distinct(F.flatten(F.collect_list("classes"))).alias("of_parts"), status.alias("status"))
     rows = calls.select("id", "tool", F.when(is_shell, F.col("command")).alias("command")).join(tools, "tool", "left").join(judged, "command", "left")
     order = F.array(*map(F.lit, CLASSES))
     got = F.when(is_shell, F.coalesce("of_parts", none())).otherwise(F.array_compact(F.array("by_tool")))
