@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell import schema
 from tracewell.functions import commands, privacy
-from tracewell.operators import classify, extract, merge, reconcile
+from tracewell.operators import classify, extract, filters, merge, reconcile
 from tracewell.plans import recipes, reports
 from tracewell.sources import raw, sinks
 
@@ -139,6 +139,28 @@ def test_report_json_of_an_empty_window(spark):
     assert value["rows"] == [] and value["columns"] == ["a", "b"] and value["notes"] == ["n 1"]
 
 
+@pytest.mark.parametrize("bits", [0, 3, 16])
+def test_ranks_and_medians_equal_a_sorted_list(spark, monkeypatch, bits):
+    monkeypatch.setattr(filters, "LOW_BITS", bits)
+    rng = random.Random(bits)
+    data = [(rng.choice(["a", "b", None]), rng.choice([1, None]), rng.choice([None, -3, 0, 7, 7, 7, 8, 1 << 40, rng.randrange(-100, 100)])) for _ in range(400)] + [("none", 1, None), ("one", 1, 5)]
+    df = spark.createDataFrame(data, "k string, j long, v long")
+    counts = filters.value_counts(df, ["k", "j"], "v")
+    got = {(r.k, r.j): (r.p1, r.p50, r.p90, r.p100, r.m) for r in filters.nearest_ranks(counts, ["k", "j"], "v", {"p1": 1, "p50": 50, "p90": 90, "p100": 100}, "m").collect()}
+    groups = {}
+    for k, j, v in data:
+        groups.setdefault((k, j), []).extend([v] if v is not None else [])
+
+    def of(x):
+        x = sorted(x)
+        return (*(x[-(-len(x) * p // 100) - 1] for p in (1, 50, 90, 100)), (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2) if x else (None,) * 5
+
+    assert got == {g: of(x) for g, x in groups.items()}
+    whole = filters.nearest_ranks(filters.value_counts(df, [], "v"), [], "v", {"p": 90}, "m").collect()
+    assert [(r.p, r.m) for r in whole] == [of([v for _, _, v in data if v is not None])[2::2]]
+    assert [tuple(r) for r in filters.nearest_ranks(filters.value_counts(df.limit(0), [], "v"), [], "v", {"p": 90}).collect()] == [(None,)]
+
+
 def plain_pairs(faults, read, tolerance=60_000):
     """All pairs in reach, nearest first, each end once."""
     near = sorted((abs(ft - rt), ft, rt, f, r) for f, s, ft in faults for r, t, rt in read if s == t and s is not None and abs(ft - rt) <= tolerance)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.schema import not_ledger
@@ -69,9 +70,38 @@ def size_sum(name: str) -> list[Column]:
     return [F.sum(name).alias(name), F.count(name).alias(f"{name}_known"), F.count_if(F.col(name).isNull()).alias(f"{name}_unknown")]
 
 
-def nearest_rank(name: str, percent: float) -> Column:
-    """the smallest value that at least `percent` of the values do not exceed."""
-    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {name})")
+#: Values whose upper bits are the same are counted up in one task.
+LOW_BITS = 16
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], name: str, *more: Column) -> DataFrame:
+    """(keys, name, n, more): how often each value of a column occurs in a group, and other sums of these rows; so a value that is common is counted where it lies."""
+    return df.groupBy(*keys, name).agg(F.count("*").alias("n"), *more)
+
+
+def nearest_ranks(counts: DataFrame, keys: Sequence[str], name: str, percents: Mapping[str, float], median: str | None = None) -> DataFrame:
+    """for each group of value_counts() of a whole-number column, by name the smallest value that at least so many percent of the values do not exceed, and the median (of an even number the mean of the middle two).
+
+    Nulls are no values; a group of nulls has nulls. A group may have any number of values: they are dealt by their upper bits, counted up inside these, and over the blocks of upper
+    bits, so no task needs all values of a group.
+    """
+    c = counts.where(F.col(name).isNotNull()).select(*keys, F.col(name).cast("bigint").alias("_v"), "n").withColumn("_block", F.shiftright("_v", LOW_BITS))
+    blocks = c.groupBy(*keys, "_block").agg(F.sum("n").alias("_n"))
+    of_group = Window.partitionBy(*(keys or [F.lit(0)]))
+    blocks = blocks.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_block").alias("_at"), (F.sum("_n").over(of_group.orderBy("_block")) - F.col("_n")).alias("_before"), F.sum("_n").over(of_group).alias("_total"))
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_key_{k}")), keys, F.col("_block") == F.col("_at"))
+    inside = F.sum("n").over(Window.partitionBy(*keys, "_block").orderBy("_v"))
+    upto = c.withColumn("_inside", inside).join(blocks, same).withColumn("_upto", F.col("_before") + F.col("_inside"))
+    at_rank = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    found = [at_rank(F.ceil(F.col("_total") * F.lit(p) / 100)).alias(a) for a, p in percents.items()]
+    if median is not None:
+        found.append(((at_rank(F.floor((F.col("_total") + 1) / 2)) + at_rank(F.floor(F.col("_total") / 2) + 1)) / 2).alias(median))
+    found = upto.groupBy(*keys).agg(*found)
+    if not keys:
+        return found
+    groups = counts.select(*keys).distinct()
+    found = found.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    return groups.join(found, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys)), "left").drop(*(f"_key_{k}" for k in keys))
 
 
 def recording_notes(faults: DataFrame, calls: DataFrame) -> DataFrame:

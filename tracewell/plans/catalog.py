@@ -77,7 +77,7 @@ entry("f11_display", lambda S: S.requests.groupBy("model").agg(F.min("ts").alias
       CASE WHEN sum(cost_usd_micros) // 1000 >= 3600 THEN printf('%dh%02dm', CAST(sum(cost_usd_micros) // 3600000 AS INT), CAST(sum(cost_usd_micros) // 60000 % 60 AS INT)) WHEN sum(cost_usd_micros) // 1000 >= 60 THEN printf('%dm%02ds', CAST(sum(cost_usd_micros) // 60000 AS INT), CAST(sum(cost_usd_micros) // 1000 % 60 AS INT)) ELSE printf('%ds', CAST(sum(cost_usd_micros) // 1000 AS INT)) END AS as_duration,
       printf('%.1f', 100 * sum(cache_read_tokens) / sum(context_tokens)) AS hit FROM {requests} GROUP BY model""")
 entry("f12_size_sum", lambda S: S.calls.groupBy("tool").agg(*filters.size_sum("bytes_delivered")), "SELECT tool, isum(bytes_delivered) AS bytes_delivered, count(bytes_delivered) AS bytes_delivered_known, count(*) FILTER (bytes_delivered IS NULL) AS bytes_delivered_unknown FROM {calls} GROUP BY tool")
-entry("f13_nearest_rank", lambda S: S.calls.groupBy("tool").agg(*(filters.nearest_rank("duration_ms", p).alias(f"p{p}") for p in (50, 90, 95)), F.median("duration_ms").alias("median_ms")),
+entry("f13_nearest_rank", lambda S: filters.nearest_ranks(filters.value_counts(S.calls, ["tool"], "duration_ms"), ["tool"], "duration_ms", {f"p{p}": p for p in (50, 90, 95)}, "median_ms"),
       "SELECT tool, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.9) AS p90, quantile_disc(duration_ms, 0.95) AS p95, median(duration_ms) AS median_ms FROM {calls} GROUP BY tool")
 
 # Call results and prices

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.merge import open_prompts
-from tracewell.operators.filters import LIMIT, nearest_rank, settled, top
+from tracewell.operators.filters import LIMIT, nearest_ranks, settled, top, value_counts
 from tracewell.schema import not_ledger
 
 FILE = r"^([^\t]*)\t([^\t]*)\t([01?])\t(.*)$"
@@ -81,9 +81,9 @@ PRINTS = ("echo", "printf")
 
 def call_shape(parts: DataFrame) -> DataFrame:
     """R04 (tool_use_id, shape): the programs of a call's parts with their first plain argument, trivial ones left out, three at most."""
-    p = decode_parts(parts)
+    p = parts.withColumns({"args": F.from_json("args", "array<string>"), "bare": ~F.coalesce(F.exists(F.from_json("files", "array<string>"), lambda x: x.rlike(FILE)), F.lit(False))})
     base = F.element_at(F.split("program", "/"), -1)
-    no_files = F.coalesce(F.size("files"), F.lit(0)) <= 0
+    no_files = F.col("bare")
     first = F.coalesce(F.try_element_at("args", F.lit(1)), F.lit(""))
     named = F.when((first != "") & ~first.rlike(r"^-|/|\.|\s"), F.concat(base, F.lit(" "), first)).otherwise(base)
     rank = F.when(base.isin(*TRIVIAL), 3).when(base.isin(*PRINTS) & no_files, 2).when(base.isin(*STREAM) & no_files, 1).otherwise(0)
@@ -100,11 +100,11 @@ def commands(calls: DataFrame, parts: DataFrame, limit: int | None = LIMIT) -> D
     spilled = shaped.where("persisted_path is not null").select("shape", "tool_use_id", "session_id", F.coalesce("agent_id", F.lit("")).alias("agent"), "ts", "persisted_path")
     reads = calls.where("tool = 'Read'").select(F.col("tool_use_id").alias("read_id"), "session_id", F.coalesce("agent_id", F.lit("")).alias("agent"), F.col("ts").alias("read_ts"), F.col("file_path").alias("persisted_path"))
     follow = spilled.join(reads, ["session_id", "agent", "persisted_path"]).where("read_ts >= ts").groupBy("shape").agg(F.count_distinct("read_id").alias("follow_up_reads"))
-    rows = shaped.groupBy("shape").agg(
-        F.count("*").alias("calls"), F.sum("bytes_delivered").alias("bytes"), nearest_rank("bytes_delivered", 50).alias("p50"), nearest_rank("bytes_delivered", 95).alias("p95"),
-        F.count_if((F.col("bytes_real") >= 20_000) & (F.col("bytes_real") < 30_000)).alias("from_20k_to_30k"), F.count("persisted_path").alias("persisted"),
-    )
-    rows = rows.join(follow, "shape", "left").fillna(0, ["follow_up_reads"])
+    # sums and percentiles are both taken from the counts of values, so the calls are read once for them
+    counts = value_counts(shaped, ["shape"], "bytes_delivered", F.count_if((F.col("bytes_real") >= 20_000) & (F.col("bytes_real") < 30_000)).alias("from_20k_to_30k"), F.count("persisted_path").alias("persisted"))
+    rows = counts.groupBy("shape").agg(F.sum("n").alias("calls"), F.sum(F.col("bytes_delivered") * F.col("n")).alias("bytes"), F.sum("from_20k_to_30k").alias("from_20k_to_30k"), F.sum("persisted").alias("persisted"))
+    rows = rows.join(nearest_ranks(counts, ["shape"], "bytes_delivered", {"p50": 50, "p95": 95}), "shape").join(follow, "shape", "left").fillna(0, ["follow_up_reads"])
+    rows = rows.select("shape", "calls", "bytes", "p50", "p95", "from_20k_to_30k", "persisted", "follow_up_reads")
     return top(rows, [F.desc_nulls_last("bytes"), F.desc("calls"), "shape"], limit)
 
 
@@ -373,7 +373,8 @@ def turns(turn_durations: DataFrame, turns_: DataFrame, limit: int | None = LIMI
 
 def turn_notes(turn_durations: DataFrame) -> DataFrame:
     """R26's note: one row of count, total, median and 90th percentile."""
-    return turn_durations.agg(F.count("duration_ms").alias("turns"), F.sum("duration_ms").alias("total_ms"), F.median("duration_ms").alias("median_ms"), nearest_rank("duration_ms", 90).alias("p90_ms"))
+    sums = turn_durations.agg(F.count("duration_ms").alias("turns"), F.sum("duration_ms").alias("total_ms"))
+    return sums.crossJoin(nearest_ranks(value_counts(turn_durations, [], "duration_ms"), [], "duration_ms", {"p90_ms": 90}, "median_ms")).select("turns", "total_ms", "median_ms", "p90_ms")
 
 
 def json_number(detail: Column, name: str) -> Column:
