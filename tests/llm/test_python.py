@@ -170,9 +170,11 @@ def windows_kept(texts):
     return out
 
 
-@pytest.mark.parametrize(("hot", "batch", "partitions"), [(8192, 8192, 1), (8192, 5, 3), (2, 3, 7)])
-def test_suffix_dedup_equals_all_windows(spark, monkeypatch, hot, batch, partitions):
+@pytest.mark.parametrize(("hot", "batch", "partitions", "mask"), [(8192, 8192, 1, -1), (8192, 5, 3, -1), (2, 3, 7, -1), (8192, 8192, 1, 0), (8192, 5, 7, 1), (2, 3, 3, 0)])
+def test_suffix_dedup_equals_all_windows(spark, monkeypatch, hot, batch, partitions, mask):
+    """mask: bits of the contexts' hashes that count; with few of them different contexts collide, inside a batch and between batches."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "CONTEXT_MASK", mask)
     monkeypatch.setattr(suffix_dedup, "BATCH", batch)
     rng = random.Random(3)
     letters = "abcdefgh é\n"

@@ -5,7 +5,8 @@ smallest hash, so equal windows have equal anchors at the same offset. About one
 of one text with the same anchor form a run, and the bytes under a run are its context.
 
 1. Anchors are counted by the hash of their prefix; those with a prefix of their own are out.
-2. Runs whose whole context occurs again are removed as they stand.
+2. Runs whose whole context occurs again are removed as they stand. Contexts meet by a 64-bit hash; that they are the same is found by comparing bytes inside a batch, and between batches by a cryptographic
+   digest of the bytes, read again. Where hashes deceived, the digests take their place.
 3. Of the others, each distinct context of a prefix (a class) has its anchor's suffix sorted among those of the prefix (see
    suffix_sort). Where two suffixes have the bytes of a window in common, on from their anchors and before them, it is verified and removed.
 4. A prefix of over HOT classes is dealt by further bytes first: its windows are parted by their offset to the anchor, and those of a
@@ -14,6 +15,7 @@ of one text with the same anchor form a run, and the bytes under a run are its c
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +38,17 @@ BATCH = 2048
 SLICE_BYTES, POSITION_BITS = 1 << 18, 21
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), 11) for b in range(256)], np.uint64)
+#: Bits of a context's hash that count; tests take few of them, so that hashes collide.
+CONTEXT_MASK = -1
 #: A row of a table, by two hashes.
 ROW = ["row", "also"]
 
 
+def digest(raw: bytes, windows: int, anchor: int) -> bytes:
+    """128 bits of SHA-256 of a context and its place."""
+    return hashlib.sha256(b"%d %d " % (windows, anchor) + raw).digest()[:16]
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse (mod 2^64), for the bytes of a slice."""
     n = SLICE_BYTES + 2 * LENGTH
@@ -127,7 +136,7 @@ def merged(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
 def anchors(rows: DataFrame) -> DataFrame:
     """Of all runs of `rows` (row, also, text): (row, also, n, prefix, context, at, windows, anchor).
 
-    Runs that are equal inside a batch are settled there: one of them stands for them with n = 2, and what they cover is
+    Runs that are equal inside a batch, byte by byte, are settled there: one of them stands for them with n = 2, and what they cover is
     given in ranges, with n = 0, the start as `at`, and the length as `windows`.
     """
     schema = pa.schema([("row", pa.int64()), ("also", pa.int32()), ("n", pa.int8()), ("prefix", pa.int64()), ("context", pa.int64()), ("at", pa.int32()), ("windows", pa.int32()), ("anchor", pa.int32())])
@@ -135,12 +144,17 @@ def anchors(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors()
         for batch in batches:
-            f = find.runs([(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()])
+            raw = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+            f = find.runs(raw)
+            f["context"] = f["context"] & CONTEXT_MASK
             row, also = (batch.column(c).to_numpy() for c in ROW)
             order = np.lexsort((f["anchor"], f["windows"], f["context"], f["prefix"]))
             same = np.ones(max(len(order) - 1, 0), bool)
             for c in ("prefix", "context", "windows", "anchor"):
                 same &= f[c][order[1:]] == f[c][order[:-1]]
+            own = lambda k: raw[f["text"][k]][f["at"][k] : f["at"][k] + f["windows"][k] + LENGTH - 1]
+            for i in np.flatnonzero(same).tolist():
+                same[i] = own(order[i]) == own(order[i + 1])
             after, before = np.append(same, False)[: len(order)], np.append(False, same)[: len(order)]
             n = np.where(after, 2, 1)[~before]
             one, again = order[~before], order[after | before]
@@ -155,7 +169,7 @@ def anchors(rows: DataFrame) -> DataFrame:
 
 #: What is sorted: one context of each class, how often it occurs, and how many classes its prefix has.
 CLASSES = "prefix long, n long, row long, also int, at int, anchor int, classes long, bytes binary"
-PARTED = "prefix long, context long, n long, row long, also int, at int, anchor int, bytes binary"
+PARTED = "prefix long, context binary, n long, row long, also int, at int, anchor int, bytes binary"
 
 
 def sorted_matches(classes: DataFrame) -> DataFrame:
@@ -201,8 +215,8 @@ def portions(group: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def parted(classes: DataFrame, width: int) -> DataFrame:
-    """(PARTED): the windows of `classes` (CLASSES) in parts of `width` offsets to the anchor: prefix is a hash of the bytes that all windows of a part hold, context one of what they cover."""
-    schema = pa.schema([("prefix", pa.int64()), ("context", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("also", pa.int32()), ("at", pa.int32()), ("anchor", pa.int32()), ("bytes", pa.binary())])
+    """(PARTED): the windows of `classes` (CLASSES) in parts of `width` offsets to the anchor: prefix is a hash of the bytes that all windows of a part hold, context a digest of what they cover."""
+    schema = pa.schema([("prefix", pa.int64()), ("context", pa.binary()), ("n", pa.int64()), ("row", pa.int64()), ("also", pa.int32()), ("at", pa.int32()), ("anchor", pa.int32()), ("bytes", pa.binary())])
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +229,7 @@ def parted(classes: DataFrame, width: int) -> DataFrame:
                     if low <= high:
                         core = xxhash.xxh3_64_intdigest(raw[anchor + top : anchor + top - width + 1 + LENGTH] + top.to_bytes(2, "big", signed=True), seed)
                         own = raw[anchor + low : anchor + high + LENGTH]
-                        out.append((signed(core), signed(xxhash.xxh3_64_intdigest(own, -low)), n, row, also, at + anchor + low, -low, own))
+                        out.append((signed(core), digest(own, high - low + 1, -low), n, row, also, at + anchor + low, -low, own))
             columns = list(zip(*out, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema.names)
 
@@ -245,35 +259,54 @@ def open_(classes: DataFrame) -> DataFrame:
     return classes.join(sizes.select("prefix", "classes"), "prefix")
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """Of `rows` (row, also, text), all (row, also, start, length) to remove, in bytes; they may overlap."""
-    written = saved(anchors(rows), "anchors")
-    covers = lambda df: df.select(*ROW, F.col("at").alias("start"), (F.col("windows") + LENGTH - 1).alias("length"))
-    found = written.where("n = 0").select(*ROW, F.col("at").alias("start"), F.col("windows").alias("length"))
-    runs = written.where("n > 0")
-    again = runs.groupBy("prefix").agg(F.sum("n").alias("times"), F.min("context").alias("a"), F.max("context").alias("b")).where("times > 1")
-    runs = saved(runs.join(again.select("prefix", (F.col("a") != F.col("b")).alias("mixed")), "prefix"), "runs")
-    mixed = runs.where("mixed")
-    found = found.unionByName(covers(runs.where("not mixed and n = 1")))
-    classes = saved(mixed.groupBy("prefix", "context").agg(F.sum("n").alias("n"), F.min(F.struct(*ROW, "at", "windows", "anchor")).alias("first")), "classes")
-    often = mixed.where("n = 1").join(classes.where("n > 1").select("prefix", "context"), ["prefix", "context"])
-    found = found.unionByName(covers(often))
+def covers(runs: DataFrame) -> DataFrame:
+    return runs.select(*ROW, F.col("at").alias("start"), (F.col("windows") + LENGTH - 1).alias("length"))
+
 
-    wanted = open_(classes.drop("context")).select("prefix", "n", "first.*", "classes")
-    wanted = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("prefix", "n", "at", "windows", "anchor", "classes")).alias("wanted"))
+def matches(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """All (row, also, start, length) to remove of `runs` (row, also, prefix, context, n, at, windows, anchor) of `rows` (row, also, text).
+
+    The texts are read once: for a digest of each context that occurs again, and for the bytes of one of each class that is to be sorted.
+    """
+    classes = saved(runs.groupBy("prefix", "context").agg(F.sum("n").alias("n"), F.min(F.struct(*ROW, "at")).alias("first")), "classes")
+    sizes = classes.groupBy("prefix").agg(F.count("*").alias("all"), F.min("n").alias("least")).select("prefix", F.when((F.col("all") > 1) & (F.col("least") == 1), F.col("all")).alias("classes"))
+    marks = classes.join(sizes, "prefix").select("prefix", "context", F.col("n").alias("times"), "first", "classes")
+    each = runs.join(marks, ["prefix", "context"]).withColumn("classes", F.when(F.struct(*ROW, "at") == F.col("first"), F.col("classes"))).where("times > 1 or classes is not null")
+    wanted = each.groupBy(*ROW).agg(F.collect_list(F.struct("prefix", "context", "n", "at", "windows", "anchor", "times", "classes")).alias("wanted"))
+    kind = runs.schema["context"].dataType.simpleString()
+    schema = pa.schema([("row", pa.int64()), ("also", pa.int32()), ("prefix", pa.int64()), ("context", pa.int64() if kind == "bigint" else pa.binary()), ("n", pa.int8()), *((c, pa.int32()) for c in ("at", "windows", "anchor")), ("times", pa.int64()), ("classes", pa.int64()), ("digest", pa.binary()), ("bytes", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row, also, text, wants in zip(*(batch.column(c).to_pylist() for c in (*ROW, "text", "wanted")), strict=True):
                 raw = (text or "").encode("utf-8", "replace")
-                out += [(w["prefix"], w["n"], row, also, w["at"], w["anchor"], w["classes"], raw[w["at"] : w["at"] + w["windows"] + LENGTH - 1]) for w in wants]
-            made = list(zip(*out, strict=True)) or [()] * 8
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, types, strict=True)], ["prefix", "n", *ROW, "at", "anchor", "classes", "bytes"])
+                for w in wants:
+                    own = raw[w["at"] : w["at"] + w["windows"] + LENGTH - 1]
+                    out.append((row, also, *w.values(), digest(own, w["windows"], w["anchor"]) if w["times"] > 1 else None, own if w["classes"] else None))
+            made = list(zip(*out, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, schema.types, strict=True)], schema.names)
+
+    ddl = f"row long, also int, prefix long, context {kind}, n byte, at int, windows int, anchor int, times long, classes long, digest binary, bytes binary"
+    read = saved(rows.join(wanted, ROW).select(*ROW, "text", "wanted").mapInArrow(cut, ddl), "contexts")
+    wrong = read.where("times > 1").groupBy("prefix", "context").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("prefix").distinct()
+    wrong, more = saved(wrong, "collisions"), None
+    if not wrong.isEmpty():  # of these prefixes all runs were read, and classes are told by digests
+        context = F.coalesce("digest", F.concat(F.lit(b"hash"), F.col("context").cast("string").cast("binary")))
+        more = matches(rows, read.join(wrong, "prefix").select(*ROW, "prefix", context.alias("context"), "n", "at", "windows", "anchor"))
+        read = read.join(wrong, "prefix", "left_anti")
+    found = covers(read.where("n = 1 and times > 1"))
+    found = found if more is None else found.unionByName(more)
+    return found.unionByName(settled(read.where("bytes is not null").select("prefix", F.col("times").alias("n"), *ROW, "at", "anchor", "classes", "bytes")))
 
-    contexts = saved(rows.join(wanted, ROW).select(*ROW, "text", "wanted").mapInArrow(cut, CLASSES), "contexts")
-    return found.unionByName(settled(contexts))
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Of `rows` (row, also, text), all (row, also, start, length) to remove, in bytes; they may overlap."""
+    written = saved(anchors(rows), "anchors")
+    found = written.where("n = 0").select(*ROW, F.col("at").alias("start"), F.col("windows").alias("length"))
+    runs = written.where("n > 0")
+    again = runs.groupBy("prefix").agg(F.sum("n").alias("times")).where("times > 1")
+    return found.unionByName(matches(rows, saved(runs.join(again.select("prefix"), "prefix"), "runs")))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -285,8 +318,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[s
 
     Null texts are empty, and texts shorter than LENGTH lose nothing. Rows are told apart by 96 bits of hashes of key and text, so rows with
     the same key and text, which are copies of one another, have the same result. A null key is a value of its own. Other columns pass
-    through; columns of these four names are replaced. Contexts that count as the same have two equal 64-bit hashes of
-    different kinds; matches found by sorting are compared byte by byte.
+    through; columns of these four names are replaced. What counts as the same was compared byte by byte, or by 128 bits of SHA-256.
     """
     keep = [c for c in (keep or docs.columns) if c not in ("n_bytes", "n_removed", "spans", "kept")]
     names = [f"_{c}" for c in keep]
