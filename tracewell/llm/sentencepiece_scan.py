@@ -182,13 +182,6 @@ def marked(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def small_batches(df: DataFrame) -> None:
-    """Rows that hold a text and its ids go to Python in smaller Arrow batches than Spark's own 10,000 rows, unless the session has another number."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if conf.get(key) == "10000":
-        conf.set(key, "2000")
-
-
 def encode(docs: DataFrame, model: bytes, text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """docs with `ids` (array of int): the model's encoding of each whole text.
 
@@ -199,7 +192,6 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", chunk: int = CHUNK
     pass through, whatever their names; a column `ids` is replaced. The order of rows may change.
     """
     docs = docs.drop("ids")
-    small_batches(docs)
     size = F.coalesce(F.length(text), F.lit(0))
 
     def maker() -> Callable[[list[str]], dict]:
@@ -305,7 +297,6 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids", to: str = "decode
     Control and unknown ids have no text. Repeated rows stay; other columns pass through.
     """
     keep = [c for c in encoded.columns if c != to]
-    small_batches(encoded)
     schema = encoded.select(*keep, F.lit("").alias(to)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
