@@ -69,6 +69,50 @@ def test_occurrences_do_not_depend_on_order(spark):
     assert sum("SubagentStart" in r for r in want) == 3 and sum("ts=1600" in r for r in want) == 1
 
 
+def test_occurrences_of_a_hot_payload_equal_a_plain_fold(spark):
+    rng = random.Random(7)
+    times = {h: [rng.randrange(span) for _ in range(n)] for h, n, span in [("hot", 300_000, 3_000_000), ("b", 50, 9_000), ("c", 1, 5), ("d", 40, 900)]}
+    data = [(h, t, "p") for h, ts in times.items() for t in ts] + [("b", 10, "p")] * 3
+    times["b"].append(10)
+    want = {}
+    for h, ts in times.items():
+        anchor = None
+        for t in sorted(set(ts)):
+            first = anchor is None
+            if first or t - anchor > 1000:
+                anchor, later = t, not first
+            want[h, t] = (f"{h}:{anchor}" if later else h, anchor)
+    got = merge.claim_occurrences(spark.createDataFrame(data, "hash string, received_ms long, payload string").repartition(7)).collect()
+    assert len(got) == len(data) and {(r.hash, r.received_ms): (r.event_id, r.ts) for r in got} == want
+
+
+def test_a_file_is_numbered_alike_however_it_is_split(spark, tmp_path):
+    rng = random.Random(5)
+    line = lambda i: json.dumps({"type": rng.choice(["user", "assistant"]), "promptId": rng.choice([None, f"p{i}é"]), "x": "y" * rng.randrange(300)})
+    files = {"whole.jsonl": "".join(line(i) + "\n" for i in range(700)), "torn.jsonl": "\n".join(line(i) for i in range(500)) + '\n{"torn', "odd.jsonl": "\n\nnot json\r\n" + line(1) + "\n\n[1]\n" + line(2), "empty.jsonl": "", "blank.jsonl": "\n\n"}
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    keys = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "10"}
+    held = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        good, bad = raw.read_transcripts(spark, f"file://{tmp_path}")
+        assert good.select("path").rdd.getNumPartitions() > 1 and spark.read.text(f"file://{tmp_path}").rdd.getNumPartitions() > 20
+        name = F.element_at(F.split("path", "/"), -1)
+        got = [sorted((r.path, r.line_no, r.raw) for r in df.withColumn("path", name).collect()) for df in (good, bad)]
+        parsed = extract.parsed(good)
+        whole = rows(extract.prompt_of(parsed).select("path", "line_no", "prompt_id"))
+        for stretch in (1, 7, 1000):
+            assert rows(extract.prompt_of(parsed, stretch).select("path", "line_no", "prompt_id")) == whole
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    want = raw.lines_of(spark.createDataFrame(list(files.items()), "path string, content string"))
+    assert got == [sorted((r.path, r.line_no, r.raw) for r in df.collect()) for df in want]
+    assert len(got[0]) == 1202 and len(got[1]) == 2 and len(set(whole)) == 1202
+
+
 def test_agent_turns_pair_a_stop_with_the_start_before_it(spark):
     e = [("e1", "SubagentStart", 1), ("e2", "SubagentStart", 2), ("e3", "SubagentStop", 3), ("e4", "SubagentStop", 4)]
     df = spark.createDataFrame([(i, v, "a", "s", None, t) for i, v, t in e], "event_id string, event string, agent_id string, session_id string, prompt_id string, ts bigint")

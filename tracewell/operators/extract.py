@@ -30,9 +30,20 @@ def parsed(lines: DataFrame) -> DataFrame:
     return rows.withColumn("ts", F.unix_millis(F.try_to_timestamp("timestamp")))
 
 
-def prompt_of(p: DataFrame) -> DataFrame:
-    """Adds prompt_id, that of the last user line up to each line of its file."""
-    return p.withColumn("prompt_id", F.last(F.when(F.col("type") == "user", F.col("promptId")), ignorenulls=True).over(in_file().rowsBetween(Window.unboundedPreceding, 0)))
+def prompt_of(p: DataFrame, stretch: int | None = None) -> DataFrame:
+    """Adds prompt_id, that of the last user line up to each line of its file.
+
+    With `stretch`, a file is dealt by so many lines: the last prompt of each stretch is carried over the stretches after it, and lines are only looked through inside their own. The
+    lines are read twice then, so this is for files that are too long for a task.
+    """
+    named = F.when(F.col("type") == "user", F.col("promptId"))
+    if stretch is None:
+        return p.withColumn("prompt_id", F.last(named, ignorenulls=True).over(in_file().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = p.withColumn("_stretch", F.floor(F.col("line_no") / stretch))
+    lasts = rows.groupBy("path", "_stretch").agg(F.max_by(named, F.when(named.isNotNull(), F.col("line_no"))).alias("_named"))
+    carried = lasts.select("path", "_stretch", F.last("_named", ignorenulls=True).over(Window.partitionBy("path").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    inside = F.last(named, ignorenulls=True).over(Window.partitionBy("path", "_stretch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("prompt_id", inside).join(carried, ["path", "_stretch"]).withColumn("prompt_id", F.coalesce("prompt_id", "_carried")).select(*p.columns, "prompt_id")
 
 
 def messages(p: DataFrame) -> DataFrame:

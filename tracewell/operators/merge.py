@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,16 +38,28 @@ def merge(target: DataFrame, contributions: DataFrame, key: Sequence[str], modes
 
 
 def claim_occurrences(payloads: DataFrame) -> DataFrame:
-    """Adds event_id: deliveries of one payload within a second of an occurrence's first one are that occurrence.
+    """Adds event_id and ts: deliveries of one payload within a second of an occurrence's first one are that occurrence, and ts is that of the first.
 
-    The first occurrence of a hash has the hash as its id, later ones hash:ts. Anchors are taken greedily from the earliest delivery, by a
-    fold over the sorted times of a hash, so any order of arrival gives the same ids.
+    The first occurrence of a hash has the hash as its id, later ones hash:ts. Occurrences are taken greedily from the earliest delivery, so any order of arrival gives the same ids. The distinct times of a
+    hash are read in order and only the last occurrence is held, so a hash may have any number of deliveries; they are joined on hash and time, so they are not dealt by the hash alone.
     """
-    anchors = F.aggregate(F.array_sort(F.collect_list("received_ms")), F.array().cast("array<bigint>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) > SECOND), F.concat(a, F.array(t))).otherwise(a))
-    of = payloads.groupBy("hash").agg(anchors.alias("anchors"))
-    rows = payloads.join(of, "hash")
-    mine = F.array_max(F.filter("anchors", lambda a: a <= F.col("received_ms")))
-    return rows.select(*payloads.columns, F.when(mine == F.col("anchors")[0], F.col("hash")).otherwise(F.concat_ws(":", "hash", mine)).alias("event_id"), mine.alias("ts"))
+    times = payloads.select("hash", "received_ms").where("hash is not null and received_ms is not null").distinct()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, anchor, first = None, 0, True
+        for batch in batches:
+            anchors, firsts = [], []
+            for h, t in zip(*(batch.column(c).to_pylist() for c in ("hash", "received_ms")), strict=True):
+                if h != last:
+                    last, anchor, first = h, t, True
+                elif t - anchor > SECOND:
+                    anchor, first = t, False
+                anchors.append(anchor)
+                firsts.append(first)
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("received_ms"), pa.array(anchors, pa.int64()), pa.array(firsts, pa.bool_())], ["hash", "received_ms", "_ts", "_first"])
+
+    folded = times.repartition("hash").sortWithinPartitions("hash", "received_ms").mapInArrow(fold, "hash string, received_ms bigint, _ts bigint, _first boolean")
+    return payloads.join(folded, ["hash", "received_ms"]).select(*payloads.columns, F.when(F.col("_first"), F.col("hash")).otherwise(F.concat_ws(":", "hash", "_ts")).alias("event_id"), F.col("_ts").alias("ts"))
 
 
 def insert_earliest(rows: DataFrame, key: str = "event_id") -> DataFrame:

@@ -273,13 +273,23 @@ CONV = """
         last_value(CASE WHEN role NOT IN ('assistant', 'system') AND turn % 3 <> 0 THEN 'p' || conv_id || '-' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS prompt_id FROM {conversations})"""
 entry("s01_read_transcripts", lambda S: SRC.lines_of(X.transcripts(S).groupBy("path").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda l: l["raw"]), "\n"), F.lit('\n{"torn"\n{"cut')).alias("content")))[0].groupBy("path").agg(F.count("*").alias("lines")),
       f"WITH {CONV} SELECT '/h/projects/proj/' || session_id || '.jsonl' AS path, isum(CASE role WHEN 'assistant' THEN 6 ELSE 1 END + CASE WHEN turn = 0 THEN 1 ELSE 0 END) AS lines FROM cv GROUP BY session_id")
-entry("s02_payloads", lambda S: SRC.payloads(X.payload_rows(S))[0].groupBy("event").agg(F.count("*").alias("n"), F.count_distinct("hash").alias("payloads")), "SELECT event, isum(CASE WHEN ts % 3 = 0 THEN 3 ELSE 1 END) AS n, count(*) AS payloads FROM {hook_events} GROUP BY event")
+def FILES(S: StandIns) -> DataFrame:
+    """The stand-in transcripts written to a few real files, each of many sessions one after the other, and read back by byte ranges."""
+    folder = scratch(S.spark)
+    X.transcripts(S).repartitionByRange(5, "path").sortWithinPartitions("path", "line_no").select("raw").write.text(folder)
+    good, bad = SRC.read_transcripts(S.spark, folder)
+    rows = good.unionByName(bad).select("path", "line_no", F.get_json_object("raw", "$.sessionId").alias("session_id"))
+    return rows.groupBy("session_id").agg(F.count("*").alias("lines"), (F.count_distinct("path", "line_no") == F.max("line_no") - F.min("line_no") + 1).alias("in_a_row"))
+
+
+entry("s01_split_files", FILES, f"WITH {CONV} SELECT session_id, isum(CASE role WHEN 'assistant' THEN 6 ELSE 1 END + CASE WHEN turn = 0 THEN 1 ELSE 0 END) AS lines, true AS in_a_row FROM cv GROUP BY session_id")
+entry("s02_payloads", lambda S: SRC.payloads(X.payload_rows(S))[0].select("event", "session_id", "received_ms", F.get_json_object("payload", "$.nonce").alias("nonce")), "SELECT event, session_id, ts + d AS received_ms, event_id || '!' AS nonce FROM {hook_events}, UNNEST(CASE WHEN ts % 3 = 0 THEN [0, 400, 1400] ELSE [0] END) AS u(d)")
 LEDGER = """
  lk AS (SELECT *, CAST(regexp_extract(request_id, '(\\d+)', 1) AS BIGINT) AS k FROM {requests}),
  ld AS (SELECT session_id, api_request_id AS api, k, k % 900 AS cost, 2 AS rank, FALSE AS partial, 0 AS n FROM lk WHERE k % 4 <> 0 UNION ALL SELECT session_id, api_request_id, k, k % 700, 3, FALSE, 1 FROM lk WHERE k % 8 = 1
    UNION ALL SELECT session_id, api_request_id, k, NULL, 3, TRUE, 2 FROM lk WHERE k % 16 = 1 UNION ALL SELECT session_id, 'side_' || request_id, k, k % 50, 1, FALSE, 3 FROM lk WHERE k % 10 = 0),
  lb AS (SELECT *, row_number() OVER (PARTITION BY api ORDER BY rank DESC, partial, n DESC) AS best FROM ld)"""
-entry("s03_ledger", lambda S: SRC.ledger(X.ledger_lines(S))[0].groupBy("session_id", "rank", "partial").agg(F.count("*").alias("n"), F.sum("cost").alias("micros")), f"WITH {LEDGER} SELECT session_id, rank, partial, count(*) AS n, isum(cost) AS micros FROM ld GROUP BY ALL")
+entry("s03_ledger", lambda S: SRC.ledger(X.ledger_lines(S))[0].select("request_id", "session_id", "rank", "partial", "cost"), f"WITH {LEDGER} SELECT api AS request_id, session_id, rank, partial, cost FROM ld")
 entry("s04_lost_log", lambda S: SRC.lost_log(S.hook_events.select(F.when(F.col("ts") % 5 == 0, F.concat(F.lit("noise "), "event_id")).otherwise(F.concat_ws("\t", F.floor(F.col("ts") / 1000).cast("string"), "event", F.when(F.col("ts") % 2 == 0, "terminated by signal").otherwise("binary missing"), "session_id")).alias("raw"), F.col("ts").alias("modified_ms"))),
       "SELECT CASE WHEN ts % 5 = 0 THEN ts ELSE (ts // 1000) * 1000 END AS ts, CASE WHEN ts % 5 <> 0 AND ts % 2 = 0 THEN 'terminated' ELSE 'binary' END AS stage, CASE WHEN ts % 5 <> 0 THEN session_id END AS session_id, CASE WHEN ts % 5 = 0 THEN 'noise ' || event_id ELSE event || ': ' || CASE WHEN ts % 2 = 0 THEN 'terminated by signal' ELSE 'binary missing' END END AS error FROM {hook_events}")
 entry("s05_agent_meta", lambda S: SRC.agent_meta(S.agents.select(F.concat(F.lit("/h/agent-"), "agent_id", F.lit(".meta.json")).alias("path"), F.to_json(F.struct(F.col("agent_type").alias("agentType"), F.col("parent_tool_use_id").alias("toolUseId"))).alias("content"))), "SELECT agent_id, agent_type, parent_tool_use_id FROM {agents}")
@@ -301,7 +311,7 @@ entry("e06_compactions", lambda S: E.compactions(P_(S)).select("entry_id", "sess
 entry("e07_stop_hooks", lambda S: E.stop_hooks(P_(S))[0].select("entry_id", "session_id", "prompt_id", "hook_count"), f"WITH {CONV} SELECT 'h' || tag AS entry_id, session_id, prompt_id, 2 AS hook_count {ASSISTANT}")
 entry("e07_stop_hook_runs", lambda S: E.stop_hooks(P_(S))[1].select("entry_id", "seq", "duration_ms"), f"WITH {CONV} SELECT 'h' || tag AS entry_id, seq, CASE WHEN seq = 0 THEN n END AS duration_ms FROM cv CROSS JOIN (SELECT unnest([0, 1]) AS seq) WHERE role = 'assistant'")
 entry("e08_turn_durations", lambda S: E.turn_durations(P_(S)).select("session_id", "prompt_id", "ts", "duration_ms", "message_count"), f"WITH {CONV} SELECT session_id, prompt_id, ms + 3000 AS ts, CAST(floor(n * 7.5) AS BIGINT) AS duration_ms, turn AS message_count {ASSISTANT}")
-entry("e09_mark_key", lambda S: E.marks(P_(S), "turn_duration").groupBy("session_id").agg(F.count_distinct("entry_id").alias("marks"), F.min(F.length("entry_id")).alias("width")), f"WITH {CONV} SELECT session_id, count(*) AS marks, 21 AS width {ASSISTANT} GROUP BY 1")
+entry("e09_mark_key", lambda S: E.marks(P_(S), "turn_duration").select("session_id", "line_no", F.substring("entry_id", 1, 5).alias("kind"), (F.substring("entry_id", 6, 16) == F.substring(F.sha2("raw", 256), 1, 16)).alias("of_line")), f"WITH {CONV} SELECT session_id, turn * 10 + 3 AS line_no, 'line#' AS kind, true AS of_line {ASSISTANT}")
 entry("e10_session_costs", lambda S: E.session_costs(P_(S)).select("session_id", "cost_usd", "wall_ms", F.map_values("model_costs")[0].alias("model_usd")), f"WITH {CONV}, l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r {ASSISTANT}) SELECT session_id, n / 64.0 AS cost_usd, n * 10 AS wall_ms, n / 128.0 AS model_usd FROM l WHERE r = 1")
 RESULT = "CASE WHEN n % 5 = 3 AND n % 2 = 0 THEN 'Permission to use Bash ' || text ELSE text END"
 entry("e11_e14_tool_results", lambda S: E.tool_results(P_(S)), f"WITH {CONV} SELECT 't' || tag AS tool_use_id, strlen({RESULT}) AS bytes, CASE WHEN n % 5 = 3 THEN 1 ELSE 0 END AS failed, CASE WHEN n % 5 = 3 AND n % 2 = 0 THEN 'denied by permission' END AS outcome, CASE WHEN n % 5 = 3 THEN strlen({RESULT}) ELSE strlen(text) + 1 END AS real {ASSISTANT}")
@@ -320,7 +330,7 @@ entry("e22_command_segments", lambda S: C.command_segments(E.tool_uses(P_(S)).se
 entry("e24_parts_to_refresh", lambda S: C.parts_to_refresh(S.calls, S.command_parts, 3).select("tool_use_id"), "SELECT tool_use_id FROM {calls} WHERE tool = 'Bash' AND (tool_use_id NOT IN (SELECT tool_use_id FROM {command_parts}) OR tool_use_id IN (SELECT tool_use_id FROM {command_parts} WHERE parse_status = 'unparsed'))")
 entry("e25_chat_titles", lambda S: E.chat_titles(P_(S)), f"WITH {CONV} SELECT session_id, trim(regexp_replace(left(text, 20) || chr(10) || ' x', '\\s+', ' ', 'g')) AS title FROM cv WHERE turn = 0")
 entry("e26_task_notices", lambda S: E.task_notices(P_(S).withColumn("message", F.col("message").withField("content", F.concat(F.lit("<task-id>a"), F.col("line_no").cast("string"), F.lit("</task-id><status>"), F.when(F.col("line_no") % 20 == 0, "done").otherwise(""), F.lit("</status>")))).where("promptId is not null")).groupBy("agent_id").agg(F.count("*").alias("n")), f"WITH {CONV} SELECT 'a' || (turn * 10) AS agent_id, count(*) AS n FROM cv WHERE role NOT IN ('assistant', 'system') AND turn % 3 <> 0 AND turn % 2 = 0 GROUP BY turn")
-entry("e27_stop_hook_name", lambda S: E.stop_hooks(P_(S))[1].groupBy("name").agg(F.count("*").alias("n")), f"WITH {CONV} SELECT name, count(*) AS n FROM cv CROSS JOIN (SELECT unnest(['lint.sh', '#' || left(sha256('$X && y'), 8)]) AS name) WHERE role = 'assistant' GROUP BY 1")
+entry("e27_stop_hook_name", lambda S: E.stop_hooks(P_(S))[1].select("entry_id", "seq", "name"), f"WITH {CONV} SELECT 'h' || tag AS entry_id, seq, name FROM cv CROSS JOIN (VALUES (0, 'lint.sh'), (1, '#' || left(sha256('$X && y'), 8))) AS u(seq, name) WHERE role = 'assistant'")
 entry("e28_event_rows", lambda S: E.event_rows(SRC.payloads(X.payload_rows(S))[0], "high").select("event", "session_id", "agent_id", "prompt_id", "ts", "source", "reason", "trigger", "error_type", "permission_mode", "prompt_bytes", "detail"),
       """SELECT event, session_id, agent_id, prompt_id, ts + d AS ts, source, reason, trigger, error_type, permission_mode, prompt_bytes, '{"nonce_bytes":' || (length(event_id) + 1) || '}' AS detail
       FROM {hook_events}, UNNEST(CASE WHEN ts % 3 = 0 THEN [0, 400, 1400] ELSE [0] END) AS u(d)""")
@@ -349,7 +359,8 @@ SEEN = lambda S: S.hook_events.select("session_id", "ts", F.when(F.col("ts") % 3
 entry("m01_merge", lambda S: M.merge(S.requests.select("request_id", "ts", F.when(F.col("ts") % 3 != 0, F.col("model")).alias("model"), "output_tokens", "context_tokens"), S.requests.select(F.when(F.col("ts") % 5 == 0, F.concat(F.lit("new-"), "request_id")).otherwise(F.col("request_id")).alias("request_id"), (F.col("ts") + 5).alias("ts"), F.concat("model", F.lit("!")).alias("model"), (F.col("output_tokens") + 1).alias("output_tokens"), (F.col("context_tokens") - 1).alias("context_tokens")), ["request_id"], {"ts": "min", "model": "fill", "output_tokens": "overwrite", "context_tokens": "max"}),
       """SELECT request_id, ts, CASE WHEN ts % 3 <> 0 THEN model WHEN ts % 5 <> 0 THEN model || '!' END AS model, CASE WHEN ts % 5 <> 0 THEN output_tokens + 1 ELSE output_tokens END AS output_tokens, context_tokens FROM {requests}
       UNION ALL SELECT 'new-' || request_id, ts + 5, model || '!', output_tokens + 1, context_tokens - 1 FROM {requests} WHERE ts % 5 = 0""")
-entry("m02_claim_occurrences", lambda S: M.claim_occurrences(SRC.payloads(X.payload_rows(S))[0]).groupBy("event").agg(F.count("*").alias("deliveries"), F.count_distinct("event_id").alias("occurrences")), "SELECT event, isum(CASE WHEN ts % 3 = 0 THEN 3 ELSE 1 END) AS deliveries, isum(CASE WHEN ts % 3 = 0 THEN 2 ELSE 1 END) AS occurrences FROM {hook_events} GROUP BY event")
+entry("m02_claim_occurrences", lambda S: M.claim_occurrences(SRC.payloads(X.payload_rows(S))[0]).select("event", "session_id", F.get_json_object("payload", "$.nonce").alias("nonce"), "received_ms", "ts", F.col("event_id").contains(":").alias("later")),
+      "SELECT event, session_id, event_id || '!' AS nonce, ts + d AS received_ms, CASE d WHEN 1400 THEN ts + 1400 ELSE ts END AS ts, d = 1400 AS later FROM {hook_events}, UNNEST(CASE WHEN ts % 3 = 0 THEN [0, 400, 1400] ELSE [0] END) AS u(d)")
 entry("m03_touch_sessions", lambda S: M.touch_sessions(SEEN(S)), """WITH e AS (SELECT session_id, ts, CASE WHEN ts % 3 = 0 THEN '/d' || (ts % 7) END AS cwd, CASE WHEN ts % 4 = 0 THEN '/t' || (ts % 5) END AS tp FROM {hook_events})
  SELECT session_id, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(cwd, (ts, cwd)) FILTER (cwd IS NOT NULL) AS cwd, min(ts) FILTER (cwd IS NOT NULL) AS cwd_ts, arg_max(tp, (ts, tp)) FILTER (tp IS NOT NULL) AS transcript_path, max(ts) FILTER (tp IS NOT NULL) AS transcript_path_ts FROM e GROUP BY session_id""")
 entry("m04_refresh_sessions", lambda S: M.refresh_sessions(S.sessions.select("session_id"), S.hook_events.withColumn("model", F.lit("started")), S.requests), """SELECT s.session_id, (SELECT source FROM {hook_events} e WHERE e.session_id = s.session_id AND event = 'SessionStart' ORDER BY ts, event_id LIMIT 1) AS start_source, (SELECT reason FROM {hook_events} e WHERE e.session_id = s.session_id AND event = 'SessionEnd' ORDER BY ts DESC, event_id DESC LIMIT 1) AS end_reason,
@@ -525,8 +536,8 @@ entry("c04_agents", lambda S: RC.compare_agents(S.agents, READ_AGENTS(S), S.agen
       """WITH r AS (SELECT * FROM {agents} WHERE tool_uses % 4 <> 0) SELECT 'agent extra' AS class, agent_id AS id FROM {agents} WHERE tool_uses % 4 = 0 UNION ALL SELECT 'agent tool uses', agent_id FROM r WHERE tool_uses % 3 = 0 UNION ALL SELECT 'agent open turn', agent_id FROM r WHERE stopped IS NULL
  UNION ALL SELECT 'agent turns', agent_id FROM r WHERE tool_uses % 5 = 0 UNION ALL SELECT 'agent turn without start', agent_id || '#1' FROM {agents} WHERE tool_uses % 9 = 0 UNION ALL SELECT 'agent stop rebuilt', agent_id || '#1' FROM {agents} WHERE tool_uses % 2 = 0 AND (tool_uses % 4 = 0 OR stopped IS NULL OR tool_uses % 7 = 0)""")
 entry("c05_parts", lambda S: RC.compare_parts(S.calls, S.command_parts, 3).select("class", "id"), "WITH p AS (SELECT c.tool_use_id, max(p.parser) AS v, arg_min(parse_status, seq) FILTER (parse_status <> 'ok') AS st FROM {calls} c LEFT JOIN {command_parts} p ON p.tool_use_id = c.tool_use_id WHERE tool = 'Bash' GROUP BY 1) SELECT 'parts missing' AS class, tool_use_id AS id FROM p WHERE v IS NULL UNION ALL SELECT 'parts ' || st, tool_use_id FROM p WHERE st IS NOT NULL")
-entry("c06_events", lambda S: RC.compare_events(S.hook_events, S.hook_events.where("ts % 5 <> 0").select("event_id", "session_id", "event", (F.col("ts") + F.when(F.col("ts") % 3 == 0, 900_000).otherwise(1500)).alias("ts"))).groupBy("class").agg(F.count("*").alias("n")), """WITH b AS (SELECT event_id AS rid, session_id, event, ts + CASE WHEN ts % 3 = 0 THEN 900000 ELSE 1500 END AS rts FROM {hook_events} WHERE ts % 5 <> 0), n AS (SELECT rid, event_id, a.event FROM {hook_events} a JOIN b ON a.session_id = b.session_id AND a.event = b.event AND abs(a.ts - b.rts) <= 2000)
- SELECT event || ' missing' AS class, count(*) AS n FROM b WHERE rid NOT IN (SELECT rid FROM n) GROUP BY event UNION ALL SELECT event || ' extra', count(*) FROM {hook_events} WHERE event_id NOT IN (SELECT event_id FROM n) GROUP BY event UNION ALL SELECT event || ' repeated', count(*) FROM (SELECT rid, event FROM n GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY event""")
+entry("c06_events", lambda S: RC.compare_events(S.hook_events, S.hook_events.where("ts % 5 <> 0").select("event_id", "session_id", "event", (F.col("ts") + F.when(F.col("ts") % 3 == 0, 900_000).otherwise(1500)).alias("ts"))).select("class", "session_id", "id"), """WITH b AS (SELECT event_id AS rid, session_id, event, ts + CASE WHEN ts % 3 = 0 THEN 900000 ELSE 1500 END AS rts FROM {hook_events} WHERE ts % 5 <> 0), n AS (SELECT rid, a.event_id, a.event FROM {hook_events} a JOIN b ON a.session_id = b.session_id AND a.event = b.event AND abs(a.ts - b.rts) <= 2000)
+ SELECT event || ' missing' AS class, session_id, rid AS id FROM b WHERE rid NOT IN (SELECT rid FROM n) UNION ALL SELECT event || ' extra', session_id, event_id FROM {hook_events} WHERE event_id NOT IN (SELECT event_id FROM n) UNION ALL SELECT n.event || ' repeated', any_value(b.session_id), rid FROM n JOIN b USING (rid) GROUP BY rid, n.event HAVING count(*) > 1""")
 entry("c06_compactions", lambda S: RC.compare_compactions(S.hook_events.withColumn("event", F.when(F.col("event") == "Notification", "PostCompact").otherwise(F.col("event"))), S.compactions).select("class", "id"),
       """WITH e AS (SELECT event_id, session_id, ts, CASE WHEN event = 'Notification' THEN 'PostCompact' ELSE event END AS kind FROM {hook_events} WHERE event IN ('PreCompact', 'Notification')), c AS (SELECT * FROM {compactions} WHERE ts IS NOT NULL), k AS (SELECT unnest(['PreCompact', 'PostCompact']) AS kind)
  SELECT k.kind || ' missing' AS class, entry_id AS id FROM c, k WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.kind = k.kind AND e.session_id = c.session_id AND abs(e.ts - c.ts) <= 60000)

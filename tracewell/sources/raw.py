@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Counts above these are unknown and mark the line partial (fixed values).
@@ -29,9 +29,22 @@ def is_object(raw: Column) -> Column:
 
 
 def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """S01 over a folder of JSON-lines files. Files stay whole, as several rules need the line before."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    return lines_of(files)
+    """S01 over a folder of JSON-lines files: as lines_of(), of files of any size.
+
+    Spark reads a large file by byte ranges, in several tasks. Each range is counted; a line's number is its place in its range and the lines of the ranges before. A file whose lines and
+    line breaks are one byte longer than it is has no line break at its end.
+    """
+    m = lambda name: F.col(f"_metadata.{name}")
+    read = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    lines = read.select(m("file_path").alias("path"), m("file_block_start").alias("block"), m("file_size").alias("size"), F.col("value").alias("raw"), F.monotonically_increasing_id().alias("at"))
+    ranges = lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("raw") + 1).alias("bytes"), F.max("size").alias("size"))
+    of_file = Window.partitionBy("path")
+    before = F.sum("n").over(of_file.orderBy("block")) - F.col("n")
+    ranges = ranges.select("path", "block", (before - F.col("first")).alias("offset"), F.sum("n").over(of_file).alias("of_file"), (F.sum("bytes").over(of_file) == F.col("size") + 1).alias("torn"))
+    rows = lines.join(ranges, ["path", "block"]).withColumn("line_no", F.col("at") + F.col("offset")).where(F.trim("raw") != "").withColumn("good", is_object(F.col("raw")))
+    torn = F.col("torn") & (F.col("line_no") == F.col("of_file") - 1)
+    found = lambda cond: rows.where(cond).select("path", "line_no", "raw")
+    return found(F.col("good")), found(~F.col("good") & ~torn)
 
 
 def payloads(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
