@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import saved
+from tracewell.llm.common import PART_BYTES, saved, slices
 from tracewell.llm.suffix_sort import Suffixes
 
 LENGTH = 200
@@ -276,16 +276,23 @@ def matches(rows: DataFrame, runs: DataFrame) -> DataFrame:
     kind = runs.schema["context"].dataType.simpleString()
     schema = pa.schema([("row", pa.int64()), ("also", pa.int32()), ("prefix", pa.int64()), ("context", pa.int64() if kind == "bigint" else pa.binary()), ("n", pa.int8()), *((c, pa.int32()) for c in ("at", "windows", "anchor")), ("times", pa.int64()), ("classes", pa.int64()), ("digest", pa.binary()), ("bytes", pa.binary())])
 
+    fields = ["prefix", "context", "n", "at", "windows", "anchor", "times", "classes"]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row, also, text, wants in zip(*(batch.column(c).to_pylist() for c in (*ROW, "text", "wanted")), strict=True):
-                raw = (text or "").encode("utf-8", "replace")
-                for w in wants:
-                    own = raw[w["at"] : w["at"] + w["windows"] + LENGTH - 1]
-                    out.append((row, also, *w.values(), digest(own, w["windows"], w["anchor"]) if w["times"] > 1 else None, own if w["classes"] else None))
-            made = list(zip(*out, strict=True)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, schema.types, strict=True)], schema.names)
+        for whole in batches:
+            counts = pc.list_value_length(whole.column("wanted")).to_pylist()
+            for part in slices(counts, BATCH):  # of the contexts of a batch few are held at once
+                batch = whole.slice(part.start, part.stop - part.start)
+                wants = batch.column("wanted").flatten()
+                of = np.repeat(np.arange(part.stop - part.start), counts[part])
+                raw = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+                columns = [wants.field(f) for f in fields]
+                at, windows, anchor, times = (wants.field(f).to_pylist() for f in ("at", "windows", "anchor", "times"))
+                own = [raw[i][a : a + w + LENGTH - 1] for i, a, w in zip(of.tolist(), at, windows, strict=True)]
+                digests = [digest(x, w, k) if t > 1 else None for x, w, k, t in zip(own, windows, anchor, times, strict=True)]
+                shown = [x if c else None for x, c in zip(own, wants.field("classes").is_valid().to_pylist(), strict=True)]
+                keys = [batch.column(c).take(pa.array(of)) for c in ROW]
+                yield pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip([*keys, *columns, pa.array(digests, pa.binary()), pa.array(shown, pa.binary())], schema.types, strict=True)], schema.names)
 
     ddl = f"row long, also int, prefix long, context {kind}, n byte, at int, windows int, anchor int, times long, classes long, digest binary, bytes binary"
     read = saved(rows.join(wanted, ROW).select(*ROW, "text", "wanted").mapInArrow(cut, ddl), "contexts")
@@ -328,7 +335,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[s
     schema = docs.select(*keep, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"), F.lit(b"").alias("kept")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(x.start, x.stop - x.start) for whole in batches for x in slices(pc.fill_null(pc.binary_length(whole.column("text")), 0).to_pylist(), PART_BYTES)):
             sizes, removed, kept, counts, starts, stops = [], [], [], [], [], []
             lists = batch.column("found")
             ends, values = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)), lists.flatten()
