@@ -142,6 +142,29 @@ def test_similar_compares_all_pairs_of_hot_cells(spark, monkeypatch, chunk):
     assert found_components(spark, texts) == expected
 
 
+@pytest.mark.parametrize("n", [300, 1200])
+def test_texts_of_one_template_are_not_paired(spark, monkeypatch, n):
+    """Pages of one template at a similarity of 0.7 share cells, and none of them is near another but for one planted copy."""
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    pairs, save = [], simhash.saved
+
+    def counted(df, name):
+        found = save(df, name)
+        if name == "pairs":
+            pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "saved", counted)
+    rng = random.Random(11)
+    template = words(rng, 165, 100_000)
+    texts = [f"{template} {words(rng, 35, 100_000)}" for _ in range(n)]
+    texts.append(texts[0][:-3] + "end")
+    got = found_components(spark, texts)
+    assert got == [*range(n), 0] and sum(pairs) <= 20 * n
+    if n == 300:
+        assert got == jaccard_components(texts)
+
+
 def test_similar_equals_jaccard_of_all_pairs(spark):
     rng = random.Random(10)
     texts = [None, "", "one", "One", "a b c d", "a b c d e", "a b c d e f", " \t"]

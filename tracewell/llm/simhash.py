@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -280,6 +281,28 @@ def may_link(similarity: float) -> Column:
     return (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-6) & (left >= similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6)
 
 
+def early(similarity: float) -> Column:
+    """Whether a set meets others so early that one of the similarity can be among those that it meets at any place.
+
+    Of two sets a and b of the similarity that first meet at places p and q, both have at least s / (1 + s) of |a| + |b| left, so p + q is at most (1 - s) / (1 + s) of that: not both can be later than
+    that part of their own size. Texts of one template that differ in more than that part are all late where they meet in the template.
+    """
+    return F.col("at") <= (1 - similarity) / (1 + similarity) * F.col("n") + 1e-3
+
+
+def meetings(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """rows twice, each with `band` and `turn`: only rows with the same cell, band and turn can be similar, a row of the first as the smaller set, and any two that can be are so once.
+
+    A band is of sizes of one ratio of the similarity; a larger set is in its own band and the one below. By turn an early set meets early and late ones, a late set early ones only.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(similarity) + 1e-9).cast("int")
+    is_early = early(similarity)
+    turns = lambda other: F.when(is_early, F.array(F.lit(0), F.lit(other))).otherwise(F.array(F.lit(3 - other)))
+    a = rows.select("*", band.alias("band"), F.explode(turns(1)).alias("turn"))
+    b = rows.select("*", F.explode(F.array(band, band - 1)).alias("band"), turns(2).alias("turns")).select("*", F.explode("turns").alias("turn")).drop("turns")
+    return a, b
+
+
 def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Of the pairs (a, b) of set ids, those whose shingle sets have the Jaccard similarity."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -305,7 +328,7 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
     Two texts link if the Jaccard similarity of their sets of shingles is that or more: no more and no fewer links than all pairs would
     give, up to collisions of 64-bit hashes. Rows with equal sets are copies, and one stands for them. Sets that can be so similar share
     one of their rarest shingles (prefix filtering), whose cells bring them together; sizes and places discard, and the whole sets verify.
-    In a cell of over CHUNK members each meets HUBS members first; members that are in one component by then need not be
+    Two sets that both meet late in a cell, or differ much in size, are not brought together (see meetings()). In a cell of over CHUNK members each meets HUBS members first; members that are in one component by then need not be
     compared, and all other pairs of the cell are, after at most STARS such rounds.
 
     Null and empty texts have the empty set and are copies of one another. component_id is the smallest key, null keys passed over. Repeated rows stay; an empty
@@ -318,8 +341,10 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
 
     def all_pairs(rows: DataFrame, *also: Column) -> DataFrame:
         ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
-        on = reduce(lambda x, y: x & y, [F.col("a.cell") == F.col("b.cell"), ordered, may_link(similarity), *also])
-        return rows.alias("a").join(rows.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+        a, b = meetings(rows, similarity)
+        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("cell", "band", "turn")]
+        on = reduce(lambda x, y: x & y, [*same, ordered, may_link(similarity), *also])
+        return a.alias("a").join(b.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
     def star(rows: DataFrame, salt: int, apart: Column) -> DataFrame:
         # a member whose rarest shingles are common ones differs least from the others; and some at random
@@ -343,9 +368,13 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
     salt, before, last = 0, None, False
     while not last:
         known = crowded.drop("root").join(reached, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        per = known.groupBy("cell", "root").agg(F.count("*").alias("k")).groupBy("cell").agg(F.count("*").alias("roots"), F.sum("k").alias("k"), F.sum(F.col("k").cast("double") ** 2).alias("same")).where("roots > 1")
+        # pairs still apart that can be similar: two early members, or an early and a late one
+        per = known.groupBy("cell", "root").agg(F.count("*").cast("double").alias("k"), F.count_if(early(similarity)).cast("double").alias("e"))
+        e, late = F.col("e"), F.col("k") - F.col("e")
+        pairs = (F.sum(e) * F.sum(e) - F.sum(e * e)) / 2 + F.sum(e) * F.sum(late) - F.sum(e * late)
+        per = per.groupBy("cell").agg(F.sum("k").alias("k"), pairs.alias("open")).where("open > 0")
         per = saved(per, "open-cells")
-        rows, open_ = per.agg(F.sum("k"), F.sum((F.col("k").cast("double") ** 2 - F.col("same")) / 2)).first()
+        rows, open_ = per.agg(F.sum("k"), F.sum("open")).first()
         if not rows:
             break
         crowded = saved(known.join(per.select("cell"), "cell", "left_semi").select("cell", "id", "n", "at", "root"), "open-members")
