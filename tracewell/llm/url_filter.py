@@ -28,7 +28,7 @@ def node_of(url: Column) -> Column:
 
 
 def aliases(pages: DataFrame) -> DataFrame:
-    """(from_url, to_url) of the canonical link and of the immediate redirect that each page's html states."""
+    """(from_url, to_url) of the canonical link and of the redirect (a meta refresh, after any delay) that each page's html states. Relative targets are put behind the folder of the page as they stand; dots in them are not resolved."""
     attr = lambda tag, name: F.coalesce(
         *(F.nullif(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*{quoted}", 1), F.lit("")) for quoted in ('"([^"]*)"', "'([^']*)'", r"([^\s\"'>]+)"))
     )
