@@ -156,16 +156,18 @@ entry("r06_sequences", lambda S: R.sequences(S.calls, S.command_parts, None), f"
  u AS (SELECT occurrences, first[w.p:w.p + w.m - 1] AS sub FROM g JOIN (SELECT m, p FROM (VALUES (2), (3), (4)) m(m) CROSS JOIN (VALUES (1), (2), (3), (4)) a(p)) w ON w.m < g.n AND w.p <= g.n - w.m + 1),
  i AS (SELECT DISTINCT occurrences, {KEY_OF.format("sub")} AS run_key FROM u)
  SELECT run_key, n, occurrences, agents, bytes, CASE WHEN sized > 0 THEN bytes // sized END AS mean_bytes FROM g WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.run_key = g.run_key AND i.occurrences = g.occurrences)""")
-entry("r07_faults", lambda S: R.faults(S.faults, S.command_parts, R.refusals(S.hook_events), 25), """WITH st(s) AS (VALUES ('payload'), ('store'), ('transcript'), ('parse'), ('binary'), ('terminated')),
- f AS (SELECT * FROM {faults} ORDER BY ts DESC, fault_id LIMIT 25), r AS (SELECT ts, session_id, coalesce(error_type, 'unknown') AS what FROM {hook_events} WHERE event = 'StopFailure' ORDER BY ts DESC, session_id LIMIT 25)
- SELECT 'stage' AS kind, s AS label, (SELECT count(*) FROM {faults} x WHERE x.stage = s) AS count, NULL::BIGINT AS ts, NULL::VARCHAR AS session_id, NULL::VARCHAR AS call, NULL::VARCHAR AS error FROM st
- UNION ALL SELECT 'parts', parse_status, count(*), NULL, NULL, NULL, NULL FROM {command_parts} GROUP BY 2 UNION ALL SELECT 'fault', stage, NULL, ts, session_id, tool_use_id, error FROM f UNION ALL SELECT 'refusal', what, NULL, ts, session_id, NULL, NULL FROM r""")
 #: Latest prompts of main chats that no end answers.
 OPEN_SQL = """lp AS (SELECT * FROM (SELECT session_id, event_id, prompt_id, ts, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS r FROM {hook_events} WHERE event = 'UserPromptSubmit') WHERE r = 1),
  op AS (SELECT session_id, event_id AS p_id, prompt_id AS p_prompt, ts AS p_ts FROM lp WHERE NOT EXISTS (SELECT 1 FROM {hook_events} e WHERE e.session_id = lp.session_id AND e.event IN ('Stop', 'StopFailure') AND e.ts >= lp.ts AND (e.prompt_id IS NULL OR lp.prompt_id IS NULL OR e.prompt_id = lp.prompt_id)))"""
-entry("r08_refusals", lambda S: R.refusals(S.hook_events, S.sessions.select("session_id", F.when(F.col("first_ts") % 2 == 0, "StopFailure").otherwise("Stop").alias("event"), F.lit("overloaded").alias("error_type"), (F.col("last_ts") + 1).alias("ts"))),
-      f"""WITH {OPEN_SQL} SELECT ts, session_id, coalesce(error_type, 'unknown') AS kind, 'hook' AS source FROM {{hook_events}} WHERE event = 'StopFailure'
-      UNION ALL SELECT last_ts + 1, session_id, 'overloaded', 'transcript' FROM op JOIN {{sessions}} USING (session_id) WHERE first_ts % 2 = 0""")
+#: What transcripts say of the end of each session: for every second one an API error, after its last row.
+TURN_ENDS = lambda S: S.sessions.select("session_id", F.when(F.col("first_ts") % 2 == 0, "StopFailure").otherwise("Stop").alias("event"), F.lit("overloaded").alias("error_type"), (F.col("last_ts") + 1).alias("ts"))
+REFUSED = """SELECT ts, session_id, coalesce(error_type, 'unknown') AS kind, 'hook' AS source FROM {hook_events} WHERE event = 'StopFailure'
+      UNION ALL SELECT last_ts + 1, session_id, 'overloaded', 'transcript' FROM op JOIN {sessions} USING (session_id) WHERE first_ts % 2 = 0"""
+entry("r07_faults", lambda S: R.faults(S.faults, S.command_parts, R.refusals(S.hook_events, TURN_ENDS(S)), 25), f"""WITH {OPEN_SQL}, st(s) AS (VALUES ('payload'), ('store'), ('transcript'), ('parse'), ('binary'), ('terminated')),
+ f AS (SELECT * FROM {{faults}} ORDER BY ts DESC, fault_id LIMIT 25), r AS (SELECT * FROM ({REFUSED}) ORDER BY ts DESC, session_id LIMIT 25)
+ SELECT 'stage' AS kind, s AS label, (SELECT count(*) FROM {{faults}} x WHERE x.stage = s) AS count, NULL::BIGINT AS ts, NULL::VARCHAR AS session_id, NULL::VARCHAR AS call, NULL::VARCHAR AS error FROM st
+ UNION ALL SELECT 'parts', parse_status, count(*), NULL, NULL, NULL, NULL FROM {{command_parts}} GROUP BY 2 UNION ALL SELECT 'fault', stage, NULL, ts, session_id, tool_use_id, error FROM f UNION ALL SELECT 'refusal', kind, NULL, ts, session_id, NULL, NULL FROM r""")
+entry("r08_refusals", lambda S: R.refusals(S.hook_events, TURN_ENDS(S)), f"WITH {OPEN_SQL} {REFUSED}")
 entry("r09_sessions", lambda S: R.sessions(S.sessions, S.calls, S.agents, R.ran_nothing(S.hook_events, S.calls, S.requests, S.faults), None), """WITH n AS (SELECT session_id FROM {hook_events} GROUP BY 1 HAVING count(*) FILTER (event NOT IN ('SessionStart', 'SessionEnd', 'InstructionsLoaded', 'Notification')) = 0 AND count(*) FILTER (event = 'SessionStart') > 0),
  un AS (SELECT session_id FROM n WHERE session_id NOT IN (SELECT session_id FROM {calls}) AND session_id NOT IN (SELECT session_id FROM {requests}) AND session_id NOT IN (SELECT session_id FROM {faults}))
  SELECT s.session_id, first_ts, last_ts, CASE WHEN model IS NULL AND s.session_id IN (SELECT * FROM un) THEN '(unused)' ELSE model END AS model, start_source, end_reason, (SELECT count(*) FROM {calls} c WHERE c.session_id = s.session_id) AS calls, (SELECT count(*) FROM {agents} a WHERE a.session_id = s.session_id) AS agents, cwd, host, coalesce(tz_name, '-') AS tz FROM {sessions} s""")
