@@ -113,6 +113,22 @@ def test_a_file_is_numbered_alike_however_it_is_split(spark, tmp_path):
     assert len(got[0]) == 1202 and len(got[1]) == 2 and len(set(whole)) == 1202
 
 
+def test_transcripts_are_listed_from_many_folders(spark, tmp_path):
+    want = set()
+    for root, projects in (("a", 40), ("b", 3)):
+        for p in range(projects):
+            folder = tmp_path / root / "projects" / f"p{p}"
+            (folder / f"s{p}" / "subagents").mkdir(parents=True)
+            (folder / f"s{p}.jsonl").write_text("x" * (p + 1))
+            (folder / f"s{p}" / "subagents" / "agent-1.jsonl").write_text("y")
+            (folder / "notes.txt").write_text("z")
+            want.add((f"{tmp_path}/{root}", f"p{p}", f"s{p}", p + 1))
+    found = raw.list_transcripts(spark, [f"file://{tmp_path}/a", f"file://{tmp_path}/b", f"file://{tmp_path}/b"])
+    got = [(r.root.removeprefix("file:").replace("///", "/"), r.project, r.session_id, r.bytes) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want and all(r.modified > 1_600_000_000_000 for r in found.collect())
+    assert "content" not in found._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+
+
 def test_agent_turns_pair_a_stop_with_the_start_before_it(spark):
     e = [("e1", "SubagentStart", 1), ("e2", "SubagentStart", 2), ("e3", "SubagentStop", 3), ("e4", "SubagentStop", 4)]
     df = spark.createDataFrame([(i, v, "a", "s", None, t) for i, v, t in e], "event_id string, event string, agent_id string, session_id string, prompt_id string, ts bigint")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,9 +110,13 @@ def transcripts_of(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").rlike(shape)).select(part(1).alias("root"), part(2).alias("project"), part(3).alias("session_id"), "modified", "bytes")
 
 
-def list_transcripts(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return transcripts_of(files.select("path", F.unix_millis("modificationTime").alias("modified"), F.col("length").alias("bytes")))
+def list_transcripts(spark: SparkSession, roots: str | Sequence[str]) -> DataFrame:
+    """S06 over folders: what transcripts_of() gives of all files in and under the roots, merged; a file under two roots is listed once.
+
+    Only names, times and sizes are read; Spark leaves out files of no bytes. It lists more than 32 folders of a level by a job, so roots with many projects are listed by the executors.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([roots] if isinstance(roots, str) else list(roots))
+    return transcripts_of(files.select("path", F.unix_millis("modificationTime").alias("modified"), F.col("length").alias("bytes"))).distinct()
 
 
 def call_lines(lines: DataFrame) -> DataFrame:
