@@ -251,6 +251,81 @@ def test_faults_take_the_nearest_row_and_leave_the_rest(spark):
     assert reconcile.pair_faults(df(faults, "fault_id").limit(0), df(read, "row_id")).count() == 0
 
 
+def plain_stops(faults, events):
+    """Faults one after the other, by time and id."""
+    main = {}
+    for session, agent, event, ts in events:
+        if agent is None:
+            main.setdefault(session, []).append((ts, event))
+
+    def turn(session, ts):
+        prompts = [t for t, e in main.get(session, ()) if e == "UserPromptSubmit"]
+        prompt = max((t for t in prompts if t < ts + 1000), default=None)
+        after = min((t for t in prompts if prompt is not None and t > prompt), default=float("inf"))
+        ends = {e for t, e in main.get(session, ()) if prompt is not None and prompt <= t < after}
+        return prompt, "Stop" in ends, "StopFailure" in ends
+
+    out, used, turns = {}, set(), set()
+    for i, ts, session, stage, error in sorted(faults, key=lambda f: (f[1], f[0])):
+        event = error.split(": ")[0]
+        if ": " not in error or not (event == "Stop" and (stage == "terminated" or (session and stage == "binary")) or event == "StopFailure" and session and stage in ("terminated", "binary")):
+            continue
+        if session:
+            prompt, stopped, failed = turn(session, ts)
+            if session not in main:
+                verdict = "unknown session"
+            elif prompt is None:
+                verdict = "no prompt"
+            elif not stopped and not failed:
+                verdict = "open turn"
+            elif not (stopped if event == "Stop" else failed) or (session, event, prompt) in turns:
+                verdict = "unpaired"
+            else:
+                verdict = "paired"
+                turns.add((session, event, prompt))
+            out[i] = (event, session, verdict)
+            continue
+        found = {s: turn(s, ts) for s, rows in main.items() if any(e == "SessionEnd" and ts <= t < ts + 5000 for t, e in rows)}
+        found = {s: x for s, x in found.items() if x[0] is not None}
+        free = sorted(s for s, (p, stopped, _) in found.items() if stopped and s not in used and (s, "Stop", p) not in turns)
+        if any(not a and not b for _, a, b in found.values()):
+            out[i] = (event, None, "open turn")
+        elif not free:
+            out[i] = (event, None, "unpaired")
+        else:
+            used.add(free[0])
+            turns.add((free[0], "Stop", found[free[0]][0]))
+            out[i] = (event, free[0], "paired")
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lost_turn_ends_are_judged_by_their_turns(spark, seed):
+    rng = random.Random(seed)
+    sessions = [f"s{k}" for k in range(14)]
+    events, faults = [], []
+    for s in sessions:
+        t = rng.randrange(4000)
+        for _ in range(rng.randrange(0, 4)):
+            events.append((s, None, "UserPromptSubmit", t))
+            if rng.random() < 0.85:
+                events.append((s, None, rng.choice(["Stop", "Stop", "Stop", "StopFailure"]), t + rng.randrange(1, 400)))
+            t += rng.randrange(500, 3000)
+        if rng.random() < 0.9:
+            events.append((s, None, "SessionEnd", t + rng.randrange(2000)))
+        events.append((s, "agent", "Stop", t))
+    for i in range(60):
+        event = rng.choice(["Stop", "Stop", "StopFailure", "SessionEnd"])
+        faults.append((f"f{i:02}", rng.randrange(12_000) // 200 * 200, rng.choice([None, None, *sessions, "unheard"]), rng.choice(["terminated", "terminated", "binary", "store"]), rng.choice([f"{event}: killed", f"{event}: x", event])))
+    want = plain_stops(faults, events)
+    df = spark.createDataFrame(faults, "fault_id string, ts long, session_id string, stage string, error string")
+    ev = spark.createDataFrame(events, "session_id string, agent_id string, event string, ts long")
+    got = reconcile.judge_stops(df, ev).collect()
+    assert len(got) == len(want) and {r.fault_id: (r.event, r.session_id, r.verdict) for r in got} == want
+    if seed == 0:
+        assert {v for *_, v in want.values()} >= {"paired", "unpaired", "unknown session"} and reconcile.judge_stops(df.limit(0), ev).count() == 0
+
+
 def plain_allowed(mismatches, entries):
     used, out = set(), []
     for c, session, ts, ids in mismatches:

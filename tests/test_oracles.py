@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "r29_cache", "m16_call_results", "m13_price", "r01_files", "r04_call_shape", "r05_context", "r06_sequences", "r12_prompts", "r20_cost_chats", "r26_turns", "r27_resumes", "r28_waiting", "q02_money_per_party", "q04_family", "q09_cost_by_model",
     "f08_recording_notes", "f11_display", "s03_ledger", "e01_requests", "e11_e14_tool_results", "e15_e17_call_rows", "e22_command_segments", "p01_sanitize_input", "p05_sanitize_detail", "m02_claim_occurrences", "m05_agent_turns", "m06_resolve_pending",
-    "m07_settle", "m11_join_ledger", "m18_recoverable_sessions", "m20_drop_rebuilt", "m23_mark_unfillable", "m25_retention", "e28_event_rows", "e30_call_starts", "r08_refusals", "k01_classify", "k03_expand_wrapped", "c02_calls", "c04_agents", "c06_events", "c06_compactions", "c07_pair_faults", "c08_allowlist", "q04_descendants", "s01_split_files", "m12_ledger_replay",
+    "m07_settle", "m11_join_ledger", "m18_recoverable_sessions", "m20_drop_rebuilt", "m23_mark_unfillable", "m25_retention", "e28_event_rows", "e30_call_starts", "r08_refusals", "k01_classify", "k03_expand_wrapped", "c02_calls", "c04_agents", "c06_events", "c06_compactions", "c07_pair_faults", "c07_judge_stops", "c08_allowlist", "q04_descendants", "s01_split_files", "m12_ledger_replay",
 ]
 
 

@@ -7,11 +7,12 @@ from functools import reduce
 from heapq import heappop, heappush
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.operators.filters import settled
+from tracewell.tables import saved
 
 
 def mismatches(store: DataFrame, source: DataFrame, key: str, classes: Mapping[str, Column], one_sided: tuple[str, str] = ("missing", "extra")) -> DataFrame:
@@ -218,6 +219,82 @@ def pair_faults(faults: DataFrame, rows: DataFrame, tolerance_ms: int = 60_000)
     return both.where("coalesce(fault_id, row_id) is not null").repartition("session_id").sortWithinPartitions("session_id", "ts").mapInArrow(run, schema)
 
 
+#: A lost turn end is known to the second; a session that it ended is gone within this time (fixed values).
+FAULT_SECOND, END_WITHIN = 1_000, 5_000
+
+
+def turns_at(events: DataFrame, points: DataFrame) -> DataFrame:
+    """points (point, session_id, upto) with prompt, stopped, failed: of the session's main chat the time of its last prompt up to then (null if there is none), and whether a Stop or a StopFailure came from that prompt on and before the next."""
+    main = events.where("agent_id is null and session_id is not null and ts is not null")
+    prompts = main.where("event = 'UserPromptSubmit'").select("session_id", "ts").distinct()
+    ends = main.where("event in ('Stop', 'StopFailure')").select("session_id", "ts", "event")
+    none = F.lit(None)
+    rows = prompts.select("session_id", "ts", F.lit(0).alias("kind"), F.col("ts").alias("prompt"), none.cast("string").alias("event"), none.cast("string").alias("point"))
+    rows = rows.unionByName(ends.select("session_id", "ts", F.lit(1).alias("kind"), none.cast("bigint").alias("prompt"), "event", none.cast("string").alias("point")))
+    rows = rows.unionByName(points.select("session_id", F.col("upto").alias("ts"), F.lit(1).alias("kind"), none.cast("bigint").alias("prompt"), none.cast("string").alias("event"), "point"))
+    order = Window.partitionBy("session_id").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("prompt", F.last("prompt", ignorenulls=True).over(order))
+    ended = rows.where("event is not null and prompt is not null").groupBy("session_id", "prompt").agg(F.bool_or(F.col("event") == "Stop").alias("stopped"), F.bool_or(F.col("event") == "StopFailure").alias("failed"))
+    found = rows.where("point is not null").select("point", "session_id", "prompt").join(ended, ["session_id", "prompt"], "left")
+    return found.select("point", "session_id", "prompt", F.coalesce("stopped", F.lit(False)).alias("stopped"), F.coalesce("failed", F.lit(False)).alias("failed"))
+
+
+def judge_stops(faults: DataFrame, events: DataFrame) -> DataFrame:
+    """C07 of lost turn ends: (fault_id, event, session_id, verdict) of faults (fault_id, ts, session_id, stage, error `{event}: {reason}`), against events (session_id, agent_id, event, ts).
+
+    Judged are terminated Stops, and, where the fault names its session, lost Stops and StopFailures. A turn of a session runs from a prompt to the next. A fault that names its session is `paired` if the turn at its
+    second has an end of its kind that no earlier such fault has taken (a Stop none but a Stop); else `no prompt`, `open turn`, `unpaired`, or `unknown session`. One without a session is of those that end within five
+    seconds of it: `open turn` if one of them left its turn open, as that may be the lost end; else it is paired with the first of them by name whose turn a Stop closes and no earlier fault has taken; else `unpaired`.
+    A session is taken by one fault without a session only. Earlier is by time, then id.
+
+    Faults compete only where they share a session. In each round every fault that is the earliest of those that still want the first session it can have takes it, so rounds are as many as the longest queue.
+    """
+    event = F.substring_index("error", ": ", 1)
+    f = faults.where(F.col("error").contains(": ") & F.col("ts").isNotNull()).select("fault_id", "ts", "session_id", "stage", event.alias("event"))
+    named = F.col("session_id").isNotNull()
+    f = f.where(((F.col("event") == "Stop") & ((F.col("stage") == "terminated") | (named & (F.col("stage") == "binary")))) | ((F.col("event") == "StopFailure") & named & F.col("stage").isin("terminated", "binary")))
+    f = saved(f.select("fault_id", "ts", "session_id", "event"))
+    main = events.where("agent_id is null and ts is not null")
+    # a fault meets the ends of sessions in buckets of five seconds
+    ends = main.where("event = 'SessionEnd' and session_id is not null").select(F.col("session_id").alias("ending"), F.col("ts").alias("end"), F.floor(F.col("ts") / END_WITHIN).alias("bucket"))
+    at = F.floor(F.col("ts") / END_WITHIN)
+    loose = f.where(~named).drop("session_id").withColumn("bucket", F.explode(F.array(at, at + 1)))
+    wanted = loose.join(ends, "bucket").where(f"end >= ts and end < ts + {END_WITHIN}").select("fault_id", "ts", "event", F.col("ending").alias("session_id")).distinct()
+    both = f.where(named).withColumn("named", F.lit(True)).unionByName(wanted.withColumn("named", F.lit(False)))
+    points = both.select(F.to_json(F.struct("fault_id")).alias("point"), "session_id", (F.col("ts") + FAULT_SECOND - 1).alias("upto"))
+    turns = turns_at(events, points).distinct().withColumn("fault_id", F.from_json("point", "fault_id string")["fault_id"]).drop("point")
+    both = saved(both.withColumn("fault_id", F.col("fault_id").cast("string")).join(turns, ["fault_id", "session_id"]))
+
+    known = main.select("session_id").distinct().withColumn("known", F.lit(True))
+    fits = F.when(F.col("event") == "Stop", F.col("stopped")).otherwise(F.col("failed"))
+    of_turn = Window.partitionBy("session_id", "event", "prompt").orderBy("ts", "fault_id")
+    own = both.where("named").join(known, "session_id", "left").withColumn("place", F.row_number().over(of_turn))
+    told = F.when(F.col("known").isNull(), "unknown session").when(F.col("prompt").isNull(), "no prompt").when(~F.col("stopped") & ~F.col("failed"), "open turn").when(~fits | (F.col("place") > 1), "unpaired")
+    own = own.withColumn("verdict", told)
+
+    per = both.where("not named and prompt is not null").groupBy("fault_id").agg(F.bool_or(~F.col("stopped") & ~F.col("failed")).alias("open"))
+    left = both.where("not named and prompt is not null and stopped").join(per.where("not open").select("fault_id"), "fault_id")
+    claims = left.unionByName(own.where("verdict is null and event = 'Stop'").select(left.columns)).select("fault_id", "ts", "session_id", "prompt", "named")
+    claims, taken = saved(claims), None
+    while not claims.isEmpty():
+        first = claims.groupBy("fault_id").agg(F.min("session_id").alias("session_id"))
+        wants = F.struct("ts", "fault_id")
+        oldest = claims.groupBy("session_id").agg(F.min(wants).alias("oldest"))
+        new = claims.join(first, ["fault_id", "session_id"]).join(oldest, "session_id").where(wants == F.col("oldest")).drop("oldest")
+        new = saved(new)
+        taken = new if taken is None else saved(taken.unionByName(new))
+        rest = claims.join(new.select("fault_id"), "fault_id", "left_anti")
+        rest = rest.join(new.select("session_id", "prompt"), ["session_id", "prompt"], "left_anti")  # the turn is taken
+        gone = new.where("not named").select("session_id").distinct().withColumn("gone", F.lit(True))
+        rest = rest.join(gone, "session_id", "left").where("named or gone is null").drop("gone")
+        claims = saved(rest)
+    taken = (claims if taken is None else taken).select("fault_id", F.col("session_id").alias("taken"))
+    own = own.join(taken, "fault_id", "left").withColumn("verdict", F.coalesce("verdict", F.when((F.col("event") == "StopFailure") | F.col("taken").isNotNull(), "paired").otherwise("unpaired")))
+    loose = f.where(~named).select(F.col("fault_id").cast("string").alias("fault_id"), "event").join(per, "fault_id", "left").join(taken, "fault_id", "left")
+    loose = loose.select("fault_id", "event", F.col("taken").alias("session_id"), F.when(F.coalesce("open", F.lit(False)), "open turn").when(F.col("taken").isNotNull(), "paired").otherwise("unpaired").alias("verdict"))
+    return own.select("fault_id", "event", "session_id", "verdict").unionByName(loose)
+
+
 #: Begins a scope that names a tool.
 TOOL_SCOPE = "tool="
 

@@ -552,6 +552,26 @@ entry("c07_pair_faults", lambda S: RC.pair_faults(S.faults.withColumns({"session
  c AS (SELECT g, list({'ids': ['f' || fault_id, 'r' || row_id]} ORDER BY abs(f.ts - r.ts), f.ts, r.ts, fault_id, row_id) AS pairs FROM f JOIN r USING (g) WHERE abs(f.ts - r.ts) <= 60000 GROUP BY g),
  t AS (SELECT list_reduce(pairs, lambda a, p: CASE WHEN list_has_any(a.ids, p.ids) THEN a ELSE {'ids': a.ids || p.ids} END).ids AS ids FROM c)
  SELECT substr(ids[2 * k - 1], 2) AS fault_id, substr(ids[2 * k], 2) AS row_id FROM (SELECT ids, unnest(range(1, len(ids) // 2 + 1)) AS k FROM t)""")
+#: A third of the turn ends as faults, some without their session; times in steps of twenty minutes, so that many faults and ends of sessions meet.
+STEP = 1_200_000
+LOST_ENDS = lambda S: S.hook_events.where("event in ('Stop', 'StopFailure') and ts % 3 = 0").select(F.col("event_id").alias("fault_id"), (F.col("ts") - F.col("ts") % STEP).alias("ts"), F.when(F.col("ts") % 5 > 2, F.col("session_id")).alias("session_id"), F.when(F.col("ts") % 2 == 0, "terminated").otherwise("binary").alias("stage"), F.concat("event", F.lit(": terminated by signal")).alias("error"))
+MAIN_EVENTS = lambda S: S.hook_events.select("session_id", "agent_id", "event", F.when(F.col("event") == "SessionEnd", F.col("ts") - F.col("ts") % STEP + F.col("ts") % 7000).otherwise(F.col("ts")).alias("ts"))
+entry("c07_judge_stops", lambda S: RC.judge_stops(LOST_ENDS(S), MAIN_EVENTS(S)), f"""WITH f AS (SELECT event_id AS fault_id, ts - ts % {STEP} AS ts, CASE WHEN ts % 5 > 2 THEN session_id END AS session_id, event FROM {{hook_events}} WHERE event IN ('Stop', 'StopFailure') AND ts % 3 = 0 AND ((event = 'Stop' AND (ts % 2 = 0 OR ts % 5 > 2)) OR (event = 'StopFailure' AND ts % 5 > 2))),
+ m AS (SELECT session_id, event, CASE WHEN event = 'SessionEnd' THEN ts - ts % {STEP} + ts % 7000 ELSE ts END AS ts FROM {{hook_events}} WHERE agent_id IS NULL),
+ p AS (SELECT session_id, ts, coalesce(lead(ts) OVER (PARTITION BY session_id ORDER BY ts), 9000000000000000) AS after FROM (SELECT DISTINCT session_id, ts FROM m WHERE event = 'UserPromptSubmit')),
+ tn AS (SELECT p.session_id, p.ts AS prompt, after, count(*) FILTER (m.event = 'Stop') > 0 AS stopped, count(*) FILTER (m.event = 'StopFailure') > 0 AS failed FROM p LEFT JOIN m ON m.session_id = p.session_id AND m.event IN ('Stop', 'StopFailure') AND m.ts >= p.ts AND m.ts < after GROUP BY ALL),
+ c AS (SELECT f.*, true AS named, f.session_id AS s FROM f WHERE session_id IS NOT NULL UNION ALL SELECT DISTINCT f.*, false, m.session_id FROM f JOIN m ON m.event = 'SessionEnd' AND m.ts >= f.ts AND m.ts < f.ts + 5000 WHERE f.session_id IS NULL),
+ x AS (SELECT c.*, prompt, coalesce(stopped, false) AS stopped, coalesce(failed, false) AS failed FROM c LEFT JOIN tn ON tn.session_id = c.s AND tn.prompt < c.ts + 1000 AND tn.after >= c.ts + 1000),
+ o AS (SELECT *, row_number() OVER (PARTITION BY s, event, prompt ORDER BY ts, fault_id) AS place, CASE WHEN s NOT IN (SELECT session_id FROM m) THEN 'unknown session' WHEN prompt IS NULL THEN 'no prompt' WHEN NOT stopped AND NOT failed THEN 'open turn' WHEN NOT CASE event WHEN 'Stop' THEN stopped ELSE failed END THEN 'unpaired' END AS told FROM x WHERE named),
+ l AS (SELECT fault_id, bool_or(NOT stopped AND NOT failed) AS open FROM x WHERE NOT named AND prompt IS NOT NULL GROUP BY fault_id),
+ w AS (SELECT fault_id, ts, false AS named, list(s ORDER BY s) AS ss, list(prompt ORDER BY s) AS ps FROM x JOIN l USING (fault_id) WHERE NOT named AND prompt IS NOT NULL AND stopped AND NOT open GROUP BY fault_id, ts
+   UNION ALL SELECT fault_id, ts, true, [s], [prompt] FROM o WHERE told IS NULL AND place = 1 AND event = 'Stop'),
+ q AS (SELECT list({{'id': fault_id, 'named': named, 'ss': ss, 'ps': ps, 'used': []::VARCHAR[], 'turns': []::VARCHAR[], 'got': []::VARCHAR[]}} ORDER BY ts, fault_id) AS items FROM w),
+ r AS (SELECT list_reduce(list_prepend({{'id': '', 'named': true, 'ss': []::VARCHAR[], 'ps': []::BIGINT[], 'used': []::VARCHAR[], 'turns': []::VARCHAR[], 'got': []::VARCHAR[]}}, items), lambda a, i: list_transform(list_filter(range(1, len(i.ss) + 2), lambda k: k > len(i.ss) OR (NOT list_contains(a.turns, i.ss[k] || '#' || i.ps[k]) AND (i.named OR NOT list_contains(a.used, i.ss[k]))))[1:1],
+   lambda k: CASE WHEN k > len(i.ss) THEN a ELSE {{'id': '', 'named': true, 'ss': []::VARCHAR[], 'ps': []::BIGINT[], 'used': CASE WHEN i.named THEN a.used ELSE list_append(a.used, i.ss[k]) END, 'turns': list_append(a.turns, i.ss[k] || '#' || i.ps[k]), 'got': list_append(a.got, i.id || '@' || i.ss[k])}} END)[1]).got AS got FROM q),
+ g AS (SELECT split_part(x, '@', 1) AS fault_id, split_part(x, '@', 2) AS s FROM (SELECT unnest(got) AS x FROM r))
+ SELECT o.fault_id, event, session_id, coalesce(told, CASE WHEN place = 1 AND (event = 'StopFailure' OR g.s IS NOT NULL) THEN 'paired' ELSE 'unpaired' END) AS verdict FROM o LEFT JOIN g USING (fault_id)
+ UNION ALL SELECT f.fault_id, event, g.s, CASE WHEN coalesce(l.open, false) THEN 'open turn' WHEN g.s IS NOT NULL THEN 'paired' ELSE 'unpaired' END FROM f LEFT JOIN l USING (fault_id) LEFT JOIN g USING (fault_id) WHERE session_id IS NULL""")
 ALLOWED = [(3, "Stop extra", ["e1", "tool=Bash"], None, "ids"), (5, "Stop extra", ["s2", "e77"], 1_704_300_000_000, "either"), (6, "Stop extra", ["e12"], None, "shadowed by the first"), (8, "Stop missing", [], 1_704_900_000_000, "old"), (9, "Stop missing", ["s1", "tool=Ba"], None, "session"), (12, "never", ["e"], None, "unused")]
 ALLOWED_DDL = "entry int, class string, scopes array<string>, before_ts bigint, reason string"
 MISSED = lambda S: S.hook_events.where("event = 'Stop'").select(F.when(F.col("ts") % 2 == 0, "Stop extra").otherwise("Stop missing").alias("class"), "session_id", F.when(F.col("ts") % 11 != 0, F.col("ts")).alias("ts"), F.col("event_id").alias("id"), F.when(F.col("ts") % 3 == 0, F.array(F.col("event_id"), F.lit("tool=Bash"))).otherwise(F.array("event_id")).alias("ids"))
