@@ -25,7 +25,7 @@ def place(rows: DataFrame) -> DataFrame:
     """(conv_id, pos, token, words) of rows (conv_id, turn, role, text): pos from 1 in the order of turn (null first), role, text; token names (role, text); words counts those of the text.
 
     Null roles and texts are empty; repeated rows are turns like any other; rows without a conv_id are left out. A conversation is counted in stretches of 256 turn numbers, so a long one
-    is not dealt to one task.
+    is not dealt to one task; turns without a number, or with the same one, are of one stretch.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     token = F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary"))

@@ -63,7 +63,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _cells(codes: np.ndarray, lengths: np.ndarray, right: bool) -> np.ndarray:
-    """Rows of letters, at the left end or (backwards) from the right one; -1 and -2 by turns where there is none, so that ends never agree."""
+    """Rows of letters from the left end, or backwards from the right one; -1 where there is none."""
     out = np.full((len(lengths), max(int(lengths.max(initial=0)), 1)), -1, np.int64)
     row, first = np.repeat(np.arange(len(lengths)), lengths), np.repeat(np.cumsum(lengths) - lengths, lengths)
     at = np.arange(len(codes)) - first
@@ -72,7 +72,7 @@ def _cells(codes: np.ndarray, lengths: np.ndarray, right: bool) -> np.ndarray:
 
 
 def _agree(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    same = (left == right) & (left >= 0)
+    same = (left == right) & (left >= 0)  # letters that both begin with
     return np.where(same.all(axis=1), left.shape[1], same.argmin(axis=1))
 
 
