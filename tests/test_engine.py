@@ -405,3 +405,14 @@ def test_shell_commands_are_classed_by_the_rules(spark):
     rows = spark.createDataFrame([(c, "Bash", c) for c, _ in RULED] + [("r", "Read", None), ("n", "Bash", None), ("q", "Bash", "a 'b"), ("m", None, None)], schema)
     got = {r.id: (",".join(r.classes), r.status) for r in classify.classify(rows, rules).collect()}
     assert got == {c: (x, "ok") for c, x in RULED} | {"r": ("search", "ok"), "n": ("other", "ok"), "q": ("other", "error"), "m": ("other", "ok")}
+
+
+def test_json_is_decoded_once_a_row(spark):
+    calls = spark.range(3).selectExpr("concat('t', id) as tool_use_id", "'Bash' as tool", "concat('{\"command\": \"echo ', id, '\", \"a\": 1, \"b\": \"x\"}') as input")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    clean = calls.select("tool_use_id", privacy.sanitize_input(F.col("tool"), F.col("input")).alias("input"))
+    assert plan(clean).count("from_json") == 1 and plan(clean).count("parseJson") == 2  # keys; and whether a shell's command is a text
+    payload = json.dumps({"hook_event_name": "PostToolUse", "session_id": "s", "tool_use_id": "t", "tool_name": "Read", "tool_input": {"file_path": "x", "off\\u0073et": 3}, "tool_response": {"file": {"startLine": 7}}, "cwd": "/w"})
+    rows_ = extract.call_rows(raw.payloads(spark.createDataFrame([(5, payload.replace("\\\\u", "\\u"))], "received_ms bigint, payload string"))[0]).select("tool_use_id", "file_path", "read_start", "ts")
+    assert [tuple(r) for r in rows_.collect()] == [("t", "/w/x", 7, 5)]
+    assert plan(rows_).count("parseJson(payload") <= 2  # whether it is an object, and its fields

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions.commands import cut_content
+from tracewell.tables import once
 
 #: Of an input: fields that never keep their text; those that do; labels, which do up to LABEL bytes; and tools whose command is kept without its content (fixed values).
 DROPPED = ("content", "old_string", "new_string", "edits", "new_source", "prompt")
@@ -60,38 +61,52 @@ def sanitize_fault(stage: Column, text: Column) -> Column:
 @F.pandas_udf(T.StructType([T.StructField("command", T.StringType()), T.StructField("heredoc_bytes", T.IntegerType()), T.StructField("operand_bytes", T.IntegerType())]))
 def cut_command(commands: pd.Series) -> pd.DataFrame:
     """P06 for a column: see cut_content(); nulls stay."""
-    return pd.DataFrame([(None, 0, 0) if c is None else cut_content(c) for c in commands], columns=["command", "heredoc_bytes", "operand_bytes"])
+    found = {c: (None, 0, 0) if c is None else cut_content(c) for c in commands.unique()}
+    return pd.DataFrame([found[c] for c in commands], columns=["command", "heredoc_bytes", "operand_bytes"])
 
 
 def sanitize_input(tool: Column, value: Column) -> Column:
     """One level of an input, its keys in order. For an mcp__ tool no text stays. What is no JSON object is dropped."""
-    entries = F.map_entries(F.from_json(value, "map<string,string>"))
-    quoted = F.from_json(F.to_json(F.try_parse_json(value)), "map<string,variant>")
-    kind = lambda k: F.schema_of_variant(F.try_element_at(quoted, k))
-    mcp = F.coalesce(tool.startswith("mcp__"), F.lit(False))
     shell = F.coalesce(tool.isin(*SHELL_TOOLS), F.lit(False))
     cut = cut_command(F.when(shell, F.get_json_object(value, "$.command")))
-    json_text = lambda v: F.get(F.regexp_extract_all(F.to_json(F.struct(v.alias("v"))), F.lit(r'^\{"v":([\s\S]*)\}$'), 1), F.lit(0))
-    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
-    none = F.array().cast("array<struct<k:string,v:string>>")
-    command = F.try_element_at(quoted, F.lit("command"))
-    some = lambda name: F.when(cut[name] > 0, pair(F.lit(name), cut[name].cast("string")))
-    size = pair(F.lit("command_bytes"), F.octet_length(F.get_json_object(value, "$.command")).cast("string"))
-    stays = F.array_compact(F.array(pair(F.lit("command"), json_text(cut["command"])), some("heredoc_bytes"), some("operand_bytes")))
-    shell_pieces = F.when(shell & F.coalesce(F.schema_of_variant(command) == "STRING", F.lit(False)), F.when(cut["command"].isNull(), F.array(size)).otherwise(stays)).otherwise(none)
+    some = lambda name: F.when(cut[name] > 0, _pair(F.lit(name), cut[name].cast("string")))
+    size = _pair(F.lit("command_bytes"), F.octet_length(F.get_json_object(value, "$.command")).cast("string"))
+    stays = F.array_compact(F.array(_pair(F.lit("command"), _json_text(cut["command"])), some("heredoc_bytes"), some("operand_bytes")))
+    command = F.try_variant_get(F.try_parse_json(F.when(shell, value)), "$.command", "variant")
+    of_shell = F.when(F.coalesce(F.schema_of_variant(command) == "STRING", F.lit(False)), F.when(cut["command"].isNull(), F.array(size)).otherwise(stays)).otherwise(F.array().cast(PAIRS))
+    shown = F.transform(F.array_sort(F.concat(_pieces(value, shell, F.coalesce(tool.startswith("mcp__"), F.lit(False))), of_shell)), lambda x: F.concat(_json_text(x["k"]), F.lit(":"), x["v"]))
+    return F.concat(F.lit("{"), F.array_join(shown, ","), F.lit("}"))
+
+
+PAIRS = "array<struct<k:string,v:string>>"
+
+
+def _pair(k: Column, v: Column) -> Column:
+    return F.struct(k.alias("k"), v.alias("v"))
+
+
+def _json_text(v: Column) -> Column:
+    shown = F.to_json(F.struct(v.alias("v")))
+    return F.when(v.isNotNull(), F.substring(shown, F.lit(6), F.length(shown) - 6))
+
+
+def _pieces(value: Column, shell: Column, mcp: Column) -> Column:
+    """What stays of an input by key, but for the command of a shell. Keys meet their texts and their kinds as maps, each of which is read once. Null if it is no JSON object."""
+    none = F.array().cast(PAIRS)
+    kinds = F.transform_values(F.try_variant_get(F.try_parse_json(value), "$", "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
+    fields = F.map_zip_with(F.from_json(value, "map<string,string>"), F.coalesce(kinds, F.create_map().cast("map<string,string>")), lambda _, v, kind: F.struct(v.alias("text"), kind.alias("kind")))
 
     def pieces(e: Column) -> Column:
-        k, v = e["key"], e["value"]
-        text, plain = kind(k) == "STRING", kind(k).rlike("^(BIGINT|DOUBLE|DECIMAL.*|BOOLEAN|VOID)")
-        size = F.array(pair(F.concat(k, F.lit("_bytes")), F.octet_length(F.coalesce(v, F.lit(""))).cast("string")))
+        k, v, kind = e["key"], e["value"]["text"], e["value"]["kind"]
+        text, plain = kind == "STRING", kind.rlike("^(BIGINT|DOUBLE|DECIMAL.*|BOOLEAN|VOID)")
+        size = F.array(_pair(F.concat(k, F.lit("_bytes")), F.octet_length(F.coalesce(v, F.lit(""))).cast("string")))
         short = F.octet_length(v) <= LABEL
         return (
-            F.when(k.isin(*DROPPED), size).when((k == "command") & shell & text, none).when(plain, F.array(pair(k, F.coalesce(v, F.lit("null"))))).when(mcp | ~text, size)
-            .when(k.isin(*PATHS), F.array(pair(k, json_text(v)))).when((k == "url") & short, F.array(pair(k, json_text(cut_url(v))))).when(k.isin(*LABELS) & short, F.array(pair(k, json_text(v)))).otherwise(size)
+            F.when(k.isin(*DROPPED), size).when((k == "command") & shell & text, none).when(plain, F.array(_pair(k, F.coalesce(v, F.lit("null"))))).when(mcp | ~text, size)
+            .when(k.isin(*PATHS), F.array(_pair(k, _json_text(v)))).when((k == "url") & short, F.array(_pair(k, _json_text(cut_url(v))))).when(k.isin(*LABELS) & short, F.array(_pair(k, _json_text(v)))).otherwise(size)
         )
 
-    shown = F.transform(F.array_sort(F.concat(F.flatten(F.transform(entries, pieces)), shell_pieces)), lambda x: F.concat(json_text(x["k"]), F.lit(":"), x["v"]))
-    return F.when(entries.isNotNull(), F.concat(F.lit("{"), F.array_join(shown, ","), F.lit("}")))
+    return F.flatten(F.transform(F.map_entries(fields), pieces))
 
 
 def _bytes(text: str) -> int:
@@ -144,7 +159,7 @@ def event_detail(payload: Column, event: Column, tool: Column) -> Column:
 def redact(calls: DataFrame, faults: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The rules applied to stored rows: calls, faults, parts (those of calls whose input changed go), and (column, changed)."""
     new_input, new_error = sanitize_input(F.col("tool"), F.col("input")), sanitize_error(F.col("error"))
-    c = calls.withColumns({"_input": new_input, "_error": new_error})
+    c = once(calls, {"_input": new_input, "_error": new_error})
     changed = c.where(~F.col("_input").eqNullSafe(F.col("input"))).select("tool_use_id")
     f = faults.withColumn("_error", sanitize_fault(F.col("stage"), F.col("error")))
     count = lambda df, name, a, b: df.agg(F.lit(name).alias("column"), F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias("changed"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import privacy
 from tracewell.functions.commands import runner_of
+from tracewell.tables import let, once
 
 USAGE = "struct<input_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint,output_tokens:bigint,output_tokens_details:struct<thinking_tokens:bigint>,cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>,iterations:array<struct<type:string,model:string,input_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint,output_tokens:bigint,cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>>>>"
 LINE = (
@@ -189,9 +190,19 @@ def delivered_bytes(content: Column) -> Column:
     return F.when(content.isNull() | (content == "") | (content == "null"), 0).when(blockish, text_bytes(content)).otherwise(F.octet_length(content)).cast("bigint")
 
 
+def may_hold(text: Column, name: str) -> Column:
+    """Whether JSON can have a field of a name: it says so, or holds an escape, which can spell it otherwise."""
+    return text.contains(name) | text.contains("\\")
+
+
+def json_field(text: Column, path: str) -> Column:
+    """get_json_object() of a path of plain names, which looks for the name before it parses."""
+    return F.when(may_hold(text, path.rsplit(".", 1)[-1]), F.get_json_object(text, path))
+
+
 def real_bytes(tool: Column, response: Column) -> Column:
     """A tool's own output size: the first of the persisted size, stdout, a file's content, content, the whole response; unknown for Edit, Write and Agent."""
-    get = lambda path: F.get_json_object(response, path)
+    get = lambda path: json_field(response, path)
     size = F.coalesce(get("$.persistedOutputSize").cast("bigint"), *(F.octet_length(get(x)).cast("bigint") for x in ("$.stdout", "$.file.content", "$.content")), F.octet_length(response).cast("bigint"))
     return F.when(~tool.isin("Edit", "Write", "MultiEdit", "NotebookEdit", "Agent", "Task"), size)
 
@@ -220,17 +231,17 @@ def tool_results(p: DataFrame) -> DataFrame:
 
 def file_columns_from_input(calls: DataFrame) -> DataFrame:
     """Adds file_path (joined to cwd if relative), read_start and read_lines from a file tool's input."""
-    path = F.coalesce(*(F.get_json_object("input", f"$.{c}") for c in ("file_path", "notebook_path")))
+    path = F.coalesce(*(json_field(F.col("input"), f"$.{c}") for c in ("file_path", "notebook_path")))
     path = F.when(path.isNull() | path.startswith("/") | F.col("cwd").isNull(), path).otherwise(F.concat_ws("/", F.regexp_replace("cwd", "/$", ""), path))
     is_read = F.col("tool") == "Read"
-    start = F.greatest(F.coalesce(F.get_json_object("input", "$.offset").cast("bigint"), F.lit(1)), F.lit(1))
-    return calls.withColumns({"file_path": path, "read_start": F.when(is_read, start), "read_lines": F.when(is_read, F.get_json_object("input", "$.limit").cast("bigint"))})
+    start = F.greatest(F.coalesce(json_field(F.col("input"), "$.offset").cast("bigint"), F.lit(1)), F.lit(1))
+    return calls.withColumns({"file_path": path, "read_start": F.when(is_read, start), "read_lines": F.when(is_read, json_field(F.col("input"), "$.limit").cast("bigint"))})
 
 
 def file_columns_from_result(calls: DataFrame) -> DataFrame:
     """From `response`: the range that a Read returned, and a file's size before an Edit or Write (0 if created, unknown if mistyped)."""
-    get = lambda path: F.get_json_object("response", path)
-    v = F.try_variant_get(F.try_parse_json("response"), "$.originalFile", "variant")
+    get = lambda path: json_field(F.col("response"), path)
+    v = F.try_variant_get(F.try_parse_json(F.when(may_hold(F.col("response"), "originalFile"), F.col("response"))), "$.originalFile", "variant")
     before = F.when(get("$.type") == "create", 0).when(F.schema_of_variant(v) == "STRING", F.octet_length(get("$.originalFile")))
     return calls.withColumns({
         "read_start": F.coalesce(get("$.file.startLine").cast("bigint"), F.col("read_start")), "read_lines": F.coalesce(get("$.file.numLines").cast("bigint"), F.col("read_lines")),
@@ -240,13 +251,11 @@ def file_columns_from_result(calls: DataFrame) -> DataFrame:
 
 def line_counts(response: Column) -> tuple[Column, Column]:
     """Lines added and removed by a response's patch; a created file counts its content's lines; unreadable is unknown."""
-    hunks = F.from_json(F.get_json_object(response, "$.structuredPatch"), "array<struct<lines:array<string>>>")
-    all_ = F.flatten(F.transform(hunks, lambda h: h["lines"]))
-    count = lambda mark: F.size(F.filter(all_, lambda x: x.startswith(mark))).cast("bigint")
-    created, content = F.get_json_object(response, "$.type") == "create", F.get_json_object(response, "$.content")
+    hunks = F.from_json(json_field(response, "$.structuredPatch"), "array<struct<lines:array<string>>>")
+    count = lambda mark: let(F.transform(hunks, lambda h: h["lines"]), lambda x: F.when(x.isNotNull(), F.size(F.filter(F.flatten(x), lambda y: y.startswith(mark))).cast("bigint")))
+    created, content = json_field(response, "$.type") == "create", json_field(response, "$.content")
     whole = F.when(content == "", 0).otherwise(F.size(F.split(F.regexp_replace(content, "\n$", ""), "\n"))).cast("bigint")
-    known = hunks.isNotNull()
-    return F.when(created & content.isNotNull(), whole).when(known, count("+")), F.when(created & content.isNotNull(), F.lit(0).cast("bigint")).when(known, count("-"))
+    return F.when(created & content.isNotNull(), whole).otherwise(count("+")), F.when(created & content.isNotNull(), F.lit(0).cast("bigint")).otherwise(count("-"))
 
 
 COMMIT = r"(?m)^\[(\S+)(?: \(root-commit\))? ([0-9a-f]{7,40})\]"
@@ -294,7 +303,13 @@ def task_notices(p: DataFrame) -> DataFrame:
 
 
 def field(name: str, kind: str = "string") -> Column:
-    return F.try_variant_get(F.try_parse_json("payload"), f"$.{name}", kind)
+    """A field of payload rows that are opened()."""
+    return F.try_variant_get("_payload", f"$.{name}", kind)
+
+
+def opened(payloads: DataFrame) -> DataFrame:
+    """Payload rows with their payload decoded, once for all of its fields."""
+    return once(payloads, {"_payload": F.try_parse_json("payload")})
 
 
 #: Events that come with no effort of their own do not take the one given as a parameter if they are of these (fixed values).
@@ -307,7 +322,7 @@ def event_rows(payloads: DataFrame, effort: str | None = None) -> DataFrame:
     of = lambda name, *events: F.when(event.isin(*events), field(name))
     fallback = F.when(~event.isin(*WITHOUT_FALLBACK) & (F.coalesce(field("model"), F.lit("")) != "") & ~field("model").contains("haiku"), F.lit(effort))
     prompt = F.when(event.isin("UserPromptSubmit", "UserPromptExpansion"), F.octet_length(field("prompt"))).cast("bigint")
-    return payloads.where(~event.isin("PreToolUse", "PostToolUse", "PostToolUseFailure", "PostToolBatch")).select(
+    return opened(payloads.where(~event.isin("PreToolUse", "PostToolUse", "PostToolUseFailure", "PostToolBatch"))).select(
         "hash", "event", "session_id", field("agent_id").alias("agent_id"), field("agent_type").alias("agent_type"), field("prompt_id").alias("prompt_id"), F.col("received_ms").alias("ts"), of("source", "SessionStart").alias("source"), of("reason", "SessionEnd").alias("reason"),
         of("trigger", "Setup", "PreCompact", "PostCompact").alias("trigger"), of("error", "StopFailure").alias("error_type"), of("load_reason", "InstructionsLoaded").alias("load_reason"), of("memory_type", "InstructionsLoaded").alias("memory_type"),
         of("file_path", "InstructionsLoaded").alias("file_path"), of("tool_name", "PermissionRequest", "PermissionDenied").alias("tool"), of("command_name", "UserPromptExpansion").alias("command_name"), of("task_id", "TaskCreated", "TaskCompleted").alias("task_id"), prompt.alias("prompt_bytes"),
@@ -323,7 +338,7 @@ def sanitized(rows: DataFrame) -> DataFrame:
 
 
 def without_internal_agents(payloads: DataFrame, transcripts: DataFrame | None) -> DataFrame:
-    """Payloads but those of agents without a type that no transcript (path) is of: they are internal, and nothing of them is metered."""
+    """Payloads that are opened(), but those of agents without a type that no transcript (path) is of: they are internal, and nothing of them is metered."""
     if transcripts is None:
         return payloads
     path = F.concat(F.regexp_replace(field("transcript_path"), r"\.jsonl$", ""), F.lit("/subagents/agent-"), field("agent_id"), F.lit(".jsonl"))
@@ -334,18 +349,20 @@ def without_internal_agents(payloads: DataFrame, transcripts: DataFrame | None)
 
 def call_rows(payloads: DataFrame) -> DataFrame:
     """A call for each finished tool payload: it began its duration before it was received, not before 0. Input and error are as P01 and P03 leave them."""
-    p = payloads.where(F.col("event").isin("PostToolUse", "PostToolUseFailure"))
+    p = opened(payloads.where(F.col("event").isin("PostToolUse", "PostToolUseFailure")))
     took = field("duration_ms", "double").cast("bigint")
     failed = (F.col("event") == "PostToolUseFailure").cast("int")
     response = field("tool_response")
-    rows = p.select(
+    said = once(p.select("received_ms", "event", "session_id", "_payload"), {"tool": field("tool_name"), "_error": field("error"), "_took": took, "_response": response, "_input": field("tool_input"), "_cwd": field("cwd")})
+    tool, error, took, response = F.col("tool"), F.col("_error"), F.col("_took"), F.col("_response")
+    rows = said.select(
         field("tool_use_id").alias("tool_use_id"), "session_id", field("agent_id").alias("agent_id"), field("agent_type").alias("agent_type"), field("prompt_id").alias("prompt_id"), F.greatest(F.col("received_ms") - F.coalesce(took, F.lit(0)), F.lit(0)).alias("ts"), took.alias("duration_ms"),
-        field("tool_name").alias("tool"), field("tool_input").alias("input"), field("cwd").alias("cwd"), failed.alias("failed"), field("is_interrupt", "boolean").cast("int").alias("is_interrupt"), F.when(failed == 1, result_outcome(F.coalesce(field("error"), F.lit("")))).alias("outcome"),
-        F.when(failed == 1, F.octet_length(field("error")).cast("bigint")).otherwise(real_bytes(field("tool_name"), response)).alias("bytes_real"), response.alias("response"), F.when(failed == 1, field("error")).alias("error"),
+        tool, F.col("_input").alias("input"), F.col("_cwd").alias("cwd"), failed.alias("failed"), field("is_interrupt", "boolean").cast("int").alias("is_interrupt"), F.when(failed == 1, result_outcome(F.coalesce(error, F.lit("")))).alias("outcome"),
+        F.when(failed == 1, F.octet_length(error).cast("bigint")).otherwise(real_bytes(tool, response)).alias("bytes_real"), response.alias("response"), F.when(failed == 1, error).alias("error"),
     )
     added, removed = line_counts(F.col("response"))
     rows = file_columns_from_result(file_columns_from_input(rows)).withColumns({"lines_added": added, "lines_removed": removed})
-    sha, branch = commit_from_text(F.coalesce(F.get_json_object("input", "$.command"), F.lit("")), F.coalesce(F.get_json_object("response", "$.stdout"), F.lit("")))
+    sha, branch = commit_from_text(F.coalesce(json_field(F.col("input"), "$.command"), F.lit("")), F.coalesce(json_field(F.col("response"), "$.stdout"), F.lit("")))
     rows = rows.withColumns({"commit_sha": sha, "commit_branch": branch, "error": privacy.sanitize_error(F.col("error"), F.col("outcome"))}).drop("response")
     return sanitized(rows)
 
@@ -356,7 +373,7 @@ START_MODES = {"session_id": "fill", "agent_id": "fill", "ts": "min", "tool": "f
 
 def call_start_rows(payloads: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
     """What a tool's start says of its call, with its test runner and its input as P01 leaves it; merged by START_MODES."""
-    p = without_internal_agents(payloads.where("event = 'PreToolUse'"), transcripts)
+    p = without_internal_agents(opened(payloads.where("event = 'PreToolUse'")), transcripts)
     return sanitized(p.select(field("tool_use_id").alias("tool_use_id"), "session_id", field("agent_id").alias("agent_id"), F.col("received_ms").alias("ts"), field("tool_name").alias("tool"), field("tool_input").alias("input"), field("cwd").alias("cwd")))
 
 
@@ -367,7 +384,7 @@ def batch_rows(payloads: DataFrame, uses: DataFrame | None = None, transcripts:
     internal agents are left out (see without_internal_agents()).
     """
     calls = F.from_json(field("tool_calls"), "array<struct<tool_use_id:string,tool_name:string,tool_response:string>>")
-    b = without_internal_agents(payloads.where("event = 'PostToolBatch'"), transcripts).select("hash", "session_id", field("agent_id").alias("agent_id"), calls.alias("calls"))
+    b = without_internal_agents(opened(payloads.where("event = 'PostToolBatch'")), transcripts).select("hash", "session_id", field("agent_id").alias("agent_id"), calls.alias("calls"))
     b = b.select("*", F.posexplode("calls").alias("pos", "c"), F.concat(F.lit("pending:"), F.col("calls")[0]["tool_use_id"]).alias("pending"))
     b = b.select(F.col("c.tool_use_id").alias("tool_use_id"), "session_id", "agent_id", F.col("c.tool_name").alias("tool"), delivered_bytes(F.col("c.tool_response")).alias("bytes_delivered"), result_outcome(F.coalesce("c.tool_response", F.lit(""))).alias("outcome"), "pending")
     if uses is not None:
@@ -379,7 +396,7 @@ def batch_rows(payloads: DataFrame, uses: DataFrame | None = None, transcripts:
 
 def agent_rows(payloads: DataFrame) -> DataFrame:
     """What starts, stops and Agent calls say of a sub-agent."""
-    p = payloads.where("event in ('SubagentStart', 'SubagentStop')")
+    p = opened(payloads.where("event in ('SubagentStart', 'SubagentStop')"))
     own = p.select(field("agent_id").alias("agent_id"), "session_id", field("agent_type").alias("agent_type"), field("prompt_id").alias("prompt_id"), F.lit(None).cast("string").alias("parent_tool_use_id"), F.when(F.col("event") == "SubagentStart", F.col("received_ms")).alias("started"), F.when(F.col("event") == "SubagentStop", F.col("received_ms")).alias("stopped"))
-    call = payloads.where((F.col("event") == "PostToolUse") & field("tool_name").isin("Agent", "Task")).select(F.coalesce(field("tool_response.agentId"), field("tool_response.agent_id")).alias("agent_id"), "session_id", field("tool_input.subagent_type").alias("agent_type"), field("prompt_id").alias("prompt_id"), field("tool_use_id").alias("parent_tool_use_id"), F.lit(None).cast("bigint").alias("started"), F.lit(None).cast("bigint").alias("stopped"))
+    call = opened(payloads.where("event = 'PostToolUse'")).where(field("tool_name").isin("Agent", "Task")).select(F.coalesce(field("tool_response.agentId"), field("tool_response.agent_id")).alias("agent_id"), "session_id", field("tool_input.subagent_type").alias("agent_type"), field("prompt_id").alias("prompt_id"), field("tool_use_id").alias("parent_tool_use_id"), F.lit(None).cast("bigint").alias("started"), F.lit(None).cast("bigint").alias("stopped"))
     return own.unionByName(call).where("agent_id is not null")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.tables import once
+
 #: Counts above these are unknown and mark the line partial (fixed values).
 MOST_TOKENS, MOST_MICROS = 10**12, 10**15
 TOOL_EVENTS = ("PreToolUse", "PostToolUse", "PostToolUseFailure", "PostToolBatch")
@@ -27,7 +29,7 @@ def lines_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def is_object(raw: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT"), F.lit(False))
+    return F.coalesce(F.try_parse_json(raw).isNotNull() & raw.rlike(r"^\s*\{"), F.lit(False))
 
 
 def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -52,11 +54,12 @@ def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 def payloads(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(received_ms, hash, event, session_id, payload) of rows (received_ms, payload), and faults of those without a session or of an unknown event."""
     event, session = F.get_json_object("payload", "$.hook_event_name"), F.get_json_object("payload", "$.session_id")
-    rows = raw.select("received_ms", F.sha2("payload", 256).alias("hash"), event.alias("event"), session.alias("session_id"), "payload")
-    good = is_object(F.col("payload")) & F.col("session_id").isNotNull() & F.coalesce(F.col("event").isin(*LIFECYCLE_EVENTS, *TOOL_EVENTS), F.lit(False))
-    error = F.when(~is_object(F.col("payload")), "payload does not decode").when(F.col("session_id").isNull(), "payload without session").otherwise(F.concat(F.lit("unknown event "), F.coalesce("event", F.lit("?"))))
+    rows = once(raw.select("received_ms", "payload"), {"event": event, "session_id": session, "_object": is_object(F.col("payload"))})
+    rows = rows.select("received_ms", F.sha2("payload", 256).alias("hash"), "event", "session_id", "payload", "_object")
+    good = F.col("_object") & F.col("session_id").isNotNull() & F.coalesce(F.col("event").isin(*LIFECYCLE_EVENTS, *TOOL_EVENTS), F.lit(False))
+    error = F.when(~F.col("_object"), "payload does not decode").when(F.col("session_id").isNull(), "payload without session").otherwise(F.concat(F.lit("unknown event "), F.coalesce("event", F.lit("?"))))
     faults = rows.where(~good).select(F.concat(F.lit("payload:"), "hash", F.lit(":"), "received_ms").alias("fault_id"), F.col("received_ms").alias("ts"), "session_id", F.lit(None).cast("string").alias("tool_use_id"), F.lit("payload").alias("stage"), error.alias("error"))
-    return rows.where(good), faults
+    return rows.where(good).drop("_object"), faults
 
 
 def number(v: Column, name: str, most: int) -> Column:

@@ -39,7 +39,7 @@ def derived(rows: DataFrame) -> dict[str, DataFrame]:
     held = merge.claim_occurrences(rows)
     events = extract.event_rows(held).join(held.select("hash", F.col("received_ms").alias("ts"), "event_id", F.col("ts").alias("first_ts")), ["hash", "ts"]).withColumn("ts", F.col("first_ts")).drop("first_ts", "hash")
     events = merge.insert_earliest(events.distinct())
-    seen = held.select("session_id", "received_ms", "payload").select("session_id", F.col("received_ms").alias("ts"), extract.field("cwd").alias("cwd"), extract.field("transcript_path").alias("transcript_path"))
+    seen = extract.opened(held.select("session_id", "received_ms", "payload")).select("session_id", F.col("received_ms").alias("ts"), extract.field("cwd").alias("cwd"), extract.field("transcript_path").alias("transcript_path"))
     return {"events": events, "sessions": merge.touch_sessions(seen), "agent_turns": merge.agent_turns(events)}
 
 
