@@ -416,3 +416,14 @@ def test_json_is_decoded_once_a_row(spark):
     rows_ = extract.call_rows(raw.payloads(spark.createDataFrame([(5, payload.replace("\\\\u", "\\u"))], "received_ms bigint, payload string"))[0]).select("tool_use_id", "file_path", "read_start", "ts")
     assert [tuple(r) for r in rows_.collect()] == [("t", "/w/x", 7, 5)]
     assert plan(rows_).count("parseJson(payload") <= 2  # whether it is an object, and its fields
+
+
+def test_only_facts_with_an_archive_are_compared_whole(spark):
+    calls = spark.createDataFrame([("t1", "r1", 5), ("t2", "r1", None), ("t3", "r2", None), ("t4", "r9", None)], "tool_use_id string, request_id string, ts bigint")
+    requests = spark.createDataFrame([("r1", 5), ("r2", 50)], "request_id string, ts bigint")
+    parts = spark.createDataFrame([("t1", 0, "a"), ("t1", 1, "b"), ("t3", 0, "c"), ("gone", 0, "d")], "tool_use_id string, seq int, program string")
+    kept, filed = merge.retain({"calls": calls, "requests": requests, "command_parts": parts}, {"command_parts": parts.where("seq = 0").withColumn("program", F.when(F.col("tool_use_id") == "gone", "d").otherwise("z"))}, 10)
+    assert [r.tool_use_id for r in kept["calls"].orderBy("tool_use_id").collect()] == ["t3", "t4"] and filed["calls"].count() == 2
+    assert sorted((r.tool_use_id, r.program) for r in kept["command_parts"].collect()) == [("t1", "a"), ("t3", "c")]
+    assert sorted((r.tool_use_id, r.program) for r in filed["command_parts"].collect()) == [("gone", "d"), ("t1", "b"), ("t1", "z"), ("t3", "z")]
+    assert "to_json" not in kept["calls"]._jdf.queryExecution().optimizedPlan().toString()

@@ -327,19 +327,21 @@ AGGREGATES = ("calls", "requests", "request_iterations", "agents", "sessions", "
 PARENTS = {"request_iterations": ("requests", "request_id"), "command_parts": ("calls", "tool_use_id")}
 
 
-def expired(tables: Mapping[str, DataFrame], name: str, cutoff: int) -> DataFrame:
-    """The rows of a table that have aged out. A call without a time ages by its request, an agent and its turns by their stop, else their start, a session by its last row; dependants go with
-    their parent, or if it is gone. A row without any time stays."""
+def aged(tables: Mapping[str, DataFrame], name: str, cutoff: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of a table that stay, and those that have aged out. A call without a time ages by its request, an agent and its turns by their stop, else their start, a session by its last row;
+    dependants go with their parent, or if it is gone. A row without any time stays."""
     table = tables[name]
     if name in PARENTS:
         parent, key = PARENTS[name]
-        young = tables[parent].join(expired(tables, parent, cutoff).select(*KEYS[parent]), KEYS[parent], "left_anti")
-        return table.join(young.select(key).distinct(), key, "left_anti").select(table.columns)
+        young = aged(tables, parent, cutoff)[0].select(key).distinct()
+        return table.join(young, key, "left_semi").select(table.columns), table.join(young, key, "left_anti").select(table.columns)
     if name == "calls":
-        times = tables["requests"].select("request_id", F.col("ts").alias("_r_ts"))
-        return table.join(times, "request_id", "left").where(F.coalesce("ts", "_r_ts") < cutoff).select(table.columns)
+        times = tables["requests"].groupBy("request_id").agg(F.min("ts").alias("_r_ts"))
+        timed = table.where("ts is null").join(times, "request_id", "left")
+        by_own, by_request = retention(table.where("ts is not null"), cutoff), retention(timed, cutoff, "_r_ts")
+        return tuple(x.unionByName(y.select(table.columns)) for x, y in zip(by_own, by_request, strict=True))
     age = {"agents": F.coalesce("stopped", "started"), "agent_turns": F.coalesce("stopped", "started"), "sessions": F.col("last_ts")}
-    return retention(table, cutoff, age.get(name, "ts"))[1]
+    return retention(table, cutoff, age.get(name, "ts"))
 
 
 def retain(tables: Mapping[str, DataFrame], archives: Mapping[str, DataFrame], cutoff: int) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
@@ -349,7 +351,7 @@ def retain(tables: Mapping[str, DataFrame], archives: Mapping[str, DataFrame], c
     """
     kept, filed = {}, {}
     for name, table in tables.items():
-        old, key = expired(tables, name, cutoff), KEYS[name]
+        (kept[name], old), key = aged(tables, name, cutoff), KEYS[name]
         before = archives.get(name)
         if before is None:
             filed[name] = old
@@ -357,9 +359,11 @@ def retain(tables: Mapping[str, DataFrame], archives: Mapping[str, DataFrame], c
             filed[name] = old.unionByName(before.join(old.select(*key), key, "left_anti"), allowMissingColumns=True)
         else:
             filed[name] = before.unionByName(old.join(before.select(*key), key, "left_anti"), allowMissingColumns=True)
-        whole = F.to_json(F.struct(*table.columns)).alias("_whole")
-        safe = old.select(*key, whole).join(filed[name].select(*key, whole).distinct(), [*key, "_whole"], "left_semi")
-        kept[name] = table.withColumn("_whole", whole).join(safe, [*key, "_whole"], "left_anti").select(table.columns)
+            # only rows whose key the archive held before can differ from its copy
+            whole = F.to_json(F.struct(*table.columns)).alias("_whole")
+            copies = before.select(*key, whole).distinct()
+            differ = old.join(before.select(*key), key, "left_semi").withColumn("_whole", whole).join(copies, [*key, "_whole"], "left_anti")
+            kept[name] = kept[name].unionByName(differ.select(table.columns))
     return kept, filed
 
 
