@@ -484,3 +484,14 @@ def test_toxic_spans_and_scores(spark):
     assert isinstance(got[5].score, float)  # the text column that was there gives way
     odd = toxicity.score(docs(spark, ["", None, "!!", "İnasty ..."]), model).collect()
     assert all(0 <= r.score <= 1 for r in odd) and sum(not r.spans for r in odd) >= 3 and toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_near_dedup_links_by_fingerprints_before_anything_else(spark, monkeypatch):
+    rng = random.Random(5)
+    base = words(rng, 900, 5000)
+    texts = [base, base + " end", words(rng, 300, 5000), words(rng, 300, 5000)]
+    rows = dict(enumerate(simhash.majority(simhash.shingle_hashes(simhash.words_of(t), 5)) for t in texts))
+    assert int(rows[0] ^ rows[1]).bit_count() <= simhash.MOST < int(rows[0] ^ rows[2]).bit_count()
+    prefixes = simhash.prefixes
+    monkeypatch.setattr(simhash, "prefixes", lambda *a: prefixes(*a).limit(0))
+    assert found_components(spark, texts) == [0, 0, 2, 3]

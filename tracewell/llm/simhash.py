@@ -177,26 +177,28 @@ def slot_of(found: np.ndarray) -> np.ndarray:
 
 
 def with_set_ids(docs: DataFrame, key: str, shingle: int) -> DataFrame:
-    """(key, read, id, part, counts): for each row of docs a hash of its text and of its shingle set; then, with a part, counts by slot of the sets of a task."""
+    """(key, read, id, fp, part, counts): for each row of docs a hash of its text and of its shingle set, and its fingerprint; then, with a part, counts by slot of the sets of a task."""
     rows = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).withColumn("read", F.xxhash64("text"))
-    fields = T.StructType([docs.schema[key], *T.StructType.fromDDL("read long, id long, part int, counts binary").fields])
+    fields = T.StructType([docs.schema[key], *T.StructType.fromDDL("read long, id long, fp long, part int, counts binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(SLOTS, np.uint32), set()
         for batch in batches:
-            ids = []
+            ids, prints = [], []
             for text in batch.column("text").to_pylist():
-                found = shingle_set(text, shingle)
+                hashes = shingle_hashes(words_of(text), shingle)
+                found = np.unique(hashes)
                 ids.append(set_id(found))
+                prints.append(_signed(int(majority(hashes))))
                 if ids[-1] not in seen:
                     seen.add(ids[-1])
                     np.add.at(total, slot_of(found), 1)
             n, none = len(ids), batch.slice(0, 0).column(key).type
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("read"), pa.array(ids, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], fields.names)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("read"), pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], fields.names)
         if seen:
             blobs = [zlib.compress(total[at : at + PART].tobytes(), 1) for at in range(0, SLOTS, PART)]
             n = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, none), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(blobs, pa.binary())], fields.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, none), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(blobs, pa.binary())], fields.names)
 
     return rows.mapInArrow(run, fields)
 
@@ -322,11 +324,22 @@ def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int,
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-6).select("a", "b")
 
 
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): set ids of `prints` (id, fp) whose fingerprints link (see links()), or are equal. The smallest id of a fingerprint stands for it."""
+    sets = saved(prints.select("id", "fp").distinct(), "fingerprints")
+    least = sets.groupBy("fp").agg(F.min("id").alias("least"))
+    equal = sets.join(least, "fp").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    of = lambda end: least.select(F.col("fp").alias(f"{end}_fp"), F.col("least").alias(end))
+    near = links(least.select("fp")).toDF("a_fp", "b_fp").join(of("a"), "a_fp").join(of("b"), "b_fp").select("a", "b")
+    return equal.unionByName(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, component_id) for each row of `docs` (key, text): components of links between texts of a shingle similarity.
 
     Two texts link if the Jaccard similarity of their sets of shingles is that or more: no more and no fewer links than all pairs would
-    give, up to collisions of 64-bit hashes. Rows with equal sets are copies, and one stands for them. Sets that can be so similar share
+    give, up to collisions of 64-bit hashes. Rows with equal sets are copies, and one stands for them. SimHash fingerprints come first: texts whose fingerprints
+    link by the pivot tables (see links()) are verified by their whole sets and joined. What is still apart then, since no threshold on fingerprints finds all pairs of a similarity, is completed: sets that can be so similar share
     one of their rarest shingles (prefix filtering), whose cells bring them together; sizes and places discard, and the whole sets verify.
     Two sets that both meet late in a cell, or differ much in size, are not brought together (see meetings()). In a cell of over CHUNK members each meets HUBS members first; members that are in one component by then need not be
     compared, and all other pairs of the cell are, after at most STARS such rounds.
@@ -335,7 +348,7 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
     table gives no rows; texts of any length are taken whole, one at a time; other columns, whatever their names, are not used.
     """
     whole = saved(with_set_ids(docs, key, shingle), "set-ids")
-    prints = whole.where("part is null").select(key, "read", "id")
+    prints = whole.where("part is null").select(key, "read", "id", "fp")
     members = saved(prefixes(docs, shingle, similarity, rarity(whole.where("part is not null"))), "prefixes")
     large = saved(members.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > CHUNK).select("cell"), "large-cells")
 
@@ -361,10 +374,17 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
         """rows with the component of a node in place of it; a node without links is one by itself."""
         return rows.join(reached.withColumnRenamed("id", node), node, "left").withColumn(node, F.coalesce("root", node)).drop("root")
 
-    crowded = members.join(large, "cell", "left_semi").withColumn("root", F.col("id"))
+    def grown(reached: DataFrame, met: DataFrame) -> DataFrame:
+        """reached (id, root) with the links met: only components are joined on, links between them, then their members' new roots."""
+        joined = saved(connected_components(root_of(root_of(met, "a", reached), "b", reached)).toDF("id", "root"), "joined")
+        moved = root_of(reached.withColumnRenamed("root", "r"), "r", joined).withColumnRenamed("r", "root")
+        return saved(moved.unionByName(joined.join(reached, "id", "left_anti")), "reached")
+
+    reached = saved(connected_components(linked(fingerprint_pairs(prints))).toDF("id", "root"), "reached")
+    placed = members.join(reached, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    crowded = placed.join(large, "cell", "left_semi")
     apart = F.col("a.root") != F.col("b.root")
-    found = linked(all_pairs(members.join(large, "cell", "left_anti")).unionByName(star(crowded, 0, apart)).distinct())
-    reached = saved(connected_components(found).toDF("id", "root"), "reached")
+    reached = grown(reached, linked(all_pairs(placed.join(large, "cell", "left_anti"), apart).unionByName(star(crowded, 0, apart)).distinct()))
     salt, before, last = 0, None, False
     while not last:
         known = crowded.drop("root").join(reached, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -381,10 +401,7 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
         salt += 1
         last = salt >= STARS or open_ <= DENSE * rows or (before is not None and open_ > before / 2)
         met = linked(all_pairs(crowded, apart) if last else star(crowded, salt, apart))
-        # only components are joined on: links between them, then their members' new roots
-        joined = saved(connected_components(root_of(root_of(met, "a", reached), "b", reached)).toDF("id", "root"), "joined")
-        moved = root_of(reached.withColumnRenamed("root", "r"), "r", joined).withColumnRenamed("r", "root")
-        reached = saved(moved.unionByName(joined.join(reached, "id", "left_anti")), "reached")
+        reached = grown(reached, met)
         before = open_
     distinct = prints.groupBy("id").agg(F.min(key).alias("least"))
     grouped = distinct.join(reached, "id", "left").withColumn("root", F.coalesce("root", "id"))
