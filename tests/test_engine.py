@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -427,3 +428,14 @@ def test_only_facts_with_an_archive_are_compared_whole(spark):
     assert sorted((r.tool_use_id, r.program) for r in kept["command_parts"].collect()) == [("t1", "a"), ("t3", "c")]
     assert sorted((r.tool_use_id, r.program) for r in filed["command_parts"].collect()) == [("gone", "d"), ("t1", "b"), ("t1", "z"), ("t3", "z")]
     assert "to_json" not in kept["calls"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_quoted_words_are_split_in_linear_time():
+    took = []
+    for n in (10_000, 160_000):
+        command = "git commit -m 'x" + "word and " * (n // 9) + "' && echo \"" + "y $? z " * (n // 7) + '"'
+        start = time.perf_counter()
+        found = commands.segments(command)
+        took.append(time.perf_counter() - start)
+        assert [len(s.words) for s in found] == [4, 2] and len(found[0].words[3]) == 1 + 9 * (n // 9) and found[1].expands
+    assert took[1] < 64 * took[0] + 0.05  # sixteen times as long; quadratic time is 256 times
