@@ -439,3 +439,14 @@ def test_long_quoted_words_are_split_in_linear_time():
         took.append(time.perf_counter() - start)
         assert [len(s.words) for s in found] == [4, 2] and len(found[0].words[3]) == 1 + 9 * (n // 9) and found[1].expands
     assert took[1] < 64 * took[0] + 0.05  # sixteen times as long; quadratic time is 256 times
+
+
+def test_descendants_write_agents_without_descendants_once(spark, monkeypatch):
+    links = [(f"a{i}", f"a{i - 1}") for i in range(1, 18)] + [(f"leaf{i}", f"a{i % 18}") for i in range(500)]
+    agents = spark.createDataFrame([(a, f"t{a}") for a, _ in links], "agent_id string, parent_tool_use_id string")
+    calls = spark.createDataFrame([(f"t{a}", by) for a, by in links], "tool_use_id string, agent_id string")
+    written, saved = [], recipes.saved
+    monkeypatch.setattr(recipes, "saved", lambda df: written.append(saved(df)) or written[-1])
+    got = {r.agent_id: r.depth for r in recipes.descendants(calls, agents, "a0").collect()}
+    assert got == {"a0": 0} | {f"a{i}": i for i in range(1, 18)} | {f"leaf{i}": i % 18 + 1 for i in range(500)}
+    assert sum(df.count() for df in written) < 3 * len(links)

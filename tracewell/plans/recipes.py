@@ -47,22 +47,26 @@ def agent_calls(calls: DataFrame, agents: DataFrame, session_id: str, limit: int
 def descendants(calls: DataFrame, agents: DataFrame, agent_id: str) -> DataFrame:
     """(agent_id, depth): an agent and all that it started, theirs included.
 
-    Pointers to who started whom are doubled: after k rounds an agent's pointer is 2^k steps up, or at the agent asked for, where it stops. Agents whose pointer has come to the top of another tree are
-    left out of the next round, so few are left of shallow trees, and a chain of n takes log n rounds. A circle that does not hold the agent never ends; rounds end once they reach
-    further than there are agents. An agent that several calls claim to have started belongs to the smallest of their agents.
+    Agents that started none are left aside, and follow the one that started them at the end. Pointers of the others to who started whom are doubled: after k rounds an agent's pointer is 2^k steps up, or at
+    the agent asked for, where it stops, and the agent is written for good. Agents whose pointer has come to the top of another tree are left out of the next round, so few are left of shallow trees, and a
+    chain of n takes log n rounds. A circle that does not hold the agent never ends; rounds end once they reach further than there are agents. An agent that several calls claim to have started belongs to the smallest of their agents.
     """
     spark = calls.sparkSession
     by = calls.select(F.col("tool_use_id").alias("parent_tool_use_id"), F.col("agent_id").alias("at"))
     up = agents.join(by, "parent_tool_use_id").where((F.col("agent_id") != agent_id) & F.col("at").isNotNull()).groupBy("agent_id").agg(F.min("at").alias("at"))
-    up = saved(up.withColumn("steps", F.lit(1)))
+    up = saved(up)
+    inner = up.select(F.col("at").alias("agent_id")).distinct().withColumn("starts", F.lit(True))
+    up = saved(up.join(inner, "agent_id", "left"))
+    leaves, up = up.where("starts is null").drop("starts"), up.where("starts").select("agent_id", "at", F.lit(1).alias("steps"))
     most, reach, home = up.count(), 1, F.col("at") == agent_id
     found, rest = up.where(home), up.where(~home)
     while reach <= most and not rest.isEmpty():
         further = found.unionByName(rest).select(F.col("agent_id").alias("at"), F.col("at").alias("above"), F.col("steps").alias("more"))
-        rest = saved(rest.join(further, "at").select("agent_id", F.col("above").alias("at"), (F.col("steps") + F.col("more")).alias("steps")))
-        found, rest, reach = saved(found.unionByName(rest.where(home))), rest.where(~home), 2 * reach
+        moved = saved(rest.join(further, "at").select("agent_id", F.col("above").alias("at"), (F.col("steps") + F.col("more")).alias("steps")))
+        found, rest, reach = found.unionByName(saved(moved.where(home))), moved.where(~home), 2 * reach
     root = spark.range(1).select(F.lit(agent_id).alias("agent_id"), F.lit(0).alias("depth"))
-    return root.unionByName(found.select("agent_id", F.col("steps").alias("depth")))
+    tree = root.unionByName(found.select("agent_id", F.col("steps").alias("depth")))
+    return tree.unionByName(leaves.join(tree.withColumnRenamed("agent_id", "at"), "at").select("agent_id", (F.col("depth") + 1).alias("depth")))
 
 
 def family(requests: DataFrame, calls: DataFrame, agents: DataFrame, agent_id: str) -> DataFrame:
