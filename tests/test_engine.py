@@ -450,3 +450,11 @@ def test_descendants_write_agents_without_descendants_once(spark, monkeypatch):
     got = {r.agent_id: r.depth for r in recipes.descendants(calls, agents, "a0").collect()}
     assert got == {"a0": 0} | {f"a{i}": i for i in range(1, 18)} | {f"leaf{i}": i % 18 + 1 for i in range(500)}
     assert sum(df.count() for df in written) < 3 * len(links)
+
+
+def test_compared_calls_are_joined_without_columns_that_no_class_reads(spark):
+    calls = spark.createDataFrame([("t1", "s1", None, "Read", "r1", 1, 0, 5, "long"), ("t2", "s1", None, "Read", "r1", 1, 0, 5, "long")], "tool_use_id string, session_id string, agent_id string, tool string, request_id string, bytes_delivered long, failed int, ts long, input string")
+    got = reconcile.compare_calls(calls, calls.where("tool_use_id = 't1'").withColumn("tool", F.lit("Bash")))
+    assert rows(got.select("class", "id")) == rows(spark.createDataFrame([("call tool", "t1"), ("call extra", "t2")], "class string, id string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "input#" in line and "RDD" not in line]

@@ -17,12 +17,14 @@ from tracewell.tables import saved
 
 def mismatches(store: DataFrame, source: DataFrame, key: str, classes: Mapping[str, Column], one_sided: tuple[str, str] = ("missing", "extra")) -> DataFrame:
     """(class, session_id, ts, id): rows of one side only, and the classes that hold for rows of both (columns s.* stored, t.* read)."""
-    s = store.select(F.col(key).alias("id"), F.struct("*").alias("s"))
-    t = source.select(F.col(key).alias("id"), F.struct("*").alias("t"))
-    j = s.join(t, "id", "full_outer")
-    both = F.col("s").isNotNull() & F.col("t").isNotNull()
-    found = F.array_compact(F.array(F.when(F.col("s").isNull(), one_sided[0]), F.when(F.col("t").isNull(), one_sided[1]), *(F.when(both & F.coalesce(c, F.lit(False)), n) for n, c in classes.items())))
-    return j.select(F.explode(found).alias("class"), F.coalesce("s.session_id", "t.session_id").alias("session_id"), F.coalesce("s.ts", "t.ts").alias("ts"), "id")
+    # columns cross the join one by one, so Spark leaves out those that no class reads; the structs are put together behind it
+    side = lambda df, name: df.select(F.col(key).alias("id"), F.lit(True).alias(f"_{name}"), *(F.col(c).alias(f"_{name}_{c}") for c in df.columns))
+    struct = lambda df, name: F.struct(*(F.col(f"_{name}_{c}").alias(c) for c in df.columns)).alias(name)
+    j = side(store, "s").join(side(source, "t"), "id", "full_outer").select("id", "_s", "_t", struct(store, "s"), struct(source, "t"))
+    both = F.col("_s").isNotNull() & F.col("_t").isNotNull()
+    found = F.array_compact(F.array(F.when(F.col("_s").isNull(), one_sided[0]), F.when(F.col("_t").isNull(), one_sided[1]), *(F.when(both & F.coalesce(c, F.lit(False)), n) for n, c in classes.items())))
+    rows = j.select(found.alias("found"), F.coalesce("s.session_id", "t.session_id").alias("session_id"), F.coalesce("s.ts", "t.ts").alias("ts"), "id")
+    return rows.select(F.explode("found").alias("class"), "session_id", "ts", "id")
 
 
 def differ(column: str) -> Column:
