@@ -458,3 +458,13 @@ def test_compared_calls_are_joined_without_columns_that_no_class_reads(spark):
     assert rows(got.select("class", "id")) == rows(spark.createDataFrame([("call tool", "t1"), ("call extra", "t2")], "class string, id string"))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "input#" in line and "RDD" not in line]
+
+
+def test_calls_of_known_requests_are_not_joined_to_be_repointed(spark):
+    calls = spark.createDataFrame([("t1", "pending:t1"), ("t2", "pending:t1"), ("t3", "pending:t3"), ("t4", "r4"), ("t5", None)], "tool_use_id string, request_id string")
+    uses = spark.createDataFrame([("t2", "r2"), ("t2", "r1"), ("t4", "r9")], "tool_use_id string, request_id string")
+    requests = spark.createDataFrame([("pending:t1", 1, 1), ("r1", 2, 0)], "request_id string, ts long, pending int")
+    merged, moved = merge.resolve_pending(requests, calls, uses)
+    assert rows(moved) == rows(spark.createDataFrame([("t1", "r1"), ("t2", "r1"), ("t3", "pending:t3"), ("t4", "r4"), ("t5", None)], calls.schema))
+    assert [tuple(r) for r in merged.collect()] == [("r1", 1, 0)]
+    assert "Join LeftOuter, (request_id#" not in moved._jdf.queryExecution().optimizedPlan().toString()

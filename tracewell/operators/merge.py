@@ -108,8 +108,13 @@ def agent_turns(events: DataFrame) -> DataFrame:
 
 def resolve_pending(requests: DataFrame, calls: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A provisional request becomes the message that holds one of its calls: calls are re-pointed, its values fill, the earlier time stays."""
-    found = calls.where(F.col("request_id").startswith("pending:")).join(uses.select("tool_use_id", F.col("request_id").alias("found")), "tool_use_id").groupBy("request_id").agg(F.min("found").alias("found"))
-    moved = calls.join(found, "request_id", "left").withColumn("request_id", F.coalesce("found", "request_id")).select(calls.columns)
+    provisional = F.coalesce(F.col("request_id").startswith("pending:"), F.lit(False))
+    known = uses.groupBy("tool_use_id").agg(F.min("request_id").alias("found"))
+    pending = calls.where(provisional).join(known, "tool_use_id", "left")
+    found = pending.where("found is not null").groupBy("request_id").agg(F.min("found").alias("found"))
+    # calls of known requests are not shuffled
+    moved = pending.withColumn("request_id", F.coalesce(F.min("found").over(Window.partitionBy("request_id")), "request_id")).select(calls.columns)
+    moved = calls.where(~provisional).unionByName(moved)
     named = requests.join(found, "request_id", "left").withColumn("_was", F.col("found").isNotNull()).withColumn("request_id", F.coalesce("found", "request_id")).drop("found")
     others = [c for c in requests.columns if c not in ("request_id", "ts", "pending")]
     stored = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col("_was").cast("int").alias("w"), F.col("ts").alias("t"), F.col(c).alias("v"))))["v"].alias(c)
