@@ -468,3 +468,12 @@ def test_calls_of_known_requests_are_not_joined_to_be_repointed(spark):
     assert rows(moved) == rows(spark.createDataFrame([("t1", "r1"), ("t2", "r1"), ("t3", "pending:t3"), ("t4", "r4"), ("t5", None)], calls.schema))
     assert [tuple(r) for r in merged.collect()] == [("r1", 1, 0)]
     assert "Join LeftOuter, (request_id#" not in moved._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_details_are_decoded_one_at_a_time_out_of_arrow_batches(spark):
+    from pyspark.util import PythonEvalType
+
+    data = [(json.dumps({"status": "kept", "secret": "é" * n}), None if n % 2 else "SessionEnd") for n in range(50)] + [(None, "SessionEnd"), ("{torn", None), ('"text"', None)]
+    got = spark.createDataFrame(data, "d string, e string").coalesce(1).select(privacy.sanitize_detail("d", F.col("e")).alias("d")).collect()
+    assert [r.d for r in got] == [f'{{"status":"kept","secret_bytes":{2 * n}}}' for n in range(50)] + [None] * 3
+    assert privacy._details.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF

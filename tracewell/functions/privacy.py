@@ -6,6 +6,7 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,8 +125,10 @@ def _detail(value: object, event: str | None, key: str | None, sized: bool, tool
     return value
 
 
-@F.pandas_udf(T.StringType())
-def _details(details: pd.Series, events: pd.Series, tools: pd.Series, whole: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _details(details: pa.Array, events: pa.Array, tools: pa.Array, whole: pa.Array) -> pa.Array:
+    """Texts leave their Arrow batch one at a time, so one decoded text is held, not those of a batch."""
+
     def one(text: str | None, event: str | None, tool: str | None, payload: bool) -> str | None:
         try:
             found = None if text is None else json.loads(text)
@@ -142,7 +145,7 @@ def _details(details: pd.Series, events: pd.Series, tools: pd.Series, whole: pd.
         cleaned = _detail(found, event, None, False, tool)
         return json.dumps(cleaned | more if more else cleaned, separators=(",", ":"), ensure_ascii=False)
 
-    return pd.Series([one(*x) for x in zip(details, events, tools, whole, strict=True)], dtype=object)
+    return pa.array((one(*(v.as_py() for v in x)) for x in zip(details, events, tools, whole, strict=True)), pa.string())
 
 
 def sanitize_detail(detail: Column | str, event: Column | None = None, tool: Column | None = None) -> Column:
