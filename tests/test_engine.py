@@ -477,3 +477,46 @@ def test_details_are_decoded_one_at_a_time_out_of_arrow_batches(spark):
     got = spark.createDataFrame(data, "d string, e string").coalesce(1).select(privacy.sanitize_detail("d", F.col("e")).alias("d")).collect()
     assert [r.d for r in got] == [f'{{"status":"kept","secret_bytes":{2 * n}}}' for n in range(50)] + [None] * 3
     assert privacy._details.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+
+
+def test_sequences_equal_a_plain_count(spark):
+    """Parties cut by batches, files used again, texts that hold the separator or end like a mark, and steps without a tool."""
+    rng = random.Random(11)
+    tools, files = ["Read", "Edit > x", "Edit > x new", "x", None, "a new", "a"], ["/f", "/g", None]
+    data = [(f"t{i:05}", f"s{0 if i % 3 == 0 else rng.randrange(60)}", rng.choice([None, "a1", "a2"]), rng.choice([i, i // 4, None]), rng.choice(tools), rng.choice(files), rng.choice([None, 5, 1 << 40])) for i in range(3000)]
+    calls = spark.createDataFrame(data, "tool_use_id string, session_id string, agent_id string, ts bigint, tool string, file_path string, bytes_delivered bigint").repartition(5)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+        got = {(r.run_key, r.n): (r.occurrences, r.agents, r.bytes, r.mean_bytes) for r in reports.sequences(calls, spark.createDataFrame([], schema.schema("command_parts")), None).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+    def key(run):
+        marks = ["" if c[5] is None else " same" if c[5] in [b[5] for b in run[:i]] else " new" for i, c in enumerate(run)]
+        return " > ".join(c[4] + m for c, m in zip(run, marks, strict=True) if c[4] is not None)
+
+    parties = {}
+    for c in sorted((c for c in data if c[3] is not None), key=lambda c: (c[1], c[2] or "", c[3], c[0])):
+        parties.setdefault((c[1], c[2]), []).append(c)
+    runs = {}
+    for party, row in parties.items():
+        for n in range(2, 6):
+            for i in range(len(row) - n + 1):
+                runs.setdefault((key(row[i : i + n]), n), []).append((party, row[i : i + n]))
+    runs = {k: v for k, v in runs.items() if len({p for p, _ in v}) > 1}
+    inside = {(key(v[0][1][i : i + m]), m, len(v)) for (_, n), v in runs.items() for m in range(2, n) for i in range(n - m + 1)}
+    want = {}
+    for (text, n), v in runs.items():
+        sizes = [sum(c[6] for c in run) for _, run in v if all(c[6] is not None for c in run)]
+        if (text, n, len(v)) not in inside:
+            want[text, n] = (len(v), len({p for p, _ in v}), sum(sizes), sum(sizes) // len(sizes) if sizes else None)
+    assert len(want) > 100 and got == want
+
+
+def test_sequences_count_runs_without_their_calls(spark, monkeypatch):
+    """No strings of calls are held in aggregates: those would be sorted, and spilled, with each run of each party."""
+    monkeypatch.setattr(reports, "top", lambda rows, *_: rows)
+    calls = spark.createDataFrame([], "tool_use_id string, session_id string, agent_id string, ts bigint, tool string, file_path string, bytes_delivered bigint")
+    plan = reports.sequences(calls, spark.createDataFrame([], schema.schema("command_parts")))._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "SortAggregate(key=[run_key" in line and "occurrences" not in line.split("functions=")[0]]

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.merge import open_prompts
 from tracewell.operators.filters import LIMIT, nearest_ranks, settled, top, value_counts
 from tracewell.schema import not_ledger
+from tracewell.tables import once
 
 FILE = r"^([^\t]*)\t([^\t]*)\t([01?])\t(.*)$"
 READS = ("read-whole", "read-range", "search")
@@ -135,32 +141,88 @@ def context(requests: DataFrame, calls: DataFrame, parts: DataFrame, limit: int
     return top(out, [F.desc("peak"), "session_id", F.col("agent_id").asc_nulls_first()], limit)
 
 
+#: The longest run of R06; what a file's distance is where there is no file; and bits a step takes in a run's shape: its pieces of text, which are seldom more than one, and that distance.
+LONGEST, NO_FILE, SHAPE_BITS, DISTANCE_BITS = 5, 7, 12, 3
+RUNS = "run_key string, n int, party bigint, whole bigint, occurrences bigint, bytes bigint, sized bigint, at bigint, shape bigint"
+
+
+def runs_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """RUNS of rows (party, at, shape, run_n and size_n for each n) in order of party and at: for each run its occurrences in parties that lie inside the batch, and how many parties these are (`whole`).
+    The first and the last party may go on in other batches: theirs are rows of their own, with the party's number."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        party, at, shape = (batch.column(c).to_numpy() for c in ("party", "at", "shape"))
+        number = np.cumsum(np.concatenate([[0], party[1:] != party[:-1]]))
+        part = np.where(party == party[0], 1, np.where(party == party[-1], 2, 0))
+        for n in range(2, LONGEST + 1):
+            runs, sizes = batch.column(f"run_{n}"), batch.column(f"size_{n}")
+            rows = np.flatnonzero(runs.is_valid().to_numpy(zero_copy_only=False))
+            texts = runs.drop_null().dictionary_encode()
+            k = len(texts.dictionary)
+            of = texts.indices.to_numpy().astype(np.int64) + part[rows] * k
+            occurrences, known = np.bincount(of, minlength=3 * k), sizes.is_valid().to_numpy(zero_copy_only=False)[rows]
+            total, first = np.zeros(3 * k, np.int64), np.zeros(3 * k, np.int64)
+            np.add.at(total, of, sizes.fill_null(0).to_numpy()[rows])
+            first[of[::-1]] = rows[::-1]
+            parties = np.unique(of * (number[-1] + 1) + number[rows]) // (number[-1] + 1)
+            got = np.flatnonzero(occurrences)
+            inside = got < k
+            whole = np.where(inside, np.bincount(parties, minlength=3 * k)[got], 0)
+            columns = [texts.dictionary.take(pa.array(got % max(k, 1))), pa.array(np.full(len(got), n, np.int32)), pa.array(party[first[got]], mask=inside), *map(pa.array, (whole, occurrences[got], total[got], np.bincount(of[known], minlength=3 * k)[got], at[first[got]], shape[first[got]] & ((1 << SHAPE_BITS * n) - 1)))]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in RUNS.split(", ")])
+
+
 def sequences(calls: DataFrame, parts: DataFrame, limit: int | None = LIMIT) -> DataFrame:
-    """Runs of two to five consecutive steps that recur in two parties or more; a shorter run inside a longer one with the same count is left out."""
+    """Runs of two to five consecutive steps that recur in two parties or more; a shorter run inside a longer one with the same count is left out.
+
+    Calls are dealt by ranges of parties, so their place in the sorted whole tells which occurrence of a run is the first. What is aggregated are texts and whole numbers: a run's shape says which
+    piece of its text is which step, and how many steps before it the same file was used.
+    """
     program = F.element_at(F.split("program", "/"), -1)
     first = parts.groupBy("tool_use_id").agg(F.min_by(program, "seq").alias("program"))
-    c = calls.where("ts is not null").join(first, "tool_use_id", "left")
-    step = F.when(F.col("tool") == "Bash", F.concat(F.lit("Bash "), F.coalesce("program", F.lit("?")))).otherwise(F.col("tool"))
+    timed = calls.where("ts is not null").select("session_id", "agent_id", "ts", "tool_use_id", "tool", "file_path", "bytes_delivered")
+    is_shell = F.col("tool").eqNullSafe("Bash")
+    shell = timed.where(is_shell).join(first, "tool_use_id", "left").withColumn("step", F.concat(F.lit("Bash "), F.coalesce("program", F.lit("?"))))
+    steps = shell.drop("program").unionByName(timed.where(~is_shell).withColumn("step", F.col("tool"))).drop("tool").repartitionByRange("session_id", "agent_id")
     order = Window.partitionBy("session_id", "agent_id").orderBy("ts", "tool_use_id")
-    ahead = F.collect_list(F.struct(step.alias("step"), F.col("file_path").alias("file"), F.col("bytes_delivered").alias("bytes"))).over(order.rowsBetween(0, 4))
-    # rows of at most five steps: the runs that start at each call
-    starts = c.select("session_id", "agent_id", "ts", "tool_use_id", ahead.alias("run"))
-    runs = starts.withColumn("n", F.explode(F.expr("CASE WHEN size(run) >= 2 THEN sequence(2, size(run)) ELSE CAST(array() AS array<int>) END"))).withColumn("run", F.slice("run", 1, F.col("n")))
-
-    def keyed(run: Column) -> Column:
-        before = lambda x, i: F.exists(F.slice(run, F.lit(1), i), lambda y: y["file"] == x["file"])
-        return F.array_join(F.transform(run, lambda x, i: F.concat(x["step"], F.when(x["file"].isNull(), "").when(F.coalesce(before(x, i), F.lit(False)), " same").otherwise(" new"))), " > ")
-
+    file = F.col("file_path")
+    near = F.when(file.isNull(), NO_FILE)
+    for k in range(1, LONGEST):
+        near = near.when(F.lag("file_path", k).over(order) == file, k)
+    pieces = F.when(F.col("step").isNull(), 0).otherwise(F.least(F.size(F.split("step", " > ")), F.lit((1 << SHAPE_BITS - DISTANCE_BITS) - 1)))
+    steps = steps.select("session_id", "agent_id", "ts", "tool_use_id", "step", F.col("bytes_delivered").alias("bytes"), near.otherwise(0).alias("near"), pieces.alias("pieces"))
+    here = F.struct("step", "bytes", "near", "pieces")
+    ahead = steps.select(F.row_number().over(order).alias("place"), here.alias("s0"), *(F.lead(here, k).over(order).alias(f"s{k}") for k in range(1, LONGEST)))
+    ahead = ahead.withColumn("at", F.monotonically_increasing_id())
+
+    def marked(x: Column, before: Column | int) -> Column:
+        """The text of a step in a run with so many steps before it; null if it has none."""
+        return F.concat(x["step"], F.when(x["near"] == NO_FILE, "").when(x["near"].between(1, before), " same").otherwise(" new"))
+
+    s = [F.col(f"s{k}") for k in range(LONGEST)]
+    texts = [marked(x, k) for k, x in enumerate(s)]
     # an unknown size leaves the occurrence's bytes out whole
-    size = F.aggregate("run", F.lit(0).cast("bigint"), lambda s, x: s + x["bytes"])
-    keyed_runs = runs.select(keyed(F.col("run")).alias("run_key"), "n", "session_id", "agent_id", F.struct("ts", "tool_use_id").alias("at"), size.alias("size"), "run")
-    by_party = keyed_runs.groupBy("run_key", "n", "session_id", "agent_id").agg(F.count("*").alias("occurrences"), F.sum("size").alias("bytes"), F.count("size").alias("sized"), F.min_by("run", "at").alias("run"))
-    found = by_party.groupBy("run_key", "n").agg(
-        F.sum("occurrences").alias("occurrences"), F.count("*").alias("agents"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.sum("sized").alias("sized"),
-        F.min_by("run", F.struct("session_id", F.coalesce("agent_id", F.lit("")))).alias("first"),
+    of_n = [c for n in range(2, LONGEST + 1) for c in (
+        F.when(s[n - 1].isNotNull(), F.concat_ws(" > ", *texts[:n])).alias(f"run_{n}"), reduce(lambda a, b: a + b, (x["bytes"] for x in s[:n])).cast("bigint").alias(f"size_{n}"))]
+    shape = reduce(lambda a, b: a + b, (F.coalesce(F.shiftleft((x["pieces"] * (1 << DISTANCE_BITS) + x["near"]).cast("bigint"), SHAPE_BITS * k), F.lit(0)) for k, x in enumerate(s)))
+    runs = ahead.select((F.col("at") - F.col("place")).alias("party"), "at", shape.alias("shape"), *of_n).mapInArrow(runs_of_batch, RUNS)
+    found = runs.groupBy("run_key", "n").agg(
+        F.sum("occurrences").alias("occurrences"), (F.sum("whole") + F.count_distinct("party")).alias("agents"), F.sum("bytes").alias("bytes"), F.sum("sized").alias("sized"), F.min_by("shape", "at").alias("shape"),
     ).where("agents >= 2")
     # a run with the sub-runs of its first occurrence, each by key; one that is a sub-run of another with the same count goes
-    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("n") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("n") - m + 1), lambda i: F.struct(keyed(F.slice("first", i, m)).alias("run_key"), m.cast("int").alias("n"), F.lit(None).cast("struct<agents:bigint,bytes:bigint,sized:bigint>").alias("own")))))
+    of_shape = lambda k, shift, bits: F.shiftright("shape", SHAPE_BITS * k + shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    size = [of_shape(k, DISTANCE_BITS, SHAPE_BITS - DISTANCE_BITS) for k in range(LONGEST)]
+
+    def step_of(k: int) -> Column:
+        text = F.array_join(F.slice("pieces", reduce(lambda a, b: a + b, size[:k], F.lit(1)), size[k]), " > ")
+        distance = of_shape(k, 0, DISTANCE_BITS)
+        mark = F.when(distance == NO_FILE, 0).when(distance.between(1, k), len(" same")).otherwise(len(" new"))
+        return F.struct(F.when(size[k] > 0, F.left(text, F.length(text) - mark)).alias("step"), distance.alias("near"))
+
+    found = once(once(found, {"pieces": F.split("run_key", " > ")}), {"steps": F.slice(F.array(*map(step_of, range(LONGEST))), 1, F.col("n"))})
+    keyed = lambda run: F.array_join(F.transform(run, lambda x, i: marked(x, i)), " > ")
+    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("n") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("n") - m + 1), lambda i: F.struct(keyed(F.slice("steps", i, m)).alias("run_key"), m.cast("int").alias("n"), F.lit(None).cast("struct<agents:bigint,bytes:bigint,sized:bigint>").alias("own")))))
     own = F.struct("run_key", F.col("n").cast("int").alias("n"), F.struct(*(F.col(c).cast("bigint").alias(c) for c in ("agents", "bytes", "sized"))).alias("own"))
     each = found.select("occurrences", F.explode(F.when(F.col("n") > 2, F.concat(F.array(own), inner)).otherwise(F.array(own))).alias("r")).select("occurrences", "r.*")
     kept = each.groupBy("run_key", "n", "occurrences").agg(F.max("own").alias("own"), F.count_if(F.col("own").isNull()).alias("inside")).where("own is not null and inside = 0").select("run_key", "n", "occurrences", "own.*")
