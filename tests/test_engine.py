@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import time
 
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tracewell import schema
 from tracewell.functions import commands, privacy
 from tracewell.operators import classify, extract, filters, merge, reconcile
-from tracewell.plans import recipes, reports
+from tracewell.plans import catalog, recipes, reports
 from tracewell.sources import raw, sinks
 
 
@@ -520,3 +521,27 @@ def test_sequences_count_runs_without_their_calls(spark, monkeypatch):
     calls = spark.createDataFrame([], "tool_use_id string, session_id string, agent_id string, ts bigint, tool string, file_path string, bytes_delivered bigint")
     plan = reports.sequences(calls, spark.createDataFrame([], schema.schema("command_parts")))._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "SortAggregate(key=[run_key" in line and "occurrences" not in line.split("functions=")[0]]
+
+
+def test_batch_calls_are_taken_out_of_their_batch_decoded(spark):
+    call = lambda i, **more: {"tool_use_id": i, "tool_name": "T", "tool_response": "xé", **more}
+    batch = lambda calls: json.dumps({"hook_event_name": "PostToolBatch", "session_id": "s", "agent_id": "a", "tool_calls": calls})
+    told = [batch([call("1"), call("2", tool_response={"b": [1]})]), batch([None, call("3")]), batch([5, call("4")]), batch([]), batch(None), batch("t"), batch(call("5")), batch([call("6", tool_response=[{"type": "text", "text": "hé"}]), call(7)])]
+    good, _ = raw.payloads(spark.createDataFrame([(i, p) for i, p in enumerate(told)], "received_ms bigint, payload string"))
+    got = extract.batch_rows(good)
+    assert sorted(map(str, ((r.tool_use_id, r.bytes_delivered, r.request_id) for r in got.collect()))) == sorted(map(str, [("1", 3, "pending:1"), ("2", 9, "pending:1"), (None, 0, None), ("3", 3, None), (None, 0, None), ("4", 3, None), ("5", 3, "pending:5"), ("6", 3, "pending:6"), ("7", 3, "pending:6")]))
+    # the list itself stays behind where its calls become rows
+    assert re.search(r"Generate explode\(calls#\d+\), \[\d+\]", got._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_payloads_are_decoded_once(spark):
+    told = ['{"session_id":7,"hook_event_name":"Stop"}', '{"session_id":1.50,"hook_event_name":"Stop"}', '{"session_id":{"a":1.0},"hook_event_name":"Stop"}', ' {"session_id":"\\u0041","hook_event_name":"Stop"}', '{"session_id":"t","hook_event_name":"Stop","a":', "[1]", None, '{"session_id":null,"hook_event_name":"Stop"}']
+    good, faults = raw.payloads(spark.createDataFrame([(i, p) for i, p in enumerate(told)], "received_ms bigint, payload string"))
+    assert sorted(r.session_id for r in good.collect()) == ["1.5", "7", "A", '{"a":1.0}']
+    assert sorted((r.ts, r.session_id) for r in faults.collect()) == [(4, None), (5, None), (6, None), (7, None)]
+    assert "[_decoded#" in good._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_claims_join_no_payloads(spark):
+    plan = catalog.queries()["m02_claim_occurrences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan[: plan.index("Join Inner")]

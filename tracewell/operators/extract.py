@@ -383,10 +383,16 @@ def batch_rows(payloads: DataFrame, uses: DataFrame | None = None, transcripts:
     Calls that no transcript message holds yet share the pending request of the batch's first call. With `transcripts` (path), batches of
     internal agents are left out (see without_internal_agents()).
     """
-    calls = F.from_json(field("tool_calls"), "array<struct<tool_use_id:string,tool_name:string,tool_response:string>>")
-    b = without_internal_agents(opened(payloads.where("event = 'PostToolBatch'")), transcripts).select("hash", "session_id", field("agent_id").alias("agent_id"), calls.alias("calls"))
-    b = b.select("*", F.posexplode("calls").alias("pos", "c"), F.concat(F.lit("pending:"), F.col("calls")[0]["tool_use_id"]).alias("pending"))
-    b = b.select(F.col("c.tool_use_id").alias("tool_use_id"), "session_id", "agent_id", F.col("c.tool_name").alias("tool"), delivered_bytes(F.col("c.tool_response")).alias("bytes_delivered"), result_outcome(F.coalesce("c.tool_response", F.lit(""))).alias("outcome"), "pending")
+    batches = without_internal_agents(opened(payloads.where("event = 'PostToolBatch'")), transcripts)
+    of = lambda call, name: F.try_variant_get(call, f"$.{name}", "string")
+    # one call may stand alone, without a list
+    alone = F.when(field("tool_calls", "map<string,variant>").isNotNull(), F.array(field("tool_calls", "variant")))
+    batches = once(batches.select("session_id", "_payload"), {"agent_id": field("agent_id"), "calls": F.coalesce(field("tool_calls", "array<variant>"), alone)})
+    # a call is taken out of its batch decoded, and the others do not go along with it
+    b = batches.select("session_id", "agent_id", F.concat(F.lit("pending:"), of(F.get("calls", F.lit(0)), "tool_use_id")).alias("pending"), "calls")
+    b = b.select("session_id", "agent_id", "pending", F.explode("calls").alias("_call"))
+    b = once(b, {"tool_use_id": of(F.col("_call"), "tool_use_id"), "tool": of(F.col("_call"), "tool_name"), "_response": of(F.col("_call"), "tool_response")})
+    b = b.select("tool_use_id", "session_id", "agent_id", "tool", delivered_bytes(F.col("_response")).alias("bytes_delivered"), result_outcome(F.coalesce("_response", F.lit(""))).alias("outcome"), "pending")
     if uses is not None:
         b = b.join(uses.select("tool_use_id", F.col("request_id").alias("known")), "tool_use_id", "left").withColumn("request_id", F.coalesce("known", "pending")).drop("known")
     else:

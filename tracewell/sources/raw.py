@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.tables import once
+from tracewell.tables import let, once
 
 #: Counts above these are unknown and mark the line partial (fixed values).
 MOST_TOKENS, MOST_MICROS = 10**12, 10**15
@@ -53,8 +53,16 @@ def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 def payloads(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(received_ms, hash, event, session_id, payload) of rows (received_ms, payload), and faults of those without a session or of an unknown event."""
-    event, session = F.get_json_object("payload", "$.hook_event_name"), F.get_json_object("payload", "$.session_id")
-    rows = once(raw.select("received_ms", "payload"), {"event": event, "session_id": session, "_object": is_object(F.col("payload"))})
+    # decoded once; of a payload that does not decode, what stands before the place where it is torn
+    decoded = once(raw.select("received_ms", "payload"), {"_decoded": F.try_parse_json("payload")})
+    is_one = F.coalesce(F.col("_decoded").isNotNull() & F.col("payload").rlike(r"^\s*\{"), F.lit(False))
+
+    def of(name: str) -> Column:
+        # what may be no text is told as it is written
+        value, written = F.when(is_one, F.try_variant_get("_decoded", f"$.{name}", "string")), F.get_json_object("payload", f"$.{name}")
+        return let(value, lambda x: F.when(x.isNull() | x.rlike(r"^(?:[{\[].*|-?[0-9][0-9.eE+-]*)$"), written).otherwise(x))
+
+    rows = once(decoded, {"event": of("hook_event_name"), "session_id": of("session_id"), "_object": is_one})
     rows = rows.select("received_ms", F.sha2("payload", 256).alias("hash"), "event", "session_id", "payload", "_object")
     good = F.col("_object") & F.col("session_id").isNotNull() & F.coalesce(F.col("event").isin(*LIFECYCLE_EVENTS, *TOOL_EVENTS), F.lit(False))
     error = F.when(~F.col("_object"), "payload does not decode").when(F.col("session_id").isNull(), "payload without session").otherwise(F.concat(F.lit("unknown event "), F.coalesce("event", F.lit("?"))))
