@@ -361,7 +361,7 @@ SEEN = lambda S: S.hook_events.select("session_id", "ts", F.when(F.col("ts") % 3
 entry("m01_merge", lambda S: M.merge(S.requests.select("request_id", "ts", F.when(F.col("ts") % 3 != 0, F.col("model")).alias("model"), "output_tokens", "context_tokens"), S.requests.select(F.when(F.col("ts") % 5 == 0, F.concat(F.lit("new-"), "request_id")).otherwise(F.col("request_id")).alias("request_id"), (F.col("ts") + 5).alias("ts"), F.concat("model", F.lit("!")).alias("model"), (F.col("output_tokens") + 1).alias("output_tokens"), (F.col("context_tokens") - 1).alias("context_tokens")), ["request_id"], {"ts": "min", "model": "fill", "output_tokens": "overwrite", "context_tokens": "max"}),
       """SELECT request_id, ts, CASE WHEN ts % 3 <> 0 THEN model WHEN ts % 5 <> 0 THEN model || '!' END AS model, CASE WHEN ts % 5 <> 0 THEN output_tokens + 1 ELSE output_tokens END AS output_tokens, context_tokens FROM {requests}
       UNION ALL SELECT 'new-' || request_id, ts + 5, model || '!', output_tokens + 1, context_tokens - 1 FROM {requests} WHERE ts % 5 = 0""")
-entry("m02_claim_occurrences", lambda S: M.claim_occurrences(SRC.payloads(X.payload_rows(S))[0]).select("event", "session_id", F.get_json_object("payload", "$.nonce").alias("nonce"), "received_ms", "ts", F.col("event_id").contains(":").alias("later")),
+entry("m02_claim_occurrences", lambda S: M.claim_occurrences(SRC.payloads(X.payload_rows(S))[0].select("hash", "event", "session_id", F.get_json_object("payload", "$.nonce").alias("nonce"), "received_ms")).select("event", "session_id", "nonce", "received_ms", "ts", F.col("event_id").contains(":").alias("later")),
       "SELECT event, session_id, event_id || '!' AS nonce, ts + d AS received_ms, CASE d WHEN 1400 THEN ts + 1400 ELSE ts END AS ts, d = 1400 AS later FROM {hook_events}, UNNEST(CASE WHEN ts % 3 = 0 THEN [0, 400, 1400] ELSE [0] END) AS u(d)")
 entry("m03_touch_sessions", lambda S: M.touch_sessions(SEEN(S)), """WITH e AS (SELECT session_id, ts, CASE WHEN ts % 3 = 0 THEN '/d' || (ts % 7) END AS cwd, CASE WHEN ts % 4 = 0 THEN '/t' || (ts % 5) END AS tp FROM {hook_events})
  SELECT session_id, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(cwd, (ts, cwd)) FILTER (cwd IS NOT NULL) AS cwd, min(ts) FILTER (cwd IS NOT NULL) AS cwd_ts, arg_max(tp, (ts, tp)) FILTER (tp IS NOT NULL) AS transcript_path, max(ts) FILTER (tp IS NOT NULL) AS transcript_path_ts FROM e GROUP BY session_id""")
