@@ -545,3 +545,13 @@ def test_payloads_are_decoded_once(spark):
 def test_claims_join_no_payloads(spark):
     plan = catalog.queries()["m02_claim_occurrences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "get_json_object" not in plan[: plan.index("Join Inner")]
+
+
+def test_equal_parts_are_looked_at_once(spark):
+    """Also parts that lack values: none is lost where what was found of a part is joined."""
+    data = [(f"c{i}", seq, *what) for i in range(30) for seq, what in enumerate([("sed", '["-i", "s/a/b/", "f"]', None), (None, None, None), ("cat", None, '["write\\t\\t?\\to"]'), ("git", '["status"]', "[]")])]
+    df = spark.createDataFrame(data, "id string, seq int, program string, args string, files string").repartition(3)
+    judged = classify.part_classes(df)
+    got = {(r.id, r.seq): r.classes for r in judged.collect()}
+    assert len(got) == 120 and all(got[f"c{i}", seq] == got["c0", seq] for i in range(30) for seq in range(4)) and got["c0", 0] == ["edit"] and got["c0", 1] == [] and got["c0", 3] == ["read"]
+    assert re.search(r"Join Inner, \(what#\d+ = what#\d+\)", judged._jdf.queryExecution().optimizedPlan().toString())

@@ -265,24 +265,29 @@ def part_classes(parts: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     Classes come from the program, its arguments and the files that its output goes to. A tee writes what the part before it says, and a
     move over a file from what an earlier part made of that file is an edit; both are judged inside a command (id, path), in order of seq. A parse_status of the parts is kept.
     """
-    p = enriched(parts, rules).withColumn("a", F.when(F.col("wrapped").isNull(), args_()).otherwise(F.slice("a", 1, F.col("wrapped.cut") - 1)))
+    kept = [c for c in ("parse_status",) if c in parts.columns]
+    # each distinct part is looked at once
+    what = F.struct(*(c for c in ("program", "args", "files", "stdout", "fed", "expands", "script") if c in parts.columns)).alias("what")
+    path = F.coalesce("path", F.lit("")) if "path" in parts.columns else F.lit("")
+    named = parts.select("id", path.alias("path"), "seq", *kept, what)
+    p = enriched(named.select("what").distinct().select("what", "what.*"), rules).withColumn("a", F.when(F.col("wrapped").isNull(), args_()).otherwise(F.slice("a", 1, F.col("wrapped.cut") - 1)))
     p = p.withColumn("named", programs_in(args_()))
     ruled = F.exists("tests", lambda t: (F.array_position("named", t["name"]) > 0) & F.arrays_overlap(F.slice("a", F.greatest(F.array_position("named", t["name"]), F.lit(1)), F.size("a")), t["words"]))
     p = p.withColumn("ruled", ruled)
     # a part, then the commands that a find runs
     row = lambda main, program, a, ruled, script: F.struct(F.lit(main).alias("main"), program.alias("base"), a.alias("a"), ruled.alias("ruled"), script.alias("script"))
     run = F.transform(F.when(base() == "find", find_commands(args_())).otherwise(F.array().cast("array<array<string>>")), lambda c: row(False, base_name(c[0]), after(c, F.lit(1)), F.lit(False), F.lit("")))
-    kept = [c for c in ("parse_status",) if c in parts.columns]
-    rows = p.select("id", "path", "seq", *kept, "writes", "stdout", "fed", "expands", F.explode_outer(F.concat(F.array(row(True, base(), args_(), F.col("ruled"), F.col("script"))), run)).alias("r"))
-    rows = with_own(rows.select("id", "path", "seq", *kept, "writes", "stdout", "fed", "expands", "r.*")).withColumn("ops", operands(args_()))
+    rows = p.select("what", "writes", "stdout", "fed", "expands", F.explode_outer(F.concat(F.array(row(True, base(), args_(), F.col("ruled"), F.col("script"))), run)).alias("r"))
+    rows = with_own(rows.select("what", "writes", "stdout", "fed", "expands", "r.*")).withColumn("ops", operands(args_()))
     has_file = F.exists("ops", lambda x: x != "/dev/null")
     authors = (base().isin("echo", "printf") & ~F.col("expands")) | ((base() == "cat") & F.col("fed") & ~has_file)
     moves = base().isin("mv", "cp") & (F.size("ops") >= 2)
     facts = [
-        F.col("seq"), *map(F.col, kept), F.col("main"), F.col("own"), F.col("fed"), F.col("stdout"), F.col("writes"), authors.alias("authors"), ((base() == "tee") & has_file).alias("tees"),
+        F.col("main"), F.col("own"), F.col("fed"), F.col("stdout"), F.col("writes"), authors.alias("authors"), ((base() == "tee") & has_file).alias("tees"),
         F.when(moves, F.try_element_at("ops", F.lit(1))).alias("source"), F.when(moves, normal(F.try_element_at("ops", F.lit(-1)))).alias("target"), F.transform(args_(), normal).alias("of"),
     ]
-    group = rows.select("id", "path", F.struct(*facts).alias("part")).groupBy("id", "path").agg(F.collect_list("part").alias("all"))
+    looked = named.join(rows.select("what", F.struct(*facts).alias("of")), "what")
+    group = looked.select("id", "path", F.struct("seq", *kept, "of.*").alias("part")).groupBy("id", "path").agg(F.collect_list("part").alias("all"))
     group = group.withColumn("mains", F.array_sort(F.filter("all", lambda x: x["main"]), lambda x, y: x["seq"] - y["seq"]))
 
     def judged(x: Column, i: Column) -> Column:
