@@ -495,3 +495,18 @@ def test_near_dedup_links_by_fingerprints_before_anything_else(spark, monkeypatc
     prefixes = simhash.prefixes
     monkeypatch.setattr(simhash, "prefixes", lambda *a: prefixes(*a).limit(0))
     assert found_components(spark, texts) == [0, 0, 2, 3]
+
+
+def test_dedup_leaves_no_tables_but_what_its_result_reads(spark):
+    rng = random.Random(5)
+    base = words(rng, 120)
+    df = docs(spark, [base, base + " more", base, None, words(rng, 90), "x " + base[:400], ""])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.conf.get('spark.checkpoint.dir')}/tables-{spark.sparkContext.applicationId}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda: {s.getPath().getName() for s in fs.listStatus(folder)} if fs.exists(folder) else set()
+    for operator, name in ((simhash.near_dedup, "gone"), (suffix_dedup.without_repeats, "spans")):
+        before = there()
+        kept = operator(df)
+        (left,) = there() - before
+        assert left.startswith(f"{name}-") and before <= there()
+        assert kept.count() == (4 if name == "gone" else 7)

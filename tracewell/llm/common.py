@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextvars import ContextVar
 from functools import reduce
 
 import pyarrow as pa
@@ -23,6 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Folders that are cleared when their application ends.
 _to_clear: set[str] = set()
+#: The tables written so far in the innermost saved_only() at work.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,9 +52,32 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         _to_clear.add(folder)
         there = spark._jvm.org.apache.hadoop.fs.Path(folder)
         there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    if (written := _written.get()) is not None:
+        written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_only(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make(), written as saved() does; the tables that make() wrote on the way are removed then, so nothing else may read them.
+
+    Spark removes the shuffle files and broadcasts of earlier plans when the driver's JVM collects them, which a large heap puts off for long; so it is asked to.
+    """
+    outer, written = _written.get(), []
+    token = _written.set(written)
+    try:
+        result = saved(make(), name)
+    finally:
+        _written.reset(token)
+    spark = result.sparkSession
+    for path in written[:-1]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    if outer is not None:
+        outer.append(written[-1])
+    spark._jvm.System.gc()
+    return result
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

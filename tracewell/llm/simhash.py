@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import map_texts, saved
+from tracewell.llm.common import map_texts, saved, saved_only
 from tracewell.llm.components import connected_components
 
 SEED = 42
@@ -367,8 +367,8 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
         met = rows.alias("a").join(hub.alias("b"), "cell").where(apart & may_link(similarity))
         return met.select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b")).distinct()
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return saved(verified(docs, prints, saved(pairs, "pairs"), shingle, similarity), "near")
+    def linked(pairs: Callable[[], DataFrame]) -> DataFrame:
+        return saved_only(lambda: verified(docs, prints, saved(pairs(), "pairs"), shingle, similarity), "near")
 
     def root_of(rows: DataFrame, node: str, reached: DataFrame) -> DataFrame:
         """rows with the component of a node in place of it; a node without links is one by itself."""
@@ -376,15 +376,19 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
 
     def grown(reached: DataFrame, met: DataFrame) -> DataFrame:
         """reached (id, root) with the links met: only components are joined on, links between them, then their members' new roots."""
-        joined = saved(connected_components(root_of(root_of(met, "a", reached), "b", reached)).toDF("id", "root"), "joined")
-        moved = root_of(reached.withColumnRenamed("root", "r"), "r", joined).withColumnRenamed("r", "root")
-        return saved(moved.unionByName(joined.join(reached, "id", "left_anti")), "reached")
 
-    reached = saved(connected_components(linked(fingerprint_pairs(prints))).toDF("id", "root"), "reached")
+        def more() -> DataFrame:
+            joined = saved(connected_components(root_of(root_of(met, "a", reached), "b", reached)).toDF("id", "root"), "joined")
+            moved = root_of(reached.withColumnRenamed("root", "r"), "r", joined).withColumnRenamed("r", "root")
+            return moved.unionByName(joined.join(reached, "id", "left_anti"))
+
+        return saved_only(more, "reached")
+
+    reached = saved_only(lambda: connected_components(linked(lambda: fingerprint_pairs(prints))).toDF("id", "root"), "reached")
     placed = members.join(reached, "id", "left").withColumn("root", F.coalesce("root", "id"))
     crowded = placed.join(large, "cell", "left_semi")
     apart = F.col("a.root") != F.col("b.root")
-    reached = grown(reached, linked(all_pairs(placed.join(large, "cell", "left_anti"), apart).unionByName(star(crowded, 0, apart)).distinct()))
+    reached = grown(reached, linked(lambda: all_pairs(placed.join(large, "cell", "left_anti"), apart).unionByName(star(crowded, 0, apart)).distinct()))
     salt, before, last = 0, None, False
     while not last:
         known = crowded.drop("root").join(reached, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -400,7 +404,7 @@ def similar(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity:
         crowded = saved(known.join(per.select("cell"), "cell", "left_semi").select("cell", "id", "n", "at", "root"), "open-members")
         salt += 1
         last = salt >= STARS or open_ <= DENSE * rows or (before is not None and open_ > before / 2)
-        met = linked(all_pairs(crowded, apart) if last else star(crowded, salt, apart))
+        met = linked(lambda: all_pairs(crowded, apart) if last else star(crowded, salt, apart))  # noqa: B023
         reached = grown(reached, met)
         before = open_
     distinct = prints.groupBy("id").agg(F.min(key).alias("least"))
@@ -416,5 +420,6 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarit
     the same key and other texts, all stay if one does. Rows with a null key stay, one for each text. Columns are those of docs, whatever
     their names; an empty table gives no rows.
     """
-    gone = similar(docs, key, shingle, similarity).groupBy(key).agg(F.bool_or(F.col(key) == F.col("component_id")).alias("stays")).where(~F.col("stays"))
-    return docs.join(gone.select(key), key, "left_anti").dropDuplicates([key, "text"])
+    stays = F.bool_or(F.col(key) == F.col("component_id")).alias("stays")
+    gone = saved_only(lambda: similar(docs, key, shingle, similarity).groupBy(key).agg(stays).where(~F.col("stays")).select(key), "gone")
+    return docs.join(gone, key, "left_anti").dropDuplicates([key, "text"])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import PART_BYTES, saved, slices
+from tracewell.llm.common import PART_BYTES, saved, saved_only, slices
 from tracewell.llm.suffix_sort import Suffixes
 
 LENGTH = 200
@@ -309,11 +309,16 @@ def matches(rows: DataFrame, runs: DataFrame) -> DataFrame:
 
 def repeated(rows: DataFrame) -> DataFrame:
     """Of `rows` (row, also, text), all (row, also, start, length) to remove, in bytes; they may overlap."""
-    written = saved(anchors(rows), "anchors")
+
+    def again() -> DataFrame:
+        written = saved(anchors(rows), "anchors")
+        runs = written.where("n > 0")
+        several = runs.groupBy("prefix").agg(F.sum("n").alias("times")).where("times > 1")
+        return runs.join(several.select("prefix"), "prefix").unionByName(written.where("n = 0"))
+
+    written = saved_only(again, "runs")
     found = written.where("n = 0").select(*ROW, F.col("at").alias("start"), F.col("windows").alias("length"))
-    runs = written.where("n > 0")
-    again = runs.groupBy("prefix").agg(F.sum("n").alias("times")).where("times > 1")
-    return found.unionByName(matches(rows, saved(runs.join(again.select("prefix"), "prefix"), "runs")))
+    return found.unionByName(matches(rows, written.where("n > 0")))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -330,7 +335,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[s
     keep = [c for c in (keep or docs.columns) if c not in ("n_bytes", "n_removed", "spans", "kept")]
     names = [f"_{c}" for c in keep]
     rows = docs.select(F.xxhash64(key, text).alias("row"), F.hash(key, text).alias("also"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("text"))
-    found = repeated(rows.select(*ROW, "text")).groupBy(*ROW).agg(F.collect_list(F.struct("start", "length")).alias("found"))
+    found = saved_only(lambda: repeated(rows.select(*ROW, "text")).groupBy(*ROW).agg(F.collect_list(F.struct("start", "length")).alias("found")), "spans")
     joined = rows.join(found, ROW, "left").select(*names, "text", "found")
     schema = docs.select(*keep, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"), F.lit(b"").alias("kept")).schema
 
