@@ -135,6 +135,29 @@ def test_ledger_stream_keeps_the_best_line(spark, tmp_path):
     assert {r.kind: r["count"] for r in summary.collect()} == {"side calls": 2, "held but unrecorded": 0, "priced": 0}
 
 
+def test_lines_of_one_file_are_parsed_in_many_tasks(spark, tmp_path, monkeypatch):
+    ledger = spark.range(400).selectExpr("'/l/s1.jsonl' AS path", "id AS line_no", """concat('{"request_id":"a', id % 40, '","join":"log","cost_usd_micros":', id % 40, '}') AS raw""")
+    said = spark.range(400).selectExpr("'/t/s1.jsonl' AS path", "id AS line_no", """concat('{"type":"user","promptId":"p', id, '"}') AS raw""")
+    tasks, store = {}, ingest.open_store(spark, f"file://{tmp_path}/store")
+
+    def spied(name, f):
+        def seen(lines):
+            tasks[name] = lines.select(F.spark_partition_id().alias("p")).distinct().count()
+            return f(lines)
+
+        return seen
+
+    monkeypatch.setattr(raw, "ledger", spied("ledger", raw.ledger))
+    monkeypatch.setattr(extract, "parsed", spied("transcripts", extract.parsed))
+    for name, lines, start in (("ledger", ledger, ingest.ledger_batches), ("transcripts", said, ingest.transcript_batches)):
+        lines.coalesce(1).write.parquet(f"file://{tmp_path}/{name}")
+        stream = spark.readStream.schema("path string, line_no bigint, raw string").parquet(f"file://{tmp_path}/{name}")
+        start(stream, store, f"file://{tmp_path}/{name}-cp").awaitTermination()
+    assert set(tasks) == {"ledger", "transcripts"} and min(tasks.values()) > 1
+    assert store.read("ledger").count() == 40 and store.read("prompts").count() == 400
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
 def message(i, at, **more):
     return json.dumps({"type": "assistant", "sessionId": "s", "timestamp": f"2024-01-01T00:00:{at:02}Z", **more, "message": {"id": i, "model": "a", "content": [], **more.get("message", {})}})
 

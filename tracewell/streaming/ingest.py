@@ -5,6 +5,9 @@ Spark's file source follows whole files, so writers of ledgers, payloads and tra
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -75,6 +78,16 @@ def _run(stream: DataFrame, batch, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@contextmanager
+def dealt(lines: DataFrame) -> Iterator[DataFrame]:
+    """The lines (path, line_no, raw) of a micro-batch, read once for all tables that they go to and dealt by line: a file, however large, may come in one task, and lines are parsed in many."""
+    held = lines.repartition(lines.sparkSession.sparkContext.defaultParallelism, "path", "line_no").persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def payload_stream(spark: SparkSession, source: str, store: Store, checkpoint: str, files: int = 1000) -> StreamingQuery:
     """Files of (received_ms, payload) rows, JSON lines, into `deliveries` and `faults`; so many files at most in a micro-batch."""
 
@@ -99,9 +112,10 @@ def ledger_batches(lines: DataFrame, store: Store, checkpoint: str) -> Streaming
     """A stream of ledger lines (path, line_no, raw) into `ledger` and `ledger_faults`; the session is the stem of the path."""
 
     def batch(df: DataFrame, number: int) -> None:
-        rows, faults = raw.ledger(df)
-        store.append("ledger", rows, "ledger", number)
-        store.append("ledger_faults", faults, "ledger", number)
+        with dealt(df) as lines:
+            rows, faults = raw.ledger(lines)
+            store.append("ledger", rows, "ledger", number)
+            store.append("ledger_faults", faults, "ledger", number)
 
     return _run(lines, batch, checkpoint)
 
@@ -115,12 +129,13 @@ def transcript_batches(lines: DataFrame, store: Store, checkpoint: str) -> Strea
     """A stream of transcript lines (path, line_no, raw) into `messages`, what each line says of its message, `prompts`, and `line_faults`."""
 
     def batch(df: DataFrame, number: int) -> None:
-        good = raw.is_object(F.col("raw"))
-        p = extract.parsed(df.where(good))
-        store.append("messages", extract.message_parts(p), "transcripts", number)
-        store.append("prompts", extract.prompt_lines(p), "transcripts", number)
-        bad = df.where(~good).select(F.concat_ws(":", F.lit("line"), "path", F.col("line_no").cast("string")).alias("fault_id"), F.lit(None).cast("bigint").alias("ts"), F.lit("parse").alias("stage"), F.left("raw", F.lit(200)).alias("error"))
-        store.append("line_faults", bad, "transcripts", number)
+        with dealt(df) as lines:
+            good = raw.is_object(F.col("raw"))
+            p = extract.parsed(lines.where(good))
+            store.append("messages", extract.message_parts(p), "transcripts", number)
+            store.append("prompts", extract.prompt_lines(p), "transcripts", number)
+            bad = lines.where(~good).select(F.concat_ws(":", F.lit("line"), "path", F.col("line_no").cast("string")).alias("fault_id"), F.lit(None).cast("bigint").alias("ts"), F.lit("parse").alias("stage"), F.left("raw", F.lit(200)).alias("error"))
+            store.append("line_faults", bad, "transcripts", number)
 
     return _run(lines, batch, checkpoint)
 
