@@ -431,6 +431,20 @@ def test_only_facts_with_an_archive_are_compared_whole(spark):
     assert "to_json" not in kept["calls"]._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_archived_facts_are_placed_with_their_parents(spark):
+    calls = spark.createDataFrame([("young", None, 50), ("old", None, 5)], "tool_use_id string, request_id string, ts bigint")
+    requests = spark.createDataFrame([("r", 5)], "request_id string, ts bigint")
+    parts = spark.createDataFrame([("young", 0, "a", "x"), ("young", 1, "b", "x"), ("old", None, "c", "x"), ("old", 1, "same", "x"), ("old", 2, "other", "x"), ("old", 3, "new", "x"), (None, 0, "none", "x")], "tool_use_id string, seq int, program string, args string")
+    archive = spark.createDataFrame([("young", 0, "z"), ("old", 1, "same"), ("old", 2, "z"), (None, 0, "z")], "tool_use_id string, seq int, program string")  # keeps no args
+    events = spark.createDataFrame([("e1", 5, "a"), ("e2", 5, None), ("e3", 5, None), ("e4", None, "d"), ("e5", 50, "e")], "event_id string, ts bigint, event string")
+    filed = spark.createDataFrame([("e2", 5, None), ("e3", 5, "z"), ("e5", 5, "z")], "event_id string, ts bigint, event string")
+    placed = merge.place({"calls": calls, "requests": requests, "command_parts": parts, "events": events}, {"command_parts": archive, "events": filed}, 10)
+    got = sorted((r.place, r.tool_use_id or "-", -1 if r.seq is None else r.seq, r.program) for r in placed["command_parts"].collect())
+    assert got == [("archive", "-", 0, "none"), ("archive", "-", 0, "z"), ("archive", "old", -1, "c"), ("archive", "old", 1, "same"), ("archive", "old", 2, "z"), ("archive", "old", 3, "new"), ("archive", "young", 0, "z"),
+                   ("kept", "old", 2, "other"), ("kept", "young", 0, "a"), ("kept", "young", 1, "b")]
+    assert sorted((r.place, r.event_id, r.event or "-") for r in placed["events"].collect()) == [("archive", "e1", "a"), ("archive", "e2", "-"), ("archive", "e3", "z"), ("archive", "e5", "z"), ("kept", "e3", "-"), ("kept", "e4", "d"), ("kept", "e5", "e")]
+
+
 def test_long_quoted_words_are_split_in_linear_time():
     took = []
     for n in (10_000, 160_000):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import math
 import os
+import re
 from decimal import Decimal
 
 import pytest
@@ -50,5 +51,21 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(tuple(cell(row[c]) for c in sorted(names)) for row in got) == want
 
 
+def test_retention_deals_calls_once(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no driver tables")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = catalog.queries()["m25_retention"](spark, SF)
+        frame.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    made = plan[plan.index("Final Plan") : plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    dealt = [found[1] for line in made.splitlines() if "ReusedExchange" not in line and (found := re.search(r"Exchange hashpartitioning\((\w+)#", line))]
+    assert [dealt.count(c) for c in ("l_orderkey", "o_orderkey", "tool_use_id")] == [1, 1, 1]
+
+
 def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog.oracles())

@@ -316,12 +316,6 @@ def insert_lost_faults(faults: DataFrame, new: DataFrame) -> DataFrame:
     return new.select(columns).exceptAll(faults.select(columns))
 
 
-def retention(table: DataFrame, cutoff: int, ts: str | Column = "ts") -> tuple[DataFrame, DataFrame]:
-    """M25 (kept, archived) of one table: rows older than the cutoff are archived; rows without a time stay."""
-    old = F.coalesce((F.col(ts) if isinstance(ts, str) else ts) < cutoff, F.lit(False))
-    return table.where(~old), table.where(old)
-
-
 def retention_of_parts(parts: DataFrame, archived: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """M25 for dependants (command_parts, request_iterations): they go with their parent."""
     return parts.join(archived.select(key), key, "left_anti"), parts.join(archived.select(key), key, "left_semi")
@@ -332,44 +326,68 @@ AGGREGATES = ("calls", "requests", "request_iterations", "agents", "sessions", "
 PARENTS = {"request_iterations": ("requests", "request_id"), "command_parts": ("calls", "tool_use_id")}
 
 
-def aged(tables: Mapping[str, DataFrame], name: str, cutoff: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of a table that stay, and those that have aged out. A call without a time ages by its request, an agent and its turns by their stop, else their start, a session by its last row;
+def aged(tables: Mapping[str, DataFrame], name: str, cutoff: int) -> DataFrame:
+    """A table with `_old`, whether a row has aged out. A call without a time ages by its request, an agent and its turns by their stop, else their start, a session by its last row;
     dependants go with their parent, or if it is gone. A row without any time stays."""
     table = tables[name]
     if name in PARENTS:
         parent, key = PARENTS[name]
-        young = aged(tables, parent, cutoff)[0].select(key).distinct()
-        return table.join(young, key, "left_semi").select(table.columns), table.join(young, key, "left_anti").select(table.columns)
+        young = aged(tables, parent, cutoff).where("not _old").select(key).distinct().withColumn("_old", F.lit(False))
+        return table.join(young, key, "left").select(*table.columns, F.col("_old").isNull().alias("_old"))
     if name == "calls":
-        times = tables["requests"].groupBy("request_id").agg(F.min("ts").alias("_r_ts"))
-        timed = table.where("ts is null").join(times, "request_id", "left")
-        by_own, by_request = retention(table.where("ts is not null"), cutoff), retention(timed, cutoff, "_r_ts")
-        return tuple(x.unionByName(y.select(table.columns)) for x, y in zip(by_own, by_request, strict=True))
+        gone = tables["requests"].where(F.col("ts") < cutoff).select("request_id").distinct().withColumn("_old", F.lit(True))
+        untimed = table.where("ts is null").join(gone, "request_id", "left").select(*table.columns, F.col("_old").isNotNull().alias("_old"))
+        return table.where("ts is not null").withColumn("_old", F.col("ts") < cutoff).unionByName(untimed)
     age = {"agents": F.coalesce("stopped", "started"), "agent_turns": F.coalesce("stopped", "started"), "sessions": F.col("last_ts")}
-    return retention(table, cutoff, age.get(name, "ts"))
+    return table.withColumn("_old", F.coalesce(age.get(name, F.col("ts")) < cutoff, F.lit(False)))
 
 
-def retain(tables: Mapping[str, DataFrame], archives: Mapping[str, DataFrame], cutoff: int) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """M25 (kept, archives) of whole tables by name (schema.KEYS): what aged out is archived first, and leaves its table only where the archive has an identical row.
-
-    Archived aggregates are replaced; of facts, the first copy stays, so a row that differs from it stays in the table as well.
+def beside(tables: Mapping[str, DataFrame], name: str, archive: DataFrame, cutoff: int) -> DataFrame:
+    """M25 of a table of facts that has an archive; see place(). Its rows, the parents that stay and the archive's rows meet in one shuffle, by the parent's key where there is one. Equal is equal in each column that the archive has."""
+    table, key = tables[name], KEYS[name]
+    sided = lambda df, side: df.withColumn("_side", F.lit(side))
+    both = lambda a, b: a.unionByName(b, allowMissingColumns=True)
+    if name in PARENTS:
+        parent, by = PARENTS[name]
+        young = aged(tables, parent, cutoff).where(~F.col("_old") & F.col(by).isNotNull()).select(by)
+        met = reduce(both, (sided(table, "table"), sided(young, "parent"), sided(archive, "archive")))
+        # a parent has nothing in the rest of the key, so it comes first; the rows are in order of their keys then, and are sorted once
+        first = Window.partitionBy(by).orderBy(*(k for k in key if k != by))
+        met = met.withColumn("_old", ~F.max(F.col("_side") == "parent").over(first)).where("_side <> 'parent'")
+    else:
+        rows = aged(tables, name, cutoff)
+        met = both(sided(rows.where("_old"), "table"), sided(archive, "archive"))
+    filed, whole = F.col("_side") == "archive", F.to_json(F.struct(*(c for c in table.columns if c in archive.columns)))
+    copies = F.when(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key)), F.collect_set(F.when(filed, whole)).over(Window.partitionBy(*key))).otherwise(F.array())
+    differs = (F.size("_copies") > 0) & ~F.array_contains("_copies", whole)
+    where = F.when(filed, "archive").when(~F.col("_old") | differs, "kept").when(F.size("_copies") == 0, "archive")
+    found = met.withColumn("_copies", copies).withColumn("place", where).where("place is not null").drop("_side", "_old", "_copies")
+    return found if name in PARENTS else both(rows.where("not _old").drop("_old").withColumn("place", F.lit("kept")), found)
+
+
+def place(tables: Mapping[str, DataFrame], archives: Mapping[str, DataFrame], cutoff: int) -> dict[str, DataFrame]:
+    """M25 of whole tables by name (schema.KEYS): each and its archive as one frame, whose `place` is kept or archive. What aged out is archived first, and leaves its table only where the archive has an identical row.
+
+    Archived aggregates are replaced; of facts, the first copy stays, so a row that differs from it stays in the table.
     """
-    kept, filed = {}, {}
+    placed = {}
     for name, table in tables.items():
-        (kept[name], old), key = aged(tables, name, cutoff), KEYS[name]
-        before = archives.get(name)
-        if before is None:
-            filed[name] = old
-        elif name in AGGREGATES:
-            filed[name] = old.unionByName(before.join(old.select(*key), key, "left_anti"), allowMissingColumns=True)
-        else:
-            filed[name] = before.unionByName(old.join(before.select(*key), key, "left_anti"), allowMissingColumns=True)
-            # only rows whose key the archive held before can differ from its copy
-            whole = F.to_json(F.struct(*table.columns)).alias("_whole")
-            copies = before.select(*key, whole).distinct()
-            differ = old.join(before.select(*key), key, "left_semi").withColumn("_whole", whole).join(copies, [*key, "_whole"], "left_anti")
-            kept[name] = kept[name].unionByName(differ.select(table.columns))
-    return kept, filed
+        archive, key = archives.get(name), KEYS[name]
+        if archive is not None and name not in AGGREGATES:
+            placed[name] = beside(tables, name, archive, cutoff)
+            continue
+        placed[name] = aged(tables, name, cutoff).select(*table.columns, F.when(F.col("_old"), "archive").otherwise("kept").alias("place"))
+        if archive is not None:
+            new = placed[name].where("place = 'archive'").select(*key)
+            placed[name] = placed[name].unionByName(archive.join(new, key, "left_anti").withColumn("place", F.lit("archive")), allowMissingColumns=True)
+    return placed
+
+
+def retain(tables: Mapping[str, DataFrame], archives: Mapping[str, DataFrame], cutoff: int) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """M25 (kept, archives) of whole tables by name, as frames of their own; see place()."""
+    placed = place(tables, archives, cutoff)
+    kept = {n: df.where("place = 'kept'").select(tables[n].columns) for n, df in placed.items()}
+    return kept, {n: df.where("place = 'archive'").drop("place") for n, df in placed.items()}
 
 
 def union_archive(store: DataFrame, archive: DataFrame, key: Sequence[str]) -> DataFrame:

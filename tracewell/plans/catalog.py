@@ -263,7 +263,7 @@ from tracewell.plans import rawstandins as X  # noqa: E402
 from tracewell.sources import raw as SRC  # noqa: E402
 from tracewell.sources import sinks  # noqa: E402
 from tracewell.streaming import ingest  # noqa: E402
-from tracewell.tables import scratch  # noqa: E402
+from tracewell.tables import fenced, scratch  # noqa: E402
 
 
 def P_(S: StandIns) -> DataFrame:
@@ -453,12 +453,14 @@ entry("m23_mark_unfillable", lambda S: M.mark_unfillable(UNFILLED(S), MARKED(S),
       f"WITH {UNFILLED_SQL} SELECT session_id, tool_use_id, CASE WHEN once THEN ts ELSE last_ts END AS ts, 'transcript' AS stage, error FROM un JOIN {{sessions}} USING (session_id) WHERE last_ts % 3 = 0 OR (NOT once AND last_ts % 3 = 2)")
 entry("m24_insert_lost_faults", lambda S: M.insert_lost_faults(S.faults.select(F.lit(1).alias("ts"), "stage", F.lit("s").alias("session_id"), "error").where("stage <> 'binary'"), S.faults.select(F.lit(1).alias("ts"), "stage", F.lit("s").alias("session_id"), "error").unionByName(S.faults.where("stage = 'store'").select(F.lit(1).alias("ts"), "stage", F.lit("s").alias("session_id"), "error"))), "SELECT 1 AS ts, stage, 's' AS session_id, error FROM {faults} WHERE stage IN ('binary', 'store')")
 def RETAINED(S: StandIns) -> DataFrame:
-    tables = {"calls": S.calls, "requests": S.requests, "command_parts": S.command_parts, "agents": S.agents, "sessions": S.sessions}
-    archives = {"agents": S.agents.withColumn("total_tokens", F.lit(0).cast("bigint")), "command_parts": S.command_parts.where("seq = 0").withColumn("parser", F.lit(0))}
-    kept, filed = M.retain(tables, archives, SINCE)
-    key = {"calls": "tool_use_id", "requests": "request_id", "command_parts": F.concat_ws("#", "tool_use_id", F.col("seq").cast("string")), "agents": "agent_id", "sessions": "session_id"}
+    # what is asked of calls and agents is fenced, as parts, agents and archives are made of them again
+    S.made["calls"] = fenced(S.calls.select("tool_use_id", "session_id", "agent_id", "agent_type", "request_id", "ts", "duration_ms", "tool", "bytes_delivered"))
+    agents = fenced(S.agents.select("agent_id", "started", "stopped", "total_tokens"))
+    tables = {"calls": S.calls, "requests": S.requests, "command_parts": S.command_parts, "agents": agents, "sessions": S.sessions}
+    archives = {"agents": agents.withColumn("total_tokens", F.lit(0).cast("bigint")), "command_parts": S.command_parts.where("seq = 0").withColumn("parser", F.lit(0))}
+    key = {"calls": F.col("tool_use_id"), "requests": F.col("request_id"), "command_parts": F.concat_ws("#", "tool_use_id", F.col("seq").cast("string")), "agents": F.col("agent_id"), "sessions": F.col("session_id")}
     more = {"agents": F.col("total_tokens"), "command_parts": F.col("parser").cast("bigint")}
-    rows = [df[n].select(F.lit(n).alias("name"), F.lit(place).alias("place"), (F.col(k) if isinstance(k, str) else k).alias("id"), more.get(n, F.lit(None).cast("bigint")).alias("value")) for place, df in (("kept", kept), ("archive", filed)) for n, k in key.items()]
+    rows = [df.select(F.lit(n).alias("name"), "place", key[n].alias("id"), more.get(n, F.lit(None).cast("bigint")).alias("value")) for n, df in M.place(tables, archives, SINCE).items()]
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 

@@ -30,6 +30,11 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """df, of which no filter is pushed down and no column taken away by what reads it: plans that read it several times have equal parts below, whose shuffles Spark makes once."""
+    return once(df, {c: F.col(c) for c in df.columns})
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is evaluated once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
